@@ -17,6 +17,32 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugework.llm.token_counts import token_counts
+
+    # A cache of its own for each run, so that every run does the whole work.
+    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), common.scratch_path(spark, "token-cache"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugework.llm.token_files import read_documents, write_token_files
+
+    folder = common.scratch_path(spark, "token-files")
+    return read_documents(write_token_files(table(spark, sf_dir, "documents"), folder, _tokenizer("word_bpe_49k.json"), end_id=1))
+
+
+def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugework.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0).drop("ids")
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
