@@ -18,6 +18,9 @@ _LOWER[65:91] += 32
 _BYTE = _BYTE[_LOWER]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: For words() that end at anything but ASCII letters, digits and bytes beyond ASCII.
+NOT_WORD = np.ones(256, dtype=bool)
+NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _SHINGLE = _RNG.integers(1, 2**63, size=64, dtype=np.uint64) * _U(2) + _U(1)
 _powers: dict[str, np.ndarray] = {}
 
@@ -31,7 +34,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     key = f"{base}"
     have = _powers.get(key)
     if have is None or len(have) < n:
@@ -43,13 +47,13 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(offsets: np.ndarray, data: np.ndarray, ends: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per word of all texts: start, end (bytes), text number; then the hash."""
     n = len(data)
     if not n:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, np.zeros(0, dtype=np.uint64)
-    solid = ~_SPACE[data]
+    solid = ~ends[data]
     begin, finish = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
     finish[:-1] &= ~solid[1:]
@@ -59,8 +63,8 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     finish[cuts - 1] = solid[cuts - 1]
     start, end = np.flatnonzero(begin), np.flatnonzero(finish) + 1
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _power(_BASE, n), out=sums[1:])
-    hashed = (sums[end] - sums[start]) * _power(_INVERSE, n)[start]
+    np.cumsum(_BYTE[data] * powers(_BASE, n), out=sums[1:])
+    hashed = (sums[end] - sums[start]) * powers(_INVERSE, n)[start]
     text = np.searchsorted(offsets, start, side="right") - 1
     return start, end, text, mix(hashed + (end - start).astype(np.uint64))
 
