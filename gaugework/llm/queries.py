@@ -17,6 +17,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugework.llm.html_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugework.llm.token_counts import token_counts
 
