@@ -30,6 +30,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), common.scratch_path(spark, "token-cache"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugework.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugework.llm.span_dedup import drop_repeated_spans
 

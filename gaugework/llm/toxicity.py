@@ -295,7 +295,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def _clean(batches: Iterator[pa.RecordBatch], model, text: int) -> Iterator[pa.RecordBatch]:
+    """The rows, all their columns, whose score stays below the threshold."""
+    for rows in batches:
+        offsets, data = common.utf8_buffers(rows.column(text))
+        for lo, hi in common.chunks_by_bytes(offsets, CHUNK_BYTES):
+            score = model.value.scores(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])
+            yield rows.slice(lo, hi - lo).filter(pa.array(score < THRESHOLD))
+
+
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic."""
-    gone = toxicity_scores(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    """The rows of docs that are not predicted toxic, each judged by its own text."""
+    spark = docs.sparkSession
+    common.prepare(spark)
+    rows = training_rows(docs, labels)
+    model = spark.sparkContext.broadcast(train([t for t, _ in rows], [y for _, y in rows]))
+    text = docs.columns.index("text")
+    return docs.mapInArrow(lambda it: _clean(it, model, text), docs.schema)
