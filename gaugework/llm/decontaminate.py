@@ -127,27 +127,42 @@ def _verify(hits: np.ndarray, text, first, hashed, items: _Items, percent: int,
     return list(best.values())
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
-    """Pairs (doc_id, item_id) with where and how far their tokens agree."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame) -> Iterator:
+    """Broadcasts of (ids, texts): test items in blocks of about BLOCK_BYTES."""
+    spark = benchmark.sparkSession
     common.prepare(spark)
+    slot = F.xxhash64("item_id").bitwiseAND(F.lit((1 << 20) - 1))
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.lower("text").alias("text"))
-    sizes = items.select("item_id", F.octet_length("text").cast("long").alias("n"))
-    ranges = sizes.groupBy((F.xxhash64("item_id").bitwiseAND(F.lit((1 << 20) - 1))).alias("slot")).agg(F.sum("n").alias("n"))
+    ranges = items.groupBy(slot.alias("slot")).agg(F.sum(F.octet_length("text").cast("long")).alias("n"))
     blocks = (  # at most 2^20 slots of one row each; a block is a range of slots
         ranges.select("slot", F.floor(F.sum("n").over(Window.orderBy("slot")) / BLOCK_BYTES).alias("block")).groupBy("block").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
     ).collect()
-    texts = docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
-    slot = F.xxhash64("item_id").bitwiseAND(F.lit((1 << 20) - 1))
-    parts = []
     for b in blocks:
         rows = items.where(slot.between(b["lo"], b["hi"])).collect()  # about BLOCK_BYTES
-        held = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
-        parts.append(texts.mapInArrow(lambda it, held=held: _pairs(it, _Items(*held.value), percent), PAIRS))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], PAIRS)
+        yield spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
+
+
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
+    """Pairs (doc_id, item_id) with where and how far their tokens agree."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
+    parts = [texts.mapInArrow(lambda it, held=held: _pairs(it, _Items(*held.value), percent), PAIRS) for held in _blocks(benchmark)]
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], PAIRS)
+
+
+def _apart(batches: Iterator[pa.RecordBatch], items: _Items, percent: int) -> Iterator[pa.RecordBatch]:
+    """The rows, all their columns but the lower-cased text at the end, that agree with no item."""
+    for rows in batches:
+        number = pa.array(range(rows.num_rows), pa.int64())
+        asked = pa.RecordBatch.from_arrays([number, rows.column(rows.num_columns - 1)], names=["doc_id", "text"])
+        stay = np.ones(rows.num_rows, dtype=bool)
+        for found in _pairs(iter([asked]), items, percent):
+            stay[found.column(0).to_numpy()] = False
+        yield rows.select(range(rows.num_columns - 1)).filter(pa.array(stay))
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs with no contaminated pair; rows without doc_id are judged by their text alone."""
-    gone = contaminated_pairs(docs, benchmark, percent).select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    """The rows of docs that no item contaminates, each judged by its own text."""
+    left, schema = docs, docs.schema
+    for held in _blocks(benchmark):
+        left = left.select("*", F.lower("text")).mapInArrow(lambda it, held=held: _apart(it, _Items(*held.value), percent), schema)
+    return left
