@@ -1,15 +1,17 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-The kernel of two words sums, over all three-letter subsequences that both have, the products of their
+The kernel of two words sums, over all four-letter subsequences that both have, the products of their
 weights; a subsequence may have gaps, up to SPAN letters in all, and every letter spanned costs DECAY.
 So an insult still matches with inserted or lost letters.  Symbols inside a word are dropped, and single
-letters in a row are read as one word.  A sentence's kernel is the sum over its words.
+letters in a row are read as one word.  A sentence is as toxic as its worst word.
 
-Training (on the driver, over at most MOST_DOCS labelled rows, taken in the order of a hash): landmark
-words are those whose presence tells toxic from clean documents best, and some frequent ones.  A linear
-SVM on the Nystroem features is trained on sentences, which carry their document's label; as a toxic
-document also has clean sentences, the machine is retrained on those it finds itself.  A logistic
-function of a document's highest sentence margins, fitted on rows the SVM did not see, gives the score.
+Training runs in one task over a bounded sample (at most MOST_TOXIC and MOST_CLEAN labelled rows in the order
+of a hash, and MOST_BYTES of whole texts).  Four-letter runs that tell toxic from clean documents name the
+landmark words; some frequent words join them.  The SVM on the Nystroem features learns from sentences,
+which carry their document's label: in a toxic sentence the worst word is the witness, in a clean one
+every word is innocent.  As a toxic document also has clean sentences, sentences and witnesses are
+chosen anew by the machine a few times.  A logistic function of a document's highest sentence margins, fitted
+on rows the SVM did not see and weighted to the labels' own proportion, gives the score.
 
 Scoring: the SVM's decision is linear in a word's subsequence weights, so landmarks and machine fold
 into one table of fixed size.  A word costs a few look-ups for each letter, once for each distinct word
@@ -23,6 +25,7 @@ empty table gives an empty result; other columns are never read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,13 +36,17 @@ from pyspark.sql import functions as F
 
 from gaugework.llm import common, word_hash
 
-#: The bound of the training sample: rows, and bytes of their whole texts.
-MOST_DOCS, MOST_BYTES = 2_500, 8_000_000
-LANDMARKS, FREQUENT = 80, 16
+#: The bound of the training sample: rows of each class, and bytes of their whole texts.
+MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 800, 900, 5_000_000
+LANDMARKS, FREQUENT, PER_RUN = 128, 32, 2
+#: A telling run is in so many toxic documents, and so many times as often in them as in clean ones.
+LEAST_TOXIC, LEAST_ODDS = 3, 4.0
 SPAN, DECAY = 6, 0.7
-#: Weights of subsequences by span, relative to one without gaps.
-_WEIGHT = {k: DECAY ** (k - 2) for k in range(2, SPAN)}
-_GAPS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
+# Places of a subsequence's other letters after its first, and weights relative to one without gaps.
+_GAPS = [(i, j, k) for k in range(3, SPAN) for j in range(2, k) for i in range(1, j)]
+_WEIGHT = {k: DECAY ** (k - 3) for k in range(3, SPAN)}
+#: Subsequences are hashed to so many bits.
+BITS = 20
 CHUNK_BYTES = 3_000_000
 THRESHOLD = 0.3
 
@@ -102,18 +109,21 @@ def read_words(offsets: np.ndarray, data: np.ndarray) -> Words:
 
 def _subsequences(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """(distinct word, subsequence number, weight) for each gap pattern."""
-    for j, k in _GAPS:
+    for i, j, k in _GAPS:
         n = len(w.codes) - k
         if n <= 0:
             continue
         at = np.flatnonzero(w.owner[:n] == w.owner[k:])
-        yield w.owner[at], (w.codes[at] << 12) | (w.codes[at + j] << 6) | w.codes[at + k], _WEIGHT[k]
+        number = (w.codes[at] << 18) | (w.codes[at + i] << 12) | (w.codes[at + j] << 6) | w.codes[at + k]
+        yield w.owner[at], (number * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - BITS), _WEIGHT[k]
 
 
 def _scale(lengths: np.ndarray) -> np.ndarray:
     """What brings a word of this length to unit size (repeated subsequences aside)."""
-    n = np.maximum(lengths[:, None] + 2 - np.array([k for _, k in _GAPS])[None, :], 0)
-    return 1 / np.sqrt(np.maximum((n * np.array([_WEIGHT[k] ** 2 for _, k in _GAPS])[None, :]).sum(axis=1), 1e-9))
+    size = np.zeros(len(lengths))
+    for *_, k in _GAPS:
+        size += np.maximum(lengths + 2 - k, 0) * _WEIGHT[k] ** 2
+    return 1 / np.sqrt(np.maximum(size, 1e-9))
 
 
 def word_values(w: Words, table: np.ndarray) -> np.ndarray:
@@ -128,7 +138,7 @@ def _margins(w: Words, values: np.ndarray, bias: float, n_texts: int) -> np.ndar
     out = np.full((n_texts, 4), bias)
     out[:, 3] = 0.0
     if len(w.starts):
-        f = np.add.reduceat(values[w.of], w.starts) + bias
+        f = np.maximum.reduceat(values[w.of], w.starts) + bias
         text = w.text[w.starts]
         order = np.lexsort((-f, text))
         f, text = f[order], text[order]
@@ -155,7 +165,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _hinge(x: np.ndarray, y: np.ndarray, cost: float = 300.0, steps: int = 25) -> tuple[np.ndarray, float]:
+def _hinge(x: np.ndarray, y: np.ndarray, cost: float = 3000.0, steps: int = 25) -> tuple[np.ndarray, float]:
     """A linear SVM with squared hinge loss, classes weighted alike, by Newton steps on its margin rows."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * cost
     full = np.concatenate([x, np.ones((len(x), 1), dtype=x.dtype)], axis=1)
@@ -173,46 +183,80 @@ def _hinge(x: np.ndarray, y: np.ndarray, cost: float = 300.0, steps: int = 25) -
     return v[:-1], float(v[-1])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5) -> tuple[np.ndarray, float]:
     full = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(full.shape[1])
     penalty = np.diag([ridge] * x.shape[1] + [1e-3])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
-        step = np.linalg.solve(full.T @ (full * (p * (1 - p))[:, None]) + penalty, full.T @ (p - y) + penalty @ w)
+        step = np.linalg.solve(full.T @ (full * (weight * p * (1 - p))[:, None]) + penalty, full.T @ (weight * (p - y)) + penalty @ w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w[:-1], float(w[-1])
 
 
-def train(texts: list[str], toxic: list[int]) -> Model:
-    """Fits the model to some labelled texts, in the order given."""
-    y = np.array(toxic)
-    empty = np.zeros(1 << 18, dtype=np.float32)
-    if len(set(toxic)) < 2:
-        share = float(y.mean()) if len(y) else 0.0
-        constant = 30.0 if share == 1 else -30.0
-        return Model(empty, 0.0, np.zeros(4), np.ones(4), np.zeros(4), constant)
-    w = read_words(*common.utf8_buffers(pa.array(texts, pa.string())))
-    n_words, fit = len(w.lengths), np.arange(len(y)) % 3 != 2
-    # Landmarks: by how their presence divides the documents that the SVM is fitted to.
-    seen = np.unique(np.stack([w.of, w.text], axis=1), axis=0)
-    seen = seen[fit[seen[:, 1]]]
+def _excess(toxic: np.ndarray, every: np.ndarray, n_toxic: int, n_docs: int) -> np.ndarray:
+    """How many standard deviations toxic documents have above their share; -10 for what clean documents have too."""
+    share = n_toxic / n_docs
+    odds = (toxic + 0.5) / max(1, n_toxic) / ((every - toxic + 0.5) / max(1, n_docs - n_toxic))
+    excess = (toxic - share * every) / np.sqrt(np.maximum(share * (1 - share) * every * (1 - every / n_docs), 1e-9) + 0.5)
+    return np.where((toxic >= LEAST_TOXIC) & (odds >= LEAST_ODDS), excess, -10.0)
+
+
+def _runs(w: Words, seen: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct word, run number) of all four-letter runs, and the excess of each run; seen: (word, text) pairs."""
+    n = len(w.codes) - 3
+    at = np.flatnonzero(w.owner[:n] == w.owner[3:])
+    grams = (w.codes[at] << 18) | (w.codes[at + 1] << 12) | (w.codes[at + 2] << 6) | w.codes[at + 3]
+    names, number = np.unique(grams, return_inverse=True)
+    word = w.owner[at]
+    ends = np.searchsorted(word, np.arange(len(w.lengths) + 1))
+    toxic, every = np.zeros(len(names)), np.zeros(len(names))
+    for lo in range(0, len(seen), 200_000):  # pairs are ordered by text: a text's pairs may meet a cut once
+        some = seen[lo : lo + 200_000]
+        n_runs = ends[some[:, 0] + 1] - ends[some[:, 0]]
+        place = np.arange(n_runs.sum()) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs) + np.repeat(ends[some[:, 0]], n_runs)
+        both = np.unique(np.repeat(some[:, 1], n_runs) * len(names) + number[place])
+        text, run = both // len(names), both % len(names)
+        every += np.bincount(run, minlength=len(names))
+        toxic += np.bincount(run, weights=y[text], minlength=len(names))
+    texts = np.unique(seen[:, 1])
+    return word, number, _excess(toxic, every, int(y[texts].sum()), len(texts))
+
+
+def _landmarks(w: Words, seen: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The landmark words, and for every word the excess of its second most telling run (one may be a coincidence)."""
+    n_words = len(w.lengths)
+    word, number, excess = _runs(w, seen, y)
     with_toxic = np.bincount(seen[:, 0], weights=y[seen[:, 1]], minlength=n_words)
     with_any = np.bincount(seen[:, 0], minlength=n_words)
-    p, q = y[fit].mean(), with_any / fit.sum()
-    excess = (with_toxic - p * with_any) / np.sqrt(np.maximum(p * (1 - p) * with_any * (1 - q), 1e-9))
-    excess[(with_toxic < 2) | (w.lengths < 3)] = -np.inf
-    best = np.argsort(-excess, kind="stable")[:LANDMARKS]
-    best = best[np.isfinite(excess[best]) & (excess[best] > 0)]
-    often = [i for i in np.argsort(-with_any, kind="stable")[: 4 * FREQUENT].tolist() if i not in set(best.tolist())][:FREQUENT]
-    marks = np.concatenate([best, np.array(often, dtype=np.int64)])
-    # Kernel of every word with every landmark, over the subsequences that landmarks have.
-    scale = _scale(w.lengths)
-    slot_of, m = np.full(n_words, -1), len(marks)
+    ranked = np.lexsort((-excess[number], word))
+    second = np.searchsorted(word[ranked], np.arange(n_words)) + 1
+    has = np.bincount(word, minlength=n_words) > 1
+    told = np.full(n_words, -10.0)
+    told[has] = excess[number[ranked[second[has]]]]
+    # Of each telling run, the words that most toxic documents have.
+    order = np.lexsort((-with_toxic[word], number))
+    ends = np.searchsorted(number[order], np.arange(len(excess) + 1))
+    marks: dict[int, None] = {}
+    for run in np.argsort(-excess, kind="stable").tolist():
+        if excess[run] <= 4 or len(marks) >= LANDMARKS:
+            break
+        having = word[order[ends[run] : ends[run + 1]]]
+        for i in having[told[having] > 4][:PER_RUN].tolist():
+            marks[i] = None
+    for i in np.argsort(-with_any, kind="stable")[:FREQUENT].tolist():
+        marks[i] = None
+    return np.array(list(marks), dtype=np.int64), told
+
+
+def _features(w: Words, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nystroem features of all distinct words; subsequence numbers, their landmark weights, and the root."""
+    scale, m = _scale(w.lengths), len(marks)
+    slot_of = np.full(len(w.lengths), -1)
     slot_of[marks] = np.arange(m)
-    column = np.full(1 << 18, -1)
+    column = np.full(1 << BITS, -1)
     rows, columns, weights = [], [], []
     for word, number, weight in _subsequences(w):
         mine = slot_of[word] >= 0
@@ -225,56 +269,97 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     marked = np.zeros((len(numbers), m), dtype=np.float32)
     np.add.at(marked, (column[columns], rows), weights)
     marked *= scale[marks].astype(np.float32)
-    kernel = np.zeros((n_words, m), dtype=np.float32)
+    kernel = np.zeros((len(w.lengths), m), dtype=np.float32)
     for word, number, weight in _subsequences(w):
         known = np.flatnonzero(column[number] >= 0)
-        for lo in range(0, len(known), 100_000):
-            some = known[lo : lo + 100_000]
+        for lo in range(0, len(known), 50_000):
+            some = known[lo : lo + 50_000]
             at = np.flatnonzero(np.concatenate([[True], word[some][1:] != word[some][:-1]]))
             kernel[word[some][at]] += weight * np.add.reduceat(marked[column[number[some]]], at, axis=0)
     kernel *= scale[:, None].astype(np.float32)
     values, vectors = np.linalg.eigh(kernel[marks].astype(np.float64))
-    root = vectors[:, values > 1e-4 * values.max()] / np.sqrt(values[values > 1e-4 * values.max()])
-    features = np.add.reduceat((kernel @ root.astype(np.float32))[w.of], w.starts, axis=0)
+    good = values > 1e-4 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    return kernel @ root.astype(np.float32), numbers, marked, root
+
+
+def train(texts: list[str], toxic: list[int], share: float | None = None) -> Model:
+    """Fits the model to some labelled texts, in the order given; share: of toxic rows among all labelled ones."""
+    y = np.array(toxic)
+    empty = np.zeros(1 << BITS, dtype=np.float32)
+    w = read_words(*common.utf8_buffers(pa.array(texts, pa.string())))
+    if len(set(toxic)) < 2 or not len(w.of):
+        found = float(y.mean()) if len(y) else 0.0
+        return Model(empty, 0.0, np.zeros(4), np.ones(4), np.zeros(4), float(np.log(max(found, 1e-13) / max(1 - found, 1e-13))))
+    fit = np.arange(len(y)) % 3 != 2
+    if len(set(y[fit].tolist())) < 2 or len(set(y[~fit].tolist())) < 2:
+        fit = np.ones(len(y), dtype=bool)
+    seen = np.unique(w.text.astype(np.int64) * len(w.lengths) + w.of)
+    seen = np.stack([seen % len(w.lengths), seen // len(w.lengths)], axis=1)
+    seen = seen[fit[seen[:, 1]]]
+    marks, told = _landmarks(w, seen, y)
+    innocent = np.unique(seen[y[seen[:, 1]] == 0, 0])
+    n_toxic = np.bincount(seen[y[seen[:, 1]] > 0, 0], minlength=len(w.lengths))
+    features, numbers, marked, root = _features(w, marks)
     of_text = w.text[w.starts]
-    # First the sentences with the most telling words, then those that the machine itself finds.
-    told = np.maximum.reduceat(np.where(np.isfinite(excess), excess, -10)[w.of], w.starts)
     inside, positive = fit[of_text], y[of_text] > 0
     clean = np.flatnonzero(inside & ~positive)
-    for turn in range(4):
-        order = np.lexsort((-told, of_text))
-        top = np.zeros(len(told), dtype=bool)
-        top[order[np.flatnonzero(np.concatenate([[True], of_text[order][1:] != of_text[order][:-1]]))]] = True
-        level = np.quantile(told[clean], 0.999) if turn == 0 and len(clean) else 0.0
-        chosen = np.flatnonzero(inside & positive & (top | (told > level)))
-        rows = np.concatenate([chosen, clean])
-        u, bias = _hinge(features[rows], np.where(np.arange(len(rows)) < len(chosen), 1.0, -1.0))
+    sentence = np.repeat(np.arange(len(w.starts)), np.diff(np.append(w.starts, len(w.of))))
+    guilty = np.zeros(0, dtype=np.int64)
+    for turn in range(2):
+        # The witnesses: words of two toxic documents or more and no clean one that tell more than (nearly) all of the clean sentences.
+        worst = np.maximum.reduceat(told[w.of], w.starts)
+        level = max(4.0 if turn == 0 else 0.0, float(np.quantile(worst[clean], 0.999 if turn == 0 else 0.9999))) if len(clean) else 4.0
+        chosen = inside & positive & (worst > level)
+        found = np.unique(w.of[chosen[sentence] & (told[w.of] > level)])
+        guilty = np.union1d(guilty, np.setdiff1d(found[n_toxic[found] >= 2], innocent))
+        if not len(guilty) or not len(innocent):
+            break
+        rows = np.concatenate([guilty, innocent])
+        u, bias = _hinge(features[rows], np.where(np.arange(len(rows)) < len(guilty), 1.0, -1.0))
         told = features @ u + bias
-    table = np.zeros(1 << 18, dtype=np.float32)
-    table[numbers] = marked @ (root @ u).astype(np.float32)
-    x = _margins(w, word_values(w, table), bias, len(y))
-    held = ~fit if len(set(y[~fit].tolist())) == 2 else np.ones(len(y), dtype=bool)
-    center, width = x[held].mean(axis=0), x[held].std(axis=0) + 1e-6
-    weights, constant = _logistic((x[held] - center) / width, y[held])
-    return Model(table, bias, center, width, weights, constant)
+    else:
+        table = np.zeros(1 << BITS, dtype=np.float32)
+        table[numbers] = marked @ (root @ u).astype(np.float32)
+        x = _margins(w, word_values(w, table), bias, len(y))
+        held = ~fit if not fit.all() else fit
+        prior = float(y[held].mean())
+        share = prior if share is None else share
+        weight = np.where(y[held] > 0, share / prior, (1 - share) / (1 - prior))
+        center, width = x[held].mean(axis=0), x[held].std(axis=0) + 1e-6
+        weights, constant = _logistic((x[held] - center) / width, y[held], weight)
+        return Model(table, bias, center, width, weights, constant)
+    found = float(y.mean()) if share is None else share
+    return Model(empty, 0.0, np.zeros(4), np.ones(4), np.zeros(4), float(np.log(max(found, 1e-13) / max(1 - found, 1e-13))))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> list:
-    """At most MOST_DOCS labelled rows that are not held out, and at most MOST_BYTES of text, in the order of a hash."""
-    known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    drawn = known.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "toxic").limit(MOST_DOCS)
-    rows = docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id")  # MOST_DOCS rows
-    out, size = [], 0
-    for r in rows.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "text").toLocalIterator():
-        size += len(r["text"])
+def _fit(batches: Iterator[pa.RecordBatch], share: float | None) -> Iterator[pa.RecordBatch]:
+    texts, toxic, size = [], [], 0
+    for rows in batches:
+        for text, label in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            size += len(text)
+            if size <= MOST_BYTES:
+                texts.append(text)
+                toxic.append(label)
         if size > MOST_BYTES:
             break
-        out.append((r["text"], int(r["toxic"])))
-    return out
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, toxic, share))], pa.binary())], names=["model"])
+
+
+def fit_model(docs: DataFrame, labels: DataFrame) -> Model:
+    """Trains in one task over the bounded sample of rows that are not held out; the driver gets the fitted tables."""
+    known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    counts = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
+    order = [F.xxhash64("doc_id", F.lit(17)), "doc_id"]
+    drawn = known.where("toxic = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(known.where("toxic = 0").orderBy(*order).limit(MOST_CLEAN))
+    rows = docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id")  # MOST_TOXIC + MOST_CLEAN rows
+    sample = rows.select("text", "toxic", order[0].alias("place"), "doc_id").repartition(1).sortWithinPartitions("place", "doc_id", "text")
+    share = counts["t"] / counts["n"] if counts["n"] else None
+    return pickle.loads(sample.select("text", "toxic").mapInArrow(lambda it: _fit(it, share), "model binary").first()["model"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -289,8 +374,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted."""
     spark = docs.sparkSession
     common.prepare(spark)
-    rows = training_rows(docs, labels)
-    model = spark.sparkContext.broadcast(train([t for t, _ in rows], [y for _, y in rows]))
+    model = spark.sparkContext.broadcast(fit_model(docs, labels))
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _score(it, model), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -308,7 +392,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic, each judged by its own text."""
     spark = docs.sparkSession
     common.prepare(spark)
-    rows = training_rows(docs, labels)
-    model = spark.sparkContext.broadcast(train([t for t, _ in rows], [y for _, y in rows]))
+    model = spark.sparkContext.broadcast(fit_model(docs, labels))
     text = docs.columns.index("text")
     return docs.mapInArrow(lambda it: _clean(it, model, text), docs.schema)
