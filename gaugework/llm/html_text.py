@@ -202,6 +202,8 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     kept = []
     for a, b in zip(rises.tolist(), falls.tolist()):
         if block[a:b].max() >= level:
+            text = np.flatnonzero(weight[a:b] > 0)  # windows reach ahead: the text starts at its first line with weight
+            a, b = a + int(text[0]), a + int(text[-1]) + 1
             kept += [x for x, ok in zip(lines[a:b], within[a:b] if level == 1 else weight[a:b] >= 0) if ok and x]
     return "\n".join(kept)
 
