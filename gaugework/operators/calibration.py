@@ -108,8 +108,8 @@ def fit_cutpoints(
     kept = F.lit(True)
     for x in S.LABELS:
         kept = kept & ((F.col(f"t_{x}") == 0) | (F.coalesce(recall[x], F.lit(0.0)) + 1e-12 >= least_recall))
-    rated = z.select(
-        "low", "high", n.alias("n"), kept.alias("kept"), (sum(tp.values()) / n).alias("accuracy"), mean(list(recall.values())).alias("balanced"),
+    rated = z.where(n > 0).select(
+        "low", "high", n.alias("n"), kept.alias("kept"), S.ratio(sum(tp.values()), n).alias("accuracy"), mean(list(recall.values())).alias("balanced"),
         mean(list(f1.values())).alias("macro_f1"), F.coalesce(f1["partial"], F.lit(0.0)).alias("partial_f1"),
         (-F.abs(F.col("low") - defaults[0]) - F.abs(F.col("high") - defaults[1])).alias("nearness"),
     )

@@ -66,17 +66,17 @@ def grow_tree(x: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, least: fl
             left = x[:, f] <= cut
             if w[left].sum() < least or w[~left].sum() < least:
                 continue
-            gain = importance[f] * (whole - _loss(y[left], w[left]) - _loss(y[~left], w[~left]))
+            gain = own = importance[f] * (whole - _loss(y[left], w[left]) - _loss(y[~left], w[~left]))
             if ahead and depth > 1:
                 for side in (left, ~left):
                     child = grow_tree(x[side], y[side], w[side], 1, least, importance, ahead=False)
                     if "feature" in child:
                         gain += child["gain"]
-            if best is None or gain > best[0] + 1e-12:
-                best = (gain, f, float(cut), left)
-    if best is None or best[0] <= 1e-12:
+            if best is None or (round(gain, 9), round(own, 9)) > best[:2]:
+                best = (round(gain, 9), round(own, 9), f, float(cut), left)
+    if best is None or best[0] <= 0:
         return leaf
-    gain, f, cut, left = best
+    gain, _, f, cut, left = best
     return {
         "feature": f, "cut": cut, "gain": gain,
         "left": grow_tree(x[left], y[left], w[left], depth - 1, least, importance, ahead),

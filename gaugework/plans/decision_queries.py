@@ -269,7 +269,7 @@ def referral_fit(spark, sf):
     return calibration.fit_referral(c, rules, [0, 20, 40], "ordinal_score", 0.2)
 
 
-@query("SELECT c_custkey AS item_id FROM (SELECT c_custkey, row_number() OVER (PARTITION BY 1 ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer) WHERE i IN (SELECT (r.i * n) // k FROM range(0, (SELECT greatest(1, round_even(count(*) * 0.13, 0))::BIGINT FROM customer)) r(i), (SELECT count(*) AS n, greatest(1, round_even(count(*) * 0.13, 0))::BIGINT AS k FROM customer))", "", "item_id")
+@query("SELECT c_custkey AS item_id FROM (SELECT c_custkey, row_number() OVER (PARTITION BY 1 ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer) WHERE i IN (SELECT (r.i * n) // k FROM range(0, (SELECT greatest(1, round_even(count(*) * 0.13::DOUBLE, 0))::BIGINT FROM customer)) r(i), (SELECT count(*) AS n, greatest(1, round_even(count(*) * 0.13::DOUBLE, 0))::BIGINT AS k FROM customer))", "", "item_id")
 def evenly_spaced(spark, sf):
     c = T.read(spark, sf, "customer").select(F.col("c_custkey").alias("item_id"), F.lit("all").alias("g"))
     return sampling.stratified(c, "g", "item_id", 0.13).select("item_id")
@@ -281,7 +281,7 @@ _QUOTA = """, z AS (SELECT g, count(*) AS n FROM src GROUP BY 1), y AS (SELECT *
     SELECT g, item_id FROM p JOIN q USING (g) WHERE i IN (SELECT (k.k * q.n) // q.quota FROM range(0, q.quota) k(k))"""
 
 
-@query("WITH src AS (SELECT c_mktsegment AS g, c_custkey AS item_id FROM customer)" + _QUOTA.format(total="greatest(1, round_even(sum(n) OVER () * 0.07, 0))"), "", "g item_id")
+@query("WITH src AS (SELECT c_mktsegment AS g, c_custkey AS item_id FROM customer)" + _QUOTA.format(total="greatest(1, round_even(sum(n) OVER () * 0.07::DOUBLE, 0))"), "", "g item_id")
 def stratified_sample(spark, sf):
     c = T.read(spark, sf, "customer").select(F.col("c_mktsegment").alias("g"), F.col("c_custkey").alias("item_id"))
     return sampling.stratified(c, "g", "item_id", 0.07)
@@ -300,7 +300,7 @@ def balanced_sample(spark, sf):
 
 @query(
     """WITH g AS (SELECT DISTINCT o_orderstatus AS split, o_custkey AS task FROM orders), n AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY split ORDER BY task) - 1 AS i FROM g WINDOW w AS (PARTITION BY split)),
-    k AS (SELECT *, (i - CASE split WHEN 'O' THEN 5 ELSE 0 END + n) % n AS j, greatest(1, round_even(n * CASE split WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.2 ELSE 0.5 END, 0))::BIGINT AS k FROM n),
+    k AS (SELECT *, (i - CASE split WHEN 'O' THEN 5 ELSE 0 END + n) % n AS j, greatest(1, round_even(n * CASE split WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.2::DOUBLE ELSE 0.5 END, 0))::BIGINT AS k FROM n),
     c AS (SELECT split, task FROM k WHERE j IN (SELECT (t.t * n) // k FROM range(0, k) t(t))) SELECT o_orderkey AS item_id, o_orderstatus AS split FROM orders JOIN c ON o_orderstatus = split AND o_custkey = task""",
     "", "item_id split",
 )
@@ -309,7 +309,7 @@ def grouped_split_sample(spark, sf):
     return sampling.split_groups(o, "split", "task", {"F": 1.0, "O": 0.2}, 0.5, {"O": 5}).select("item_id", "split")
 
 
-@query("SELECT o_orderkey AS item_id, CASE WHEN row_number() OVER (ORDER BY sha256(CAST('7:' || o_orderkey AS VARCHAR)), o_orderkey) <= greatest(1, round_even(0.2 * count(*) OVER (), 0)) THEN 'validation' ELSE 'training' END AS part FROM orders", "", "item_id part")
+@query("SELECT o_orderkey AS item_id, CASE WHEN row_number() OVER (ORDER BY sha256(CAST('7:' || o_orderkey AS VARCHAR)), o_orderkey) <= greatest(1, round_even(0.2::DOUBLE * count(*) OVER (), 0)) THEN 'validation' ELSE 'training' END AS part FROM orders", "", "item_id part")
 def stable_holdout(spark, sf):
     return sampling.holdout(T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id")), "item_id", 0.2, 7)
 
@@ -320,7 +320,7 @@ def round_robin_subset(spark, sf):
 
 
 @query(
-    "SELECT item_id, CASE WHEN i <= ceil(n * 0.1) THEN 'development' WHEN i <= ceil(n * 0.5) THEN 'confirmation' ELSE 'final' END AS part FROM (SELECT o_orderkey AS item_id, row_number() OVER (PARTITION BY o_orderstatus ORDER BY sha256('44:' || o_orderkey), o_orderkey) AS i, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)",
+    "SELECT item_id, CASE WHEN i <= ceil(n * 0.1::DOUBLE) THEN 'development' WHEN i <= ceil(n * 0.5::DOUBLE) THEN 'confirmation' ELSE 'final' END AS part FROM (SELECT o_orderkey AS item_id, row_number() OVER (PARTITION BY o_orderstatus ORDER BY sha256('44:' || o_orderkey), o_orderkey) AS i, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)",
     "", "item_id part",
 )
 def nested_partitions(spark, sf):
