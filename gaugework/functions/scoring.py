@@ -134,3 +134,14 @@ def repeats_in_cycle(scores: Column) -> Column:
         & (F.size(F.array_distinct(F.slice(scores, n - p + 1, p))) > 1),
     )
     return F.when(n >= 4, cycle).otherwise(False)
+
+
+def overlap_importance(concept: Column, metric: Column, floor: float = 0.1) -> Column:
+    """Share of a metric's dimensions that a concept covers, at least `floor`."""
+    return F.greatest(F.lit(floor), F.coalesce(ratio(F.size(F.array_intersect(concept, metric)), F.size(metric)), F.lit(0.0)))
+
+
+def oriented_answer(answer: Column, strength: Column, raises_when: Column) -> Column:
+    """A yes/no answer as -1..1: positive if it raises the score; 0 if unanswered."""
+    sign = F.when(F.lower(answer) == F.lower(raises_when), 1.0).when(F.lower(answer).isin("yes", "no"), -1.0)
+    return F.coalesce(sign * F.coalesce(strength, F.lit(1.0)), F.lit(0.0))

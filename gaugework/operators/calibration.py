@@ -180,3 +180,65 @@ def fit_referral(rows: DataFrame, rules: dict[str, Column], supports: list[int],
     f1 = F.when(F.col("_r") + F.col("_d") > 0, 2 * F.col("_b") / (F.col("_r") + F.col("_d"))).otherwise(0.0)
     rated = sums.withColumn("f1", f1).where(F.col("coverage") >= coverage_floor)
     return rated.orderBy(F.desc("f1"), F.desc("coverage"), "least_support", "rule").limit(1).select("rule", "least_support", "coverage", "f1")
+
+
+def fit_gates(rows: DataFrame, presence: str, completeness: str, least_recall: float = 0.1, defaults: tuple[float, float] = (50.0, 90.0)) -> DataFrame:
+    """(target, two scores of 0..100) -> one row: the pair of gates with the best macro F1, then partial F1 and accuracy.
+
+    Counts below both gates come from running sums over the grid of candidate cuts, as many as distinct scores of each scale.
+    """
+    z = rows.where(F.col(presence).isNotNull() & F.col(completeness).isNotNull() & F.col("target").isin(*S.LABELS))
+    spark = rows.sparkSession
+
+    def cuts(score: str, name: str) -> DataFrame:
+        return z.select(F.least(F.lit(FAR), F.col(score) + 1e-6).alias(name)).unionByName(spark.createDataFrame([(0.0,), (FAR,)], f"{name} double")).distinct()
+
+    # A score counts below the cut just above it, so its cell is that cut's.
+    counted = z.groupBy((F.least(F.lit(FAR), F.col(presence) + 1e-6)).alias("p"), (F.least(F.lit(FAR), F.col(completeness) + 1e-6)).alias("c")).agg(*(F.count(F.when(F.col("target") == x, 1)).alias(x) for x in S.LABELS))
+    grid = cuts(presence, "p").crossJoin(cuts(completeness, "c")).join(counted, ["p", "c"], "left").na.fill(0, list(S.LABELS))  # distinct cuts of the two scales
+    by_p = Window.partitionBy("p").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
+    run = grid.withColumns({f"r_{x}": F.sum(x).over(by_p) for x in S.LABELS})
+    by_c = Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    both = run.withColumns({f"b_{x}": F.sum(f"r_{x}").over(by_c) for x in S.LABELS})
+    edge = both.where(F.col("c") == FAR).select("p", *(F.col(f"b_{x}").alias(f"a_{x}") for x in S.LABELS))
+    totals = counted.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(f"t_{x}") for x in S.LABELS))
+    # Below p: a; below p and below c: b; below c alone: with p at its end.
+    side = both.where(F.col("p") == FAR).select("c", *(F.col(f"b_{x}").alias(f"s_{x}") for x in S.LABELS))
+    z = both.select("p", "c", *(f"b_{x}" for x in S.LABELS)).join(edge, "p").join(side, "c").crossJoin(F.broadcast(totals))  # one row
+    inside = {x: F.col(f"s_{x}") - F.col(f"b_{x}") for x in S.LABELS}
+    tp = {"no": F.col("a_no"), "partial": inside["partial"], "yes": F.col("t_yes") - F.col("a_yes") - inside["yes"]}
+    predicted = {"no": sum(F.col(f"a_{x}") for x in S.LABELS), "partial": sum(inside.values()), "yes": sum(F.col(f"t_{x}") - F.col(f"a_{x}") - inside[x] for x in S.LABELS)}
+    recall = {x: S.ratio(tp[x], F.col(f"t_{x}")) for x in S.LABELS}
+    precision = {x: S.ratio(tp[x], predicted[x]) for x in S.LABELS}
+    f1 = {x: F.when((recall[x] + precision[x]) > 0, 2 * recall[x] * precision[x] / (recall[x] + precision[x])).when((recall[x] + precision[x]) == 0, 0.0) for x in S.LABELS}
+    defined = F.array_compact(F.array(*f1.values()))
+    macro = F.when(F.size(defined) > 0, F.aggregate(defined, F.lit(0.0), lambda s, v: s + v) / F.size(defined)).otherwise(0.0)
+    n = F.col("t_no") + F.col("t_partial") + F.col("t_yes")
+    kept = F.lit(True)
+    for x in S.LABELS:
+        kept = kept & ((F.col(f"t_{x}") == 0) | (F.coalesce(recall[x], F.lit(0.0)) + 1e-12 >= least_recall))
+    rated = z.where(n > 0).select(
+        F.col("p").alias("presence_cut"), F.col("c").alias("completeness_cut"), kept.alias("kept"), macro.alias("macro_f1"), F.coalesce(f1["partial"], F.lit(0.0)).alias("partial_f1"), S.ratio(sum(tp.values()), n).alias("accuracy")
+    )
+    near = -F.abs(F.col("presence_cut") - defaults[0]) - F.abs(F.col("completeness_cut") - defaults[1])
+    order = F.struct("kept", "macro_f1", "partial_f1", "accuracy", near.alias("n"), (-F.col("presence_cut")).alias("x"), (-F.col("completeness_cut")).alias("y"))
+    return rated.agg(F.max_by(F.struct(*rated.columns), order).alias("b")).select("b.*").where("presence_cut is not null")
+
+
+def cross_validated_cutpoints(rows: DataFrame, folds: DataFrame, task: str, n_folds: int, score: str = "ordinal_score") -> DataFrame:
+    """Every row with the label that cuts fitted to the other folds give it: one small fit per fold."""
+    z, out = rows.join(folds, task), None
+    for f in range(n_folds):
+        cuts = fit_cutpoints(z.where(F.col("fold") != f), score).select("low", "high")
+        part = z.where(F.col("fold") == f).crossJoin(F.broadcast(cuts)).withColumn("calibrated", S.label_by_cutpoints(F.col(score), F.col("low"), F.col("high")))  # one row
+        out = part if out is None else out.unionByName(part)
+    return out.drop("low", "high")
+
+
+def observation_weights(rows: DataFrame, item: str) -> DataFrame:
+    """Each of an item's observations weighs one over their number."""
+    return rows.withColumn("weight", 1 / F.count("*").over(Window.partitionBy(item)))
+
+
+def one_hot(rows: DataFrame, column: str, values: list[str], prefix: str) -> DataFrame:
+    return rows.withColumns({f"{prefix}{v}": (F.col(column).eqNullSafe(F.lit(v))).cast("double") for v in values})

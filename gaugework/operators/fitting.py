@@ -105,6 +105,17 @@ def tree_column(tree: dict, features: list[str]) -> Column:
     return F.when(F.col(features[tree["feature"]]) <= tree["cut"], tree_column(tree["left"], features)).otherwise(tree_column(tree["right"], features))
 
 
+def poisson_weight(unit: Column, draw: Column, seed: int) -> Column:
+    """A Poisson(1) number from a hash of (unit, draw, seed)."""
+    u = F.shiftrightunsigned(F.xxhash64(unit, draw, F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
+    weight, total, term = F.lit(0), 0.0, float(np.exp(-1.0))
+    for k in range(12):  # the cumulative probabilities up to 1 - 1e-9
+        total += term
+        term /= k + 1
+        weight = weight + (u >= total).cast("int")
+    return weight
+
+
 def bootstrap_mean(rows: DataFrame, by: list[str], unit: str, value: str, draws: int = 1000, seed: int = 44) -> DataFrame:
     """by..., n_units, mean, low, high: percentile interval of the mean over resampled units.
 
@@ -113,11 +124,7 @@ def bootstrap_mean(rows: DataFrame, by: list[str], unit: str, value: str, draws:
     """
     units = rows.where(F.col(value).isNotNull()).groupBy(*by, unit).agg(F.sum(value).alias("_v"), F.count("*").alias("_c"))
     drawn = units.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(unit), F.col("_d"), F.lit(seed)), 11)).cast("double") / F.lit(float(1 << 53))
-    weight, total = F.lit(0), 0.0
-    for k in range(12):  # the cumulative Poisson(1) probabilities up to 1 - 1e-9
-        total += float(np.exp(-1.0)) / float(np.prod(np.arange(1, k + 1))) if k else float(np.exp(-1.0))
-        weight = weight + (u >= total).cast("int")
+    weight = poisson_weight(F.col(unit), F.col("_d"), seed)
     sums = drawn.withColumn("_w", weight).groupBy(*by, "_d").agg((F.sum(F.col("_v") * F.col("_w")) / F.nullif(F.sum(F.col("_c") * F.col("_w")), F.lit(0))).alias("_m"))
     ends = sums.groupBy(*by).agg(F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high"))
     means = units.groupBy(*by).agg(F.count("*").alias("n_units"), (F.sum("_v") / F.sum("_c")).alias("mean"))
@@ -144,3 +151,47 @@ def novelty(rows: DataFrame, item: str, features: list[str], training: Column) -
     far = z.select(item, F.sqrt(sum(parts, F.lit(0.0))).alias("distance"))
     ends = far.agg(F.min("distance").alias("_lo"), F.max("distance").alias("_hi"))
     return far.crossJoin(F.broadcast(ends)).select(item, "distance", F.when(F.col("_hi") > F.col("_lo"), (F.col("distance") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0).alias("novelty"))
+
+
+def bootstrap_metric(pairs: DataFrame, by: list[str], unit: str, metric, x: str = "human", y: str = "judge_raw", draws: int = 200, seed: int = 0) -> DataFrame:
+    """by..., low, high: percentile interval of an agreement metric (a function of counted cells) over resampled units.
+
+    As in bootstrap_mean(), units get Poisson weights by hash; a draw is one more grouping key of the cells.
+    """
+    drawn = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    cells = drawn.withColumn("_w", poisson_weight(F.col(unit), F.col("_d"), seed)).where("_w > 0").groupBy(*by, "_d", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.sum("_w").alias("c"))
+    each = metric(cells, [*by, "_d"])
+    value = [c for c in each.columns if c not in (*by, "_d")][0]
+    return each.groupBy(*by).agg(F.count(value).alias("n_draws"), F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
+
+
+def bayesian_line(rows: DataFrame, by: list[str], x: str, y: str, steps: int = 300, tolerance: float = 1e-3) -> DataFrame:
+    """by..., n, intercept, slope, noise_std: a line whose slope's prior and noise are set by evidence maximisation.
+
+    Only a group's sums enter the fit, so its rows are aggregated first.
+    """
+    share_package(rows.sparkSession)
+    z = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    sums = z.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"), F.var_pop("_x").alias("vx"), F.var_pop("_y").alias("vy"), F.covar_pop("_x", "_y").alias("cxy"))
+
+    def fit(batches):
+        for part in batches:
+            out = []
+            for row in part.itertuples(index=False):
+                r = row._asdict()
+                n, sxx, sxy, syy = r["n"], r["n"] * r["vx"], r["n"] * r["cxy"], r["n"] * r["vy"]
+                noise, prior, slope = 1 / (r["vy"] + 1e-10), 1.0, 0.0
+                for _ in range(steps):
+                    spread = prior + noise * sxx
+                    new = noise * sxy / spread
+                    used = noise * sxx / spread
+                    rest = max(0.0, syy - 2 * new * sxy + new * new * sxx)
+                    prior = (used + 2e-6) / (new * new + 2e-6)
+                    noise = (n - used + 2e-6) / (rest + 2e-6)
+                    moved, slope = abs(new - slope), new
+                    if moved < tolerance:
+                        break
+                out.append((*(r[c] for c in by), n, r["my"] - slope * r["mx"], slope, noise**-0.5))
+            yield pd.DataFrame(out, columns=[*by, "n", "intercept", "slope", "noise_std"])
+
+    return sums.mapInPandas(fit, f"{_kinds(sums, by)}n long, intercept double, slope double, noise_std double")

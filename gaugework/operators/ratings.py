@@ -81,3 +81,49 @@ def missing_reasons(items: DataFrame, human: DataFrame, judge: DataFrame, dimens
     first = lost.withColumn("i", F.row_number().over(Window.partitionBy("dimension", "reason").orderBy("item_id"))).where(F.col("i") <= examples)
     first = first.groupBy("dimension", "reason").agg(F.array_sort(F.collect_list("item_id")).alias("examples"))
     return lost.groupBy("dimension", "reason").agg(F.count("*").alias("n")).join(first, ["dimension", "reason"])
+
+
+def signal_for_dimension(results: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """(item_id, metric_id, position, parsed boolean, score) -> the judge value of each dimension.
+
+    crosswalk: dimension, metric_id, custom boolean.  A built-in metric that was parsed shadows custom ones, also where
+    its score is NULL; among custom ones the first by position stands.
+    """
+    met = results.join(F.broadcast(crosswalk), "metric_id").where(F.col("custom") | F.col("parsed"))  # one row per metric and dimension
+    return met.groupBy("item_id", "dimension").agg(F.min_by("score", F.struct("custom", "position")).alias("judge_raw"))
+
+
+def disagreement_profile(ratings: DataFrame, by: list[str], score: str = "score") -> DataFrame:
+    """n, range, median, mode (NULL on a tie), pairwise disagreement 1 - sum c(c-1) / (n(n-1)), polarized (range of 2 or more)."""
+    counts = ratings.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("c"))
+    top = counts.groupBy(*by).agg(F.max("c").alias("_top"))
+    sums = counts.join(top, by).groupBy(*by).agg(
+        F.sum("c").alias("n"), (F.max(score) - F.min(score)).alias("range"), F.count_if(F.col("c") == F.col("_top")).alias("_modes"), F.max(F.when(F.col("c") == F.col("_top"), F.col(score))).alias("_mode"), F.sum(F.expr("c * (c - 1)")).alias("_same")
+    )
+    medians = ratings.where(F.col(score).isNotNull()).groupBy(*by).agg(F.median(score).alias("median"))
+    n = F.col("n")
+    return sums.join(medians, by).select(
+        *by, "n", "range", "median", F.when(F.col("_modes") == 1, F.col("_mode")).alias("mode"), F.when(n > 1, 1 - F.col("_same") / (n * (n - 1))).alias("disagreement"), (F.col("range") >= 2).alias("polarized")
+    )
+
+
+def weighted_human(rows: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
+    """Sum of value times weight over the weights; NULL without weight."""
+    usable = F.when(F.col(value).isNotNull() & (F.col(weight) > 0), F.col(weight))
+    return rows.groupBy(*by).agg((F.sum(F.col(value) * usable) / F.sum(usable)).alias("anchor"), F.sum(usable).alias("total_weight"))
+
+
+def block_scores(rows: DataFrame, by: list[str], value: str, penalty: float = 0.25) -> DataFrame:
+    """Mean less a share of the range."""
+    return rows.groupBy(*by).agg((F.avg(value) - penalty * (F.max(value) - F.min(value))).alias("block_score"))
+
+
+def filter_items(items: DataFrame, use_cases: list[str] | None = None, pattern: str | None = None) -> DataFrame:
+    if use_cases:
+        items = items.where(F.col("use_case").isin(use_cases))
+    return items.where(F.col("item_id").rlike(pattern)) if pattern else items
+
+
+def missing_files(expected: DataFrame, listing: DataFrame, path: str = "path") -> DataFrame:
+    """Expected rows whose file is not there or is empty."""
+    return expected.join(listing.where("bytes > 0").select(path), path, "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.vectors import cosine
+from gaugework.workers import checkpoints
 
 #: Node tables are trees of prompts: at most this many rows are broadcast; beyond it the join is cut into blocks.
 MOST_NODES = 10_000
@@ -67,6 +68,7 @@ def complete_links(members: DataFrame, group: str, vector: str = "embedding") ->
 
 def greedy_matching(pairs: DataFrame, rounds: int = 64) -> DataFrame:
     """A maximal matching by (similarity desc, ids): each round takes the pairs that are the best of both their ends."""
+    checkpoints(pairs.sparkSession)
     left, out = pairs.select("left_id", "right_id", "similarity"), None
     order = F.struct(F.col("similarity"), -F.col("left_id"), -F.col("right_id"))
     for _ in range(rounds):
@@ -102,3 +104,23 @@ def backoff(rows: DataFrame, rules: DataFrame, keys: list[Column], default: str,
     for i in reversed(range(len(keys))):
         level = F.when(actions[i].isNotNull(), F.lit(i)).otherwise(level)
     return found.withColumns({"action": F.coalesce(*actions, F.lit(default)), "rule_level": level}).drop(*(f"_a{i}" for i in range(len(keys))))
+
+
+def route_tree(items: DataFrame, nodes: DataFrame, depth: int, item: str = "item_id", vector: str = "embedding") -> DataFrame:
+    """Descent from the most similar root to the most similar eligible child, level by level: item, node_id, similarity, steps.
+
+    nodes: node_id, parent_id (NULL: a root), centroid, threshold; a child is eligible from its threshold on.  Items
+    meet only the children of the node that they have reached; a node has few children.
+    """
+    child = nodes.select(F.col("parent_id").alias("_parent"), F.col("node_id").alias("_id"), F.col("centroid").alias("_v"), F.col("threshold").alias("_t"))
+    roots = nodes.where("parent_id is null").select("node_id", "centroid")
+    at = nearest_node(items.select(item, vector), roots).withColumn("steps", F.lit(0))
+    for step in range(1, depth + 1):
+        similar = cosine(F.col(vector), F.col("_v"))
+        met = at.join(child, F.col("node_id") == F.col("_parent")).withColumn("_s", similar).where(F.col("_s") >= F.col("_t"))
+        best = met.groupBy(item).agg(F.max(F.struct("_s", "_id")).alias("_b"))
+        moved = at.join(best, item, "left")
+        at = moved.select(
+            item, vector, F.coalesce("_b._id", "node_id").alias("node_id"), F.coalesce("_b._s", "similarity").alias("similarity"), F.when(F.col("_b").isNotNull(), F.lit(step)).otherwise(F.col("steps")).alias("steps")
+        )
+    return at.drop(vector)

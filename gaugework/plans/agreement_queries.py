@@ -295,3 +295,43 @@ def varying_features(spark, sf):
 @query(W("judges") + "SELECT item_id, CASE WHEN v < 0.3 THEN 'poor' WHEN v < 0.6 THEN 'fair' WHEN v < 0.72 THEN 'good' ELSE 'strong' END AS band FROM (SELECT item_id, judge_raw / 6 AS v FROM judges)", "", "item_id band")
 def correlation_bands(spark, sf):
     return T.judges(spark, sf).select("item_id", S.correlation_band(F.col("judge_raw") / 6).alias("band"))
+
+
+@query(
+    W("ratings") + """, c AS (SELECT item_id, score, count(*) AS c FROM ratings GROUP BY 1, 2), t AS (SELECT *, max(c) OVER (PARTITION BY item_id) AS m FROM c),
+    s AS (SELECT item_id, sum(c) AS n, max(score) - min(score) AS range, CASE WHEN count(*) FILTER (c = m) = 1 THEN max(score) FILTER (c = m) END AS mode, sum(c * (c - 1)) AS same FROM t GROUP BY 1)
+    SELECT s.item_id, n, range, median, mode, CASE WHEN n > 1 THEN 1 - same / (n * (n - 1)) END AS disagreement, range >= 2 AS polarized FROM s JOIN (SELECT item_id, median(score) AS median FROM ratings GROUP BY 1) m USING (item_id)""",
+    "range median mode disagreement", "item_id n:i polarized",
+)
+def disagreement_profile(spark, sf):
+    return ratings.disagreement_profile(T.ratings(spark, sf), ["item_id"])
+
+
+@query(
+    "SELECT l_partkey AS item_id, sum(l_quantity * l_discount) FILTER (l_discount > 0) / nullif(sum(l_discount) FILTER (l_discount > 0), 0) AS anchor, sum(l_discount) FILTER (l_discount > 0) AS total_weight, avg(l_quantity) - 0.25 * (max(l_quantity) - min(l_quantity)) AS block_score FROM lineitem GROUP BY 1",
+    "anchor total_weight block_score", "item_id",
+)
+def weighted_anchor(spark, sf):
+    li = T.read(spark, sf, "lineitem").select(F.col("l_partkey").alias("item_id"), "l_quantity", "l_discount")
+    return ratings.weighted_human(li, ["item_id"], "l_quantity", "l_discount").join(ratings.block_scores(li, ["item_id"], "l_quantity"), "item_id")
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS item_id, m.metric_id, m.position, o_orderkey % 3 <> 0 AS parsed, CASE WHEN o_orderkey % 5 <> m.position THEN o_totalprice / m.position END AS score FROM orders, (VALUES ('m1', 1), ('own_b', 2), ('own_a', 3)) m(metric_id, position)),
+    x AS (SELECT item_id, c.dimension, score, custom, position FROM r JOIN (VALUES ('pace', 'm1', FALSE), ('pace', 'own_a', TRUE), ('sync', 'own_a', TRUE), ('sync', 'own_b', TRUE)) c(dimension, metric_id, custom) USING (metric_id) WHERE custom OR parsed)
+    SELECT item_id, dimension, judge_raw FROM (SELECT item_id, dimension, score AS judge_raw, row_number() OVER (PARTITION BY item_id, dimension ORDER BY custom, position) AS i FROM x) WHERE i = 1""",
+    "judge_raw", "item_id dimension",
+)
+def signal_for_dimension(spark, sf):
+    o = T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id"), "o_totalprice", (F.col("o_orderkey") % 3 != 0).alias("parsed"))
+    metrics = F.array(*(F.struct(F.lit(m).alias("metric_id"), F.lit(i).alias("position")) for i, m in enumerate(("m1", "own_b", "own_a"), 1)))
+    r = o.withColumn("m", F.explode(metrics)).select("item_id", "m.metric_id", "m.position", "parsed", F.when(F.col("item_id") % 5 != F.col("m.position"), F.col("o_totalprice") / F.col("m.position")).alias("score"))
+    walk = spark.createDataFrame([("pace", "m1", False), ("pace", "own_a", True), ("sync", "own_a", True), ("sync", "own_b", True)], "dimension string, metric_id string, custom boolean")
+    return ratings.signal_for_dimension(r, walk)
+
+
+@query(
+    W("aligned") + "SELECT item_id, dimension, use_case FROM aligned WHERE use_case IN ('1-URGENT', '5-LOW') AND regexp_matches(item_id::VARCHAR, '7$')", "", "item_id dimension use_case"
+)
+def filter_items(spark, sf):
+    return ratings.filter_items(T.aligned(spark, sf).withColumn("item_id", F.col("item_id").cast("string")), ["1-URGENT", "5-LOW"], "7$").select(F.col("item_id").cast("long"), "dimension", "use_case")

@@ -397,3 +397,43 @@ def grouped_folds(spark, sf):
 def novelty(spark, sf):
     p = T.read(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
     return fitting.novelty(p, "item_id", ["a", "b"], F.col("item_id") % 3 != 0)
+
+
+@query(
+    W("classes") + """, s AS (SELECT ordinal_score AS p, second_score AS c, target FROM classes), h AS (SELECT p, c, target, count(*) AS n FROM s GROUP BY ALL),
+    pc AS (SELECT DISTINCT least(100.000001, p + 1e-6) AS gp FROM s UNION SELECT 0.0 UNION SELECT 100.000001), cc AS (SELECT DISTINCT least(100.000001, c + 1e-6) AS gc FROM s UNION SELECT 0.0 UNION SELECT 100.000001),
+    l AS (SELECT gp, gc, target, CASE WHEN p < gp THEN 'no' WHEN c < gc THEN 'partial' ELSE 'yes' END AS y, sum(n) AS n FROM pc, cc, h GROUP BY ALL),
+    m AS (SELECT gp, gc, sum(n) AS n, coalesce(sum(n) FILTER (target = y), 0) / sum(n) AS accuracy, """
+    + ", ".join(f"sum(n) FILTER (target = '{x}' AND y = '{x}') AS tp_{x}, sum(n) FILTER (target = '{x}') AS t_{x}, sum(n) FILTER (y = '{x}') AS p_{x}" for x in S.LABELS)
+    + " FROM l GROUP BY 1, 2), f AS (SELECT *, " + ", ".join(f"CASE WHEN t_{x} > 0 AND p_{x} > 0 THEN 2 * coalesce(tp_{x}, 0) / (t_{x} + p_{x}) END AS f_{x}" for x in S.LABELS)
+    + """ FROM m) SELECT gp AS presence_cut, gc AS completeness_cut, """ + " AND ".join(f"(t_{x} IS NULL OR coalesce(tp_{x}, 0) / t_{x} + 1e-12 >= 0.1)" for x in S.LABELS)
+    + """ AS kept, (coalesce(f_no, 0) + coalesce(f_partial, 0) + coalesce(f_yes, 0)) / ((f_no IS NOT NULL)::INT + (f_partial IS NOT NULL)::INT + (f_yes IS NOT NULL)::INT) AS macro_f1, coalesce(f_partial, 0) AS partial_f1, accuracy FROM f
+    ORDER BY kept DESC, round(macro_f1, 12) DESC, round(partial_f1, 12) DESC, round(accuracy, 12) DESC, -abs(gp - 50) - abs(gc - 90) DESC, gp, gc LIMIT 1""",
+    "presence_cut completeness_cut macro_f1 partial_f1 accuracy", "kept",
+)
+def gate_fit(spark, sf):
+    return calibration.fit_gates(T.classes(spark, sf), "ordinal_score", "second_score")
+
+
+@query()
+def cutpoint_cross_validation(spark, sf):
+    c = T.classes(spark, sf)
+    return calibration.cross_validated_cutpoints(c, fitting.grouped_folds(c, "task_uid", 3), "task_uid", 3).select("item_id", "fold", "calibrated")
+
+
+@query()
+def bootstrap_spearman(spark, sf):
+    from gaugework.operators import agreement
+
+    return fitting.bootstrap_metric(T.aligned(spark, sf), ["dimension"], "item_id", agreement.spearman, draws=50)
+
+
+@query()
+def unit_lines(spark, sf):
+    z = T.units(spark, sf).where("valid")
+    return fitting.bayesian_line(z, ["rubric_id"], "score", "duration_seconds")
+
+
+@query(W("classes") + "SELECT item_id, 1.0 / count(*) OVER (PARTITION BY task_uid) AS weight, (lang = 'en')::INT::DOUBLE AS is_en, (lang = 'de')::INT::DOUBLE AS is_de FROM classes", "weight is_en is_de", "item_id")
+def observation_weights(spark, sf):
+    return calibration.one_hot(calibration.observation_weights(T.classes(spark, sf), "task_uid"), "lang", ["en", "de"], "is_").select("item_id", "weight", "is_en", "is_de")

@@ -296,3 +296,21 @@ def snapshot_report(spark, sf):
 def fake_judge(spark, sf):
     b = T.read(spark, sf, "benchmark")
     return judging.judge(b, "item_id", "Rate from 1 to 5: {text}", {"text": "text"}, judging.HashEngine).select("item_id", "judge_raw", "valid")
+
+
+@query()
+def route_tree(spark, sf):
+    e = T.read(spark, sf, "embeddings").withColumn("half", F.col("label") % 2)
+    roots = routing.centroids(e, ["half"], "embedding").select((F.col("half") + 100).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), "centroid", F.lit(0.0).alias("threshold"))
+    leaves = routing.centroids(e, ["label"], "embedding").select(F.col("label").cast("long").alias("node_id"), (F.col("label") % 2 + 100).cast("long").alias("parent_id"), "centroid", F.lit(0.1).alias("threshold"))
+    return routing.route_tree(e.select(F.col("vec_id").alias("item_id"), "embedding"), roots.unionByName(leaves), 2)
+
+
+@query(
+    "SELECT p_partkey, greatest(0.1, len(list_intersect(a, b)) / len(b)) AS importance, CASE WHEN p_size % 3 = 0 THEN 0.0 WHEN p_size % 3 = 1 THEN 0.5 ELSE -0.5 END AS answer FROM (SELECT *, [p_size % 4, p_size % 5] AS a, [0, 1, 2] AS b FROM part)", "importance answer", "p_partkey"
+)
+def concept_importance(spark, sf):
+    p = T.read(spark, sf, "part")
+    a, b = F.array(F.col("p_size") % 4, F.col("p_size") % 5), F.array(F.lit(0), F.lit(1), F.lit(2))
+    said = F.when(F.col("p_size") % 3 == 1, "yes").when(F.col("p_size") % 3 == 2, "no")
+    return p.select("p_partkey", S.overlap_importance(a, b).alias("importance"), S.oriented_answer(said, F.lit(0.5), F.lit("yes")).alias("answer"))

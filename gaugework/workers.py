@@ -15,3 +15,11 @@ def share_package(spark: SparkSession) -> None:
     found = env.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in found:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, *found]))
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """checkpoint() writes to spark.checkpoint.dir; a folder of its own only where that is unset (tests)."""
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gaugework-"))

@@ -216,3 +216,25 @@ def test_judges_validate_and_survive_failures(spark):
     assert got["fence"]["judge_raw"] == 4.0 and got["fence"]["valid"]
     assert got["high"]["flags"] == ["out_of_range"] and got["bool"]["flags"] == ["no_score", "empty_rationale"] and got["prose"]["flags"] == ["not_json"]
     assert got["boom"]["judge_raw"] is None and "RuntimeError" in got["boom"]["error"]
+
+
+def test_route_tree_descends_while_children_qualify(spark):
+    nodes = [(1, None, [1.0, 0.0], 0.0), (2, None, [0.0, 1.0], 0.0), (3, 1, [1.0, 0.2], 0.9), (4, 3, [1.0, 0.3], 0.999), (5, 2, [0.5, 1.0], 0.99)]
+    items = [(10, [1.0, 0.3]), (11, [1.0, 0.1]), (12, [-0.1, 1.0])]
+    got = routing.route_tree(spark.createDataFrame(items, "item_id long, embedding array<double>"), spark.createDataFrame(nodes, "node_id long, parent_id long, centroid array<double>, threshold double"), 3)
+    assert {r["item_id"]: (r["node_id"], r["steps"]) for r in got.collect()} == {10: (4, 2), 11: (3, 1), 12: (2, 0)}
+
+
+def test_bayesian_line_follows_clear_data_and_shrinks_noise(spark):
+    rng = random.Random(7)
+    rows = [("clear", float(x), 1 + 0.5 * x) for x in range(1, 6) for _ in range(20)] + [("noise", float(rng.randrange(1, 6)), rng.gauss(3, 1)) for _ in range(30)]
+    got = {r["g"]: r for r in fitting.bayesian_line(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()}
+    assert got["clear"]["slope"] == pytest.approx(0.5, abs=1e-3) and got["clear"]["intercept"] == pytest.approx(1, abs=1e-2)
+    assert abs(got["noise"]["slope"]) < 0.25 and got["noise"]["noise_std"] == pytest.approx(1, abs=0.4)
+
+
+def test_cross_validated_cutpoints_use_other_folds(spark):
+    rows = spark.createDataFrame([(i, i % 6, ("no", "partial", "yes")[i % 3], (20.0, 50.0, 90.0)[i % 3] + i % 5) for i in range(60)], "item_id long, task long, target string, ordinal_score double")
+    folds = fitting.grouped_folds(rows, "task", 2)
+    got = calibration.cross_validated_cutpoints(rows, folds, "task", 2)
+    assert got.count() == 60 and got.where("calibrated <> target").count() == 0
