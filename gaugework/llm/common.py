@@ -16,8 +16,15 @@ from pyspark.sql import functions as F
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Bytes of an Arrow batch that goes to a Python worker: many short rows or a few very long ones.
+ARROW_BYTES = 6 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the driver's path is visible to them."""
+    """Lets Python workers import this package where the driver's path is visible to them, and bounds their batches."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(bound).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(bound, str(ARROW_BYTES))
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, env.get("PYTHONPATH", "")]))

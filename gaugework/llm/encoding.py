@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Entries that a worker keeps; beyond them it starts anew.
-MOST_WORDS = 600_000
+MOST_WORDS = 150_000
 _PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 # The pattern of byte-level BPE files, and that of the files that drop white space.

@@ -6,12 +6,12 @@ So an insult still matches with inserted or lost letters.  Symbols inside a word
 letters in a row are read as one word.  A sentence is as toxic as its worst word.
 
 Training runs in one task over a bounded sample (at most MOST_TOXIC and MOST_CLEAN labelled rows in the order
-of a hash, and MOST_BYTES of whole texts).  Four-letter runs that tell toxic from clean documents name the
+of a hash, and MOST_BYTES of whole texts).  Five-letter runs that tell toxic from clean documents name the
 landmark words; some frequent words join them.  The SVM on the Nystroem features learns from sentences,
-which carry their document's label: in a toxic sentence the worst word is the witness, in a clean one
-every word is innocent.  As a toxic document also has clean sentences, sentences and witnesses are
-chosen anew by the machine a few times.  A logistic function of a document's highest sentence margins, fitted
-on rows the SVM did not see and weighted to the labels' own proportion, gives the score.
+which carry their document's label: words with such runs that hardly any clean sentence has are the
+witnesses of toxic sentences, all words of clean ones are innocent.  A logistic function of a document's
+highest sentence margins and of how many words lie beyond the margin, fitted on rows the SVM did not see and
+weighted to the labels' own proportion, gives the score; the same rows choose how telling a run must be.
 
 Scoring: the SVM's decision is linear in a word's subsequence weights, so landmarks and machine fold
 into one table of fixed size.  A word costs a few look-ups for each letter, once for each distinct word
@@ -37,21 +37,26 @@ from pyspark.sql import functions as F
 from gaugework.llm import common, word_hash
 
 #: The bound of the training sample: rows of each class, and bytes of their whole texts.
-MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 800, 900, 5_000_000
-LANDMARKS, FREQUENT, PER_RUN = 128, 32, 2
+MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 700, 800, 4_000_000
+LANDMARKS, FREQUENT, PER_RUN, RUN = 128, 32, 2, 5
 #: A telling run is in so many toxic documents, and so many times as often in them as in clean ones.
 LEAST_TOXIC, LEAST_ODDS = 3, 4.0
+#: Levels of a telling run's excess; the one with the least loss on the rows that calibrate is taken.
+EXCESSES = (3.0, 4.0, 6.0)
 SPAN, DECAY = 6, 0.7
 # Places of a subsequence's other letters after its first, and weights relative to one without gaps.
 _GAPS = [(i, j, k) for k in range(3, SPAN) for j in range(2, k) for i in range(1, j)]
 _WEIGHT = {k: DECAY ** (k - 3) for k in range(3, SPAN)}
 #: Subsequences are hashed to so many bits.
 BITS = 20
+FEATURES = 6
+#: Least width by which a feature is scaled: what hardly varies in training must not decide.
+NARROW = np.array([0.2, 0.2, 0.2, 0.3, 0.2, 0.005])
 CHUNK_BYTES = 3_000_000
 THRESHOLD = 0.3
 
 # Letters as six bits: a-z, the low bits of bytes beyond ASCII (in which case folds), digits, the word's ends.
-_CODE = np.zeros(256, dtype=np.int64)
+_CODE = np.zeros(256, dtype=np.uint8)
 _CODE[65:91] = _CODE[97:123] = np.arange(1, 27)
 _CODE[128:256] = 27 + (np.arange(128, 256) & 31)
 _CODE[48:58] = 59
@@ -71,11 +76,12 @@ class Words:
 
 
 def read_words(offsets: np.ndarray, data: np.ndarray) -> Words:
-    start, end, text, _ = word_hash.words(offsets, data)
+    start, end, text = word_hash.word_places(offsets, data)
     none = np.zeros(0, dtype=np.int64)
     if not len(start):
         return Words(none, none, none, none, none, none)
-    feeds = np.cumsum(np.concatenate([[0], data == 10]))
+    feeds = np.zeros(len(data) + 1, dtype=np.int32)
+    np.cumsum(data == 10, out=feeds[1:])
     last = data[end - 1]
     stop = (last == 46) | (last == 33) | (last == 63)
     single = end - start == 1
@@ -84,19 +90,23 @@ def read_words(offsets: np.ndarray, data: np.ndarray) -> Words:
     head = np.flatnonzero(~glued)
     group = np.cumsum(~glued) - 1
     # All letters with their word; symbols go.
-    solid = np.concatenate([[0], np.cumsum((end - start))])
-    place = np.arange(solid[-1]) - np.repeat(solid[:-1] - start, end - start)
-    codes, owner = _CODE[data[place]], np.repeat(group, end - start)
+    solid = np.concatenate([[0], np.cumsum(end - start)])
+    place = np.arange(solid[-1], dtype=np.int32) - np.repeat((solid[:-1] - start).astype(np.int32), end - start)
+    codes = _CODE[data[place]]
+    del place
     keep = codes > 0
-    codes, owner = codes[keep].astype(np.int64), owner[keep]
+    owner = np.repeat(group.astype(np.int32), end - start)[keep]
+    codes = codes[keep]
     n = len(head)
     lengths = np.bincount(owner, minlength=n)
     first = np.concatenate([[0], np.cumsum(lengths)])
     # A hash of each word's letters finds the distinct ones.
-    values = (codes.astype(np.uint64) + np.uint64(1)) * word_hash.powers(0x9E3779B97F4A7C15, len(codes))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values)])
+    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.multiply(codes + np.uint64(1), word_hash.powers(0x9E3779B97F4A7C15, len(codes)), out=sums[1:])
+    np.cumsum(sums, out=sums)
     back = word_hash.powers(pow(0x9E3779B97F4A7C15, -1, 1 << 64), len(codes) + 1)
     hashed = word_hash.mix((sums[first[1:]] - sums[first[:-1]]) * back[first[:-1]] + lengths.astype(np.uint64))
+    del sums, back
     _, index, of = np.unique(hashed, return_index=True, return_inverse=True)
     size = lengths[index]
     total = np.concatenate([[0], np.cumsum(size + 2)])
@@ -134,9 +144,10 @@ def word_values(w: Words, table: np.ndarray) -> np.ndarray:
 
 
 def _margins(w: Words, values: np.ndarray, bias: float, n_texts: int) -> np.ndarray:
-    """Per text: its three highest sentence margins (missing ones as no word would have), log of 1 + sentences."""
-    out = np.full((n_texts, 4), bias)
-    out[:, 3] = 0.0
+    """Per text: its three highest sentence margins (missing ones as no word would have), logs of 1 + sentences and
+    of 1 + words beyond the margin, and the share of such words."""
+    out = np.full((n_texts, FEATURES), bias)
+    out[:, 3:] = 0.0
     if len(w.starts):
         f = np.maximum.reduceat(values[w.of], w.starts) + bias
         text = w.text[w.starts]
@@ -145,7 +156,10 @@ def _margins(w: Words, values: np.ndarray, bias: float, n_texts: int) -> np.ndar
         rank = np.arange(len(text)) - np.searchsorted(text, text, side="left")
         for r in range(3):
             out[text[rank == r], r] = f[rank == r]
+        hits = np.bincount(w.text, weights=values[w.of] + bias > 0, minlength=n_texts)
         out[:, 3] = np.log1p(np.bincount(text, minlength=n_texts))
+        out[:, 4] = np.log1p(hits)
+        out[:, 5] = np.minimum(0.1, hits / np.maximum(1, np.bincount(w.text, minlength=n_texts)))
     return out
 
 
@@ -168,18 +182,22 @@ class Model:
 def _hinge(x: np.ndarray, y: np.ndarray, cost: float = 3000.0, steps: int = 25) -> tuple[np.ndarray, float]:
     """A linear SVM with squared hinge loss, classes weighted alike, by Newton steps on its margin rows."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * cost
-    full = np.concatenate([x, np.ones((len(x), 1), dtype=x.dtype)], axis=1)
-    v = np.zeros(full.shape[1])
-    ridge = np.ones(full.shape[1])
+    v = np.zeros(x.shape[1] + 1)
+    ridge = np.ones(len(v))
     ridge[-1] = 1e-6
     active = None
     for _ in range(steps):
-        now = np.flatnonzero(y * (full @ v) < 1)
+        now = np.flatnonzero(y * (x @ v[:-1].astype(np.float32) + v[-1]) < 1)
         if active is not None and np.array_equal(now, active):
             break
-        active, some = now, full[now].astype(np.float64)
-        scaled = some * weight[now, None]
-        v = np.linalg.solve(np.diag(ridge) + 2 * scaled.T @ some, 2 * scaled.T @ y[now])
+        active, gram, right = now, np.diag(ridge), np.zeros(len(v))
+        for lo in range(0, len(now), 8_000):
+            at = now[lo : lo + 8_000]
+            some = np.concatenate([x[at].astype(np.float64), np.ones((len(at), 1))], axis=1)
+            scaled = some * weight[at, None]
+            gram += 2 * scaled.T @ some
+            right += 2 * scaled.T @ y[at]
+        v = np.linalg.solve(gram, right)
     return v[:-1], float(v[-1])
 
 
@@ -197,40 +215,51 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
 
 
 def _excess(toxic: np.ndarray, every: np.ndarray, n_toxic: int, n_docs: int) -> np.ndarray:
-    """How many standard deviations toxic documents have above their share; -10 for what clean documents have too."""
+    """How many standard deviations toxic documents have above their share."""
     share = n_toxic / n_docs
-    odds = (toxic + 0.5) / max(1, n_toxic) / ((every - toxic + 0.5) / max(1, n_docs - n_toxic))
-    excess = (toxic - share * every) / np.sqrt(np.maximum(share * (1 - share) * every * (1 - every / n_docs), 1e-9) + 0.5)
-    return np.where((toxic >= LEAST_TOXIC) & (odds >= LEAST_ODDS), excess, -10.0)
+    return (toxic - share * every) / np.sqrt(np.maximum(share * (1 - share) * every * (1 - every / n_docs), 1e-9) + 0.5)
+
+
+def _odds(toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean: float) -> np.ndarray:
+    return (toxic + 0.5) / max(1, all_toxic) / ((clean + 0.5) / max(1, all_clean))
 
 
 def _runs(w: Words, seen: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct word, run number) of all four-letter runs, and the excess of each run; seen: (word, text) pairs."""
-    n = len(w.codes) - 3
-    at = np.flatnonzero(w.owner[:n] == w.owner[3:])
-    grams = (w.codes[at] << 18) | (w.codes[at + 1] << 12) | (w.codes[at + 2] << 6) | w.codes[at + 3]
+    """(distinct word, run number) of all five-letter runs, and each run's excess (-10 where clean texts use it as well).
+
+    seen: (word, text) pairs.
+    """
+    n = len(w.codes) - RUN + 1
+    at = np.flatnonzero(w.owner[:n] == w.owner[RUN - 1 :])
+    grams = np.zeros(len(at), dtype=np.int64)
+    for i in range(RUN):
+        grams = grams << 6 | w.codes[at + i]
     names, number = np.unique(grams, return_inverse=True)
-    word = w.owner[at]
+    word, m = w.owner[at], len(names)
     ends = np.searchsorted(word, np.arange(len(w.lengths) + 1))
-    toxic, every = np.zeros(len(names)), np.zeros(len(names))
+    once, twice, used = np.zeros((3, 2, m))  # documents with one word that has the run, with two such words, and words; clean and toxic
     for lo in range(0, len(seen), 200_000):  # pairs are ordered by text: a text's pairs may meet a cut once
         some = seen[lo : lo + 200_000]
         n_runs = ends[some[:, 0] + 1] - ends[some[:, 0]]
         place = np.arange(n_runs.sum()) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs) + np.repeat(ends[some[:, 0]], n_runs)
-        both = np.unique(np.repeat(some[:, 1], n_runs) * len(names) + number[place])
-        text, run = both // len(names), both % len(names)
-        every += np.bincount(run, minlength=len(names))
-        toxic += np.bincount(run, weights=y[text], minlength=len(names))
+        both, times = np.unique(np.repeat(some[:, 1], n_runs) * m + number[place], return_counts=True)
+        label, run = y[both // m], both % m
+        for which in (0, 1):
+            mine = label == which
+            once[which] += np.bincount(run[mine], minlength=m)
+            twice[which] += np.bincount(run[mine & (times > 1)], minlength=m)
+            used[which] += np.bincount(run[mine], weights=times[mine], minlength=m)
     texts = np.unique(seen[:, 1])
-    return word, number, _excess(toxic, every, int(y[texts].sum()), len(texts))
+    n_toxic = int(y[texts].sum())
+    odds = _odds(used[1], used[0], (y[seen[:, 1]] == 1).sum(), (y[seen[:, 1]] == 0).sum())
+    excess = np.maximum(*(_excess(docs[1], docs.sum(axis=0), n_toxic, len(texts)) for docs in (once, twice)))
+    return word, number, np.where((once[1] >= LEAST_TOXIC) & (odds >= LEAST_ODDS), excess, -10.0)
 
 
-def _landmarks(w: Words, seen: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _landmarks(w: Words, runs: tuple, with_toxic: np.ndarray, with_any: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """The landmark words, and for every word the excess of its second most telling run (one may be a coincidence)."""
     n_words = len(w.lengths)
-    word, number, excess = _runs(w, seen, y)
-    with_toxic = np.bincount(seen[:, 0], weights=y[seen[:, 1]], minlength=n_words)
-    with_any = np.bincount(seen[:, 0], minlength=n_words)
+    word, number, excess = runs
     ranked = np.lexsort((-excess[number], word))
     second = np.searchsorted(word[ranked], np.arange(n_words)) + 1
     has = np.bincount(word, minlength=n_words) > 1
@@ -241,10 +270,10 @@ def _landmarks(w: Words, seen: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, n
     ends = np.searchsorted(number[order], np.arange(len(excess) + 1))
     marks: dict[int, None] = {}
     for run in np.argsort(-excess, kind="stable").tolist():
-        if excess[run] <= 4 or len(marks) >= LANDMARKS:
+        if excess[run] <= least or len(marks) >= LANDMARKS:
             break
         having = word[order[ends[run] : ends[run + 1]]]
-        for i in having[told[having] > 4][:PER_RUN].tolist():
+        for i in having[told[having] > least][:PER_RUN].tolist():
             marks[i] = None
     for i in np.argsort(-with_any, kind="stable")[:FREQUENT].tolist():
         marks[i] = None
@@ -283,54 +312,62 @@ def _features(w: Words, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return kernel @ root.astype(np.float32), numbers, marked, root
 
 
-def train(texts: list[str], toxic: list[int], share: float | None = None) -> Model:
-    """Fits the model to some labelled texts, in the order given; share: of toxic rows among all labelled ones."""
-    y = np.array(toxic)
-    empty = np.zeros(1 << BITS, dtype=np.float32)
-    w = read_words(*common.utf8_buffers(pa.array(texts, pa.string())))
-    if len(set(toxic)) < 2 or not len(w.of):
-        found = float(y.mean()) if len(y) else 0.0
-        return Model(empty, 0.0, np.zeros(4), np.ones(4), np.zeros(4), float(np.log(max(found, 1e-13) / max(1 - found, 1e-13))))
-    fit = np.arange(len(y)) % 3 != 2
-    if len(set(y[fit].tolist())) < 2 or len(set(y[~fit].tolist())) < 2:
-        fit = np.ones(len(y), dtype=bool)
+def _machines(w: Words, y: np.ndarray, fit: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+    """SVMs fitted to some of the texts, one for each level of EXCESSES: a table of subsequence weights, and the bias."""
     seen = np.unique(w.text.astype(np.int64) * len(w.lengths) + w.of)
     seen = np.stack([seen % len(w.lengths), seen // len(w.lengths)], axis=1)
     seen = seen[fit[seen[:, 1]]]
-    marks, told = _landmarks(w, seen, y)
-    innocent = np.unique(seen[y[seen[:, 1]] == 0, 0])
-    n_toxic = np.bincount(seen[y[seen[:, 1]] > 0, 0], minlength=len(w.lengths))
-    features, numbers, marked, root = _features(w, marks)
-    of_text = w.text[w.starts]
-    inside, positive = fit[of_text], y[of_text] > 0
-    clean = np.flatnonzero(inside & ~positive)
-    sentence = np.repeat(np.arange(len(w.starts)), np.diff(np.append(w.starts, len(w.of))))
-    guilty = np.zeros(0, dtype=np.int64)
-    for turn in range(2):
-        # The witnesses: words of two toxic documents or more and no clean one that tell more than (nearly) all of the clean sentences.
-        worst = np.maximum.reduceat(told[w.of], w.starts)
-        level = max(4.0 if turn == 0 else 0.0, float(np.quantile(worst[clean], 0.999 if turn == 0 else 0.9999))) if len(clean) else 4.0
-        chosen = inside & positive & (worst > level)
-        found = np.unique(w.of[chosen[sentence] & (told[w.of] > level)])
-        guilty = np.union1d(guilty, np.setdiff1d(found[n_toxic[found] >= 2], innocent))
+    runs = _runs(w, seen, y)
+    n_toxic, n_clean = (np.bincount(seen[y[seen[:, 1]] == label, 0], minlength=len(w.lengths)) for label in (1, 0))
+    odds = _odds(n_toxic, n_clean, (y[seen[:, 1]] == 1).sum(), (y[seen[:, 1]] == 0).sum())
+    for least in EXCESSES:
+        marks, told = _landmarks(w, runs, n_toxic, n_toxic + n_clean, least)
+        # The witnesses: words of sentences in two toxic documents or more that tell much and that clean documents hardly have.
+        guilty = np.flatnonzero((told > least) & (n_toxic >= 2) & (odds >= LEAST_ODDS))
+        innocent = np.setdiff1d(np.flatnonzero(n_clean), guilty)
         if not len(guilty) or not len(innocent):
-            break
+            continue
+        features, numbers, marked, root = _features(w, marks)
         rows = np.concatenate([guilty, innocent])
         u, bias = _hinge(features[rows], np.where(np.arange(len(rows)) < len(guilty), 1.0, -1.0))
-        told = features @ u + bias
-    else:
+        del features
         table = np.zeros(1 << BITS, dtype=np.float32)
         table[numbers] = marked @ (root @ u).astype(np.float32)
+        yield table, bias
+
+
+def _flat(share: float) -> Model:
+    none = np.zeros(FEATURES)
+    return Model(np.zeros(1 << BITS, dtype=np.float32), 0.0, none, none + 1, none, float(np.log(max(share, 1e-13) / max(1 - share, 1e-13))))
+
+
+def train(texts: list[str], toxic: list[int], share: float | None = None) -> Model:
+    """Fits the model to some labelled texts, in the order given; share: of toxic rows among all labelled ones.
+
+    Three quarters fit the machines; the rest calibrates their scores and picks one of them.
+    """
+    y = np.array(toxic, dtype=np.int64)
+    share = share if share is not None else float(y.mean()) if len(y) else 0.0
+    w = read_words(*common.utf8_buffers(pa.array(texts, pa.string())))
+    if len(set(toxic)) < 2 or not len(w.of):
+        return _flat(share)
+    fit = np.arange(len(y)) % 4 != 3
+    held = ~fit
+    if len(set(y[fit].tolist())) < 2 or len(set(y[held].tolist())) < 2:
+        fit = held = np.ones(len(y), dtype=bool)
+    prior = float(y[held].mean())
+    weight = np.where(y[held] > 0, share / prior, (1 - share) / (1 - prior))
+    best, least = _flat(share), np.inf
+    for table, bias in _machines(w, y, fit):
         x = _margins(w, word_values(w, table), bias, len(y))
-        held = ~fit if not fit.all() else fit
-        prior = float(y[held].mean())
-        share = prior if share is None else share
-        weight = np.where(y[held] > 0, share / prior, (1 - share) / (1 - prior))
-        center, width = x[held].mean(axis=0), x[held].std(axis=0) + 1e-6
-        weights, constant = _logistic((x[held] - center) / width, y[held], weight)
-        return Model(table, bias, center, width, weights, constant)
-    found = float(y.mean()) if share is None else share
-    return Model(empty, 0.0, np.zeros(4), np.ones(4), np.zeros(4), float(np.log(max(found, 1e-13) / max(1 - found, 1e-13))))
+        center, width = x[held].mean(axis=0), np.maximum(x[held].std(axis=0), NARROW)
+        z = (x[held] - center) / width
+        weights, constant = _logistic(z, y[held], weight)
+        p = np.clip(1 / (1 + np.exp(-np.clip(z @ weights + constant, -30, 30))), 1e-6, 1 - 1e-6)
+        loss = -(weight * np.where(y[held] > 0, np.log(p), np.log(1 - p))).mean()
+        if loss < least:
+            best, least = Model(table, bias, center, width, weights, constant), loss
+    return best
 
 
 def held_out(doc_id: Column) -> Column:
@@ -359,7 +396,8 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> Model:
     rows = docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id")  # MOST_TOXIC + MOST_CLEAN rows
     sample = rows.select("text", "toxic", order[0].alias("place"), "doc_id").repartition(1).sortWithinPartitions("place", "doc_id", "text")
     share = counts["t"] / counts["n"] if counts["n"] else None
-    return pickle.loads(sample.select("text", "toxic").mapInArrow(lambda it: _fit(it, share), "model binary").first()["model"])
+    fitted = sample.select("text", "toxic").mapInArrow(lambda it: _fit(it, share), "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else train([], [])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

@@ -42,17 +42,17 @@ def powers(base: int, n: int) -> np.ndarray:
         table = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         table[0] = 1
         have = np.multiply.accumulate(table)
-        if n <= 1 << 23:
+        if n <= 1 << 18:  # larger ones are cheap to make again and would stay in every worker
             _powers[key] = have
     return have[:n]
 
 
-def words(offsets: np.ndarray, data: np.ndarray, ends: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word of all texts: start, end (bytes), text number; then the hash."""
+def word_places(offsets: np.ndarray, data: np.ndarray, ends: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word of all texts: start, end (bytes), text number."""
     n = len(data)
     if not n:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, np.zeros(0, dtype=np.uint64)
+        return none, none, none
     solid = ~ends[data]
     begin, finish = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
@@ -62,10 +62,18 @@ def words(offsets: np.ndarray, data: np.ndarray, ends: np.ndarray = _SPACE) -> t
     begin[cuts] = solid[cuts]
     finish[cuts - 1] = solid[cuts - 1]
     start, end = np.flatnonzero(begin), np.flatnonzero(finish) + 1
+    return start, end, np.searchsorted(offsets, start, side="right") - 1
+
+
+def words(offsets: np.ndarray, data: np.ndarray, ends: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_places(), then each word's hash."""
+    start, end, text = word_places(offsets, data, ends)
+    if not len(start):
+        return start, end, text, np.zeros(0, dtype=np.uint64)
+    n = len(data)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * powers(_BASE, n), out=sums[1:])
     hashed = (sums[end] - sums[start]) * powers(_INVERSE, n)[start]
-    text = np.searchsorted(offsets, start, side="right") - 1
     return start, end, text, mix(hashed + (end - start).astype(np.uint64))
 
 
