@@ -2,7 +2,7 @@
 
 A text is cut into sentences (ending at . ! ? or a line feed).  From every sentence the shortest run of
 at least SENTENCES sentences and WORDS words is hashed, forwards and backwards, so that each sentence of a
-long enough repeated passage lies in a run inside the passage.  Runs meet globally by hash; the first
+long enough repeated passage lies in a run inside the passage; a sentence of LONG words is a run of its own.  Runs meet globally by hash; the first
 place of a hash, the least (doc_id, sentence), keeps it.  Sentences covered by any other place go.
 
 A map task knows which of its own places are not first, so it sends one place per hash and batch to
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from gaugework.llm import common, word_hash
 
 _U = np.uint64
-SENTENCES, WORDS = 2, 25
+SENTENCES, WORDS, LONG = 2, 20, 30
 BATCH_BYTES = 6_000_000
+#: Places in a row of those that pass through.
+PIECE = 2_000
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -57,7 +59,8 @@ def _runs(words: np.ndarray) -> np.ndarray:
     first = np.minimum(np.searchsorted(sums, sums[1:] - WORDS, side="right") - 1, at - SENTENCES + 1)
     ahead = np.stack([at, last], axis=1)[last < n]
     behind = np.stack([first, at], axis=1)[(first >= 0) & (sums[1:] >= WORDS)]
-    return np.unique(np.concatenate([ahead, behind]), axis=0)
+    alone = np.stack([at, at], axis=1)[words >= LONG]
+    return np.unique(np.concatenate([ahead, behind, alone]), axis=0)
 
 
 def _places(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -103,8 +106,10 @@ def _send(held: list[np.ndarray], bits: int) -> pa.RecordBatch:
     gone, sent = p[later], p[new]
     ends = np.searchsorted(sent["hash"] >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     rows = [(b, 1, sent[ends[b] : ends[b + 1]].tobytes()) for b in range(1 << bits) if ends[b] < ends[b + 1]]
-    if len(gone):
-        rows.append((int(gone["hash"][0] >> _U(64 - bits)), 0, gone.tobytes()))
+    # What is decided here already only passes through; it is dealt evenly over the buckets.
+    start = int(word_hash.mix(gone["doc"][:1].astype(np.uint64))[0] >> _U(64 - bits)) if len(gone) else 0
+    for i, lo in enumerate(range(0, len(gone), PIECE)):
+        rows.append(((start + i) % (1 << bits), 0, gone[lo : lo + PIECE].tobytes()))
     c = list(zip(*rows)) or [(), (), ()]
     return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary())], names=["bucket", "kind", "places"])
 
