@@ -10,10 +10,12 @@ A document's set is its distinct k-word shingles.  Two documents link when
 2. A set ordered by (frequency, hash) needs only its first n - ceil(percent * n / 100) + 1 entries
    indexed.  Where the unique shingles fill that prefix, the document has no partner at all.
 3. Equal sets become one class.  Index lists hold the classes' prefix entries with position and size.
-4. Each list's least class is its pivot; members are verified against pivots (one row per entry, not per
-   pair).  Linked ones become components, so whole groups of near copies are answered through a pivot.
+4. Each list's least class is its pivot.  A member is verified against the pivot with which it shares most
+   lists, linked ones become components, and so on; the other pivots are asked only where they would still
+   join two components.  So whole groups of near copies are answered through a few pivots.
 5. What is left are pairs in one list but in different components.  Lists are cut into blocks by size and
    position; block pairs that cannot reach the overlap, or that lie in one component, are skipped whole.
+   So are pairs whose parity bits differ in more places than linked sets may differ in shingles.
    A surviving pair's answer is derived from its pivot's: with d = |x - pivot(x)|, the overlap of x and y
    lies in [o(p, y) - |p - x|, o(p, y) + d].  Only pairs that this leaves open are verified themselves.
 
@@ -44,6 +46,8 @@ BATCH_ROWS, BATCH_BYTES = 60_000, 6_000_000
 #: A shingle in so many documents of one batch is sent to its bucket once for the batch.
 SHARED = 64
 _ALL = _U(0xFFFF)
+#: 64-bit words of a set's parity bits: two sets differ in at least as many shingles as their bits do.
+PARITY = 8
 
 
 def _batches(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -187,7 +191,8 @@ def _sets(rows: pa.Table, percent: int) -> pa.Table:
     h, d = h[order], d[order]
     ends = np.searchsorted(d, np.arange(n_docs + 1))
     mixed = word_hash.mix(h + _U(0x51ED2701))
-    sets, heads, one, two = [], [], [], []
+    place = (mixed >> _U(20)).astype(np.int64) % (64 * PARITY)
+    sets, heads, one, two, parity = [], [], [], [], []
     for i in range(n_docs):
         if active[i]:
             x = h[ends[i] : ends[i + 1]]
@@ -195,8 +200,10 @@ def _sets(rows: pa.Table, percent: int) -> pa.Table:
             heads.append(x[: prefix[i] - unique[i]].astype(np.int64))
             one.append(int(np.add.reduce(x).astype(np.int64)))
             two.append(int(np.add.reduce(mixed[ends[i] : ends[i + 1]]).astype(np.int64)))
+            odd = np.bincount(place[ends[i] : ends[i + 1]], minlength=64 * PARITY) & 1
+            parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
         else:
-            for c in (sets, heads, one, two):
+            for c in (sets, heads, one, two, parity):
                 c.append(None)
     return pa.table(
         {
@@ -207,6 +214,7 @@ def _sets(rows: pa.Table, percent: int) -> pa.Table:
             "head": pa.array(heads, pa.list_(pa.int64())),
             "f1": pa.array(one, pa.int64()),
             "f2": pa.array(two, pa.int64()),
+            "parity": pa.array(parity, pa.list_(pa.int64())),
         }
     )
 
@@ -244,7 +252,7 @@ def _needed(n_a, n_b, percent: int):
 
 
 def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), n_unique, and for documents that may have partners members, head, f1, f2."""
+    """doc_id, n (set size), n_unique, and for documents that may have partners members, head, f1, f2, parity."""
     spark = docs.sparkSession
     common.prepare(spark)
     bits = max(6, min(16, math.ceil(math.log2(4 * common.shuffle_partitions(spark)))))
@@ -255,7 +263,7 @@ def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return common.materialize(
         answers.groupBy("batch").applyInArrow(
             lambda rows: _sets(rows, percent),
-            "doc_id long, n long, n_unique long, members binary, head array<long>, f1 long, f2 long",
+            "doc_id long, n long, n_unique long, members binary, head array<long>, f1 long, f2 long, parity array<long>",
         ),
         "ngram-sets",
     )
@@ -278,7 +286,7 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
         posted.join(lists.where("first <> last").select("key", F.col("first").alias("pivot")), "key"), "ngram-index"
     )
     sets = common.materialize(
-        reps.join(index.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "members").dropDuplicates(["doc_id"]),
+        reps.join(index.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "n_unique", "members", "parity").dropDuplicates(["doc_id"]),
         "ngram-verify",
     )
     size = sets.select("doc_id", "n")
@@ -290,14 +298,23 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
 
     link = F.expr(f"100 * overlap >= {percent} * (n_a + n_b - overlap)")
 
-    # Members against pivots.
-    to_pivot = index.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a")).distinct()
+    # Members against pivots: first the pivot with which a document shares most lists, then what still joins two components.
+    to_pivot = index.where("doc_id <> pivot").groupBy(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a")).agg(F.count("*").alias("shared"))
     to_pivot = to_pivot.join(size.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b").where(
         f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     )
-    starred = common.materialize(linked(_verify(to_pivot.select("a", "b"), sets)), "ngram-stars")
+    left, starred, comps = common.materialize(to_pivot.select("a", "b", "shared"), "ngram-pivots"), None, None
+    for last in (False, False, True):
+        nearest = left if last else left.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+        checked = common.materialize(linked(_verify(nearest.select("a", "b"), sets)), "ngram-stars")
+        starred = checked if starred is None else starred.unionByName(checked)
+        comps = common.materialize(connected_components(starred.where(link).select("a", "b"), "ngram-star-components"), "ngram-comps")
+        if not last:
+            one_c = comps.select(F.col("node").alias("a"), F.col("component").alias("c_a"))
+            two_c = comps.select(F.col("node").alias("b"), F.col("component").alias("c_b"))
+            open_pairs = left.join(nearest.select("a", "b"), ["a", "b"], "left_anti").join(one_c, "a", "left").join(two_c, "b", "left")
+            left = common.materialize(open_pairs.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b", "shared"), "ngram-pivots")
     star_edges = starred.where(link).select("a", "b")
-    comps = common.materialize(connected_components(star_edges, "ngram-star-components"), "ngram-comps")
     star = starred.where(link).groupBy("a").agg(F.max_by(F.struct("b", "overlap", "n_a", "n_b"), F.struct("overlap", "b")).alias("s"))
     star = star.select(F.col("a").alias("x"), F.col("s.b").alias("p"), (F.col("s.n_a") - F.col("s.overlap")).alias("x_only"), (F.col("s.n_b") - F.col("s.overlap")).alias("p_only"))
 
@@ -327,14 +344,19 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
         .where("not (a_c0 = a_c1 and b_c0 = b_c1 and a_c0 = b_c0)")
         .select("key", "a_sb", "a_pb", "b_sb", "b_pb")
     )
-    a = placed.select("key", F.col("sb").alias("a_sb"), F.col("pb").alias("a_pb"), F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("component").alias("c_a"))
-    b = placed.select("key", F.col("sb").alias("b_sb"), F.col("pb").alias("b_pb"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("component").alias("c_b"))
+    # Only lists that are still mixed carry the parity bits; a pair whose bits differ too often cannot reach the overlap.
+    bits = sets.select("doc_id", "n_unique", "parity")
+    placed = common.materialize(placed.join(mixed, "key", "left_semi").join(bits, "doc_id"), "ngram-open")
+    a = placed.select("key", F.col("sb").alias("a_sb"), F.col("pb").alias("a_pb"), F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("component").alias("c_a"), F.col("n_unique").alias("u_a"), F.col("parity").alias("x_a"))
+    b = placed.select("key", F.col("sb").alias("b_sb"), F.col("pb").alias("b_pb"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("component").alias("c_b"), F.col("n_unique").alias("u_b"), F.col("parity").alias("x_b"))
+    differ = sum((F.bit_count(F.col("x_a")[i].bitwiseXOR(F.col("x_b")[i])) for i in range(PARITY)), F.col("u_a") + F.col("u_b"))
     rest = (
         a.join(open_blocks, ["key", "a_sb", "a_pb"])
         .join(b, ["key", "b_sb", "b_pb"])
         .where("c_a <> c_b and (n_a < n_b or n_a = n_b and a < b)")
         .where(f"100 * n_a >= {percent} * n_b")
         .where(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= _needed(F.col("n_a"), F.col("n_b"), percent))
+        .where(differ <= F.col("n_a") + F.col("n_b") - 2 * _needed(F.col("n_a"), F.col("n_b"), percent))
         .select("a", "b", "n_a", "n_b")
         .distinct()
     )
