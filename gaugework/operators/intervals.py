@@ -65,12 +65,15 @@ def nearest_matches(times: DataFrame, by: str, tolerance: float) -> DataFrame:
     cut = cut.withColumn("piece", F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     kind = dict(times.dtypes)[by]
 
-    def match(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sides = {s: sorted(rows.loc[rows["side"] == s, "at"].tolist()) for s in ("left", "right")}
-        found = _match(sides["left"], sides["right"], tolerance)
-        return pd.DataFrame([(key[0], *x) for x in found], columns=[by, "left_at", "right_at", "kind", "confidence"])
+    sides = [F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("at")))).alias(side) for side in ("left", "right")]
+    pieces = cut.groupBy(by, "piece").agg(*sides).select(by, "left", "right")  # a piece is one chain of near times
 
-    return cut.select(by, "piece", "side", "at").groupBy(by, "piece").applyInPandas(match, f"{by} {kind}, left_at double, right_at double, kind string, confidence double")
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [(key, *x) for key, left, right in zip(rows[by], rows["left"], rows["right"]) for x in _match(list(left), list(right), tolerance)]
+            yield pd.DataFrame(found, columns=[by, "left_at", "right_at", "kind", "confidence"])
+
+    return pieces.mapInPandas(match, f"{by} {kind}, left_at double, right_at double, kind string, confidence double")
 
 
 def segments(cuts: DataFrame, by: str, most: float, least_gap: float = 3.0) -> DataFrame:
