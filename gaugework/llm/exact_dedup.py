@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from gaugework.llm import common
 
-#: Leading bits by which rows are counted, so the deepest directory; and rows that a bucket may hold.
-MOST_BITS, CAPACITY = 12, 4_000
+#: Leading bits by which rows are counted, so the deepest directory (more with more shuffle partitions, 20 at most);
+#: and rows that a bucket may hold at least.
+MOST_BITS, CAPACITY = 12, 500
 #: Bytes of text that a map task holds while it combines copies.
 COMBINE_BYTES = 24_000_000
 INDEX = "bucket int, hash long, chain int, text_sha256 string, ids array<long>, n long, keep_id long"
@@ -39,30 +40,30 @@ def directory(counts: dict[int, int], capacity: int = CAPACITY, most_bits: int =
     table = np.zeros(1 << most_bits, dtype=np.int64)
     for prefix, n in counts.items():
         table[prefix] = n
-    depth, slots = 0, [(0, 0)]  # per slot: (local depth, the bucket's own leading bits)
-    while True:
-        full = set()
-        for local, bits in set(slots):
-            shift = most_bits - local
-            if local < most_bits and table[bits << shift : (bits + 1) << shift].sum() > capacity:
-                full.add((local, bits))
-        if not full:
-            break
-        if any(local == depth for local, _ in full):
-            slots, depth = [s for s in slots for _ in range(2)], depth + 1
-        for i, (local, bits) in enumerate(slots):
-            if (local, bits) in full and local < depth:
-                slots[i] = (local + 1, bits << 1 | (i >> (depth - local - 1)) & 1)
-    names = {b: i for i, b in enumerate(dict.fromkeys(slots))}
-    return depth, [names[s] for s in slots]
-
-
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within a map task: a text once, with its rows' ids; texts are compared by their bytes."""
+    sums = np.concatenate([[0], np.cumsum(table)])
+    depth, buckets, full = 0, [], [(0, 0)]  # a bucket: (local depth, its own leading bits)
+    while full:
+        local, bits = full.pop()
+        shift = most_bits - local
+        if local < most_bits and sums[(bits + 1) << shift] - sums[bits << shift] > capacity:
+            depth = max(depth, local + 1)  # a bucket that uses all of the directory's bits doubles it
+            full += [(local + 1, bits << 1 | 1), (local + 1, bits << 1)]
+        else:
+            buckets.append((local, bits))
+    slots: list[int] = []
+    for number, (local, _) in enumerate(buckets):  # in the order of their bits
+        slots += [number] * (1 << (depth - local))
+    return depth, slots
+
+
+def _combine(batches: Iterator[pa.RecordBatch], depth: int, slots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Within a map task: a text once, with its bucket and its rows' ids; texts are compared by their bytes."""
     held: dict[tuple[int, bytes], list] = {}
     size = 0
     for rows in batches:
-        for slot, h, doc, text in zip(*(rows.column(i).to_pylist() for i in range(4))):
+        hashes = rows.column(0).to_numpy(zero_copy_only=False)
+        buckets = slots[(hashes.view(np.uint64) >> np.uint64(64 - depth)).astype(np.int64)] if depth else np.zeros(len(hashes), dtype=np.int64)
+        for slot, h, doc, text in zip(buckets.tolist(), hashes.tolist(), rows.column(1).to_pylist(), rows.column(2).to_pylist()):
             ids = held.get((h, text))
             if ids is None:
                 held[h, text] = [slot, doc]
@@ -117,15 +118,15 @@ def build_index(docs: DataFrame, path: str, normalise=None) -> DataFrame:
     common.prepare(spark)
     text: Column = common.text_or_empty() if normalise is None else F.coalesce(normalise(F.col("text")), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.cast("binary").alias("content")).withColumn("hash", F.xxhash64("content"))
-    prefix = F.shiftrightunsigned("hash", 64 - MOST_BITS).cast("int")
-    counts = {r["p"]: r["n"] for r in rows.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}  # at most 2^MOST_BITS rows
-    capacity = max(CAPACITY, sum(counts.values()) // (4 * common.shuffle_partitions(spark)))
-    depth, slots = directory(counts, capacity)
-    slot = F.shiftrightunsigned("hash", 64 - depth).cast("int") if depth else F.lit(0)
-    bucket = F.element_at(F.lit(slots), slot + 1).cast("int")
-    combined = rows.select(bucket.alias("bucket"), "hash", "doc_id", "content").mapInArrow(_combine, "bucket int, hash long, content binary, ids array<long>")
+    n_tasks = common.shuffle_partitions(spark)
+    bits = max(MOST_BITS, min(20, (64 * n_tasks - 1).bit_length()))
+    prefix = F.shiftrightunsigned("hash", 64 - bits).cast("int")
+    counts = {r["p"]: r["n"] for r in rows.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}  # at most 2^20 rows
+    depth, slots = directory(counts, max(CAPACITY, sum(counts.values()) // (16 * n_tasks)), bits)
+    table = np.array(slots, dtype=np.int32)
+    combined = rows.select("hash", "doc_id", "content").mapInArrow(lambda it: _combine(it, depth, table), "bucket int, hash long, content binary, ids array<long>")
     # Owners: a bucket's key range stays in one task, many buckets to a task.
-    owned = combined.repartition(common.shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "hash")
+    owned = combined.repartition(n_tasks, "bucket").sortWithinPartitions("bucket", "hash")
     return common.materialize(owned.mapInArrow(_own, INDEX), "exact-index", path)
 
 
