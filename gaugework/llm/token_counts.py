@@ -64,7 +64,10 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str, limit: int =
     texts = content.join(misses, (content.doc_id.eqNullSafe(misses.doc_id)) & (content.content_digest == misses.content_digest), "left_semi")
     texts = texts.select("content_digest", "content")
     counted = texts.mapInArrow(lambda it: _count(it, model_path), "content_digest binary, n_tokens long")
+    # Rows that repeat with one doc_id are one miss.
+    counted = counted.dropDuplicates(["content_digest"])
     counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
     cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == version)
-    counts = cache.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))  # repeated rows or runs append equals
+    # Repeated runs append equal rows.  Written out, so that a digest with very many documents makes a join that splits.
+    counts = common.materialize(cache.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), "token-known")
     return keys.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
