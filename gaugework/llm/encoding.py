@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Entries that a worker keeps; beyond them it starts anew.
-MOST_WORDS = 150_000
+MOST_WORDS = 400_000
 _PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 # The pattern of byte-level BPE files, and that of the files that drop white space.
@@ -32,6 +32,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
 
 
+class _Known(dict):
+    """Values by word; a word that is asked for first is made then."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str):
+        value = self[word] = self.make(word)
+        return value
+
+
 class IdEncoder:
     """encode(texts) -> little-endian id bytes per text, of `dtype`."""
 
@@ -53,8 +65,7 @@ class IdEncoder:
         if not all(re.fullmatch(r"<\|\w+\|>", x["content"]) for x in spec["added_tokens"]):
             self.kind = "whole"
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = _Known(self._word), _Known(self._piece)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -68,17 +79,10 @@ class IdEncoder:
             word = word[1:] if word[:1] == "\x01" else f" {word}"
         if "<|" in word or not _PLAIN.fullmatch(word):
             return self.whole(word)
-        pieces = self.pieces
-        if len(pieces) > MOST_WORDS:
-            pieces.clear()
+        if len(self.pieces) > MOST_WORDS:
+            self.pieces.clear()
         found = _BYTE_LEVEL.findall(word) if self.kind == "byte" else _WORD_LEVEL.findall(word.lower())
-        out = []
-        for x in found:
-            ids = pieces.get(x)
-            if ids is None:
-                ids = pieces[x] = self._piece(x)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, found))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -93,16 +97,9 @@ class IdEncoder:
             else:
                 out.append(self.whole(text))
                 continue
-            known = self.words
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:
-                if len(known) > MOST_WORDS:
-                    known.clear()
-                for w in words:
-                    if w not in known:
-                        known[w] = self._word(w)
-                out.append(b"".join([known[w] for w in words]))
+            if len(self.words) > MOST_WORDS:
+                self.words.clear()
+            out.append(b"".join(map(self.words.__getitem__, words)))
         return out
 
 
