@@ -1,11 +1,11 @@
-"""Timelines: running cursors, containment, one-to-one nearest matches, segmentation."""
+"""Timelines: running cursors, containment, one-to-one nearest matches, segmentation, trailing cycles."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.workers import share_package
@@ -103,3 +103,48 @@ def segments(cuts: DataFrame, by: str, most: float, least_gap: float = 3.0) -> D
             yield pd.DataFrame(out, columns=[by, "ordinal", "start", "end"])
 
     return cuts.select(by, "duration", "silences", "boundaries").mapInPandas(cut, f"{by} {kind}, ordinal int, start double, end double")
+
+
+#: Prime and base of each of the two hashes of a sequence; 16 ** 10 positions at most.
+_HASHES = ((2147483647, 1103515245), (2147483629, 1664525017))
+
+
+def _power(base: int, prime: int, exponent: Column) -> Column:
+    """base ** exponent mod prime, by tables of the exponent's hexadecimal digits."""
+    out = F.lit(1).cast("long")
+    for k in range(0, 40, 4):
+        table = F.array(*(F.lit(pow(base, d << k, prime)).cast("long") for d in range(16)))
+        digit = F.shiftright(exponent.cast("long"), k).bitwiseAND(F.lit(15))
+        out = out * F.element_at(table, (digit + 1).cast("int")) % prime
+    return out
+
+
+def trailing_cycles(rows: DataFrame, by: str, order: str, score: str, width: int = 4096) -> DataFrame:
+    """by, cycles: whether the last p scores equal the p before them, for some p of at least 2, and are not constant.
+
+    order: whole numbers.  Scores are counted from a group's end; with H(p) a hash of the last p scores, the periods are equal
+    where H(2p) = H(p) + base ** p * H(p), in two 31-bit hashes.  A group is cut into ranges of `width` numbers; the
+    ranges' sums carry the hashes on, so no group meets in one array or one task.
+    """
+    w = Window.partitionBy(by, "_range").orderBy(F.desc(order), F.desc(score))
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    z = rows.select(by, F.col(order), F.col(score), F.floor(F.col(order) / width).cast("long").alias("_range")).withColumn("_j", F.row_number().over(w).cast("long"))
+    z = z.withColumns({"_lo": F.min(score).over(run), "_hi": F.max(score).over(run)})
+    for i, (prime, base) in enumerate(_HASHES):
+        z = z.withColumn(f"_t{i}", F.pmod(F.xxhash64(score, F.lit(i)), F.lit(prime)) * _power(base, prime, F.col("_j")) % prime).withColumn(f"_h{i}", F.sum(f"_t{i}").over(run) % prime)
+    sums = z.groupBy(by, "_range").agg(F.count("*").alias("_n"), F.min("_lo").alias("_l"), F.max("_hi").alias("_g"), *((F.sum(f"_t{i}") % p).alias(f"_s{i}") for i, (p, _) in enumerate(_HASHES)))
+    later = Window.partitionBy(by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+    for i, (prime, base) in enumerate(_HASHES):
+        sums = sums.withColumn(f"_b{i}", _power(base, prime, F.col("_base"))).withColumn(f"_o{i}", F.coalesce(F.sum(F.col(f"_s{i}") * F.col(f"_b{i}") % prime).over(later) % prime, F.lit(0)))
+    held = sums.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), "_base", *(f"_{c}{i}" for i in range(len(_HASHES)) for c in "bo"), F.min("_l").over(later).alias("_l"), F.max("_g").over(later).alias("_g"))
+    whole = z.join(held, F.col(by).eqNullSafe(F.col("_by")) & F.col("_range").eqNullSafe(F.col("_r"))).select(
+        by, (F.col("_base") + F.col("_j")).alias("_p"), (F.least("_lo", "_l") < F.greatest("_hi", "_g")).alias("_mixed"),
+        *(((F.col(f"_o{i}") + F.col(f"_b{i}") * F.col(f"_h{i}")) % p).alias(f"_h{i}") for i, (p, _) in enumerate(_HASHES)),
+    )
+    double = whole.where("_p % 2 = 0").select(by, F.expr("_p div 2").alias("_p"), *(F.col(f"_h{i}").alias(f"_d{i}") for i in range(len(_HASHES))))
+    met = whole.unionByName(double, allowMissingColumns=True).groupBy(by, "_p").agg(*(F.max(c).alias(c) for c in ["_mixed", *(f"_{c}{i}" for i in range(len(_HASHES)) for c in "hd")]))
+    equal = (F.col("_p") >= 2) & F.col("_mixed")
+    for i, (prime, base) in enumerate(_HASHES):
+        equal = equal & (F.col(f"_d{i}") == (F.col(f"_h{i}") + _power(base, prime, F.col("_p")) * F.col(f"_h{i}")) % prime)
+    return met.groupBy(by).agg(F.coalesce(F.max(equal), F.lit(False)).alias("cycles"))

@@ -253,8 +253,13 @@ def resume_anti_join(spark, sf):
     "", "user_id cycles",
 )
 def score_cycles(spark, sf):
-    t = T.timeline(spark, sf).where("event_id % 9 < 2").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("s"))
-    return t.select("user_id", F.coalesce(S.repeats_in_cycle(F.col("s")), F.lit(False)).alias("cycles"))
+    """The rows that the SQL names: 2 of 9; score_cycles_whole has all."""
+    return intervals.trailing_cycles(T.timeline(spark, sf).where("event_id % 9 < 2"), "user_id", "event_id", "event_type")
+
+
+@query()
+def score_cycles_whole(spark, sf):
+    return intervals.trailing_cycles(T.timeline(spark, sf), "user_id", "event_id", "event_type")
 
 
 @query()

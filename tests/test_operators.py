@@ -15,6 +15,7 @@ from gaugework.functions import vectors as V
 from gaugework.operators import agreement as A
 from gaugework.operators import areas, calibration, fitting, intervals, judging, ratings, routing, sampling
 from gaugework.operators import classification as C
+from gaugework.plans import catalog
 
 
 def one(spark, column):
@@ -135,6 +136,34 @@ def test_segments_known_values(spark):
     assert spans["a"] == [(0, 27), (27, 55), (55, 70)] and spans["b"] == [(0, 5), (5, 10)] and spans["c"] == [(0, 30), (30, 60), (60, 65)]
 
 
+def ends_in_cycle(s):
+    return any(s[-p:] == s[-2 * p : -p] and len(set(s[-p:])) > 1 for p in range(2, len(s) // 2 + 1))
+
+
+def test_trailing_cycles_against_brute_force(spark):
+    rng = random.Random(8)
+    groups = {g: rng.choices("ab", k=rng.randrange(1, 9)) for g in range(40)} | {40: ["a"] * 30, 41: list("xab" + "abcab" * 2), 42: list("ab" * 20), 43: list("abc" * 7 + "abd" * 7), 44: [*rng.choices("abc", k=50)] * 2, None: list("abab")}
+    rows = [(g, 3 * i + rng.randrange(3) - 20, x) for g, s in groups.items() for i, x in enumerate(s)]
+    rng.shuffle(rows)
+    table, wanted = spark.createDataFrame(rows, "g long, i long, x string"), {g: ends_in_cycle(s) for g, s in groups.items()}
+    assert len(set(wanted.values())) == 2
+    for width in (7, 4096):
+        assert {r["g"]: r["cycles"] for r in intervals.trailing_cycles(table, "g", "i", "x", width).collect()} == wanted
+
+
+def events_table(spark, folder, rows):
+    """rows: user, event id, minute, type."""
+    e = spark.createDataFrame(rows, "user_id long, event_id long, minute long, event_type string")
+    e.select("user_id", "event_id", F.timestamp_seconds(F.col("minute") * 60).alias("ts"), "event_type", F.lit(1.0).alias("value")).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_score_cycles_whole_sees_all_events(spark, tmp_path):
+    rows = [(1, 9 * i + 5, i, x) for i, x in enumerate(["view", "click"] * 3)] + [(2, i, i, x) for i, x in enumerate(["view", "click", "view", "view", "click", "buy"])]
+    got = {r["user_id"]: r["cycles"] for r in catalog.queries()["score_cycles_whole"](spark, events_table(spark, tmp_path, rows)).collect()}
+    assert got == {1: True, 2: False}
+
+
 def test_area_scores_known_values(spark):
     units = [("i", "r", "shot", 1.0, 5.0, None, True), ("i", "r", "shot", 1.0, 1.0, "critical", True), ("i", "s", "shot", 1.0, None, None, True)]
     got = {r["rubric"]: r for r in areas.rubric_summaries(spark.createDataFrame(units, "item string, rubric string, unit_type string, duration_seconds double, score double, severity string, valid boolean"), ["item", "rubric"]).collect()}
