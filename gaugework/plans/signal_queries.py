@@ -156,7 +156,7 @@ def nearest_tolerance_join(spark, sf):
 
 @query()
 def sequence_segments(spark, sf):
-    first = T.timeline(spark, sf).where("event_id < 20000").groupBy("user_id").agg(F.min("sec").alias("t0"), F.max("sec").alias("t1"))
+    first = T.timeline(spark, sf).groupBy("user_id").agg(F.min("sec").alias("t0"))
     t = T.timeline(spark, sf).join(first, "user_id").withColumn("x", F.col("sec") - F.col("t0"))
     lines = t.groupBy("user_id").agg(
         F.max("x").alias("duration"), F.collect_list(F.when(F.col("event_type") == "purchase", F.col("x"))).alias("silences"), F.collect_list(F.when(F.col("event_type") == "view", F.col("x"))).alias("boundaries")

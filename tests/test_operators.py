@@ -164,6 +164,15 @@ def test_score_cycles_whole_sees_all_events(spark, tmp_path):
     assert got == {1: True, 2: False}
 
 
+def test_sequence_segments_has_users_of_late_ids(spark, tmp_path):
+    day = 24 * 60
+    rows = [(1, 5, 0, "view"), (1, 20_001, 2 * day, "click"), (2, 20_000, day, "view"), (2, 20_003, 2 * day, "purchase"), (2, 20_002, 6 * day, "click")]
+    rows += [(3, 7, 5 * day, "click"), (3, 20_009, 4 * day, "view")]  # the first id is not the first time
+    got = catalog.queries()["sequence_segments"](spark, events_table(spark, tmp_path, rows)).collect()
+    d = 86400.0
+    assert sorted((r["user_id"], r["ordinal"], r["start"], r["end"]) for r in got) == [(1, 0, 0, 2 * d), (2, 0, 0, d), (2, 1, d, 4 * d), (2, 2, 4 * d, 5 * d), (3, 0, 0, d)]
+
+
 def test_area_scores_known_values(spark):
     units = [("i", "r", "shot", 1.0, 5.0, None, True), ("i", "r", "shot", 1.0, 1.0, "critical", True), ("i", "s", "shot", 1.0, None, None, True)]
     got = {r["rubric"]: r for r in areas.rubric_summaries(spark.createDataFrame(units, "item string, rubric string, unit_type string, duration_seconds double, score double, severity string, valid boolean"), ["item", "rubric"]).collect()}
