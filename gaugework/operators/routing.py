@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions.vectors import cosine
-from gaugework.workers import checkpoints
+from gaugework.workers import checkpoints, share_package
 
 #: Node tables are trees of prompts: at most this many rows are broadcast; beyond it the join is cut into blocks.
 MOST_NODES = 10_000
+#: Pairs that one round of greedy_matching scans in one task.
+SCANNED = 1 << 20
 
 
 def centroids(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
@@ -66,22 +71,46 @@ def complete_links(members: DataFrame, group: str, vector: str = "embedding") ->
     return met.groupBy("left_group", "right_group").agg(F.min(cosine(F.col("_a"), F.col("_b"))).alias("similarity"))
 
 
-def greedy_matching(pairs: DataFrame, rounds: int = 64) -> DataFrame:
-    """A maximal matching by (similarity desc, ids): each round takes the pairs that are the best of both their ends."""
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs in order; a node whose listed pairs end before it is matched is open, and so is who meets it from then on."""
+    used, open_ = set(), set()
+    for rows in batches:
+        taken = []
+        for at, (left, right, left_ends, right_ends) in enumerate(zip(rows["left_id"], rows["right_id"], rows["left_ends"], rows["right_ends"])):
+            if left not in used and right not in used:
+                if left in open_ or right in open_:
+                    open_ |= {left, right}
+                else:
+                    used |= {left, right}
+                    taken.append(at)
+            open_ |= {x for x, ends in ((left, left_ends), (right, right_ends)) if ends and x not in used}
+        yield rows.iloc[taken][["left_id", "right_id", "similarity"]]
+
+
+def greedy_matching(pairs: DataFrame, listed: int | None = None) -> DataFrame:
+    """The matching of a scan by (similarity desc, ids) until no pair is left.
+
+    A round scans the best `listed` pairs of every node (None: so many that a round has about SCANNED pairs) and takes
+    those that no unlisted pair can come before; pairs of matched nodes then go.  The first pair is always taken.
+    Pairs without an id or a similarity are no candidates.
+    """
     checkpoints(pairs.sparkSession)
-    left, out = pairs.select("left_id", "right_id", "similarity"), None
-    order = F.struct(F.col("similarity"), -F.col("left_id"), -F.col("right_id"))
-    for _ in range(rounds):
-        ends = left.select(F.col("left_id").alias("id"), order.alias("o")).unionByName(left.select(F.col("right_id").alias("id"), order.alias("o")))
-        best = ends.groupBy("id").agg(F.max("o").alias("o"))
-        one, two = best.select(F.col("id").alias("left_id"), F.col("o").alias("_l")), best.select(F.col("id").alias("right_id"), F.col("o").alias("_r"))
-        taken = left.join(one, "left_id").join(two, "right_id").where((F.col("_l") == order) & (F.col("_r") == order)).select("left_id", "right_id", "similarity").checkpoint()
-        if taken.isEmpty():
-            break
+    share_package(pairs.sparkSession)
+    left, out = pairs.select("left_id", "right_id", "similarity").na.drop().checkpoint(), None
+    kinds, order = dict(left.dtypes), [F.desc("similarity"), F.col("left_id"), F.col("right_id")]
+    while not left.isEmpty():
+        ends = left.withColumn("id", F.col("left_id")).unionByName(left.withColumn("id", F.col("right_id")))
+        most = listed or max(16, SCANNED // ends.select("id").distinct().count())
+        own = Window.partitionBy("id")
+        near = ends.withColumns({"_k": F.row_number().over(own.orderBy(*order)), "_n": F.count("*").over(own)}).where(F.col("_k") <= most)
+        last = (F.col("_k") == most) & (F.col("_n") > most)
+        near = near.groupBy("left_id", "right_id", "similarity").agg(F.max(last & (F.col("id") == F.col("left_id"))).alias("left_ends"), F.max(last & (F.col("id") == F.col("right_id"))).alias("right_ends"))
+        scanned = near.repartition(1).sortWithinPartitions(*order)  # about SCANNED pairs, 16 of a node at least
+        taken = scanned.mapInPandas(_scan, f"left_id {kinds['left_id']}, right_id {kinds['right_id']}, similarity {kinds['similarity']}").checkpoint()
         out = taken if out is None else out.unionByName(taken)
         used = taken.select(F.col("left_id").alias("id")).unionByName(taken.select(F.col("right_id").alias("id")))
         left = left.join(used, left.left_id == used.id, "left_anti").join(used, left.right_id == used.id, "left_anti").checkpoint()
-    return pairs.select("left_id", "right_id", "similarity").limit(0) if out is None else out
+    return left if out is None else out
 
 
 def routing_thresholds(similarities: DataFrame, by: str, margin: float = 0.0, least: float = 0.0, most: float = 1.0) -> DataFrame:

@@ -191,6 +191,25 @@ def test_greedy_matching_against_sorted_scan(spark):
     assert {tuple(r) for r in got.select("left_id", "right_id", "similarity").collect()} == wanted
 
 
+def test_greedy_matching_goes_on_until_no_pair_is_left(spark):
+    equal = [(i, j, 0.5) for i, j in itertools.combinations(range(200), 2)]
+    chain = [(1000 + i, 1001 + i, 0.9 - i / 1000) for i in range(300)]
+    got = routing.greedy_matching(spark.createDataFrame(equal + chain, "left_id long, right_id long, similarity double")).collect()
+    assert {(r["left_id"], r["right_id"]) for r in got} == {(i, i + 1) for i in range(0, 200, 2)} | {(1000 + i, 1001 + i) for i in range(0, 300, 2)} and len(got) == 250
+
+
+def test_greedy_matching_with_short_lists(spark):
+    rng = random.Random(9)
+    pairs = [(i, j, rng.randrange(4) / 4) for i, j in itertools.combinations(range(16), 2) if rng.random() < 0.7]
+    used, wanted = set(), set()
+    for i, j, s in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if i not in used and j not in used:
+            used |= {i, j}
+            wanted.add((i, j, s))
+    got = routing.greedy_matching(spark.createDataFrame(pairs, "left_id long, right_id long, similarity double"), listed=3)
+    assert {tuple(r) for r in got.collect()} == wanted
+
+
 def test_nearest_node_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(routing, "MOST_NODES", 3)
     rng = np.random.default_rng(1)
