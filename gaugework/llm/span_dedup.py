@@ -3,14 +3,14 @@
 A text is cut into sentences (ending at . ! ? or a line feed).  From every sentence the shortest run of
 at least SENTENCES sentences and WORDS words is hashed, forwards and backwards, so that each sentence of a
 long enough repeated passage lies in a run inside the passage; a sentence of LONG words is a run of its own.  Runs meet globally by hash; the first
-place of a hash, the least (doc_id, sentence), keeps it.  Sentences covered by any other place go.
+place of a hash, the least (doc_id, digest of the text, sentence), keeps it.  Sentences covered by any other place go.
 
 A map task knows which of its own places are not first, so it sends one place per hash and batch to
 the hash's bucket: a passage in a third of all documents costs its bucket one entry per batch.
 
 Defined cases: null or empty text has no sentences and stays as it is (null as empty); rows with one
-doc_id share their places, so equal rows of one doc_id keep theirs; a null doc_id is compared as the
-largest and its text is judged like any other; an empty table gives an empty result; other columns are
+doc_id and one text share their places, so equal rows of one doc_id keep theirs; other texts of a doc_id are
+documents of their own; a null doc_id is compared as the largest and its text is judged like any other; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -36,7 +36,7 @@ _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _NO_ID = (1 << 63) - 1
-PLACE = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("a", "<i4"), ("b", "<i4")])
+PLACE = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("a", "<i4"), ("b", "<i4")])
 
 
 def sentences(text: str) -> list[str]:
@@ -66,7 +66,7 @@ def _runs(words: np.ndarray) -> np.ndarray:
 def _places(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for rows in batches:
-        for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+        for doc, text, digest in zip(*(rows.column(i).to_pylist() for i in range(3))):
             if not text:
                 continue
             found, keys, words = sentences(text), [], []
@@ -82,6 +82,7 @@ def _places(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
                 place = np.empty(len(runs), dtype=PLACE)
                 place["hash"] = word_hash.mix((sums[runs[:, 1] + 1] - sums[runs[:, 0]]) * back[runs[:, 0]] + (runs[:, 1] - runs[:, 0]).astype(np.uint64))
                 place["doc"] = _NO_ID if doc is None else doc
+                place["text"] = digest
                 place["a"], place["b"] = runs[:, 0], runs[:, 1]
                 held.append(place)
             size += len(text)
@@ -94,10 +95,10 @@ def _places(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
 
 def _not_first(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places ordered by hash and place, and which are elsewhere than their hash's first."""
-    p = places[np.lexsort((places["a"], places["doc"], places["hash"]))]
+    p = places[np.lexsort((places["a"], places["text"], places["doc"], places["hash"]))]
     new = np.concatenate([[True], p["hash"][1:] != p["hash"][:-1]])
     first = p[np.flatnonzero(new)][np.cumsum(new) - 1]
-    return p, (p["doc"] != first["doc"]) | (p["a"] != first["a"])
+    return p, (p["doc"] != first["doc"]) | (p["text"] != first["text"]) | (p["a"] != first["a"])
 
 
 def _send(held: list[np.ndarray], bits: int) -> pa.RecordBatch:
@@ -123,7 +124,7 @@ def _meet(rows: pa.Table) -> pa.Table:
         p, later = _not_first(np.concatenate(sent))
         gone.append(p[later])
     g = np.concatenate(gone) if gone else np.zeros(0, dtype=PLACE)
-    return pa.table({"gone_id": pa.array(g["doc"].astype(np.int64)), "a": pa.array(g["a"].astype(np.int32)), "b": pa.array(g["b"].astype(np.int32))})
+    return pa.table({"gone_id": pa.array(g["doc"].astype(np.int64)), "gone_text": pa.array(g["text"].astype(np.int64)), "a": pa.array(g["a"].astype(np.int32)), "b": pa.array(g["b"].astype(np.int32))})
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +146,10 @@ def drop_repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.prepare(spark)
     bits = max(6, min(16, (4 * common.shuffle_partitions(spark) - 1).bit_length()))
-    texts = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).withColumn("digest", F.xxhash64("text"))
     places = texts.mapInArrow(lambda it: _places(it, bits), "bucket int, kind int, places binary")
-    gone = places.groupBy("bucket").applyInArrow(_meet, "gone_id long, a int, b int")
+    gone = places.groupBy("bucket").applyInArrow(_meet, "gone_id long, gone_text long, a int, b int")
     # A document's own spans, no more than twice its sentences.
-    spans = gone.groupBy("gone_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    joined = texts.join(spans, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("gone_id"), "left").select("doc_id", "text", "spans")
+    spans = gone.groupBy("gone_id", "gone_text").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    joined = texts.join(spans, (F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("gone_id")) & (F.col("digest") == F.col("gone_text")), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_sentences long, n_removed long, text string")

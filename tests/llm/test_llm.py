@@ -267,6 +267,15 @@ def test_span_dedup(spark):
     assert drop_repeated_spans(table(spark, [])).count() == 0
 
 
+def test_span_dedup_keeps_other_texts_of_an_id(spark):
+    rng = random.Random(3)
+    passage = " ".join(words(rng, 12).capitalize() + "." for _ in range(4))
+    clean = [" ".join(words(rng, 12, 5000).capitalize() + "." for _ in range(6)) for _ in range(3)]
+    rows = [(1, passage), (None, passage + " " + clean[0]), (None, clean[1]), (7, passage + " " + clean[2]), (7, clean[0][:40])]
+    got = {(r["doc_id"], r["n_removed"], r["text"]) for r in drop_repeated_spans(table(spark, rows)).collect()}
+    assert got == {(1, 0, passage), (None, 4, clean[0]), (None, 0, clean[1]), (7, 4, clean[2]), (7, 0, clean[0][:40])}
+
+
 def test_decontamination(spark):
     rng = random.Random(11)
     items = [(i, words(rng, n, 5000)) for i, n in enumerate([5, 8, 16, 20, 40, 60])] + [(90, None), (91, "two words"), (92, "")]
