@@ -381,7 +381,7 @@ def l1_tree_fit(spark, sf):
 @query()
 def bootstrap_interval(spark, sf):
     z = T.classes(spark, sf).withColumn("hit", (F.col("target") == F.coalesce("prediction", F.lit(""))).cast("double"))
-    return fitting.bootstrap_mean(z, ["lang"], "task_uid", "hit", draws=200)
+    return fitting.bootstrap_mean(z, ["lang"], "task_uid", "hit", draws=1000)
 
 
 @query()
@@ -425,7 +425,7 @@ def cutpoint_cross_validation(spark, sf):
 def bootstrap_spearman(spark, sf):
     from gaugework.operators import agreement
 
-    return fitting.bootstrap_metric(T.aligned(spark, sf), ["dimension"], "item_id", agreement.spearman, draws=50)
+    return fitting.bootstrap_metric(T.aligned(spark, sf), ["dimension"], "item_id", agreement.spearman, draws=1000)
 
 
 @query()

@@ -247,6 +247,15 @@ def test_bootstrap_brackets_the_mean(spark):
     assert fitting.bootstrap_mean(rows.repartition(7), ["g"], "unit", "v", draws=300).first()["low"] == pytest.approx(r["low"])
 
 
+def test_bootstrap_queries_take_1000_draws(spark, monkeypatch):
+    asked, whole = {}, {f: getattr(fitting, f) for f in ("bootstrap_mean", "bootstrap_metric")}
+    for f, operator in whole.items():
+        monkeypatch.setattr(fitting, f, lambda *a, f=f, operator=operator, **b: (asked.update({f: b["draws"]}), operator(*a, **b))[1])
+    for name in ("bootstrap_interval", "bootstrap_spearman"):
+        catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert asked == {"bootstrap_mean": 1000, "bootstrap_metric": 1000}
+
+
 def test_folds_keep_tasks_together_and_balance(spark):
     rows = spark.createDataFrame([(t, label) for t in range(60) for label in (("no", "yes") if t % 3 else ("partial",))], "task long, target string")
     folds = fitting.grouped_folds(rows, "task", 3).collect()
