@@ -103,18 +103,24 @@ def compare_draws(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame
 
 
 def label_reliability(ratings: DataFrame, by: list[str] = ()) -> DataFrame:
-    """(item_id, target, votes array<string>): entropy, modal support, share of items whose target is the modal vote."""
-    n = F.size("votes")
-    counts = {x: F.size("votes") - F.size(F.array_remove("votes", x)) for x in S.LABELS}
+    """(item_id, target, label), a row per vote: entropy, modal support, share of items whose target is the modal vote.
+
+    Votes are only counted, so no item's votes are gathered; a null label is no vote.
+    """
+    sums = ratings.where("label is not null").groupBy(*dict.fromkeys([*by, "item_id", "target"])).agg(
+        F.count("*").alias("_n"), (F.min("label") < F.max("label")).alias("_mixed"), *(F.count(F.when(F.col("label") == x, 1)).alias(f"_n_{x}") for x in S.LABELS)
+    )
+    n = F.col("_n")
+    counts = {x: F.col(f"_n_{x}") for x in S.LABELS}
     shares = [counts[x] / n for x in S.LABELS]
     modal = F.array_max(F.array(*(F.struct(counts[x].alias("c"), F.lit(-i).alias("o"), F.lit(x).alias("x")) for i, x in enumerate(S.LABELS))))
-    rows = ratings.where(n > 0).select(
+    rows = sums.select(
         *by,
         S.entropy_bits(shares).alias("e"),
         (modal["c"] / n).alias("m"),
         (modal["x"] == F.col("target")).cast("double").alias("hit"),
         sum((p * p for p in shares), F.lit(0.0)).alias("agree"),
-        (F.size(F.array_distinct("votes")) > 1).cast("double").alias("disputed"),
+        F.col("_mixed").cast("double").alias("disputed"),
     )
     return rows.groupBy(*by).agg(
         F.count("*").alias("n"),

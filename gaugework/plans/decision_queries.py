@@ -130,8 +130,7 @@ def draw_comparison(spark, sf):
 )
 def label_reliability(spark, sf):
     # A user's draws stand for an item's votes, one per rater.
-    v = T.draws(spark, sf).where("label is not null").groupBy("item_id", "target").agg(F.collect_list("label").alias("votes"))
-    return C.label_reliability(v, ["target"])
+    return C.label_reliability(T.draws(spark, sf), ["target"])
 
 
 @query(

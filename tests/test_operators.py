@@ -87,6 +87,14 @@ def test_text_and_vector_functions(spark):
     assert one(spark, V.level_threshold(F.lit(9))) == 0.7
 
 
+def test_label_reliability_counts_votes(spark):
+    rows = [(1, "yes", x) for x in ("yes", "yes", "no", None)] + [(2, "no", "yes"), (3, "no", None)]
+    got = C.label_reliability(spark.createDataFrame(rows, "item_id long, target string, label string"))
+    r = got.first()
+    assert r["n"] == 2 and r["modal_match"] == 0.5 and r["disputed_rate"] == 0.5 and r["modal_support"] == pytest.approx((2 / 3 + 1) / 2)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_balanced_quotas_against_dealing(spark):
     rng = random.Random(3)
     for total in (0, 1, 7, 23, 1000):
