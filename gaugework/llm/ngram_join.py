@@ -10,14 +10,19 @@ A document's set is its distinct k-word shingles.  Two documents link when
 2. A set ordered by (frequency, hash) needs only its first n - ceil(percent * n / 100) + 1 entries
    indexed.  Where the unique shingles fill that prefix, the document has no partner at all.
 3. Equal sets become one class.  Index lists hold the classes' prefix entries with position and size.
-4. Each list's least class is its pivot.  A member is verified against the pivot with which it shares most
-   lists, linked ones become components, and so on; the other pivots are asked only where they would still
-   join two components.  So whole groups of near copies are answered through a few pivots.
-5. What is left are pairs in one list but in different components.  Lists are cut into blocks by size and
+4. Each list's pivot is its set with the fewest shingles of its own.  A member is verified against the pivot
+   with which it shares most lists; linked ones become components; the other pivots are asked only where
+   they would still join two components.  So groups of near copies are answered through a few pivots.
+5. Lists that still hold several components are probed: dealt into random cells of CELL entries, every set
+   asks the nearest set of another component in its cells (nearest by parity bits; two sets differ in at
+   least as many shingles as these bits do).  This is linear in the entries and joins all but rare links.
+6. What is left are pairs in one list but in different components.  Lists are cut into blocks by size and
    position; block pairs that cannot reach the overlap, or that lie in one component, are skipped whole.
-   So are pairs whose parity bits differ in more places than linked sets may differ in shingles.
-   A surviving pair's answer is derived from its pivot's: with d = |x - pivot(x)|, the overlap of x and y
-   lies in [o(p, y) - |p - x|, o(p, y) + d].  Only pairs that this leaves open are verified themselves.
+   Of the pairs that sizes, places and parity bits leave, one per pair of components is asked at a time.
+   Its answer is derived from a common pivot's: with d = |x - p|, the overlap of x and y lies in
+   [o(p, y) - |p - x|, o(p, y) + d].  Only pairs that this leaves open are verified themselves.
+Every merge of two components hands on one edge, so edges grow with the documents, not with their pairs.
+Components that do not settle in 40 rounds of stars (a path of far over a million links) raise an error.
 
 Hashes have 48 bits besides the bucket's; a wrong overlap needs a collision inside one pair of sets.
 
@@ -34,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm import common, word_hash
@@ -48,6 +53,8 @@ SHARED = 64
 _ALL = _U(0xFFFF)
 #: 64-bit words of a set's parity bits: two sets differ in at least as many shingles as their bits do.
 PARITY = 8
+#: Entries of a list's random cell, and rounds of probing in cells.
+CELL, PROBES = 128, 2
 
 
 def _batches(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -225,7 +232,7 @@ def _full(p: np.ndarray, bucket: int) -> np.ndarray:
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, a_set, b_set) -> (a, b, overlap), whole sets."""
+    """(a, b, a_set, b_set, n_a, n_b) -> (a, b, overlap, n_a, n_b), whole sets."""
     for rows in batches:
         a_set, b_set = rows.column(2), rows.column(3)
         out = np.zeros(rows.num_rows, dtype=np.int64)
@@ -234,16 +241,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = np.frombuffer(b_set[i].as_buffer(), dtype=np.uint64)
             both = np.sort(np.concatenate([a, b]))
             out[i] = np.count_nonzero(both[1:] == both[:-1])
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out)], names=["a", "b", "overlap"])
-
-
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) -> (a, b, overlap)."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("a_set"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("b_set"))
-    return (
-        pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(_overlaps, "a long, b long, overlap long")
-    )
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out), rows.column(4), rows.column(5)], names=["a", "b", "overlap", "n_a", "n_b"])
 
 
 def _needed(n_a, n_b, percent: int):
@@ -269,115 +267,207 @@ def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     )
 
 
-def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(sets, edges): document_sets(), and edges (a, b) whose components are those of all links."""
-    made = document_sets(docs, k, percent)
-    active = made.where("members is not null")
-    shared = active.where("n_unique = 0")  # only a set without a shingle of its own can have an equal
-    classes = common.materialize(shared.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "ngram-classes")
-    copies = shared.join(classes, ["n", "f1", "f2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    first = shared.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "f1", "f2"], "left_semi")
-    reps = active.where("n_unique > 0").unionByName(first.select(active.columns))
-    posted = reps.select("doc_id", "n", "n_unique", F.posexplode("head").alias("i", "key")).select(
-        "key", "doc_id", "n", (F.col("i") + F.col("n_unique")).alias("pos")
-    )
-    lists = posted.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    index = common.materialize(
-        posted.join(lists.where("first <> last").select("key", F.col("first").alias("pivot")), "key"), "ngram-index"
-    )
-    sets = common.materialize(
-        reps.join(index.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "n_unique", "members", "parity").dropDuplicates(["doc_id"]),
-        "ngram-verify",
+class _Answers:
+    """What is known so far: every set's component, overlaps with pivots, and an edge for each merge of components."""
+
+    def __init__(self, sets: DataFrame, percent: int) -> None:
+        self.sets, self.percent = sets, percent
+        self.comps = sets.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
+        self.star: DataFrame | None = None
+        self.edges: list[DataFrame] = []
+
+    def overlaps(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) -> (a, b, overlap, n_a, n_b)."""
+        left = self.sets.select(F.col("doc_id").alias("a"), F.col("members").alias("a_set"), F.col("n").alias("n_a"))
+        right = self.sets.select(F.col("doc_id").alias("b"), F.col("members").alias("b_set"), F.col("n").alias("n_b"))
+        whole = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set", "n_a", "n_b")
+        return whole.mapInArrow(_overlaps, "a long, b long, overlap long, n_a long, n_b long")
+
+    def link(self) -> Column:
+        return F.expr(f"100 * overlap >= {self.percent} * (n_a + n_b - overlap)")
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose documents are in different components, with c_a and c_b."""
+        one = self.comps.select(F.col("node").alias("a"), F.col("component").alias("c_a"))
+        two = self.comps.select(F.col("node").alias("b"), F.col("component").alias("c_b"))
+        return pairs.drop("c_a", "c_b").join(one, "a").join(two, "b").where("c_a <> c_b")
+
+    def merge(self, linked: DataFrame) -> None:
+        """Takes links (a, b) between components; one edge of each pair of components is kept."""
+        one = self.apart(linked).groupBy(F.least("c_a", "c_b").alias("u"), F.greatest("c_a", "c_b").alias("v")).agg(F.min(F.struct("a", "b")).alias("e"))
+        one = common.materialize(one.select("u", "v", "e.a", "e.b"), "ngram-merges")
+        if one.isEmpty():
+            return
+        self.edges.append(one.select("a", "b"))
+        met = connected_components(one.select(F.col("u").alias("a"), F.col("v").alias("b")), "ngram-merged").select(F.col("node").alias("component"), F.col("component").alias("root"))
+        self.comps = common.materialize(
+            self.comps.join(met, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "ngram-comps"
+        )
+
+    def ask_pivots(self, pairs: DataFrame) -> None:
+        """Verifies pairs (a, b) of a set and a pivot; each set keeps its best pivot's answer."""
+        checked = common.materialize(self.overlaps(pairs), "ngram-stars")
+        best = checked.groupBy(F.col("a").alias("x")).agg(F.max_by(F.struct("b", "overlap", "n_b"), F.struct("overlap", "b")).alias("s"))
+        self.star = best if self.star is None else self.star.unionByName(best.join(self.star, "x", "left_anti"))
+        self.merge(checked.where(self.link()).select("a", "b"))
+
+    def decide(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones of pairs (a, b, n_a, n_b): by the answers of one pivot where both have it, else by their sets.
+
+        With d(x) = |x - p| and o(x) = |x and p|, the overlap of x and y is at least o(y) - |p - x| and at most o(y) + d(x).
+        """
+        side = lambda name, to: self.star.select(F.col("x").alias(to), F.col("s").alias(name))
+        both = pairs.select("a", "b", "n_a", "n_b").join(side("sa", "a"), "a", "left").join(side("sb", "b"), "b", "left")
+        need = _needed(F.col("n_a"), F.col("n_b"), self.percent)
+        low = F.col("sa.overlap") + F.col("sb.overlap") - F.col("sa.n_b")
+        high = F.least(F.col("sb.overlap") + F.col("n_a") - F.col("sa.overlap"), F.col("sa.overlap") + F.col("n_b") - F.col("sb.overlap"))
+        answer = F.when(F.col("sa.b") == F.col("sb.b"), F.when(low >= need, True).when(high < need, False))
+        told = common.materialize(both.select("a", "b", answer.alias("answer")), "ngram-derived")
+        checked = self.overlaps(told.where("answer is null")).where(self.link()).select("a", "b")
+        return told.where("answer").select("a", "b").unionByName(checked)
+
+
+def _pairs(left: DataFrame, on: list[str], percent: int) -> DataFrame:
+    """Pairs of entries that meet in `on`, in different components, whose sizes, places and parity bits allow a link."""
+
+    def side(tag: str) -> list:
+        return [*on, *(F.col(c).alias(f"{c}_{tag}") for c in ("doc_id", "n", "pos", "component", "n_unique", "parity"))]
+
+    need = _needed(F.col("n_a"), F.col("n_b"), percent)
+    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY)), F.col("n_unique_a") + F.col("n_unique_b"))
+    return (
+        left.select(side("a")).join(left.select(side("b")), on)
+        .where("component_a <> component_b and (n_a < n_b or n_a = n_b and doc_id_a < doc_id_b)")
+        .where(f"100 * n_a >= {percent} * n_b")
+        .where(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need)
+        .where(differ <= F.col("n_a") + F.col("n_b") - 2 * need)
+        .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "n_a", "n_b", differ.alias("differ"))
     )
-    size = sets.select("doc_id", "n")
-
-    def linked(checked: DataFrame) -> DataFrame:
-        a = size.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"))
-        b = size.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"))
-        return checked.join(a, "a").join(b, "b")
 
-    link = F.expr(f"100 * overlap >= {percent} * (n_a + n_b - overlap)")
 
-    # Members against pivots: first the pivot with which a document shares most lists, then what still joins two components.
-    to_pivot = index.where("doc_id <> pivot").groupBy(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a")).agg(F.count("*").alias("shared"))
-    to_pivot = to_pivot.join(size.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b").where(
-        f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    )
-    left, starred, comps = common.materialize(to_pivot.select("a", "b", "shared"), "ngram-pivots"), None, None
-    for last in (False, False, True):
-        nearest = left if last else left.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-        checked = common.materialize(linked(_verify(nearest.select("a", "b"), sets)), "ngram-stars")
-        starred = checked if starred is None else starred.unionByName(checked)
-        comps = common.materialize(connected_components(starred.where(link).select("a", "b"), "ngram-star-components"), "ngram-comps")
-        if not last:
-            one_c = comps.select(F.col("node").alias("a"), F.col("component").alias("c_a"))
-            two_c = comps.select(F.col("node").alias("b"), F.col("component").alias("c_b"))
-            open_pairs = left.join(nearest.select("a", "b"), ["a", "b"], "left_anti").join(one_c, "a", "left").join(two_c, "b", "left")
-            left = common.materialize(open_pairs.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b", "shared"), "ngram-pivots")
-    star_edges = starred.where(link).select("a", "b")
-    star = starred.where(link).groupBy("a").agg(F.max_by(F.struct("b", "overlap", "n_a", "n_b"), F.struct("overlap", "b")).alias("s"))
-    star = star.select(F.col("a").alias("x"), F.col("s.b").alias("p"), (F.col("s.n_a") - F.col("s.overlap")).alias("x_only"), (F.col("s.n_b") - F.col("s.overlap")).alias("p_only"))
-
-    # Lists that still join different components, in blocks of size and position.
-    step = math.log(100 / percent) * 1.01
-    placed = (
-        index.join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-        .withColumn("component", F.coalesce("component", "doc_id"))
+def _open_lists(index: DataFrame, known: _Answers) -> DataFrame:
+    """Entries of lists that hold different components, with those components and the list's length."""
+    placed = index.drop("pivot").join(known.comps.select(F.col("node").alias("doc_id"), "component"), "doc_id")
+    spread = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("length"))
+    return placed.join(spread.where("c0 <> c1").select("key", "length"), "key")
+
+
+def _probe(index: DataFrame, known: _Answers, seed: int) -> bool:
+    """Lists are dealt into random cells of about CELL entries; in them every set asks the nearest set of another component.
+
+    Only entries early enough for a partner of equal size take part.  The work is linear in the entries.  It joins
+    what most of a group links to, so that few pairs are left for the blocks, which see all entries.
+    """
+    index = index.where(F.col("n") - F.col("pos") >= _needed(F.col("n"), F.col("n"), known.percent))
+    cell = F.pmod(F.xxhash64("doc_id", "key", F.lit(seed)), F.ceil(F.col("length") / CELL).cast("long"))
+    bits = known.sets.select("doc_id", "n_unique", "parity")
+    near = _pairs(_open_lists(index, known).withColumn("cell", cell).join(bits, "doc_id"), ["key", "cell"], known.percent)
+    asks = near.groupBy("a").agg(F.min_by(F.struct("b", "n_a", "n_b"), F.struct("differ", "b")).alias("s")).select("a", "s.*")
+    asks = common.materialize(asks, "ngram-probe")
+    if asks.isEmpty():
+        return False
+    known.merge(known.decide(asks))
+    return True
+
+
+def _block_pairs(index: DataFrame, known: _Answers) -> DataFrame:
+    """All pairs (a, b, n_a, n_b, differ) that may still join two components, from lists cut into blocks.
+
+    A block holds entries of one size class and of eight positions, apart for the list's largest component and for the
+    others; pairs of blocks that cannot reach the overlap, or lie in one component, are skipped whole.
+    """
+    step = math.log(100 / known.percent) * 1.01
+    entries = _open_lists(index, known)
+    main = entries.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    placed = common.materialize(
+        entries.join(main, "key")
         .withColumn("sb", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)))
-        .withColumn("pb", F.floor(F.col("pos") / 8))
+        .withColumn("pb", F.floor(F.col("pos") / 8) * 2 + (F.col("component") == F.col("main")).cast("int"))
+        .drop("main", "length"),
+        "ngram-open",
     )
-    blocks = common.materialize(
-        placed.groupBy("key", "sb", "pb").agg(
-            F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("pos0"), F.min("component").alias("c0"), F.max("component").alias("c1")
-        ),
-        "ngram-blocks",
+    blocks = placed.groupBy("key", "sb", "pb").agg(
+        F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("pos0"), F.min("component").alias("c0"), F.max("component").alias("c1")
     )
-    mixed = blocks.groupBy("key").agg(F.min("c0").alias("k0"), F.max("c1").alias("k1")).where("k0 <> k1").select("key")
-    blocks = blocks.join(mixed, "key", "left_semi")
+    blocks = common.materialize(blocks, "ngram-blocks")
     one = blocks.select("key", *(F.col(c).alias(f"a_{c}") for c in ("sb", "pb", "n0", "n1", "pos0", "c0", "c1")))
     two = blocks.select("key", *(F.col(c).alias(f"b_{c}") for c in ("sb", "pb", "n0", "n1", "pos0", "c0", "c1")))
     reach = F.least(F.col("a_n1") - F.col("a_pos0"), F.col("b_n1") - F.col("b_pos0"))
     open_blocks = (
         one.join(two, "key")
         .where("b_sb in (a_sb, a_sb + 1)")
-        .where(reach >= _needed(F.col("a_n0"), F.col("b_n0"), percent))
+        .where(reach >= _needed(F.col("a_n0"), F.col("b_n0"), known.percent))
         .where("not (a_c0 = a_c1 and b_c0 = b_c1 and a_c0 = b_c0)")
         .select("key", "a_sb", "a_pb", "b_sb", "b_pb")
     )
-    # Only lists that are still mixed carry the parity bits; a pair whose bits differ too often cannot reach the overlap.
-    bits = sets.select("doc_id", "n_unique", "parity")
-    placed = common.materialize(placed.join(mixed, "key", "left_semi").join(bits, "doc_id"), "ngram-open")
-    a = placed.select("key", F.col("sb").alias("a_sb"), F.col("pb").alias("a_pb"), F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("component").alias("c_a"), F.col("n_unique").alias("u_a"), F.col("parity").alias("x_a"))
-    b = placed.select("key", F.col("sb").alias("b_sb"), F.col("pb").alias("b_pb"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("component").alias("c_b"), F.col("n_unique").alias("u_b"), F.col("parity").alias("x_b"))
-    differ = sum((F.bit_count(F.col("x_a")[i].bitwiseXOR(F.col("x_b")[i])) for i in range(PARITY)), F.col("u_a") + F.col("u_b"))
-    rest = (
+    bits = known.sets.select("doc_id", "n_unique", "parity")
+    placed = placed.join(bits, "doc_id")
+    names = ("doc_id", "n", "pos", "component", "n_unique", "parity")
+    a = placed.select("key", F.col("sb").alias("a_sb"), F.col("pb").alias("a_pb"), *(F.col(c).alias(f"{c}_a") for c in names))
+    b = placed.select("key", F.col("sb").alias("b_sb"), F.col("pb").alias("b_pb"), *(F.col(c).alias(f"{c}_b") for c in names))
+    need = _needed(F.col("n_a"), F.col("n_b"), known.percent)
+    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY)), F.col("n_unique_a") + F.col("n_unique_b"))
+    return (
         a.join(open_blocks, ["key", "a_sb", "a_pb"])
         .join(b, ["key", "b_sb", "b_pb"])
-        .where("c_a <> c_b and (n_a < n_b or n_a = n_b and a < b)")
-        .where(f"100 * n_a >= {percent} * n_b")
-        .where(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= _needed(F.col("n_a"), F.col("n_b"), percent))
-        .where(differ <= F.col("n_a") + F.col("n_b") - 2 * _needed(F.col("n_a"), F.col("n_b"), percent))
-        .select("a", "b", "n_a", "n_b")
-        .distinct()
+        .where("component_a <> component_b and (n_a < n_b or n_a = n_b and doc_id_a < doc_id_b)")
+        .where(f"100 * n_a >= {known.percent} * n_b")
+        .where(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need)
+        .where(differ <= F.col("n_a") + F.col("n_b") - 2 * need)
+        .groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "n_a", "n_b")
+        .agg(F.min(differ).alias("differ"))
+    )
+
+
+def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sets, edges): document_sets(), and edges (a, b) whose components are those of all links.
+
+    The edges are one per copy of a set and one per merge of two components, so they grow with the documents.
+    """
+    made = document_sets(docs, k, percent)
+    active = made.where("members is not null")
+    shared = active.where("n_unique = 0")  # only a set without a shingle of its own can have an equal
+    classes = common.materialize(shared.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "ngram-classes")
+    copies = shared.join(classes, ["n", "f1", "f2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    first = shared.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "f1", "f2"], "left_semi")
+    reps = active.where("n_unique > 0").unionByName(first.select(active.columns))
+    posted = reps.select("doc_id", "n", "n_unique", F.posexplode("head").alias("i", "key")).select(
+        "key", "doc_id", "n", "n_unique", (F.col("i") + F.col("n_unique")).alias("pos")
     )
-    # Answers through pivots: x is a member with a verified pivot, y the other side.
-    pivoted = (
-        rest.join(star.select(F.col("x").alias("a"), F.struct("p", "x_only", "p_only").alias("sa")), "a", "left")
-        .join(star.select(F.col("x").alias("b"), F.struct("p", "x_only", "p_only").alias("sb")), "b", "left")
-        .select("a", "b", "n_a", "n_b", F.coalesce("sa", "sb").alias("s"), F.when(F.col("sa").isNotNull(), F.col("b")).otherwise(F.col("a")).alias("y"))
+    # A list's pivot is the set with the fewest shingles of its own: of near copies, the least edited one.
+    lists = posted.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min(F.struct("n_unique", "doc_id")).alias("p"))
+    index = common.materialize(
+        posted.drop("n_unique").join(lists.where("first <> last").select("key", F.col("p.doc_id").alias("pivot")), "key"), "ngram-index"
     )
-    pivoted = common.materialize(pivoted, "ngram-rest")
-    asked = pivoted.where("s is not null").select(F.col("s.p").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()
-    answers = _verify(asked, sets).select(F.col("a").alias("p"), F.col("b").alias("y"), F.col("overlap").alias("via"))
-    derived = common.materialize(
-        pivoted.withColumn("p", F.col("s.p")).join(answers, ["p", "y"], "left")
-        .withColumn("need", _needed(F.col("n_a"), F.col("n_b"), percent))
-        .withColumn("answer", F.expr("case when via + s.x_only < need then false when via - s.p_only >= need then true end"))
-        .select("a", "b", "answer"),
-        "ngram-derived",
+    sets = common.materialize(
+        reps.join(index.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "n_unique", "members", "parity").dropDuplicates(["doc_id"]),
+        "ngram-verify",
     )
-    checked = linked(_verify(derived.where("answer is null").select("a", "b"), sets)).where(link).select("a", "b")
-    edges = star_edges.unionByName(derived.where("answer").select("a", "b")).unionByName(checked).unionByName(copies)
+    known = _Answers(sets, percent)
+    size = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"))
+    to_pivot = index.where("doc_id <> pivot").groupBy(F.col("doc_id").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a")).agg(F.count("*").alias("shared"))
+    to_pivot = common.materialize(to_pivot.join(size, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "shared"), "ngram-pivots")
+    nearest = to_pivot.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+    known.ask_pivots(nearest)
+    known.ask_pivots(known.apart(to_pivot.join(nearest, ["a", "b"], "left_anti")).select("a", "b"))
+    for seed in range(PROBES):
+        if not _probe(index, known, seed):
+            break
+    # What no probe has joined: all pairs that may link, asked component by component until none is open.
+    left = common.materialize(_block_pairs(index, known), "ngram-rest")
+    for last in (False, False, True):
+        open_pairs = known.apart(left)
+        if not last:
+            pair = [F.least("c_a", "c_b").alias("u"), F.greatest("c_a", "c_b").alias("v")]
+            open_pairs = open_pairs.groupBy(*pair).agg(F.min_by(F.struct("a", "b", "n_a", "n_b"), F.struct("differ", "a", "b")).alias("s")).select("s.*")
+        asks = common.materialize(open_pairs.select("a", "b", "n_a", "n_b"), "ngram-asks")
+        if asks.isEmpty():
+            break
+        known.merge(known.decide(asks))
+        left = left.join(asks.select("a", "b"), ["a", "b"], "left_anti")
+    edges = copies
+    for some in known.edges:
+        edges = edges.unionByName(some)
     return made, edges
 
 

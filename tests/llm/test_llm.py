@@ -14,7 +14,7 @@ from gaugework.llm.decontaminate import contaminated_pairs, keep_uncontaminated
 from gaugework.llm.exact_dedup import directory, exact_groups, keep_one_of_equals
 from gaugework.llm.html_text import extract_pages, main_text
 from gaugework.llm.line_dedup import drop_frequent_lines
-from gaugework.llm.ngram_join import keep_one_per_component, ngram_components
+from gaugework.llm.ngram_join import keep_one_per_component, links, ngram_components
 from gaugework.llm.packing import pack
 from gaugework.llm.span_dedup import drop_repeated_spans, sentences
 from gaugework.llm.token_counts import token_counts
@@ -95,6 +95,22 @@ def test_ngram_edges(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@pytest.mark.parametrize(("k", "percent", "n_words"), [(5, 80, 100), (4, 85, 150)])
+def test_ngram_edges_grow_with_the_group(spark, k, percent, n_words):
+    rng = random.Random(21)
+    base, rows = words(rng, n_words, 100_000).split(), []
+    for i in range(300):
+        edited = list(base)
+        for _ in range(rng.randint(1, 2)):
+            edited[rng.randrange(n_words)] = f"e{rng.randrange(10**9)}"
+        rows.append((i, " ".join(edited)))
+    for n in (150, 300):
+        _, edges = links(table(spark, rows[:n]), k, percent)
+        assert edges.count() <= 1.1 * n
+    got = {r[0]: (r[1], r[2]) for r in ngram_components(table(spark, rows), k, percent).collect()}
+    assert got == brute_components(rows, k, percent)
+
+
 # -- html -------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header>
