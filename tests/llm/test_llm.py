@@ -13,7 +13,7 @@ from gaugework.llm import common, toxicity
 from gaugework.llm.decontaminate import contaminated_pairs, keep_uncontaminated
 from gaugework.llm.exact_dedup import directory, exact_groups, keep_one_of_equals
 from gaugework.llm.html_text import extract_pages, main_text
-from gaugework.llm.line_dedup import drop_frequent_lines
+from gaugework.llm.line_dedup import Runs, _sorted_scans, drop_frequent_lines
 from gaugework.llm.ngram_join import keep_one_per_component, links, ngram_components
 from gaugework.llm.packing import pack
 from gaugework.llm.span_dedup import drop_repeated_spans, sentences
@@ -355,6 +355,26 @@ def test_line_dedup(spark, least):
     assert drop_frequent_lines(table(spark, [])).count() == 0
 
 
+def test_line_runs_merge_in_order(spark):
+    """Runs are read sorted and by bucket, and levels are compacted between batches."""
+    runs = Runs(spark, fanout=2)
+    with _sorted_scans(spark):
+        for b in range(5):
+            keys = spark.range(40).select((F.col("id") % 20 + b).alias("hash"), F.hash(F.col("id") % 20 + b).alias("check"))
+            counted = runs.unseen(keys.groupBy("hash", "check").agg(F.count("*").alias("n_docs")), 4)
+            if b == 4:
+                plan = counted._jdf.queryExecution().executedPlan().toString()
+                joins, sorts, exchanges = (plan.count(x) for x in ("SortMergeJoin", "Sort [", "Exchange hash"))
+                assert joins == len(runs.all()) and sorts == 1 and exchanges == 1
+            runs.add(counted)
+        assert runs.merges == 3 and [len(x) for x in runs.levels] == [1, 0, 1]
+        total = {r["hash"]: r["n_docs"] for run in runs.all() for r in run.collect()}
+    runs.drop()
+    assert total[0] == 2 and total[2] == 4 and max(total.values()) <= 8
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+    assert spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled") == "true"
+
+
 # -- queries ----------------------------------------------------------------------------------------------
 
 
