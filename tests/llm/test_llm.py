@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugework.llm import common, toxicity
+from gaugework.llm import common, packing, toxicity
 from gaugework.llm.decontaminate import contaminated_pairs, keep_uncontaminated
 from gaugework.llm.exact_dedup import directory, exact_groups, keep_one_of_equals
 from gaugework.llm.html_text import extract_pages, main_text
@@ -215,14 +215,32 @@ def test_packing(spark, targets):
     assert pack(table(spark, []), P.path("byte_bpe_50k.json"), 0).count() == 0
 
 
-def test_packing_windows_hold_the_targets(spark):
+def test_packing_sequences_hold_the_targets(spark):
     rng = random.Random(8)
-    rows = [(i, words(rng, 400), "a" if i % 2 else "b") for i in range(300)]
+    rows = [(i, words(rng, 400), "abc"[i % 3]) for i in range(300)]
     docs = table(spark, rows)
-    pieces = pack(docs, P.path("byte_bpe_50k.json"), 0, targets={"a": 0.75, "b": 0.25})
-    window = F.floor(F.col("sequence_id") / 64)
-    shares = pieces.join(docs.select("doc_id", "source"), "doc_id").groupBy(window.alias("w")).agg((F.sum(F.when(F.col("source") == "a", F.col("length"))) / F.sum("length")).alias("s")).orderBy("w").collect()
-    assert abs(shares[0]["s"] - 0.75) < 0.001 and len(shares) > 2
+    for targets in ({"a": 0.5, "b": 0.25, "": 0.25}, None):
+        pieces = pack(docs, P.path("byte_bpe_50k.json"), 0, targets=targets).join(docs.select("doc_id", "source"), "doc_id")
+        shares = pieces.groupBy("sequence_id").pivot("source", ["a", "b", "c"]).agg(F.sum("length") / 1024).orderBy("sequence_id").fillna(0).collect()
+        wanted = (0.5, 0.25, 0.25) if targets else (1 / 3,) * 3
+        full = shares[: len(shares) // 2]  # before a queue runs dry
+        assert len(full) > 50 and all(abs(r[i + 1] - w) <= 2 * 64 / 1024 for r in full for i, w in enumerate(wanted))
+        for n in range(1, len(full)):  # deficits are carried, they do not add up
+            assert all(abs(sum(r[i + 1] for r in full[:n]) - n * w) <= 0.2 for i, w in enumerate(wanted))
+
+
+def test_packing_plan_covers_many_queues():
+    rng = random.Random(1)
+    for case in range(12):
+        n_queues = rng.choice([1, 5, 300])
+        tokens = [rng.choice([0, 1, 64, 5000, rng.randrange(100_000)]) for _ in range(n_queues)]
+        targets = None if case % 2 else [rng.choice([0.0, 1.0, 5.0]) for _ in tokens]
+        phases = packing.plan(tokens, targets, 1024, 64)
+        queue, at, n = (np.array(x, dtype=np.int64) for x in zip(*[(j, x, min(700, t - x)) for j, t in enumerate(tokens) for x in range(0, t, 700)] or [(0, 0, 0)]))
+        row, start, length, position = packing.cuts(phases, queue, at, n, 1024, 64)
+        order = np.argsort(position)
+        assert (position[order] == np.cumsum(length[order]) - length[order]).all() and length.sum() == sum(tokens)
+        assert (np.bincount(row, weights=length, minlength=len(n)) == n).all() and (position // 1024 == (position + length - 1) // 1024).all()
 
 
 # -- toxicity ---------------------------------------------------------------------------------------------
