@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,11 +21,20 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 ARROW_BYTES = 6 << 20
 
 
+_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+_UNITS = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40, "p": 1 << 50}
+
+
+def _bytes(setting: str) -> int:
+    """A size as Spark writes it: 64m, 64mb, 1g, 65536, 65536b."""
+    digits, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", setting.lower()).groups()
+    return int(digits) * _UNITS[unit[:1] or "b"]
+
+
 def prepare(spark: SparkSession) -> None:
     """Lets Python workers import this package where the driver's path is visible to them, and bounds their batches."""
-    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(bound).rstrip("b")) > ARROW_BYTES:
-        spark.conf.set(bound, str(ARROW_BYTES))
+    if _bytes(spark.conf.get(_BOUND)) > ARROW_BYTES:
+        spark.conf.set(_BOUND, str(ARROW_BYTES))
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, env.get("PYTHONPATH", "")]))
@@ -36,10 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one, set here, only where the master is this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='gaugework-')}"
+        if not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = Path(tempfile.mkdtemp(prefix="gaugework-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -60,6 +72,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, digest=F.xxhash64) -> DataFrame:
+    """The rows of docs whose (doc_id, digest of the text) is not in gone (doc_id, digest); docs may have any other columns."""
+    one, two = (_free(docs.columns, name) for name in ("gone_id", "gone_digest"))
+    gone = gone.select(F.col("doc_id").alias(one), F.col("digest").alias(two))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(one)) & (digest(text_or_empty()) == F.col(two)), "left_anti")
+
+
+def _free(taken: list[str], name: str) -> str:
+    """A column name that is not taken."""
+    while name in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -143,6 +143,5 @@ def exact_groups(docs: DataFrame, path: str | None = None, normalise=None) -> Da
 
 def keep_one_of_equals(docs: DataFrame) -> DataFrame:
     """The rows of docs whose text no row with a larger doc_id has."""
-    gone = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), F.unhex("text_sha256").alias("gone_digest")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.unhex(F.sha2(common.text_or_empty().cast("binary"), 256)) == F.col("gone_digest"))
-    return docs.join(gone, same, "left_anti")
+    gone = exact_groups(docs).where("not kept").select("doc_id", F.unhex("text_sha256").alias("digest")).distinct()
+    return common.without_rows(docs, gone, lambda text: F.unhex(F.sha2(text.cast("binary"), 256)))
