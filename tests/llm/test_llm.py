@@ -310,26 +310,67 @@ def test_span_dedup_keeps_other_texts_of_an_id(spark):
     assert got == {(1, 0, passage), (None, 4, clean[0]), (None, 0, clean[1]), (7, 4, clean[2]), (7, 0, clean[0][:40])}
 
 
-def test_decontamination(spark):
+def tokens_of(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+
+
+def brute_leaks(rows, items, percent=80):
+    found = set()
+    for i, t in rows:
+        d = tokens_of(t)
+        for k, q in items:
+            q = tokens_of(q)
+            w = min(len(q), 16)
+            if k is not None and w and any(
+                100 * sum(x == y for x, y in zip(d[a : a + w], q[b : b + w])) >= percent * w for a in range(len(d) - w + 1) for b in range(len(q) - w + 1)
+            ):
+                found.add((i, k))
+    return found
+
+
+def test_decontamination_equals_brute_force(spark):
     rng = random.Random(11)
-    items = [(i, words(rng, n, 5000)) for i, n in enumerate([5, 8, 16, 20, 40, 60])] + [(90, None), (91, "two words"), (92, "")]
-    rows = [(i, words(rng, 60, 5000)) for i in range(30)]
-    planted = {}
-    for k, (item, passage) in enumerate(items[:6]):
-        w = passage.split()
-        if len(w) >= 16:
-            w[7] = "substituted"
-        rows[3 * k] = (rows[3 * k][0], words(rng, 20, 5000) + " " + " ".join(w).upper() + ", " + words(rng, 20, 5000))
-        planted[rows[3 * k][0]] = item
-    docs, tests = table(spark, [*rows, (None, None), (200, "")]), spark.createDataFrame(items, "item_id long, text string")
-    got = contaminated_pairs(docs, tests)
-    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == set(planted.items())
+    items = [(i, words(rng, n, 5000)) for i, n in enumerate([1, 3, 4, 5, 6, 7, 8, 9, 11, 12, 16, 20, 40])] + [(90, None), (91, "..."), (92, ""), (None, "w1 w2 w3 w4 w5")]
+    rows = [(i, words(rng, 60, 5000)) for i in range(60)] + [(None, None), (200, ""), (201, items[5][1])]
+    for n in range(45):
+        w = items[n % 13][1].split()
+        for _ in range(len(w) * (n % 3) // 10):  # none, or up to a fifth
+            w[rng.randrange(len(w))] = "substituted"
+        rows[n] = (n, words(rng, 9, 5000) + " " + " ".join(w).upper() + ", " + words(rng, 9, 5000))
+    docs, tests = table(spark, rows).withColumn("item_id", F.lit("clash")).withColumn("gone_id", F.lit(1)), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(7))
+    wanted = brute_leaks(rows, items)
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated_pairs(docs, tests).collect()}
+    assert got == wanted and len(wanted) > 30
     kept = keep_uncontaminated(docs, tests)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {None, 200, *(i for i, _ in rows if i not in planted)}
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in wanted}
     assert contaminated_pairs(docs, tests.limit(0)).count() == 0 and contaminated_pairs(docs.limit(0), tests).count() == 0
     assert keep_uncontaminated(docs, tests.limit(0)).count() == docs.count()
 
 
+def test_decontamination_of_repeated_words(spark):
+    rows = [(1, "a " * 20_000), (2, "a b " * 10_000), (3, "c " * 30)]
+    tests = spark.createDataFrame([(1, "a " * 2_000), (2, "a b " * 1_000)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated_pairs(table(spark, rows), tests).collect()} == {(1, 1), (2, 2)}
+
+
+def test_masks_find_permitted_substitutions():
+    from itertools import combinations
+
+    from gaugework.llm.decontaminate import SPAN, masks_for
+
+    for n in range(1, 17):
+        ways = list(combinations(range(n), n - (80 * n + 99) // 100))
+        hit = [any(all(p + m not in way for m in mask) for mask in masks_for(n, 80) for p in range(n - min(n, SPAN) + 1)) for way in ways]
+        assert sum(hit) >= (0.93 if n == 10 else 1.0) * len(ways)
+
+
+def test_settings_and_clashing_names(spark):
+    assert [common._bytes(x) for x in ("64m", "65536", "65536b", "1g", "2MB")] == [64 << 20, 65536, 65536, 1 << 30, 2 << 20]
+    docs = table(spark, [(1, "a"), (2, "a")]).withColumn("gone_id", F.lit(5)).withColumn("gone_digest", F.lit("x"))
+    kept = keep_one_of_equals(docs)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [2]
+
+
 def test_exact_dedup(spark):
     rows = [(1, "a"), (2, "a"), (3, None), (4, ""), (None, "a"), (5, "b"), (5, "b"), (6, "A"), (7, "x" * 200_000)]
     got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_groups(table(spark, rows)).collect()), key=str)
