@@ -6,12 +6,14 @@ So an insult still matches with inserted or lost letters.  Symbols inside a word
 letters in a row are read as one word.  A sentence is as toxic as its worst word.
 
 Training runs in one task over a bounded sample (at most MOST_TOXIC and MOST_CLEAN labelled rows in the order
-of a hash, and MOST_BYTES of whole texts).  Five-letter runs that tell toxic from clean documents name the
-landmark words; some frequent words join them.  The SVM on the Nystroem features learns from sentences,
-which carry their document's label: words with such runs that hardly any clean sentence has are the
-witnesses of toxic sentences, all words of clean ones are innocent.  A logistic function of a document's
-highest sentence margins and of how many words lie beyond the margin, fitted on rows the SVM did not see and
-weighted to the labels' own proportion, gives the score; the same rows choose how telling a run must be.
+of a hash, and MOST_BYTES of whole texts; a text that would pass that bound is left out).  Five-letter runs that tell toxic from clean documents name the
+landmark words; some frequent words join them.  The SVM on the Nystroem features is first fitted to words with such
+runs that hardly any clean sentence has, against all words of clean ones.  Then the labelled sentences are its examples,
+each with its document's label: a sentence's margin is its highest word's, so a clean sentence asks all its
+words to stay below, and a toxic one asks the word that speaks for it to rise (as in SVMs for instances in labelled
+bags; sentences of toxic documents that the machine does not hold for toxic do not ask, for they may be clean).
+A logistic function of a document's highest sentence margins and of how many words are sure hits, fitted on rows the SVM
+did not see and weighted to the labels' own proportion, gives the score; the same rows choose how telling a run must be.
 
 Scoring: the SVM's decision is linear in a word's subsequence weights, so landmarks and machine fold
 into one table of fixed size.  A word costs a few look-ups for each letter, once for each distinct word
@@ -52,6 +54,8 @@ BITS = 20
 FEATURES = 6
 #: Least width by which a feature is scaled: what hardly varies in training must not decide.
 NARROW = np.array([0.2, 0.2, 0.2, 0.3, 0.2, 0.005])
+#: Margin beyond which a word counts as a hit; rounds in which sentences choose their witness anew.
+HIT, ROUNDS = 0.7, 1
 CHUNK_BYTES = 3_000_000
 THRESHOLD = 0.3
 
@@ -156,7 +160,7 @@ def _margins(w: Words, values: np.ndarray, bias: float, n_texts: int) -> np.ndar
         rank = np.arange(len(text)) - np.searchsorted(text, text, side="left")
         for r in range(3):
             out[text[rank == r], r] = f[rank == r]
-        hits = np.bincount(w.text, weights=values[w.of] + bias > 0, minlength=n_texts)
+        hits = np.bincount(w.text, weights=values[w.of] + bias > HIT, minlength=n_texts)
         out[:, 3] = np.log1p(np.bincount(text, minlength=n_texts))
         out[:, 4] = np.log1p(hits)
         out[:, 5] = np.minimum(0.1, hits / np.maximum(1, np.bincount(w.text, minlength=n_texts)))
@@ -179,9 +183,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _hinge(x: np.ndarray, y: np.ndarray, cost: float = 3000.0, steps: int = 25) -> tuple[np.ndarray, float]:
-    """A linear SVM with squared hinge loss, classes weighted alike, by Newton steps on its margin rows."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * cost
+def _hinge(x: np.ndarray, y: np.ndarray, mass: np.ndarray, cost: float = 3000.0, steps: int = 25) -> tuple[np.ndarray, float]:
+    """A linear SVM with squared hinge loss, rows weighted by mass and classes alike, by Newton steps on its margin rows."""
+    weight = np.where(y > 0, 0.5 * mass / max(1, mass[y > 0].sum()), 0.5 * mass / max(1, mass[y < 0].sum())) * cost
     v = np.zeros(x.shape[1] + 1)
     ridge = np.ones(len(v))
     ridge[-1] = 1e-6
@@ -328,14 +332,40 @@ def _machines(w: Words, y: np.ndarray, fit: np.ndarray) -> Iterator[tuple[np.nda
         if not len(guilty) or not len(innocent):
             continue
         features, numbers, marked, root = _features(w, marks)
-        rows = np.concatenate([guilty, innocent])
-        u, bias = _hinge(features[rows], np.where(np.arange(len(rows)) < len(guilty), 1.0, -1.0))
+        # The first machine tells the guilty words from all words of clean sentences; after it, sentences are the examples.
+        u, bias = _hinge_of(features, guilty, np.ones(len(guilty)), innocent)
+        for _ in range(ROUNDS):
+            witness, times = _witnesses(w, features @ u.astype(np.float32) + bias, y, fit)
+            u, bias = _hinge_of(features, witness, times, np.setdiff1d(np.flatnonzero(n_clean), witness))
         del features
         table = np.zeros(1 << BITS, dtype=np.float32)
         table[numbers] = marked @ (root @ u).astype(np.float32)
         yield table, bias
 
 
+def _hinge_of(features: np.ndarray, for_it: np.ndarray, times: np.ndarray, against: np.ndarray) -> tuple[np.ndarray, float]:
+    rows = np.concatenate([for_it, against])
+    label = np.where(np.arange(len(rows)) < len(for_it), 1.0, -1.0)
+    return _hinge(features[rows], label, np.concatenate([times, np.ones(len(against))]))
+
+
+def _witnesses(w: Words, margin: np.ndarray, y: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that toxic sentences are judged by, and for how many sentences each speaks.
+
+    A sentence's margin is its highest word's, so a sentence of a clean document asks every one of its words to stay
+    below, and one of a toxic document asks its highest word to rise, if the machine holds that sentence for toxic
+    already: a toxic document's other sentences may be clean, and so may a wrongly labelled document be.
+    """
+    value = margin[w.of]
+    best = np.maximum.reduceat(value, w.starts)
+    text = w.text[w.starts]
+    sentence = np.repeat(np.arange(len(w.starts)), np.diff(np.append(w.starts, len(w.of))))
+    asks = (y[text] == 1) & fit[text] & (best > 0)
+    speaks = np.flatnonzero(asks[sentence] & (value == best[sentence]))
+    once = np.unique(sentence[speaks], return_index=True)[1]
+    return np.unique(w.of[speaks[once]], return_counts=True)
+
+
 def _flat(share: float) -> Model:
     none = np.zeros(FEATURES)
     return Model(np.zeros(1 << BITS, dtype=np.float32), 0.0, none, none + 1, none, float(np.log(max(share, 1e-13) / max(1 - share, 1e-13))))
@@ -378,12 +408,10 @@ def _fit(batches: Iterator[pa.RecordBatch], share: float | None) -> Iterator[pa.
     texts, toxic, size = [], [], 0
     for rows in batches:
         for text, label in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-            size += len(text)
-            if size <= MOST_BYTES:
+            if size + len(text) <= MOST_BYTES:  # a text that does not fit any more is passed over
+                size += len(text)
                 texts.append(text)
                 toxic.append(label)
-        if size > MOST_BYTES:
-            break
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, toxic, share))], pa.binary())], names=["model"])
 
 

@@ -1,11 +1,13 @@
 """The corpus operators against brute force, and their defined edge cases, on small tables."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,6 +275,14 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if not r["predicted"]}
 
 
+def test_toxicity_sample_passes_over_a_huge_text(monkeypatch):
+    rows, labels = toxic_corpus()
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 50_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 60_000, *(t for _, t in rows)]), pa.array([0, *(t for _, _, t in labels)])], names=["text", "toxic"])
+    (made,) = toxicity._fit(iter([batch]), None)
+    assert np.abs(pickle.loads(made.column(0)[0].as_py()).table).max() > 0
+
+
 def test_toxicity_edges(spark):
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = table(spark, [(1, None), (None, "x y"), (2, ""), (2, "a" * 100_000)]).withColumn("score", F.lit("clash"))
