@@ -1,13 +1,13 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block of text, in page order.  A line's weight is its text length;
-lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments keep their place
-with weight 0, and so do lines outside the page's article element where it has one.  Elsewhere the
-length of link text is taken off.  The weights are summed over sliding windows of WINDOW lines; a surge is
-where the sum rises to a level, a dive where it falls to nothing again, and the text between them stays.
-
-Within an article element any text is a surge, so no short block of it is lost; without one, a surge takes
-SURGE characters.
+Markup is stripped into lines, one per block of text, in page order.  A line's weight is its text length, less
+twice its link text; lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments keep
+their place with weight 0.  An article or main element is a hint that moves weight: by the share of the page's text that
+it holds, lines outside it weigh less and lines inside it more, so that an element around nearly all text
+decides, and one around a teaser hardly counts.  The weights are summed over sliding windows of WINDOW lines; where
+the sum rises from nothing a run begins, where it dives to nothing the run ends.  A run with a surge, a window of SURGE
+of the page's highest, stays, from its first to its last line that has weight enough.  The measure is the page's own, so
+short pages are kept as whole as long ones.
 
 Defined cases: null or empty html, and pages without text, give an empty text; an unclosed comment, script
 or style reaches to the end; other unclosed and stray tags are allowed; an unclosed article reaches to
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from gaugework.llm import common
 
-WINDOW, SURGE = 3, 60
-_TAG = re.compile(r"<!--(?:-?>|.*?-->|.*)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?){0,65536}+)>", re.S)
+#: Lines of a window; part of the page's highest window that a surge takes; weight that an article element may add to a line.
+WINDOW, SURGE, LIFT = 3, 0.05, 40.0
+_TAG = re.compile(r"<!--(?:-?>|.*?-->|.*)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)>", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -182,33 +183,44 @@ def _close_open(stack: list, pop, name: str, scope: frozenset) -> None:
             return
 
 
-def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+def line_weights(length: np.ndarray, links: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weight of every line, weight that a line at the edge of a kept run has at least).
+
+    With no article element a line weighs its text without twice its link text.  Otherwise the more of the page's
+    text the element holds, the less lines outside weigh and the more every line inside does.
+    """
+    bare = np.maximum(length - 2 * links, 0)
+    inner, outer = length[within].sum(), bare[~within].sum()
+    share = inner / (inner + outer) if inner else 0.0
+    weight = np.where(within, np.where(length > 0, length + LIFT * share, 0.0), bare * (1 - share))
+    return weight, LIFT * share
+
+
+def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     if not html:
         return ""
     lines, links, inside = page_lines(html)
     if not lines:
         return ""
     length = np.array([len(x) for x in lines], dtype=np.int64)
-    within = np.array(inside, dtype=bool)
-    if (length[within] > 0).any():
-        weight, level = np.where(within, length, 0), 1
-    else:
-        weight, level = np.maximum(length - 2 * np.array(links, dtype=np.int64), 0), surge
-    sums = np.cumsum(np.concatenate([[0], weight, np.zeros(window, dtype=np.int64)]))
-    block = sums[window : window + len(lines)] - sums[: len(lines)]  # of the lines i .. i + window - 1
-    # Runs of lines whose windows are not empty lie between a surge and a dive.
-    live = np.concatenate([[False], block > 0, [False]])
+    weight, edge = line_weights(length, np.array(links, dtype=np.int64), np.array(inside, dtype=bool))
+    sums = np.convolve(weight, np.ones(window))[window - 1 :]  # of the lines i .. i + window - 1
+    if not sums.any():
+        return ""
+    # A run of windows with text begins where the sum rises from nothing and ends where it dives to nothing.
+    live = np.concatenate([[False], sums > 1e-9, [False]])
     rises, falls = np.flatnonzero(live[1:] & ~live[:-1]), np.flatnonzero(~live[1:] & live[:-1])
     kept = []
     for a, b in zip(rises.tolist(), falls.tolist()):
-        if block[a:b].max() >= level:
-            text = np.flatnonzero(weight[a:b] > 0)  # windows reach ahead: the text starts at its first line with weight
-            a, b = a + int(text[0]), a + int(text[-1]) + 1
-            kept += [x for x, ok in zip(lines[a:b], within[a:b] if level == 1 else weight[a:b] >= 0) if ok and x]
+        if sums[a:b].max() >= surge * sums.max():
+            text = np.flatnonzero((weight[a:b] > 0) & (weight[a:b] >= edge))  # windows reach ahead: a run starts and ends at lines of weight
+            if len(text):
+                a, b = a + int(text[0]), a + int(text[-1]) + 1
+                kept += [x for x, v in zip(lines[a:b], weight[a:b]) if x and v >= edge]
     return "\n".join(kept)
 
 
-def _extract(batches: Iterator[pa.RecordBatch], window: int, surge: int) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], window: int, surge: float) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         for lo in range(0, rows.num_rows, 200):
             some = rows.slice(lo, 200)
@@ -219,7 +231,7 @@ def _extract(batches: Iterator[pa.RecordBatch], window: int, surge: int) -> Iter
             )
 
 
-def extract_pages(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:
+def extract_pages(pages: DataFrame, window: int = WINDOW, surge: float = SURGE) -> DataFrame:
     """One row per row of pages: page_id, url, text (blocks joined by line feeds), n_chars (code points)."""
     common.prepare(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))

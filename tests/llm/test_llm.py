@@ -5,6 +5,7 @@ import pickle
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from gaugework.llm import common, packing, toxicity
 from gaugework.llm.decontaminate import contaminated_pairs, keep_uncontaminated
 from gaugework.llm.exact_dedup import directory, exact_groups, keep_one_of_equals
-from gaugework.llm.html_text import extract_pages, main_text
+from gaugework.llm.html_text import extract_pages, main_text, page_lines
 from gaugework.llm.line_dedup import Runs, _sorted_scans, drop_frequent_lines
 from gaugework.llm.ngram_join import keep_one_per_component, links, ngram_components
 from gaugework.llm.packing import pack
@@ -135,6 +136,76 @@ def test_html_without_article_by_density():
     assert main_text(html).count("\n") == 3 and "home" not in main_text(html) and "legal" not in main_text(html)
 
 
+def slow_main_text(html, window=3, surge=0.05, lift=40.0):
+    """The line-block distribution restated line by line, over the same lines."""
+    lines, links, inside = page_lines(html)
+    bare = [max(len(x) - 2 * k, 0) for x, k in zip(lines, links)]
+    inner = sum(len(x) for x, i in zip(lines, inside) if i)
+    outer = sum(v for v, i in zip(bare, inside) if not i)
+    share = inner / (inner + outer) if inner else 0.0
+    weight = [(len(x) + lift * share if x else 0.0) if i else v * (1 - share) for x, v, i in zip(lines, bare, inside)]
+    sums = [sum(weight[i : i + window]) for i in range(len(lines))]
+    kept, run = [], []
+    for i in range(len(lines) + 1):
+        if i < len(lines) and sums[i] > 1e-9:
+            run.append(i)
+            continue
+        if run and max(sums[j] for j in run) >= surge * max(sums):
+            heavy = [j for j in run if weight[j] > 0 and weight[j] >= lift * share]
+            kept += [lines[j] for j in run if heavy and heavy[0] <= j <= heavy[-1] and lines[j] and weight[j] >= lift * share]
+        run = []
+    return "\n".join(kept)
+
+
+class ArticleText(HTMLParser):
+    """A second reading of well-formed pages: the words inside the article element that no part of another kind holds."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.words, self.tied = [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "img", "input", "meta", "link", "hr", "source", "wbr"):
+            return
+        named = {p.lower() for k, v in attrs if k in ("class", "id", "role") for p in re.findall(r"[A-Za-z]+", v or "")}
+        self.stack.append((tag, tag in OTHER_TAGS or bool(named & OTHER_NAMES) and tag != "body"))
+
+    def handle_endtag(self, tag):
+        while any(t == tag for t, _ in self.stack):
+            if self.stack.pop()[0] == tag:
+                break
+
+    def handle_data(self, data):
+        if any(t in ("article", "main") for t, _ in self.stack) and not any(gone for _, gone in self.stack):
+            self.words += data.split()
+
+
+OTHER_TAGS = {"nav", "header", "footer", "aside", "form", "script", "style", "button", "select", "noscript", "svg"}
+OTHER_NAMES = {"ad", "ads", "advert", "sponsor", "sponsored", "promo", "banner", "nav", "menu", "sidebar", "footer", "header", "cookie", "notice", "newsletter", "share", "social", "related", "comment", "comments", "breadcrumb", "breadcrumbs", "popup", "widget", "subscribe"}
+
+
+def test_html_pages_equal_slow_readings(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
+    same = 0
+    for r in pages:
+        got = main_text(r["html"])
+        assert got == slow_main_text(r["html"])
+        other = ArticleText()
+        other.feed(r["html"])
+        same += other.words == got.split()
+    assert len(pages) == 250 and same >= 0.98 * len(pages)
+
+
+def test_html_without_article_or_with_a_wrong_one():
+    assert main_text("<div class='story'><p>Short one.</p><p>Second.</p></div>") == "Short one.\nSecond."
+    story = [f"Part {i} of the long story goes on here and on and on." * 4 for i in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in story)
+    menu = "<div><a href=x>home</a></div>" * 4
+    assert main_text(f"<article><a href=x>Teaser</a> text</article>{menu}{body}{menu}") == "\n".join(story)
+    assert main_text(f"{menu}<article>{body}</article>{menu}<p>Imprint and so on.</p>") == "\n".join(story)
+    assert main_text("<p " + " ".join(f"a{i}='{i}'" for i in range(80_000)) + ">text</p>") == "text"
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (1, None, PAGE, 1), (None, "v", None, 2)], "page_id long, url string, html string, text long")
     got = extract_pages(pages).collect()
