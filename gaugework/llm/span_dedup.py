@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (ending at . ! ? or a line feed).  From every sentence the shortest run of
-at least SENTENCES sentences and WORDS words is hashed, forwards and backwards, so that each sentence of a
-long enough repeated passage lies in a run inside the passage; a sentence of LONG words is a run of its own.  Runs meet globally by hash; the first
+A text is cut into sentences (ending at . ! ? or a line feed), and a sentence longer than CLAUSE words into clauses at
+words that their own hash names, so that copies of a passage are cut alike wherever it begins.  Every run of at least
+SENTENCES consecutive sentences or clauses and WORDS words that has no shorter such run from its first, or
+to its last, sentence is hashed to 128 bits.  Longer runs repeat exactly where these do, so each sentence of a long enough
+repeated passage lies in a hashed run inside the passage.  Runs meet globally by hash; the first
 place of a hash, the least (doc_id, digest of the text, sentence), keeps it.  Sentences covered by any other place go.
 
 A map task knows which of its own places are not first, so it sends one place per hash and batch to
@@ -17,6 +19,7 @@ ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +31,18 @@ from pyspark.sql import functions as F
 from gaugework.llm import common, word_hash
 
 _U = np.uint64
-SENTENCES, WORDS, LONG = 2, 20, 30
+SENTENCES, WORDS = 2, 20
+#: A sentence of more words is cut into clauses, after one word in EVERY of those whose hash says so, LEAST words apart.
+CLAUSE, EVERY, LEAST = 12, 8, 4
 BATCH_BYTES = 6_000_000
 #: Places in a row of those that pass through.
 PIECE = 2_000
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_NO_ID = (1 << 63) - 1
-PLACE = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("a", "<i4"), ("b", "<i4")])
+_NO_ID = (1 << 63) - 1  # stands for null; a doc_id of this value counts as null
+PLACE = np.dtype([("hash", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("a", "<i4"), ("b", "<i4")])
+_WORD = re.compile(r"\S+\s*")
 
 
 def sentences(text: str) -> list[str]:
@@ -47,7 +53,20 @@ def sentences(text: str) -> list[str]:
             out[-1] += piece
         else:
             out.append(piece)
-    return out
+    return [clause for piece in out for clause in _clauses(piece)]
+
+
+def _clauses(sentence: str) -> list[str]:
+    words = _WORD.findall(sentence)
+    if len(words) <= CLAUSE:
+        return [sentence]
+    words[0] = sentence[: len(sentence) - sum(map(len, words))] + words[0]  # white space before the first word
+    out, begin = [], 0
+    for i, word in enumerate(words):
+        if i + 1 - begin >= LEAST and len(words) - i - 1 >= LEAST and zlib.crc32(word.strip().lower().encode()) % EVERY == 0:
+            out.append("".join(words[begin : i + 1]))
+            begin = i + 1
+    return [*out, "".join(words[begin:])]
 
 
 def _runs(words: np.ndarray) -> np.ndarray:
@@ -59,8 +78,8 @@ def _runs(words: np.ndarray) -> np.ndarray:
     first = np.minimum(np.searchsorted(sums, sums[1:] - WORDS, side="right") - 1, at - SENTENCES + 1)
     ahead = np.stack([at, last], axis=1)[last < n]
     behind = np.stack([first, at], axis=1)[(first >= 0) & (sums[1:] >= WORDS)]
-    alone = np.stack([at, at], axis=1)[words >= LONG]
-    return np.unique(np.concatenate([ahead, behind, alone]), axis=0)
+    runs = np.concatenate([ahead, behind])
+    return np.stack(np.divmod(np.unique(runs[:, 0] * n + runs[:, 1]), n), axis=1) if n else runs
 
 
 def _places(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -72,15 +91,17 @@ def _places(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
             found, keys, words = sentences(text), [], []
             for s in found:
                 w = s.lower().split()
-                keys.append(xxhash.xxh3_64_intdigest(" ".join(w)))
+                keys.append(xxhash.xxh3_128_digest(" ".join(w)))
                 words.append(len(w))
             runs = _runs(np.array(words, dtype=np.int64))
             if len(runs):
                 power, back = word_hash.powers(_BASE, len(keys)), word_hash.powers(_INVERSE, len(keys))
-                sums = np.zeros(len(keys) + 1, dtype=np.uint64)
-                np.cumsum(np.array(keys, dtype=np.uint64) * power, out=sums[1:])
+                halves = np.frombuffer(b"".join(keys), dtype=np.uint64).reshape(-1, 2)
                 place = np.empty(len(runs), dtype=PLACE)
-                place["hash"] = word_hash.mix((sums[runs[:, 1] + 1] - sums[runs[:, 0]]) * back[runs[:, 0]] + (runs[:, 1] - runs[:, 0]).astype(np.uint64))
+                for name, half in (("hash", halves[:, 0]), ("check", halves[:, 1])):
+                    sums = np.zeros(len(keys) + 1, dtype=np.uint64)
+                    np.cumsum(half * power, out=sums[1:])
+                    place[name] = word_hash.mix((sums[runs[:, 1] + 1] - sums[runs[:, 0]]) * back[runs[:, 0]] + (runs[:, 1] - runs[:, 0]).astype(np.uint64))
                 place["doc"] = _NO_ID if doc is None else doc
                 place["text"] = digest
                 place["a"], place["b"] = runs[:, 0], runs[:, 1]
@@ -93,20 +114,27 @@ def _places(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
         yield _send(held, bits)
 
 
+def _new(p: np.ndarray) -> np.ndarray:
+    """Which of the ordered places begin a run's hash."""
+    new = np.ones(len(p), dtype=bool)
+    new[1:] = (p["hash"][1:] != p["hash"][:-1]) | (p["check"][1:] != p["check"][:-1])
+    return new
+
+
 def _not_first(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places ordered by hash and place, and which are elsewhere than their hash's first."""
-    p = places[np.lexsort((places["a"], places["text"], places["doc"], places["hash"]))]
-    new = np.concatenate([[True], p["hash"][1:] != p["hash"][:-1]])
+    p = places[np.lexsort((places["a"], places["text"], places["doc"], places["check"], places["hash"]))]
+    new = _new(p)
     first = p[np.flatnonzero(new)][np.cumsum(new) - 1]
     return p, (p["doc"] != first["doc"]) | (p["text"] != first["text"]) | (p["a"] != first["a"])
 
 
 def _send(held: list[np.ndarray], bits: int) -> pa.RecordBatch:
     p, later = _not_first(np.concatenate(held)) if held else (np.zeros(0, dtype=PLACE), np.zeros(0, dtype=bool))
-    new = np.concatenate([[True], p["hash"][1:] != p["hash"][:-1]]) if len(p) else later
-    gone, sent = p[later], p[new]
-    ends = np.searchsorted(sent["hash"] >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    rows = [(b, 1, sent[ends[b] : ends[b + 1]].tobytes()) for b in range(1 << bits) if ends[b] < ends[b + 1]]
+    gone, sent = p[later], p[_new(p)]
+    bucket = (sent["hash"] >> _U(64 - bits)).astype(np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
+    rows = [(int(bucket[x]), 1, sent[x:y].tobytes()) for x, y in zip(heads, [*heads[1:], len(bucket)])]
     # What is decided here already only passes through; it is dealt evenly over the buckets.
     start = int(word_hash.mix(gone["doc"][:1].astype(np.uint64))[0] >> _U(64 - bits)) if len(gone) else 0
     for i, lo in enumerate(range(0, len(gone), PIECE)):
@@ -145,7 +173,7 @@ def drop_repeated_spans(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_sentences, n_removed, text (what stays)."""
     spark = docs.sparkSession
     common.prepare(spark)
-    bits = max(6, min(16, (4 * common.shuffle_partitions(spark) - 1).bit_length()))
+    bits = max(6, min(24, (4 * common.shuffle_partitions(spark) - 1).bit_length()))
     texts = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).withColumn("digest", F.xxhash64("text"))
     places = texts.mapInArrow(lambda it: _places(it, bits), "bucket int, kind int, places binary")
     gone = places.groupBy("bucket").applyInArrow(_meet, "gone_id long, gone_text long, a int, b int")

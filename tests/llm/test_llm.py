@@ -382,6 +382,45 @@ def test_span_dedup(spark):
     assert drop_repeated_spans(table(spark, [])).count() == 0
 
 
+def brute_spans(rows):
+    """Sentences in any run of two or more sentences and twenty words that stands at an earlier place too."""
+    first, runs, out = {}, [], {}
+    for i, t in sorted(rows):
+        found = sentences(t)
+        bare = [" ".join(x.lower().split()) for x in found]
+        for a in range(len(found)):
+            for b in range(a + 1, len(found)):
+                if sum(len(x.split()) for x in bare[a : b + 1]) >= 20:
+                    key = tuple(bare[a : b + 1])
+                    runs.append((i, a, b, key))
+                    first.setdefault(key, (i, a))
+        out[i] = [found, set()]
+    for i, a, b, key in runs:
+        if first[key] != (i, a):
+            out[i][1] |= set(range(a, b + 1))
+    return {i: "".join(x for n, x in enumerate(found) if n not in gone) for i, (found, gone) in out.items()}
+
+
+def test_span_dedup_equals_brute_force(spark):
+    rng = random.Random(31)
+    pool = [words(rng, rng.choice([3, 8, 15, 40]), 5000) + rng.choice([".", "!", "\n", " "]) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(pool) if rng.random() < 0.6 else words(rng, 10, 5000) + "." for _ in range(rng.randrange(14)))) for i in range(40)]
+    got = {r["doc_id"]: r["text"] for r in drop_repeated_spans(table(spark, rows).withColumn("spans", F.lit(1)).withColumn("gone_id", F.lit(2))).collect()}
+    wanted = brute_spans(rows)
+    assert got == wanted and sum(wanted[i] != t for i, t in rows) > 20
+
+
+def test_span_dedup_finds_a_passage_inside_longer_sentences(spark):
+    rng = random.Random(32)
+    passage = words(rng, 60, 5000)
+    rows = [(i, f"{words(rng, 7 + i, 5000)} {passage} {words(rng, 5 + i, 5000)}.") for i in range(6)]
+    got = {r["doc_id"]: r["text"] for r in drop_repeated_spans(table(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and all(len(got[i].split()) < len(t.split()) - 35 for i, t in rows[1:])
+    long = "one two three. " * 60_000
+    (kept,) = drop_repeated_spans(table(spark, [(1, long)])).collect()
+    assert len(kept["text"]) < 200
+
+
 def test_span_dedup_keeps_other_texts_of_an_id(spark):
     rng = random.Random(3)
     passage = " ".join(words(rng, 12).capitalize() + "." for _ in range(4))
