@@ -4,7 +4,11 @@ Texts hash to 64 bits.  A directory maps the leading bits to buckets: starting f
 bucket above its capacity is split by its next bit, and where it already uses all the directory's bits
 the directory doubles.  The counts that decide it are one bounded aggregate (a number per leading-bit
 prefix).  Tasks own key ranges: each owner reads its buckets' rows, chains entries of one hash, tells
-collisions apart by comparing bytes, and writes its bucket files to the shared folder.
+collisions apart by comparing bytes, and writes its bucket files to the shared folder, with each text once.
+
+The directory is stored beside the bucket files.  A later batch opens the index, adds its counts, splits the
+buckets that are overfull now (doubling the directory where needed), and writes a new generation of only those buckets
+that got rows or were split; the directory names each bucket's generation.
 
 Copies are combined before they travel: a map task sends a text once with the ids of all its rows, so
 a group with a third of all rows costs its owner one entry per map task.  A single hash cannot be
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.llm import common
@@ -32,27 +36,34 @@ from gaugework.llm import common
 MOST_BITS, CAPACITY = 12, 500
 #: Bytes of text that a map task holds while it combines copies.
 COMBINE_BYTES = 24_000_000
-INDEX = "bucket int, hash long, chain int, text_sha256 string, ids array<long>, n long, keep_id long"
+INDEX = "bucket int, hash long, chain int, text_sha256 string, content binary, ids array<long>, n long, keep_id long"
+
 
+def directory(counts: dict[int, int], capacity: int = CAPACITY, most_bits: int = MOST_BITS, buckets: list[int] | None = None) -> tuple[int, list[int]]:
+    """(global depth, bucket of each directory slot) from the row counts of most_bits-bit prefixes.
 
-def directory(counts: dict[int, int], capacity: int = CAPACITY, most_bits: int = MOST_BITS) -> tuple[int, list[int]]:
-    """(global depth, bucket of each directory slot) from the row counts of most_bits-bit prefixes."""
+    A bucket's number is its leading bits below a one, so it names its local depth too: 1 is the one bucket of a new index.
+    buckets: those of an index that exists; they are split further, never merged.
+    """
     table = np.zeros(1 << most_bits, dtype=np.int64)
     for prefix, n in counts.items():
         table[prefix] = n
     sums = np.concatenate([[0], np.cumsum(table)])
-    depth, buckets, full = 0, [], [(0, 0)]  # a bucket: (local depth, its own leading bits)
+    done, full = [], list(buckets or [1])
     while full:
-        local, bits = full.pop()
-        shift = most_bits - local
+        bucket = full.pop()
+        local = bucket.bit_length() - 1
+        bits, shift = bucket - (1 << local), most_bits - local
         if local < most_bits and sums[(bits + 1) << shift] - sums[bits << shift] > capacity:
-            depth = max(depth, local + 1)  # a bucket that uses all of the directory's bits doubles it
-            full += [(local + 1, bits << 1 | 1), (local + 1, bits << 1)]
+            full += [bucket << 1 | 1, bucket << 1]
         else:
-            buckets.append((local, bits))
-    slots: list[int] = []
-    for number, (local, _) in enumerate(buckets):  # in the order of their bits
-        slots += [number] * (1 << (depth - local))
+            done.append(bucket)
+    depth = max(b.bit_length() - 1 for b in done)  # a bucket that uses more bits than the directory has doubles it
+    slots = [0] * (1 << depth)
+    for bucket in done:
+        shift = depth - bucket.bit_length() + 1
+        first = (bucket << shift) - (1 << depth)
+        slots[first : first + (1 << shift)] = [bucket] * (1 << shift)
     return depth, slots
 
 
@@ -62,7 +73,7 @@ def _combine(batches: Iterator[pa.RecordBatch], depth: int, slots: np.ndarray) -
     size = 0
     for rows in batches:
         hashes = rows.column(0).to_numpy(zero_copy_only=False)
-        buckets = slots[(hashes.view(np.uint64) >> np.uint64(64 - depth)).astype(np.int64)] if depth else np.zeros(len(hashes), dtype=np.int64)
+        buckets = slots[(hashes.view(np.uint64) >> np.uint64(64 - depth)).astype(np.int64)] if depth else np.full(len(hashes), slots[0])
         for slot, h, doc, text in zip(buckets.tolist(), hashes.tolist(), rows.column(1).to_pylist(), rows.column(2).to_pylist()):
             ids = held.get((h, text))
             if ids is None:
@@ -70,6 +81,7 @@ def _combine(batches: Iterator[pa.RecordBatch], depth: int, slots: np.ndarray) -
                 size += len(text) + 200
             else:
                 ids.append(doc)
+                size += 16
         if size > COMBINE_BYTES:
             yield from _flush(held)
             held, size = {}, 0
@@ -92,48 +104,96 @@ def _flush(held: dict) -> Iterator[pa.RecordBatch]:
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """An owner's rows come ordered by (bucket, hash): it holds one hash's chain at a time."""
+    """An owner's rows (bucket, hash, content, ids, chain, text_sha256) come ordered by bucket and hash, those of the index
+    first and by chain: it holds one hash's chain at a time.  A text's first entry carries its content."""
     now, chain = None, []
     for rows in batches:
         out: list[tuple] = []
-        for bucket, h, content, ids in zip(*(rows.column(i).to_pylist() for i in range(4))):
+        for bucket, h, content, ids, number, digest in zip(*(rows.column(i).to_pylist() for i in range(6))):
             if (bucket, h) != now:
                 now, chain = (bucket, h), []
-            for number, (have, digest) in enumerate(chain):
-                if have == content:
-                    break
+            first = False
+            if number is None:
+                for number, (have, digest) in enumerate(chain):
+                    if have == content:
+                        break
+                else:
+                    number, digest, first = len(chain), hashlib.sha256(content).hexdigest(), True
             else:
-                number, digest = len(chain), hashlib.sha256(content).hexdigest()
+                first = number == len(chain)
+            if first:
                 chain.append((content, digest))
             known = [i for i in ids if i is not None]
-            out.append((bucket, h, number, digest, ids, len(ids), max(known) if known else None))
-        c = list(zip(*out)) or [()] * 7
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], names=["bucket", "hash", "chain", "text_sha256", "ids", "n", "keep_id"])
+            out.append((bucket, h, number, digest, content if first else None, ids, len(ids), max(known) if known else None))
+        c = list(zip(*out)) or [()] * 8
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], names=[x.split()[0] for x in INDEX.split(", ")])
+
+
+_ROWS = "bucket int, hash long, content binary, ids array<long>, chain int, text_sha256 string"
 
 
 def build_index(docs: DataFrame, path: str, normalise=None) -> DataFrame:
     """Writes the index of docs (doc_id, text) to path, one entry per text and map task; returns it."""
+    return _add(docs, path, normalise, {}, 0)
+
+
+def extend_index(docs: DataFrame, path: str, normalise=None) -> DataFrame:
+    """Adds docs as a new batch to the index at path; returns the whole index."""
+    spark = docs.sparkSession
+    last = max(r["gen"] for r in spark.read.parquet(f"{path}/directory").select("gen").distinct().collect())
+    generation = {r["bucket"]: r["of"] for r in spark.read.parquet(f"{path}/directory").where(F.col("gen") == last).select("bucket", "of").distinct().collect()}
+    return _add(docs, path, normalise, generation, last + 1)
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of every bucket's own generation."""
+    slots = spark.read.parquet(f"{path}/directory")
+    last = slots.agg(F.max("gen")).first()[0]
+    live = slots.where(F.col("gen") == last).select("bucket", F.col("of").alias("gen")).distinct()  # at most 2^20 rows
+    return spark.read.parquet(f"{path}/buckets").join(F.broadcast(live), ["bucket", "gen"], "left_semi").drop("gen")
+
+
+def _add(docs: DataFrame, path: str, normalise, generation: dict[int, int], gen: int) -> DataFrame:
     spark = docs.sparkSession
     common.prepare(spark)
     text: Column = common.text_or_empty() if normalise is None else F.coalesce(normalise(F.col("text")), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.cast("binary").alias("content")).withColumn("hash", F.xxhash64("content"))
     n_tasks = common.shuffle_partitions(spark)
-    bits = max(MOST_BITS, min(20, (64 * n_tasks - 1).bit_length()))
-    prefix = F.shiftrightunsigned("hash", 64 - bits).cast("int")
-    counts = {r["p"]: r["n"] for r in rows.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}  # at most 2^20 rows
-    depth, slots = directory(counts, max(CAPACITY, sum(counts.values()) // (16 * n_tasks)), bits)
+    bits = max(MOST_BITS, min(20, (64 * n_tasks - 1).bit_length()), *(b.bit_length() - 1 for b in generation))
+    prefix = F.shiftrightunsigned("hash", 64 - bits).cast("int").alias("p")
+    new = {r["p"]: r["n"] for r in rows.groupBy(prefix).agg(F.count("*").alias("n")).collect()}  # at most 2^20 rows
+    old = open_index(spark, path) if generation else None
+    counts = dict(new)
+    for r in old.groupBy(prefix).agg(F.sum("n").alias("n")).collect() if generation else ():
+        counts[r["p"]] = counts.get(r["p"], 0) + r["n"]
+    depth, slots = directory(counts, max(CAPACITY, sum(counts.values()) // (16 * n_tasks)), bits, sorted(generation))
+    touched = {slots[p >> (bits - depth)] for p in new}
+    live = {b: generation.get(b, gen) if b not in touched else gen for b in set(slots)}
     table = np.array(slots, dtype=np.int32)
-    combined = rows.select("hash", "doc_id", "content").mapInArrow(lambda it: _combine(it, depth, table), "bucket int, hash long, content binary, ids array<long>")
+    owned = rows.select("hash", "doc_id", "content").mapInArrow(lambda it: _combine(it, depth, table), "bucket int, hash long, content binary, ids array<long>")
+    owned = owned.select("*", F.lit(None).cast("int").alias("chain"), F.lit(None).cast("string").alias("text_sha256"))
+    if generation:  # what the rewritten buckets held
+        names = spark.createDataFrame([(i, b) for i, b in enumerate(slots) if live[b] == gen], "slot int, to int")
+        slot = F.shiftrightunsigned("hash", 64 - depth).cast("int") if depth else F.lit(0)
+        held = old.withColumn("slot", slot).join(F.broadcast(names), "slot")  # at most 2^20 rows
+        owned = owned.unionByName(held.select(F.col("to").alias("bucket"), "hash", "content", "ids", "chain", "text_sha256"))
     # Owners: a bucket's key range stays in one task, many buckets to a task.
-    owned = combined.repartition(n_tasks, "bucket").sortWithinPartitions("bucket", "hash")
-    return common.materialize(owned.mapInArrow(_own, INDEX), "exact-index", path)
+    order = ["bucket", "hash", F.col("chain").asc_nulls_last(), F.col("content").isNull()]
+    owned = owned.repartition(n_tasks, "bucket").sortWithinPartitions(*order)
+    common.materialize(owned.mapInArrow(_own, INDEX), "exact-index", f"{path}/buckets/gen={gen}")
+    kept = spark.createDataFrame([(i, b, live[b]) for i, b in enumerate(slots)], "slot int, bucket int, of int")
+    kept.coalesce(1).write.mode("overwrite").parquet(f"{path}/directory/gen={gen}")
+    return open_index(spark, path)
 
 
 def exact_groups(docs: DataFrame, path: str | None = None, normalise=None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
-    index = build_index(docs, path or common.scratch_path(spark, "exact-index"), normalise)
+    return groups_of(build_index(docs, path or common.scratch_path(docs.sparkSession, "exact-index"), normalise))
+
+
+def groups_of(index: DataFrame) -> DataFrame:
+    """One row per row of an index: doc_id, keep_id, group_size, kept, text_sha256."""
     totals = index.groupBy("bucket", "hash", "chain").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     placed = index.select("bucket", "hash", "chain", "text_sha256", "ids").join(totals, ["bucket", "hash", "chain"])
     return placed.select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", "text_sha256").select(

@@ -12,9 +12,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gaugework.llm import common, packing, toxicity
+from gaugework.llm import common, exact_dedup, packing, toxicity
 from gaugework.llm.decontaminate import contaminated_pairs, keep_uncontaminated
-from gaugework.llm.exact_dedup import directory, exact_groups, keep_one_of_equals
+from gaugework.llm.exact_dedup import build_index, directory, exact_groups, extend_index, groups_of, keep_one_of_equals
 from gaugework.llm.html_text import extract_pages, main_text, page_lines
 from gaugework.llm.line_dedup import Runs, _sorted_scans, drop_frequent_lines
 from gaugework.llm.ngram_join import keep_one_per_component, links, ngram_components
@@ -504,8 +504,36 @@ def test_exact_dedup(spark):
 
 def test_directory_splits_and_doubles():
     depth, slots = directory({0: 10, 1: 1, 2: 1, 3: 1}, capacity=5, most_bits=2)
-    assert depth == 2 and slots[0] != slots[1] and slots[2] == slots[3]
-    assert directory({}, 5, 4) == (0, [0])
+    assert depth == 2 and slots == [4, 5, 3, 3]
+    assert directory({}, 5, 4) == (0, [1])
+    assert directory({0: 10, 1: 1, 2: 9, 3: 1}, 5, 2, [4, 5, 3]) == (2, [4, 5, 6, 7])
+
+
+def test_exact_index_takes_a_second_batch(spark, tmp_path, monkeypatch):
+    """Buckets split and the directory doubles when a second batch opens the stored index."""
+    monkeypatch.setattr(exact_dedup, "CAPACITY", 8)
+    path = f"file://{tmp_path}/index"
+    one = [(i, f"text {i % 40}") for i in range(60)]
+    two = [(100 + i, f"text {i}") for i in range(300)] + [(None, "text 3"), (999, None)]
+    build_index(table(spark, one), path)
+    before = {r["bucket"] for r in spark.read.parquet(f"{path}/directory").collect()}
+    got = groups_of(extend_index(table(spark, two), path)).collect()
+    slots = spark.read.parquet(f"{path}/directory").where("gen = 1").collect()
+    assert len({r["bucket"] for r in slots}) > len(before) and len(slots) > len(before)
+    third = groups_of(extend_index(table(spark, [(2000, "text 3")]), path)).collect()
+    assert {r["of"] for r in spark.read.parquet(f"{path}/directory").where("gen = 2").collect()} == {1, 2}  # one bucket was written anew
+    for rows, found in ((one + two, got), ([*one, *two, (2000, "text 3")], third)):
+        wanted = {}
+        for i, t in rows:
+            wanted.setdefault(t or "", []).append(i)
+        have = {}
+        for r in found:
+            have.setdefault(r["text_sha256"], []).append(r)
+        assert len(have) == len(wanted)
+        for t, ids in wanted.items():
+            some = have[hashlib.sha256(t.encode()).hexdigest()]
+            assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in some) == sorted((i is None, i or 0) for i in ids)
+            assert {(r["keep_id"], r["group_size"]) for r in some} == {(max(i for i in ids if i is not None), len(ids))}
 
 
 def brute_lines(rows, least, shortest):
