@@ -235,6 +235,51 @@ def cross_validated_cutpoints(rows: DataFrame, folds: DataFrame, task: str, n_fo
     return out.drop("low", "high")
 
 
+def cross_validated_gates(rows: DataFrame, n_folds: int, presence: str, completeness: str) -> DataFrame:
+    """(fold 0 .. n_folds - 1, target, two scores) -> every row with the label of the gates fitted to the other folds; one fit per fold.
+
+    A row without a score has no label; a fold whose training rows are none has no rows in the result.
+    """
+    out = None
+    for f in range(n_folds):
+        gates = fit_gates(rows.where(F.col("fold") != f), presence, completeness).select("presence_cut", "completeness_cut")
+        part = rows.where(F.col("fold") == f).crossJoin(F.broadcast(gates))  # one row
+        part = part.withColumn("calibrated", S.label_by_gates(F.col(presence), F.col(completeness), F.col("presence_cut"), F.col("completeness_cut")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def calibrated_units(units: DataFrame, lines: DataFrame, by: list[str], score: str = "score") -> DataFrame:
+    """Units with raw_score, and score and calibration_std by their group's line (bayesian_line), kept within 1..5.
+
+    Units that are not valid, have no score or no line keep their score.
+    """
+    held = units.join(F.broadcast(lines.select(*by, "intercept", "slope", "noise_std", "mean_x", "slope_std")), by, "left")  # a row per rubric
+    use = F.col("valid") & F.col(score).isNotNull() & F.col("slope").isNotNull()
+    fitted = F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.col("intercept") + F.col("slope") * F.col(score)))
+    spread = F.sqrt(F.col("noise_std") ** 2 + ((F.col(score) - F.col("mean_x")) * F.col("slope_std")) ** 2)
+    out = held.withColumns({"raw_score": F.when(use, F.col(score)), "calibration_std": F.when(use, spread), "_fitted": F.when(use, fitted)})
+    return out.withColumn(score, F.coalesce("_fitted", score)).drop("_fitted", "intercept", "slope", "noise_std", "mean_x", "slope_std")
+
+
+def comparators_out_of_fold(rows: DataFrame, by: list[str], fold: str, x: str = "judge_raw", y: str = "human") -> DataFrame:
+    """Rows with base, bias and score_linear: the raw score, with the other folds' mean error added, and by their regression line.
+
+    A group's sums less those of the fold give the fits, so rows meet once.  Without a slope (one distinct x) the line is
+    the bias; a group of a single fold has neither.
+    """
+    good = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    parts = {"n": F.count("*"), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(F.col(x) * F.col(x)), "sxy": F.sum(F.col(x) * F.col(y))}
+    own = good.groupBy(*by, fold).agg(*(c.cast("double").alias(f"_{k}") for k, c in parts.items()))
+    whole = own.withColumns({f"_o{k}": F.sum(f"_{k}").over(Window.partitionBy(*by)) - F.col(f"_{k}") for k in parts})
+    n, sx, sy, sxx, sxy = (F.col(f"_o{k}") for k in parts)
+    spread = n * sxx - sx * sx
+    slope = F.when((n > 0) & (spread > 1e-9), (n * sxy - sx * sy) / spread).when(n > 0, 1.0)
+    fits = whole.withColumns({"_slope": slope, "_bias": F.when(n > 0, (sy - sx) / n)}).withColumn("_cut", F.when(n > 0, (sy - F.col("_slope") * sx) / n))
+    z = good.join(fits.select(*by, fold, "_slope", "_bias", "_cut"), [*by, fold])
+    return z.withColumns({"base": F.col(x), "bias": F.col(x) + F.col("_bias"), "score_linear": F.col("_cut") + F.col("_slope") * F.col(x)}).drop("_slope", "_bias", "_cut")
+
+
 def observation_weights(rows: DataFrame, item: str) -> DataFrame:
     """Each of an item's observations weighs one over their number."""
     return rows.withColumn("weight", 1 / F.count("*").over(Window.partitionBy(item)))

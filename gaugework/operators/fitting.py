@@ -84,6 +84,50 @@ def grow_tree(x: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, least: fl
     }
 
 
+def paired_bootstrap(rows: DataFrame, by: list[str], unit: str, left: str, right: str, draws: int = 1000, seed: int = 44) -> DataFrame:
+    """by..., n_units, mean, low, high of right - left, over resampled units (bootstrap_mean); rows without both are left out."""
+    return bootstrap_mean(rows.withColumn("_difference", F.col(right) - F.col(left)), by, unit, "_difference", draws, seed)
+
+
+def predict_tree(tree: dict, x: np.ndarray) -> np.ndarray:
+    if "feature" not in tree:
+        return np.full(len(x), tree["value"])
+    return np.where(x[:, tree["feature"]] <= tree["cut"], predict_tree(tree["left"], x), predict_tree(tree["right"], x))
+
+
+def tree_grid(rows: DataFrame, fold: str, feature_sets: dict[str, list[str]], depths: list[int], least: list[float], target: str) -> DataFrame:
+    """One row per (feature set, depth, least leaf weight): the out-of-fold mean absolute error of its trees, and its rank.
+
+    Ties go to fewer features, shallower trees and heavier leaves.  Equal rows are counted first; a configuration's folds
+    are fitted in one task over the distinct rows.
+    """
+    from pyspark.sql import Window
+
+    share_package(rows.sparkSession)
+    features = sorted({f for fs in feature_sets.values() for f in fs})
+    cells = weighted_rows(rows, [fold], features, target).withColumnRenamed(fold, "_fold")
+    plans = [(name, len(fs), d, float(m)) for name, fs in feature_sets.items() for d in depths for m in least]
+    configs = rows.sparkSession.createDataFrame(plans, "features string, n_features int, depth int, least double")
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        name, n, depth, most = key
+        names = feature_sets[name]
+        part = part.sort_values(["_fold", *features, target])
+        x, y, w, f = part[names].to_numpy(float), part[target].to_numpy(float), part["weight"].to_numpy(float), part["_fold"].to_numpy()
+        error = 0.0
+        for one in np.unique(f):
+            train = f != one
+            if train.any():
+                tree = grow_tree(x[train], y[train], w[train], depth, most, np.ones(len(names)))
+                error += float((w[~train] * np.abs(predict_tree(tree, x[~train]) - y[~train])).sum())
+        return pd.DataFrame([(name, n, depth, most, error / w.sum())], columns=["features", "n_features", "depth", "least", "mae"])
+
+    kind = "features string, n_features int, depth int, least double, mae double"
+    rated = cells.crossJoin(F.broadcast(configs)).groupBy("features", "n_features", "depth", "least").applyInPandas(fit, kind)  # distinct rows x configurations
+    order = [F.round("mae", 9), "n_features", "depth", F.desc("least"), "features"]
+    return rated.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # a row per configuration
+
+
 def l1_tree(rows: DataFrame, by: list[str], features: list[str], target: str, depth: int = 2, least: float = 2.0, importance: dict[str, float] | None = None) -> DataFrame:
     """by..., tree (JSON): a small tree per group; fitted to distinct rows with weights."""
     share_package(rows.sparkSession)
@@ -166,7 +210,7 @@ def bootstrap_metric(pairs: DataFrame, by: list[str], unit: str, metric, x: str
 
 
 def bayesian_line(rows: DataFrame, by: list[str], x: str, y: str, steps: int = 300, tolerance: float = 1e-3) -> DataFrame:
-    """by..., n, intercept, slope, noise_std: a line whose slope's prior and noise are set by evidence maximisation.
+    """by..., n, intercept, slope, noise_std, mean_x, slope_std: a line whose slope's prior and noise are set by evidence maximisation.
 
     Only a group's sums enter the fit, so its rows are aggregated first.
     """
@@ -191,7 +235,7 @@ def bayesian_line(rows: DataFrame, by: list[str], x: str, y: str, steps: int = 3
                     moved, slope = abs(new - slope), new
                     if moved < tolerance:
                         break
-                out.append((*(r[c] for c in by), n, r["my"] - slope * r["mx"], slope, noise**-0.5))
-            yield pd.DataFrame(out, columns=[*by, "n", "intercept", "slope", "noise_std"])
+                out.append((*(r[c] for c in by), n, r["my"] - slope * r["mx"], slope, noise**-0.5, r["mx"], (prior + noise * sxx) ** -0.5))
+            yield pd.DataFrame(out, columns=[*by, "n", "intercept", "slope", "noise_std", "mean_x", "slope_std"])
 
-    return sums.mapInPandas(fit, f"{_kinds(sums, by)}n long, intercept double, slope double, noise_std double")
+    return sums.mapInPandas(fit, f"{_kinds(sums, by)}n long, intercept double, slope double, noise_std double, mean_x double, slope_std double")

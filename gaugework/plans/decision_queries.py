@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugework.functions import scoring as S
-from gaugework.operators import calibration, fitting, sampling
+from gaugework.operators import calibration, fitting, sampling, splits
 from gaugework.operators import classification as C
 from gaugework.plans import tables as T
 from gaugework.plans.registry import query
@@ -365,7 +365,14 @@ def clean_holdout(spark, sf):
     return c.join(c.where("ordinal_score < 10").select("task_uid").distinct(), "task_uid", "left_anti").select("item_id")
 
 
-@query()
+@query(
+    W("aligned") + """, z AS (SELECT dimension, human AS y, judge_raw AS a, (item_id % 7)::DOUBLE AS b FROM aligned WHERE human IS NOT NULL AND judge_raw IS NOT NULL),
+    m AS (SELECT dimension, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, CASE WHEN stddev_pop(a) < 1e-12 THEN 1 ELSE stddev_pop(a) END AS sa, CASE WHEN stddev_pop(b) < 1e-12 THEN 1 ELSE stddev_pop(b) END AS sb,
+      var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS cab, covar_pop(a, y) AS cay, covar_pop(b, y) AS cby FROM z GROUP BY 1),
+    g AS (SELECT *, n * va / (sa * sa) + 1 AS p, n * cab / (sa * sb) AS q, n * vb / (sb * sb) + 1 AS r, n * cay / sa AS u, n * cby / sb AS v FROM m),
+    s AS (SELECT *, (r * u - q * v) / (p * r - q * q) / sa AS c_judge, (p * v - q * u) / (p * r - q * q) / sb AS c_late FROM g) SELECT dimension, n, my - ma * c_judge - mb * c_late AS intercept, c_judge, c_late FROM s""",
+    "intercept c_judge c_late", "dimension n",
+)
 def ridge_fit(spark, sf):
     z = T.aligned(spark, sf).withColumn("late", (F.col("item_id") % 7).cast("double"))
     return fitting.ridge(z, ["dimension"], ["judge_raw", "late"], "human").select("dimension", "n", "intercept", F.col("coefficients")[0].alias("c_judge"), F.col("coefficients")[1].alias("c_late"))
@@ -427,7 +434,19 @@ def bootstrap_spearman(spark, sf):
     return fitting.bootstrap_metric(T.aligned(spark, sf), ["dimension"], "item_id", agreement.spearman, draws=1000)
 
 
-@query()
+_LINES = """, z AS (SELECT rubric_id, score::DOUBLE AS x, duration_seconds::DOUBLE AS y FROM units WHERE valid AND score IS NOT NULL AND duration_seconds IS NOT NULL),
+    m AS (SELECT rubric_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, count(*) * var_pop(x) AS sxx, count(*) * covar_pop(x, y) AS sxy, count(*) * var_pop(y) AS syy, var_pop(y) AS vy FROM z GROUP BY 1),
+    it AS (SELECT rubric_id, 0 AS step, 1 / (vy + 1e-10) AS noise, 1.0::DOUBLE AS prior, 0.0::DOUBLE AS slope, 1e9::DOUBLE AS moved FROM m UNION ALL
+      SELECT rubric_id, step + 1, (n - used + 2e-6) / (greatest(0, syy - 2 * new * sxy + new * new * sxx) + 2e-6), (used + 2e-6) / (new * new + 2e-6), new, abs(new - slope) FROM
+      (SELECT it.*, m.*, noise * sxy / (prior + noise * sxx) AS new, noise * sxx / (prior + noise * sxx) AS used FROM it JOIN m USING (rubric_id) WHERE step < 300 AND moved >= 1e-3)),
+    l AS (SELECT rubric_id, n, my - slope * mx AS intercept, slope, noise ** -0.5 AS noise_std, mx AS mean_x, (prior + noise * sxx) ** -0.5 AS slope_std FROM it JOIN m USING (rubric_id) QUALIFY step = max(step) OVER (PARTITION BY rubric_id))"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_recursive(W("units") + _LINES + "SELECT * FROM l"), "intercept slope noise_std mean_x slope_std", "rubric_id n")
 def unit_lines(spark, sf):
     z = T.units(spark, sf).where("valid")
     return fitting.bayesian_line(z, ["rubric_id"], "score", "duration_seconds")
@@ -436,3 +455,92 @@ def unit_lines(spark, sf):
 @query(W("classes") + "SELECT item_id, 1.0 / count(*) OVER (PARTITION BY task_uid) AS weight, (lang = 'en')::INT::DOUBLE AS is_en, (lang = 'de')::INT::DOUBLE AS is_de FROM classes", "weight is_en is_de", "item_id")
 def observation_weights(spark, sf):
     return calibration.one_hot(calibration.observation_weights(T.classes(spark, sf), "task_uid"), "lang", ["en", "de"], "is_").select("item_id", "weight", "is_en", "is_de")
+
+
+@query(
+    _recursive(W("units") + _LINES + """SELECT item_id, rubric_id, unit_id, CASE WHEN ok THEN greatest(1, least(5, intercept + slope * score)) ELSE score END AS score, CASE WHEN ok THEN score END AS raw_score, CASE WHEN ok THEN sqrt(noise_std ** 2 + ((score - mean_x) * slope_std) ** 2) END AS calibration_std
+    FROM (SELECT u.*, l.* EXCLUDE (rubric_id), valid AND score IS NOT NULL AND slope IS NOT NULL AS ok FROM units u LEFT JOIN l USING (rubric_id))"""),
+    "score raw_score calibration_std", "item_id rubric_id unit_id:i",
+)
+def calibrated_units(spark, sf):
+    units = T.units(spark, sf)
+    lines = fitting.bayesian_line(units.where("valid"), ["rubric_id"], "score", "duration_seconds")
+    return calibration.calibrated_units(units, lines, ["rubric_id"]).select("item_id", "rubric_id", "unit_id", "score", "raw_score", "calibration_std")
+
+
+@query(
+    W("aligned") + """, z AS (SELECT *, item_id % 5 AS fold FROM aligned WHERE human IS NOT NULL AND judge_raw IS NOT NULL), o AS (SELECT dimension, f.fold, count(*)::DOUBLE AS n, sum(judge_raw) AS sx, sum(human) AS sy, sum(judge_raw ** 2) AS sxx, sum(judge_raw * human) AS sxy FROM z JOIN (SELECT DISTINCT dimension, fold FROM z) f USING (dimension) WHERE z.fold <> f.fold GROUP BY 1, 2),
+    l AS (SELECT *, CASE WHEN n * sxx - sx * sx > 1e-9 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) ELSE 1 END AS slope, (sy - sx) / n AS b FROM o),
+    p AS (SELECT dimension, item_id, human, judge_raw AS base, judge_raw + b AS bias, (sy - slope * sx) / n + slope * judge_raw AS score_linear FROM z JOIN l USING (dimension, fold)), e AS (SELECT dimension, item_id, unnest(['base', 'bias', 'score_linear']) AS predictor, unnest([abs(base - human), abs(bias - human), abs(score_linear - human)]) AS e FROM p)
+    SELECT dimension, predictor, count(*) AS n_items, avg(e) AS mae FROM e GROUP BY 1, 2""",
+    "mae", "dimension predictor n_items",
+)
+def out_of_fold_comparators(spark, sf):
+    z = T.aligned(spark, sf).withColumn("fold", F.col("item_id") % 5)
+    p = calibration.comparators_out_of_fold(z, ["dimension"], "fold")
+    long = p.unpivot(["dimension", "item_id", "human"], ["base", "bias", "score_linear"], "predictor", "value")
+    items = long.groupBy("dimension", "predictor", "item_id").agg(F.avg(F.abs(F.col("value") - F.col("human"))).alias("e"))
+    return items.groupBy("dimension", "predictor").agg(F.count("*").alias("n_items"), F.avg("e").alias("mae"))
+
+
+_GATES = (
+    W("classes") + """, s AS (SELECT item_id, task_uid % 3 AS fold, ordinal_score AS p, second_score AS c, target FROM classes), fs AS (SELECT DISTINCT fold AS f FROM s), t AS (SELECT f, p, c, target FROM s JOIN fs ON fold <> f), h AS (SELECT f, p, c, target, count(*) AS n FROM t GROUP BY ALL),
+    pc AS (SELECT DISTINCT f, least(100.000001, p + 1e-6) AS gp FROM t UNION SELECT f, 0.0 FROM fs UNION SELECT f, 100.000001 FROM fs), cc AS (SELECT DISTINCT f, least(100.000001, c + 1e-6) AS gc FROM t UNION SELECT f, 0.0 FROM fs UNION SELECT f, 100.000001 FROM fs),
+    l AS (SELECT f, gp, gc, target, CASE WHEN p < gp THEN 'no' WHEN c < gc THEN 'partial' ELSE 'yes' END AS y, sum(n) AS n FROM pc JOIN cc USING (f) JOIN h USING (f) GROUP BY ALL),
+    m AS (SELECT f, gp, gc, sum(n) AS n, coalesce(sum(n) FILTER (target = y), 0) / sum(n) AS accuracy, """
+    + ", ".join(f"sum(n) FILTER (target = '{x}' AND y = '{x}') AS tp_{x}, sum(n) FILTER (target = '{x}') AS t_{x}, sum(n) FILTER (y = '{x}') AS p_{x}" for x in S.LABELS)
+    + " FROM l GROUP BY 1, 2, 3), g AS (SELECT *, " + ", ".join(f"CASE WHEN t_{x} > 0 AND p_{x} > 0 THEN 2 * coalesce(tp_{x}, 0) / (t_{x} + p_{x}) END AS f_{x}" for x in S.LABELS) + ", "
+    + " AND ".join(f"(t_{x} IS NULL OR coalesce(tp_{x}, 0) / t_{x} + 1e-12 >= 0.1)" for x in S.LABELS)
+    + """ AS kept FROM m), b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY f ORDER BY kept DESC, round((coalesce(f_no, 0) + coalesce(f_partial, 0) + coalesce(f_yes, 0)) / ((f_no IS NOT NULL)::INT + (f_partial IS NOT NULL)::INT + (f_yes IS NOT NULL)::INT), 12) DESC,
+      round(coalesce(f_partial, 0), 12) DESC, round(accuracy, 12) DESC, -abs(gp - 50) - abs(gc - 90) DESC, gp, gc) = 1)
+    SELECT item_id, fold, CASE WHEN p < gp THEN 'no' WHEN c < gc THEN 'partial' ELSE 'yes' END AS calibrated FROM s JOIN b ON fold = f"""
+)
+
+
+@query(_GATES, "", "item_id fold:i calibrated")
+def gate_cross_validation(spark, sf):
+    c = T.classes(spark, sf).withColumn("fold", F.col("task_uid") % 3)
+    return calibration.cross_validated_gates(c, 3, "ordinal_score", "second_score").select("item_id", "fold", "calibrated")
+
+
+@query("SELECT task, CASE WHEN row_number() OVER (ORDER BY sha256('44:' || task), task) <= 40 THEN 'train' ELSE 'test' END AS split FROM (SELECT DISTINCT c_custkey AS task FROM customer)", "", "task split")
+def task_manifest(spark, sf):
+    return splits.task_manifest(T.read(spark, sf, "customer").select(F.col("c_custkey").alias("task")), "task", 40, 44)
+
+
+@query()
+def validation_groups(spark, sf):
+    return splits.validation_groups(T.classes(spark, sf), "task_uid", 0.2, 44)
+
+
+def _cases(spark, sf):
+    return T.classes(spark, sf).select("item_id", "target", "task_uid", F.col("lang").alias("model"), F.col("editor").alias("category"))
+
+
+@query()
+def unique_task_sample(spark, sf):
+    return splits.one_case_per_task(_cases(spark, sf), {"yes": 4, "partial": 5, "no": 4}, 44)
+
+
+@query()
+def unique_task_turns(spark, sf):
+    return splits.one_case_per_task(_cases(spark, sf), {"no": 4, "partial": 4, "yes": 4}, 44, turns=True)
+
+
+@query()
+def paired_difference(spark, sf):
+    hit = lambda c: (F.col("target") == F.coalesce(c, F.lit(""))).cast("double")
+    z = T.classes(spark, sf).withColumns({"a": hit("prediction"), "b": hit("other")})
+    return fitting.paired_bootstrap(z, ["lang"], "task_uid", "a", "b", draws=1000)
+
+
+@query()
+def prompt_trees(spark, sf):
+    z = T.ratings(spark, sf).join(T.judges(spark, sf), "item_id").withColumn("late", (F.col("item_id") % 7).cast("double"))
+    return fitting.l1_tree(z, ["use_case"], ["judge_raw", "late"], "score")
+
+
+@query()
+def tree_grid(spark, sf):
+    z = T.ratings(spark, sf).join(T.judges(spark, sf), "item_id").withColumns({"late": (F.col("item_id") % 7).cast("double"), "fold": F.col("item_id") % 4})
+    return fitting.tree_grid(z, "fold", {"judge": ["judge_raw"], "both": ["judge_raw", "late"]}, [1, 2], [2.0, 8.0], "score")

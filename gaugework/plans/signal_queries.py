@@ -9,7 +9,7 @@ from gaugework.functions import text as X
 from gaugework.functions import vectors as V
 from gaugework.operators import intervals, judging, retrieval, routing
 from gaugework.plans import tables as T
-from gaugework.plans.registry import query
+from gaugework.plans.registry import SQL, query
 from gaugework.sources import state
 from gaugework.streaming import debate, incremental
 
@@ -249,20 +249,26 @@ def resume_anti_join(spark, sf):
 
 @query(
     W("timeline") + """SELECT user_id, list_aggregate(list_transform(range(2, len(s) // 2 + 1), lambda p: s[len(s) - p + 1:len(s)] = s[len(s) - 2 * p + 1:len(s) - p] AND len(list_distinct(s[len(s) - p + 1:len(s)])) > 1), 'bool_or') IS TRUE AS cycles
-    FROM (SELECT user_id, list(event_type ORDER BY event_id) AS s FROM timeline WHERE event_id % 9 < 2 GROUP BY 1)""",
+    FROM (SELECT user_id, list(event_type ORDER BY event_id) AS s FROM timeline GROUP BY 1)""",
     "", "user_id cycles",
 )
 def score_cycles(spark, sf):
-    """The rows that the SQL names: 2 of 9; score_cycles_whole has all."""
-    return intervals.trailing_cycles(T.timeline(spark, sf).where("event_id % 9 < 2"), "user_id", "event_id", "event_type")
+    return intervals.trailing_cycles(T.timeline(spark, sf), "user_id", "event_id", "event_type")
 
 
-@query()
+@query(SQL["score_cycles"].split(" FROM (", 1)[1][:-1], "", "user_id cycles")
 def score_cycles_whole(spark, sf):
     return intervals.trailing_cycles(T.timeline(spark, sf), "user_id", "event_id", "event_type")
 
 
-@query()
+@query(
+    """WITH c AS (SELECT conv_id, turn AS round, (1 + length(text) % 5)::DOUBLE AS score FROM conversations WHERE text IS NOT NULL AND turn <= 6),
+    z AS (SELECT *, abs(score - lag(score) OVER w) AS moved, list(score) OVER (PARTITION BY conv_id ORDER BY round ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS s FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY round)),
+    r AS (SELECT *, CASE WHEN moved < 0.5 THEN 'stable' WHEN len(list_filter(range(2, len(s) // 2 + 1), lambda p: s[len(s) - p + 1:len(s)] = s[len(s) - 2 * p + 1:len(s) - p] AND len(list_distinct(s[len(s) - p + 1:len(s)])) > 1)) > 0 THEN 'cycle' END AS reason FROM z),
+    e AS (SELECT conv_id, count(*) AS rounds, min(round) FILTER (reason IS NOT NULL) AS stop, max(round) AS last FROM r GROUP BY 1)
+    SELECT e.conv_id, rounds, r.score AS final_score, r.round AS stop_round, coalesce(reason, CASE WHEN last >= 6 THEN 'max_rounds' ELSE 'open' END) AS stop_reason FROM e JOIN r ON r.conv_id = e.conv_id AND r.round = coalesce(stop, last)""",
+    "final_score", "conv_id rounds stop_round:i stop_reason",
+)
 def debate_convergence(spark, sf):
     c = T.read(spark, sf, "conversations").select("conv_id", F.col("turn").alias("round"), (1 + F.char_length("text") % 5).cast("double").alias("score"))
     return debate.convergence(c, ["conv_id"], 0.5, 6)
@@ -297,7 +303,10 @@ def snapshot_report(spark, sf):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"), F.avg("value").alias("mean_value"))
 
 
-@query()
+@query(
+    """SELECT item_id, 1.0 + list_sum(list_transform(range(1, 9), lambda i: (instr('0123456789abcdef', h[i]) - 1) * (16 ** (8 - i))::BIGINT))::BIGINT % 5 AS judge_raw, TRUE AS valid FROM (SELECT item_id, sha256('Rate from 1 to 5: ' || text) AS h FROM benchmark)""",
+    "judge_raw", "item_id valid",
+)
 def fake_judge(spark, sf):
     b = T.read(spark, sf, "benchmark")
     return judging.judge(b, "item_id", "Rate from 1 to 5: {text}", {"text": "text"}, judging.HashEngine).select("item_id", "judge_raw", "valid")
