@@ -1,47 +1,31 @@
 """Token ids of whole texts, word by word where that gives exactly what the library gives.
 
 The two BPE tokenizer files split a text before their merges, never across a space that a non-space
-follows.  So each distinct word is encoded once per worker and a text's ids are joined from bytes.
-Words of printable ASCII and Latin letters are cut by the file's own pattern and merged by the
-library's model; any other word goes through the library's whole encode().  A text in which a cut
-could change the ids, and any tokenizer file of another form, is encoded whole.
+follows.  So each distinct word is encoded once per worker, by the library's encode(), and
+a text's ids are gathered from a table in numpy.  A text in which a cut could change the ids (white space after white
+space), and any tokenizer file of another form, is encoded whole.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import os
 import re
+from itertools import chain
 
 import numpy as np
 
-#: Entries that a worker keeps; beyond them it starts anew.
-MOST_WORDS = 400_000
-_PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*")
-_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-# The pattern of byte-level BPE files, and that of the files that drop white space.
-_BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
-_WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+")
-_AMBIGUOUS = re.compile(r"[ \n](?=\s)|\x01")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The printable stand-in of each byte in byte-level vocabularies."""
-    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    moved = [b for b in range(256) if b not in set(kept)]
-    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
-
+from gaugework.llm.word_hash import mix, powers
 
-class _Known(dict):
-    """Values by word; a word that is asked for first is made then."""
-
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: str):
-        value = self[word] = self.make(word)
-        return value
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+_U = np.uint64
+_BASE = 0xA0761D6478BD642F
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTES = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, size=256, dtype=np.uint64) * _U(2) + _U(1)
+#: Entries that a worker keeps; beyond them it starts anew.  Letters that are looked up at a time.
+MOST_WORDS, CHUNK = 2_000_000, 1_500_000
+_AMBIGUOUS = re.compile(r"[ \n](?=\s)|\x01")
 
 
 class IdEncoder:
@@ -64,44 +48,148 @@ class IdEncoder:
             self.kind = "word"
         if not all(re.fullmatch(r"<\|\w+\|>", x["content"]) for x in spec["added_tokens"]):
             self.kind = "whole"
-        self.letters = _byte_letters()
-        self.words, self.pieces = _Known(self._word), _Known(self._piece)
+        self.table = _WordTable(self._segments, self.dtype)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], dtype=self.dtype).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if self.kind == "byte":
-            word = word[1:] if word[:1] == "\x01" else f" {word}"
-        if "<|" in word or not _PLAIN.fullmatch(word):
-            return self.whole(word)
-        if len(self.pieces) > MOST_WORDS:
-            self.pieces.clear()
-        found = _BYTE_LEVEL.findall(word) if self.kind == "byte" else _WORD_LEVEL.findall(word.lower())
-        return b"".join(map(self.pieces.__getitem__, found))
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
+        if self.kind == "whole":
+            return [self.whole(text) if text else b"" for text in texts]
+        out: list[bytes | None] = [None] * len(texts)
+        cut, size = [], 0
+        for i, text in enumerate(texts):
             if not text:
-                out.append(b"")
-                continue
-            if self.kind == "byte" and not _AMBIGUOUS.search(text):
-                words = ("\x01" + text.replace("\n", "\n \x01")).split(" ")
-            elif self.kind == "word":
-                words = text.replace("\n", " ").split(" ")
+                out[i] = b""
+            elif self.kind == "byte" and _AMBIGUOUS.search(text):
+                out[i] = self.whole(text)
             else:
-                out.append(self.whole(text))
-                continue
-            if len(self.words) > MOST_WORDS:
-                self.words.clear()
-            out.append(b"".join(map(self.words.__getitem__, words)))
+                cut.append(i)
+                size += len(text)
+            if cut and (size > CHUNK or i + 1 == len(texts)):
+                for j, ids in zip(cut, self._by_words([texts[j].encode() for j in cut])):
+                    out[j] = ids
+                cut, size = [], 0
+        if cut:
+            for j, ids in zip(cut, self._by_words([texts[j].encode() for j in cut])):
+                out[j] = ids
         return out
 
+    def _by_words(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts cut before every space (and, where white space is dropped, line feed, else after it)."""
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        begin = data == 32
+        feeds = data == 10
+        if self.kind == "word":
+            begin |= feeds
+        else:
+            begin[1:] |= feeds[:-1]
+        begin[0] = True
+        begin[ends[:-1]] = True
+        start = np.flatnonzero(begin)
+        stop = np.append(start[1:], len(data))
+        lengths, first, flat = self.table.find(data, start, stop)
+        tokens = np.concatenate([[0], np.cumsum(lengths)])
+        ids = flat[np.repeat(first - tokens[:-1], lengths) + np.arange(tokens[-1])].tobytes()
+        bounds = tokens[np.searchsorted(start, np.concatenate([[0], ends]))] * self.dtype.itemsize
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+    def _segments(self, segments: list[bytes]) -> list[list[int]]:
+        """The ids of words as cut: with the space before them, and the line feed after them."""
+        words = [x.decode() for x in segments]
+        if self.kind == "word":
+            words = [x[1:] if x[:1] in (" ", "\n") else x for x in words]
+        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+
+class _WordTable:
+    """Ids by word, in arrays: words are found by a hash of their bytes and told apart by length and the bytes at both ends.
+
+    A word of up to 16 bytes is compared whole; a longer one needs an equal 64-bit hash besides.  New words are encoded once
+    and join a small sorted part, which joins the large one when it has grown.
+    """
+
+    def __init__(self, make, dtype: np.dtype) -> None:
+        self.make, self.dtype = make, dtype
+        self.clear()
+
+    def clear(self) -> None:
+        none = np.zeros(0, dtype=np.uint64)
+        few = np.zeros(0, dtype=np.int32)
+        self.parts = [(none, few) for _ in range(2)]  # sorted hashes, word numbers
+        self.head, self.tail, self.size = none, none, few
+        self.lengths, self.first, self.flat = few, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=self.dtype)
+
+    def find(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, first token) per word, and the ids that they point to."""
+        n = len(data)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[data] * powers(_BASE, n), out=sums[1:])
+        size = stop - start
+        hashed = mix((sums[stop] - sums[start]) * powers(_INVERSE, n)[start] + size.astype(np.uint64))
+        words, at, of = np.unique(hashed, return_index=True, return_inverse=True)
+        padded = np.concatenate([np.zeros(8, dtype=np.uint8), data, np.zeros(8, dtype=np.uint8)])
+        eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        few = np.minimum(size[at], 8)
+        mask = np.where(few == 8, _U(0xFFFFFFFFFFFFFFFF), (_U(1) << (8 * few).astype(np.uint64)) - _U(1))
+        head = np.ascontiguousarray(eight[start[at] + 8]).view(np.uint64).ravel() & mask
+        tail = np.ascontiguousarray(eight[stop[at]]).view(np.uint64).ravel() >> (8 * (8 - few)).astype(np.uint64)
+        if len(self.size) > MOST_WORDS:
+            self.clear()
+        number = np.full(len(words), -1)
+        for known, numbers in self.parts:
+            if len(known):
+                place = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                hit = np.flatnonzero(known[place] == words)
+                number[hit] = numbers[place[hit]]
+        old = np.flatnonzero(number >= 0)
+        m = number[old]
+        wrong = old[(self.head[m] != head[old]) | (self.tail[m] != tail[old]) | (self.size[m] != size[at[old]])]
+        fresh = np.flatnonzero(number < 0)
+        number[fresh] = self._add(data, start[at[fresh]], stop[at[fresh]], words[fresh], head[fresh], tail[fresh])
+        result = number[of]
+        # Words whose hash is another word's, here or in the table, are looked up one by one.
+        odd = (head[of] != self._ends(eight, start + 8, size, True)) | (tail[of] != self._ends(eight, stop, size, False)) | (size[at][of] != size)
+        odd |= np.isin(of, wrong)
+        for i in np.flatnonzero(odd).tolist():
+            result[i] = self._add(data, start[i : i + 1], stop[i : i + 1], None, None, None)[0]
+        return self.lengths[result].astype(np.int64), self.first[result], self.flat
+
+    @staticmethod
+    def _ends(eight: np.ndarray, at: np.ndarray, size: np.ndarray, head: bool) -> np.ndarray:
+        few = np.minimum(size, 8)
+        values = np.ascontiguousarray(eight[at]).view(np.uint64).ravel()
+        if head:
+            return values & np.where(few == 8, _U(0xFFFFFFFFFFFFFFFF), (_U(1) << (8 * few).astype(np.uint64)) - _U(1))
+        return values >> (8 * (8 - few)).astype(np.uint64)
+
+    def _add(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, hashed, head, tail) -> np.ndarray:
+        """Encodes words and gives their numbers; without a hash they are not kept for later look-ups."""
+        if not len(start):
+            return np.zeros(0, dtype=np.int64)
+        raw = data.tobytes()
+        made = self.make([raw[a:b] for a, b in zip(start.tolist(), stop.tolist())])
+        lengths = np.array([len(x) for x in made], dtype=np.int32)
+        numbers = (len(self.size) + np.arange(len(start))).astype(np.int32)
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(lengths, dtype=np.int64) - lengths])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(made), dtype=self.dtype, count=int(lengths.sum()))])
+        self.lengths, self.size = np.concatenate([self.lengths, lengths]), np.concatenate([self.size, (stop - start).astype(np.int32)])
+        none = np.zeros(len(start), dtype=np.uint64)
+        self.head, self.tail = np.concatenate([self.head, none if head is None else head]), np.concatenate([self.tail, none if tail is None else tail])
+        if hashed is not None:
+            (large, of), (small, its) = self.parts
+            small, its = np.concatenate([small, hashed]), np.concatenate([its, numbers])
+            if 4 * len(small) > len(large):
+                large, of = np.concatenate([large, small]), np.concatenate([of, its])
+                order = np.argsort(large)
+                large, of, small, its = large[order], of[order], small[:0], its[:0]
+            else:
+                order = np.argsort(small)
+                small, its = small[order], its[order]
+            self.parts = [(large, of), (small, its)]
+        return numbers
+
 
 class PieceCounter:
     """count(texts) -> tokens per text of a sentencepiece model, without begin and end."""

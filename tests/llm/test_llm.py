@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gaugework.llm import common, exact_dedup, packing, toxicity
+from gaugework.llm import common, encoding, exact_dedup, packing, toxicity
 from gaugework.llm.decontaminate import contaminated_pairs, keep_uncontaminated
 from gaugework.llm.exact_dedup import build_index, directory, exact_groups, extend_index, groups_of, keep_one_of_equals
 from gaugework.llm.html_text import extract_pages, main_text, page_lines
@@ -263,6 +263,19 @@ def test_token_files_round_trip(spark, tmp_path):
     assert read_documents(write_token_files(table(spark, []), f"file://{tmp_path}/none", P.path("word_bpe_49k.json"), 1)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_id_encoder_equals_the_library(name, monkeypatch):
+    rng, letters = random.Random(3), "ab cdeé\n ñ日𝔘'!12 .\t A\xa0"
+    encoder = encoding.IdEncoder(P.path(name))
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)] + ["x" * 50_000, "<|endoftext|> a<|endoftext|>"]
+    monkeypatch.setattr(encoding, "MOST_WORDS", 2000)  # the table starts anew now and then
+    for lo in range(0, len(texts), 100):
+        assert encoder.encode(["", *texts[lo : lo + 100]]) == [encoder.whole(t) if t else b"" for t in ["", *texts[lo : lo + 100]]]
+    monkeypatch.setattr(encoding, "mix", lambda h: h & np.uint64(0xF))  # hashes that collide
+    fresh = encoding.IdEncoder(P.path(name))
+    assert fresh.encode(texts[:60]) == [encoder.whole(t) if t else b"" for t in texts[:60]]
+
+
 @pytest.mark.parametrize("targets", [None, {"a": 0.7, "b": 0.2, "c": 0.1}])
 def test_packing(spark, targets):
     rng = random.Random(4)
