@@ -177,14 +177,13 @@ def bootstrap_mean(rows: DataFrame, by: list[str], unit: str, value: str, draws:
 
 def grouped_folds(rows: DataFrame, task: str, folds: int = 5, seed: int = 44) -> DataFrame:
     """A fold for each task: tasks with one label profile are dealt in hash order, so folds are balanced by label and size."""
-    from pyspark.sql import Window
-
     from gaugework.functions.text import stable_rank
+    from gaugework.operators.sampling import hash_range, placed_within
 
-    profile = rows.groupBy(task).agg(F.to_json(F.array_sort(F.collect_set("target"))).alias("_p"))
-    i = F.row_number().over(Window.partitionBy("_p").orderBy(stable_rank(seed, F.col(task)), task)) - 1
+    profile = rows.groupBy(task).agg(F.to_json(F.array_sort(F.collect_set("target"))).alias("_p")).withColumn("_rank", stable_rank(seed, F.col(task)))
+    placed = placed_within(profile, ["_p"], [F.col("_rank"), F.col(task)], hash_range(F.col("_rank")), "_pos")
     start = F.pmod(F.xxhash64("_p"), F.lit(folds))
-    return profile.withColumn("fold", F.pmod(i + start, F.lit(folds)).cast("int")).select(task, "fold")
+    return placed.select(task, F.pmod(F.col("_pos") + start, F.lit(folds)).cast("int").alias("fold"))
 
 
 def novelty(rows: DataFrame, item: str, features: list[str], training: Column) -> DataFrame:

@@ -63,11 +63,17 @@ def pair_candidates(nodes: DataFrame, threshold: float, blocked: DataFrame | Non
     return pairs if blocked is None else pairs.join(blocked, ["left_id", "right_id"], "left_anti")
 
 
-def complete_links(members: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
-    """Least cosine over the member pairs of two groups, for every pair of groups; groups are small by contract."""
+def complete_links(members: DataFrame, group: str, vector: str = "embedding", pairs: DataFrame | None = None) -> DataFrame:
+    """Least cosine over the member pairs of two groups, for the given pairs (left_group < right_group) or every pair of groups.
+
+    Members meet by group pair, an equi-join that skew handling can split; all pairs of groups is for a tree level's few groups.
+    """
     a = members.select(F.col(group).alias("left_group"), F.col(vector).alias("_a"))
     b = members.select(F.col(group).alias("right_group"), F.col(vector).alias("_b"))
-    met = a.join(b, F.col("left_group") < F.col("right_group"))
+    if pairs is None:
+        names = members.select(F.col(group).alias("left_group")).distinct()
+        pairs = names.join(names.select(F.col("left_group").alias("right_group")), F.expr("left_group < right_group"))  # names of groups alone
+    met = pairs.select("left_group", "right_group").join(a, "left_group").join(b, "right_group")
     return met.groupBy("left_group", "right_group").agg(F.min(cosine(F.col("_a"), F.col("_b"))).alias("similarity"))
 
 

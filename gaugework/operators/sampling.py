@@ -7,8 +7,11 @@ one row per group or label.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from gaugework.functions.text import stable_rank
 
@@ -27,6 +30,34 @@ def positioned(rows: DataFrame, key: str, name: str = "pos") -> DataFrame:
     return cut.withColumn("_i", inside).join(F.broadcast(bases), "_range").withColumn(name, F.col("_base") + F.col("_i")).drop("_h", "_range", "_i", "_base")
 
 
+def placed_within(rows: DataFrame, by: list[str], order: list[Column], cut: Column, name: str) -> DataFrame:
+    """0-based position inside each group of `by`, in `order`; cut: a range number that does not fall along that order.
+
+    A group is counted range by range, so that a group with most of the rows is not sorted in one task.
+    """
+    w = Window.partitionBy(*by, "_range").orderBy(*order)
+    inside = rows.withColumn("_range", cut).withColumn("_inside", F.row_number().over(w) - 1)
+    counts = inside.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    own = [F.col(c).alias(f"_by{i}") for i, c in enumerate([*by, "_range"])]
+    bases = counts.select(*own, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # a row per group and range
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate([*by, "_range"])))
+    return inside.join(bases, same).withColumn(name, F.col("_base") + F.col("_inside")).drop("_range", "_inside", "_base", *(f"_by{i}" for i in range(len(by) + 1)))
+
+
+def hash_range(rank: Column) -> Column:
+    """Ranges of a hexadecimal hash: its leading digits."""
+    return F.left(rank, F.lit(_DIGITS))
+
+
+def key_range(rows: DataFrame, key: str) -> Column:
+    """Ranges of a numeric key between about even percentiles (63 numbers on the driver); one range for other keys."""
+    if not isinstance(rows.schema[key].dataType, NumericType):
+        return F.lit(0)
+    bounds = rows.agg(F.percentile_approx(key, [i / 64 for i in range(1, 64)], 1000)).first()[0]
+    return sum((F.coalesce(F.col(key) > b, F.lit(False)).cast("int") for b in sorted(set(bounds or []))), F.lit(0))
+
+
 def is_evenly_spaced(position: Column, n: Column, k: Column) -> Column:
     """Whether a position of n is among floor(i n / k) for i < k."""
     i = F.ceil(position * k / n)
@@ -72,9 +103,9 @@ def balanced_quotas(sizes: DataFrame, group: str, total: int) -> DataFrame:
 
 def take_evenly(rows: DataFrame, group: str, key: str, quotas: DataFrame) -> DataFrame:
     """Evenly spaced rows of each group in the order of key; quotas: (group, n, quota)."""
-    i = F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1
-    placed = rows.withColumn("_i", i).join(F.broadcast(quotas.select(group, "n", "quota")), group)  # a row per group
-    return placed.where(is_evenly_spaced(F.col("_i"), F.col("n"), F.col("quota"))).drop("_i", "n", "quota")
+    at = placed_within(rows, [group], [F.col(key)], key_range(rows, key), "_pos")
+    placed = at.join(F.broadcast(quotas.select(group, "n", "quota")), group)  # a row per group
+    return placed.where(is_evenly_spaced(F.col("_pos"), F.col("n"), F.col("quota"))).drop("_pos", "n", "quota")
 
 
 def group_sizes(rows: DataFrame, group: str) -> DataFrame:
@@ -124,13 +155,15 @@ def round_robin(rows: DataFrame, group: str, key: str, total: int) -> DataFrame:
 
 def nested_shares(rows: DataFrame, group: str, key: str, shares: list[tuple[str, float]], seed: int = 0, rest: str = "final") -> DataFrame:
     """Nested samples per group in one hash order: the first share that holds a row names its `part`."""
-    i = F.row_number().over(Window.partitionBy(group).orderBy(stable_rank(seed, F.col(key)), key))
-    n = F.count("*").over(Window.partitionBy(group))
+    sizes = rows.groupBy(F.col(group).alias("_of")).agg(F.count("*").alias("_n"))
+    ranked = rows.withColumn("_rank", stable_rank(seed, F.col(key)))
+    placed = placed_within(ranked, [group], [F.col("_rank"), F.col(key)], hash_range(F.col("_rank")), "_i")
     part = None
     for name, share in shares:
-        inside = F.col("_i") <= F.ceil(F.col("_n") * F.lit(share))
+        inside = F.col("_i") < F.ceil(F.col("_n") * F.lit(share))
         part = F.when(inside, name) if part is None else part.when(inside, name)
-    return rows.withColumns({"_i": i, "_n": n}).withColumn("part", part.otherwise(rest)).drop("_i", "_n")
+    z = placed.join(F.broadcast(sizes), F.col(group).eqNullSafe(F.col("_of")))  # a row per group
+    return z.withColumn("part", part.otherwise(rest)).drop("_rank", "_i", "_n", "_of")
 
 
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
