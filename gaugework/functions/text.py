@@ -63,3 +63,16 @@ def short_id(prefix: str, *parts: Column, length: int = 20) -> Column:
 def unfence(text: Column) -> Column:
     """JSON text without a surrounding code fence."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
+
+
+def transcript(timeline: Column) -> Column:
+    """The words of lines `id,text,duration`, joined by blanks; clip headings and other lines do not count; quotes around a text go."""
+    lines = F.transform(F.split(timeline, "\r\n|\n|\r"), F.trim)
+    pattern = r"^([^,]+),(.*),\s*([0-9]+(?:\.[0-9]+)?)$"
+    words = F.transform(F.filter(lines, lambda x: x.rlike(pattern) & ~x.startswith("clip ")), lambda x: F.trim(F.btrim(F.trim(F.regexp_extract(x, pattern, 2)), F.lit('"'))))
+    return F.coalesce(F.array_join(F.filter(words, lambda w: w != ""), " "), F.lit(""))
+
+
+def summary_lines(*parts: Column) -> Column:
+    """Parts of a validated summary, one a line: trimmed, without nulls and blank ones."""
+    return F.array_join(F.filter(F.array(*(F.trim(p) for p in parts)), lambda x: x.isNotNull() & (x != "")), "\n")

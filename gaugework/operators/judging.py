@@ -73,3 +73,69 @@ def judge(samples: DataFrame, key: str, template: str, fields: dict[str, str], m
     said = call(prompts, key, "prompt", make_engine).withColumn("flags", validate(F.col("content"), score_path))
     valid = F.col("error").isNull() & (F.size("flags") == 0)
     return said.select(key, F.when(valid, S.json_number(unfence(F.col("content")), score_path)).alias("judge_raw"), "flags", valid.alias("valid"), "error")
+
+
+def extract(samples: DataFrame, key: str, template: str, fields: dict[str, str], make_engine: Callable[[], Engine], schema: str) -> DataFrame:
+    """key, the schema's columns, valid, error: one structured answer an engine per sample (features, questions, tags, unit scores).
+
+    An answer that is no JSON object gives NULL columns and is not valid; missing fields are NULL.
+    """
+    prompts = samples.select(key, fill(F.lit(template), {name: F.col(c) for name, c in fields.items()}).alias("prompt"))
+    said = call(prompts, key, "prompt", make_engine)
+    text = unfence(F.col("content"))
+    object_ = F.col("error").isNull() & F.coalesce(F.try_parse_json(text).isNotNull() & F.trim(text).startswith("{"), F.lit(False))
+    return said.select(key, F.from_json(F.when(object_, text), schema).alias("_a"), object_.alias("valid"), "error").select(key, "_a.*", "valid", "error")
+
+
+def json_scores(rows: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
+    """(key, path, name, value) of every member with one of the names, at any depth of a JSON text; nothing below such a member.
+
+    Bad or missing JSON gives no rows; values are kept as JSON text.
+    """
+    share_package(rows.sparkSession)
+    kind, wanted = dict(rows.dtypes)[key], frozenset(names)
+
+    def walk(value, path: str):
+        if isinstance(value, dict):
+            for k, v in value.items():
+                if k in wanted:
+                    yield f"{path}.{k}", k, json.dumps(v)
+                else:
+                    yield from walk(v, f"{path}.{k}")
+        elif isinstance(value, list):
+            for i, v in enumerate(value):
+                yield from walk(v, f"{path}[{i}]")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            out = []
+            for k, t in zip(part[key], part[text]):
+                try:
+                    out += [(k, *x) for x in walk(json.loads(t), "$")]
+                except (TypeError, ValueError):
+                    continue
+            yield pd.DataFrame(out, columns=[key, "path", "name", "value"])
+
+    return rows.select(key, text).mapInPandas(read, f"{key} {kind}, path string, name string, value string")
+
+
+class HashEmbedder:
+    """A deterministic embedder: a text's vector comes from the bytes of its digest."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[b / 255 for b in hashlib.sha256(t.encode()).digest()[:8]] for t in texts]
+
+
+def embed(rows: DataFrame, key: str, text: str, make_embedder: Callable, batch: int = 256) -> DataFrame:
+    """key, embedding: texts in batches through an embedder; a null text has none."""
+    share_package(rows.sparkSession)
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embedder = make_embedder()
+        for part in batches:
+            vectors = [v for lo in range(0, len(part), batch) for v in embedder.embed(list(part[text][lo : lo + batch]))]
+            yield pd.DataFrame({key: part[key], "embedding": vectors})
+
+    some = rows.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<double>")
+    return some.unionByName(rows.where(F.col(text).isNull()).select(key, F.lit(None).cast("array<double>").alias("embedding")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugework.functions import scoring as S
-from gaugework.operators import calibration, fitting, policies, sampling
+from gaugework.functions import text as X
+from gaugework.operators import judging, policies
 from gaugework.plans import tables as T
 from gaugework.plans.registry import query
 
@@ -283,3 +284,41 @@ def consensus_search(spark, sf):
     p = F.coalesce("prediction", F.lit(""))
     keys = {"ep": F.concat_ws("::", "editor", p), "lp": F.concat_ws("::", "lang", p), "p": p}
     return policies.consensus_search(c, keys, _CONFIGS, [4, 8, 12])
+
+
+@query("SELECT p_partkey, p_name || ' ' || p_brand AS transcript FROM part", "", "p_partkey transcript")
+def timeline_transcripts(spark, sf):
+    p = T.read(spark, sf, "part")
+    text = F.concat(F.lit("clip 1,x,2\n  w1,\""), "p_name", F.lit("\",1.5\nno word line\nw2,"), "p_brand", F.lit(" ,2\nw3,,1"))
+    return p.select("p_partkey", X.transcript(text).alias("transcript"))
+
+
+@query("SELECT p_partkey, concat_ws(chr(10), p_name, CASE WHEN p_size % 2 = 0 THEN p_type END, p_brand) AS summary FROM part", "", "p_partkey summary")
+def summary_texts(spark, sf):
+    p = T.read(spark, sf, "part")
+    return p.select("p_partkey", X.summary_lines(F.concat(F.lit("  "), "p_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")), F.lit("  "), F.col("p_brand")).alias("summary"))
+
+
+@query(
+    "SELECT event_id, unnest(['$.k', '$.list[0].k', '$.list[1].deep.k']) AS path, unnest([json_extract_string(props, '$.k'), CAST(event_id % 7 AS VARCHAR), 'true']) AS value FROM events", "", "event_id path value"
+)
+def json_scores(spark, sf):
+    nested = F.concat(F.substring("props", 1, F.char_length("props") - 1), F.lit(', "list": [{"k": '), (F.col("event_id") % 7).cast("string"), F.lit('}, {"deep": {"k": true, "x": 1}}]}'))
+    e = T.read(spark, sf, "events").select("event_id", nested.alias("text"))
+    return judging.json_scores(e, "event_id", "text", ["k"]).select("event_id", "path", "value")
+
+
+_HEX = "list_sum(list_transform(range(1, 9), lambda i: (instr('0123456789abcdef', h[i]) - 1) * (16 ** (8 - i))::BIGINT))::BIGINT"
+
+
+@query(f"SELECT item_id, 1 + {_HEX} % 5 AS score_1_to_5, 'digest ' || ({_HEX} % 1000) AS rationale, TRUE AS valid FROM (SELECT item_id, sha256('Features of: ' || text) AS h FROM benchmark)", "", "item_id score_1_to_5:i rationale valid")
+def extracted_features(spark, sf):
+    b = T.read(spark, sf, "benchmark")
+    found = judging.extract(b, "item_id", "Features of: {text}", {"text": "text"}, judging.HashEngine, "score_1_to_5 long, rationale string, confidence double")
+    return found.select("item_id", "score_1_to_5", "rationale", "valid")
+
+
+@query("SELECT item_id, ((instr('0123456789abcdef', h[1]) - 1) * 16 + instr('0123456789abcdef', h[2]) - 1) / 255.0 AS first, ((instr('0123456789abcdef', h[15]) - 1) * 16 + instr('0123456789abcdef', h[16]) - 1) / 255.0 AS last FROM (SELECT item_id, sha256(text) AS h FROM benchmark)", "first last", "item_id")
+def text_embeddings(spark, sf):
+    e = judging.embed(T.read(spark, sf, "benchmark"), "item_id", "text", judging.HashEmbedder)
+    return e.select("item_id", F.col("embedding")[0].alias("first"), F.col("embedding")[7].alias("last"))
