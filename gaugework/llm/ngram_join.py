@@ -349,7 +349,8 @@ def _open_lists(index: DataFrame, known: _Answers) -> DataFrame:
     """Entries of lists that hold different components, with those components and the list's length."""
     placed = index.drop("pivot").join(known.comps.select(F.col("node").alias("doc_id"), "component"), "doc_id")
     spread = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("length"))
-    return placed.join(spread.where("c0 <> c1").select("key", "length"), "key")
+    spread = common.materialize(spread.where("c0 <> c1").select("key", "length"), "ngram-spread")  # so that a hot list can be split
+    return placed.join(spread, "key")
 
 
 def _probe(index: DataFrame, known: _Answers, seed: int) -> bool:
@@ -379,6 +380,7 @@ def _block_pairs(index: DataFrame, known: _Answers) -> DataFrame:
     step = math.log(100 / known.percent) * 1.01
     entries = _open_lists(index, known)
     main = entries.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    main = common.materialize(main, "ngram-main")
     placed = common.materialize(
         entries.join(main, "key")
         .withColumn("sb", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)))
@@ -436,9 +438,9 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     )
     # A list's pivot is the set with the fewest shingles of its own: of near copies, the least edited one.
     lists = posted.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min(F.struct("n_unique", "doc_id")).alias("p"))
-    index = common.materialize(
-        posted.drop("n_unique").join(lists.where("first <> last").select("key", F.col("p.doc_id").alias("pivot")), "key"), "ngram-index"
-    )
+    # Written first: between two plain tables a join by key can split a hot list.
+    lists = common.materialize(lists.where("first <> last").select("key", F.col("p.doc_id").alias("pivot")), "ngram-lists")
+    index = common.materialize(posted.drop("n_unique").join(lists, "key"), "ngram-index")
     sets = common.materialize(
         reps.join(index.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "n_unique", "members", "parity").dropDuplicates(["doc_id"]),
         "ngram-verify",
