@@ -24,7 +24,7 @@ _BASE = 0xA0761D6478BD642F
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, size=256, dtype=np.uint64) * _U(2) + _U(1)
 #: Entries that a worker keeps; beyond them it starts anew.  Letters that are looked up at a time.
-MOST_WORDS, CHUNK, MOST_COUNTED = 2_000_000, 1_500_000, 400_000
+MOST_WORDS, CHUNK, MOST_COUNTED = 1_000_000, 1_500_000, 400_000
 _AMBIGUOUS = re.compile(r"[ \n](?=\s)|\x01")
 
 

@@ -183,21 +183,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _hinge(x: np.ndarray, y: np.ndarray, mass: np.ndarray, cost: float = 3000.0, steps: int = 25) -> tuple[np.ndarray, float]:
-    """A linear SVM with squared hinge loss, rows weighted by mass and classes alike, by Newton steps on its margin rows."""
+def _hinge(x: np.ndarray, rows: np.ndarray, y: np.ndarray, mass: np.ndarray, cost: float = 3000.0, steps: int = 25) -> tuple[np.ndarray, float]:
+    """A linear SVM with squared hinge loss over rows of x, weighted by mass and classes alike, by Newton steps on its margin rows."""
     weight = np.where(y > 0, 0.5 * mass / max(1, mass[y > 0].sum()), 0.5 * mass / max(1, mass[y < 0].sum())) * cost
     v = np.zeros(x.shape[1] + 1)
     ridge = np.ones(len(v))
     ridge[-1] = 1e-6
     active = None
     for _ in range(steps):
-        now = np.flatnonzero(y * (x @ v[:-1].astype(np.float32) + v[-1]) < 1)
+        now = np.flatnonzero(y * ((x @ v[:-1].astype(np.float32))[rows] + v[-1]) < 1)
         if active is not None and np.array_equal(now, active):
             break
         active, gram, right = now, np.diag(ridge), np.zeros(len(v))
         for lo in range(0, len(now), 8_000):
             at = now[lo : lo + 8_000]
-            some = np.concatenate([x[at].astype(np.float64), np.ones((len(at), 1))], axis=1)
+            some = np.concatenate([x[rows[at]].astype(np.float64), np.ones((len(at), 1))], axis=1)
             scaled = some * weight[at, None]
             gram += 2 * scaled.T @ some
             right += 2 * scaled.T @ y[at]
@@ -346,7 +346,7 @@ def _machines(w: Words, y: np.ndarray, fit: np.ndarray) -> Iterator[tuple[np.nda
 def _hinge_of(features: np.ndarray, for_it: np.ndarray, times: np.ndarray, against: np.ndarray) -> tuple[np.ndarray, float]:
     rows = np.concatenate([for_it, against])
     label = np.where(np.arange(len(rows)) < len(for_it), 1.0, -1.0)
-    return _hinge(features[rows], label, np.concatenate([times, np.ones(len(against))]))
+    return _hinge(features, rows, label, np.concatenate([times, np.ones(len(against))]))
 
 
 def _witnesses(w: Words, margin: np.ndarray, y: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
