@@ -1,4 +1,4 @@
-"""Fits per group that need linear algebra or a search: ridge, L1 trees, bootstrap, greedy folds.
+"""Fits per group that need a search or draws: L1 trees, bootstrap, greedy folds; ridge is in gramian.
 
 Each group's rows are fitted in one task (applyInPandas); groups are calibration sets of a dimension or rubric,
 pre-aggregated to distinct feature rows with weights where the fit allows it, so size follows distinct values.
@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugework.operators.gramian import ridge  # noqa: F401  it needs sums only and is built there
 from gaugework.workers import share_package
 
 
@@ -26,23 +27,6 @@ def _kinds(df: DataFrame, by: list[str]) -> str:
     return "".join(f"{c} {kinds[c]}, " for c in by)
 
 
-def ridge(rows: DataFrame, by: list[str], features: list[str], target: str, alpha: float = 1.0) -> DataFrame:
-    """Ridge on standardised features (constant ones count as 0): by..., intercept, coefficients of the raw features."""
-    share_package(rows.sparkSession)
-    counted = weighted_rows(rows, by, features, target)
-
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x, y, w = part[features].to_numpy(float), part[target].to_numpy(float), part["weight"].to_numpy(float)
-        mean, my = np.average(x, axis=0, weights=w), np.average(y, weights=w)
-        std = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=w))
-        std[std < 1e-12] = 1.0
-        z = (x - mean) / std
-        beta = np.linalg.solve(z.T @ (z * w[:, None]) + alpha * np.eye(z.shape[1]), z.T @ (w * (y - my))) / std
-        return pd.DataFrame([(*key, int(w.sum()), float(my - mean @ beta), beta.tolist())], columns=[*by, "n", "intercept", "coefficients"])
-
-    return counted.groupBy(*by).applyInPandas(fit, f"{_kinds(counted, by)}n long, intercept double, coefficients array<double>")
-
-
 def _median(y: np.ndarray, w: np.ndarray) -> float:
     order = np.argsort(y, kind="stable")
     sums = np.cumsum(w[order])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugework.functions.vectors import cosine
+from gaugework.functions.vectors import cosine, dot, norm
 from gaugework.workers import checkpoints, share_package
 
 #: Node tables are trees of prompts: at most this many rows are broadcast; beyond it the join is cut into blocks.
@@ -51,18 +52,72 @@ def nearest_node(items: DataFrame, nodes: DataFrame, vector: str = "embedding",
     return best.select(*columns, F.col("_best.id").alias(node_id), F.col("_best.similarity").alias("similarity"))
 
 
+def _pivots(units: DataFrame, pivots: int) -> DataFrame:
+    """One row: the unit vectors of the first `pivots` nodes in the order of a hash, as an array."""
+    some = units.orderBy(F.xxhash64("_id"), "_id").limit(pivots)
+    return some.agg(F.collect_list("_u").alias("_pivots"))  # at most `pivots` vectors
+
+
+def near_pairs(nodes: DataFrame, threshold: float, node_id: str, vector: str, within: str | None, pivots: int = 64) -> DataFrame:
+    """Node pairs of one class that angular pivots cannot tell apart: left_id, right_id, _a, _b, _k; every pair with a cosine of `threshold` (> 0) is there.
+
+    A vector lives in the cell of its nearest pivot; a cell knows its widest angle.  By the triangle inequality on angles a vector can
+    have a partner in another cell only if its angle to that cell's pivot is at most the cell's widest angle plus the threshold's,
+    so it visits those cells alone, those of smaller number.  In a cell, vectors meet by bands of their angle to the pivot: two whose angles
+    differ by more than the threshold's are no pair.  Cells and bands are an equi-join that skew handling can split.
+    """
+    reach = math.acos(min(1.0, threshold)) + 1e-6  # beyond the rounding of angles
+    v = F.col(vector)
+    units = nodes.select(F.col(node_id).alias("_id"), v.alias("_v"), (F.lit(0) if within is None else F.col(within)).alias("_k"), norm(v).alias("_n")).where((F.size("_v") > 0) & (F.col("_n") > 0))
+    units = units.where("_k is not null").withColumn("_u", F.transform("_v", lambda x: x.cast("double") / F.col("_n"))).drop("_n")
+    angle = lambda p: F.when(F.size(p) == F.size("_u"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("_u"), p)))))
+    at = units.crossJoin(F.broadcast(_pivots(units, pivots))).withColumn("_angles", F.transform("_pivots", angle)).drop("_pivots", "_u")  # one row
+    at = at.withColumn("_own", F.array_min("_angles")).withColumn("_cell", F.when(F.col("_own").isNull(), -1).otherwise(F.array_position("_angles", F.col("_own")).cast("int") - 1)).fillna({"_own": 0.0})
+    at = at.withColumn("_size", F.size("_v"))
+    wide = at.groupBy("_k", "_size", "_cell").agg(F.max("_own").alias("_widest"))
+    cells = wide.groupBy(F.col("_k").alias("_ck"), F.col("_size").alias("_cs")).agg(F.map_from_entries(F.collect_list(F.struct("_cell", "_widest"))).alias("_cells"))  # an entry per pivot
+    met = at.join(cells, (F.col("_k") == F.col("_ck")) & (F.col("_size") == F.col("_cs")))
+    lower = F.filter(F.map_keys("_cells"), lambda c: (c >= 0) & (c < F.col("_cell")) & (F.get(F.col("_angles"), c) <= F.element_at("_cells", c) + reach))
+    places = F.concat(F.array(F.struct(F.col("_cell").alias("c"), F.col("_own").alias("t"), F.lit(True).alias("home"))), F.transform(lower, lambda c: F.struct(c.alias("c"), F.get(F.col("_angles"), c).alias("t"), F.lit(False).alias("home"))))
+    met = met.select("_id", "_v", "_k", "_size", F.explode(places).alias("p")).select("_id", "_v", "_k", "_size", "p.*").withColumn("_band", F.floor(F.col("t") / reach).cast("int"))
+    home = met.where("home").select(F.col("_id").alias("_i"), F.col("_v").alias("_a"), F.col("t").alias("_ta"), "_k", "_size", "c", F.explode(F.sequence(F.col("_band") - 1, F.col("_band") + 1)).alias("_band"))
+    other = met.select(F.col("_id").alias("_j"), F.col("_v").alias("_b"), F.col("t").alias("_tb"), "home", "_k", "_size", "c", "_band")
+    pairs = home.join(other, ["_k", "_size", "c", "_band"]).where((F.abs(F.col("_ta") - F.col("_tb")) <= reach) & (~F.col("home") | (F.col("_i") < F.col("_j"))) & (F.col("_i") != F.col("_j")))
+    return pairs.select(F.least("_i", "_j").alias("left_id"), F.greatest("_i", "_j").alias("right_id"), "_a", "_b", "_k")
+
+
 def pair_candidates(nodes: DataFrame, threshold: float, blocked: DataFrame | None = None, node_id: str = "node_id", vector: str = "embedding", within: str | None = None) -> DataFrame:
     """Node pairs (left_id < right_id) of one compatible class with a cosine of at least the threshold, without the blocked ones.
 
-    Nodes are the prompts of a tree level (thousands at most), compared inside their class.
+    For a threshold above 0 angular pivots leave out most pairs that are too far apart (near_pairs); at or below 0, where empty and zero
+    vectors count as well, all pairs of a class meet.
     """
-    a = nodes.select(F.col(node_id).alias("left_id"), F.col(vector).alias("_a"), F.col(within).alias("_k"))
-    b = nodes.select(F.col(node_id).alias("right_id"), F.col(vector).alias("_b"), F.col(within).alias("_k"))
-    met = a.join(b, "_k").where("left_id < right_id").withColumn("similarity", cosine(F.col("_a"), F.col("_b"))).where(F.col("similarity") >= threshold)
-    pairs = met.select("left_id", "right_id", F.col("_k").alias(within), "similarity")
+    if threshold > 0:
+        met = near_pairs(nodes, threshold, node_id, vector, within)
+    else:
+        key = F.lit(0) if within is None else F.col(within)
+        a = nodes.select(F.col(node_id).alias("left_id"), F.col(vector).alias("_a"), key.alias("_k"))
+        b = nodes.select(F.col(node_id).alias("right_id"), F.col(vector).alias("_b"), key.alias("_k"))
+        met = a.join(b, "_k").where("left_id < right_id")
+    pairs = met.withColumn("similarity", cosine(F.col("_a"), F.col("_b"))).where(F.col("similarity") >= threshold)
+    pairs = pairs.select("left_id", "right_id", *([] if within is None else [F.col("_k").alias(within)]), "similarity")
     return pairs if blocked is None else pairs.join(blocked, ["left_id", "right_id"], "left_anti")
 
 
+def complete_links_above(members: DataFrame, group: str, threshold: float, member_id: str, vector: str = "embedding") -> DataFrame:
+    """(left_group < right_group, similarity) of the groups whose member pairs all have a cosine of at least the threshold (> 0): the least of them.
+
+    Only pairs at the threshold are made (near_pairs); a pair of groups is linked when it has as many of them as member pairs.
+    """
+    named = members.select(F.struct(F.col(group).alias("g"), F.col(member_id).alias("m")).alias("_node"), F.col(vector).alias("_vector"))
+    met = near_pairs(named, threshold, "_node", "_vector", None).where(F.col("left_id.g") != F.col("right_id.g"))
+    met = met.select(F.col("left_id.g").alias("left_group"), F.col("right_id.g").alias("right_group"), cosine(F.col("_a"), F.col("_b")).alias("_s")).where(F.col("_s") >= threshold)
+    found = met.groupBy("left_group", "right_group").agg(F.count("*").alias("_n"), F.min("_s").alias("similarity"))
+    sizes = members.groupBy(F.col(group).alias("left_group")).agg(F.count("*").alias("_l"))
+    found = found.join(sizes, "left_group").join(sizes.select(F.col("left_group").alias("right_group"), F.col("_l").alias("_r")), "right_group")
+    return found.where(F.col("_n") == F.col("_l") * F.col("_r")).select("left_group", "right_group", "similarity")
+
+
 def complete_links(members: DataFrame, group: str, vector: str = "embedding", pairs: DataFrame | None = None) -> DataFrame:
     """Least cosine over the member pairs of two groups, for the given pairs (left_group < right_group) or every pair of groups.
 
@@ -93,26 +148,46 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows.iloc[taken][["left_id", "right_id", "similarity"]]
 
 
+def _dominant(left: DataFrame) -> DataFrame:
+    """The pairs that come first for both of their nodes: a scan takes each of them."""
+    key = F.struct((-F.col("similarity")).alias("s"), "left_id", "right_id").alias("k")
+    ends = left.select(F.explode(F.array("left_id", "right_id")).alias("id"), key)
+    best = ends.groupBy("id").agg(F.min("k").alias("k"))
+    twice = best.groupBy("k").agg(F.count("*").alias("n")).where("n = 2")
+    return twice.select(F.col("k.left_id").alias("left_id"), F.col("k.right_id").alias("right_id"), (-F.col("k.s")).alias("similarity"))
+
+
 def greedy_matching(pairs: DataFrame, listed: int | None = None) -> DataFrame:
     """The matching of a scan by (similarity desc, ids) until no pair is left.
 
-    A round scans the best `listed` pairs of every node (None: so many that a round has about SCANNED pairs) and takes
-    those that no unlisted pair can come before; pairs of matched nodes then go.  The first pair is always taken.
-    Pairs without an id or a similarity are no candidates.
+    While there are more nodes than one task should scan (SCANNED), a round takes all pairs that come first for both of their nodes, or,
+    every other time (many equal pairs give few of those), scans the first SCANNED pairs of the order.  Then a round scans the best `listed` pairs
+    of every node (None: about SCANNED pairs in all) and takes those that no unlisted pair can come before.  Pairs of matched
+    nodes go after each round, and the first pair is always taken.  Pairs without an id or a similarity are no candidates.
     """
     checkpoints(pairs.sparkSession)
     share_package(pairs.sparkSession)
-    left, out = pairs.select("left_id", "right_id", "similarity").na.drop().checkpoint(), None
+    left, out, turn = pairs.select("left_id", "right_id", "similarity").na.drop().checkpoint(), None, 0
     kinds, order = dict(left.dtypes), [F.desc("similarity"), F.col("left_id"), F.col("right_id")]
+    schema = f"left_id {kinds['left_id']}, right_id {kinds['right_id']}, similarity {kinds['similarity']}"
     while not left.isEmpty():
         ends = left.withColumn("id", F.col("left_id")).unionByName(left.withColumn("id", F.col("right_id")))
-        most = listed or max(16, SCANNED // ends.select("id").distinct().count())
-        own = Window.partitionBy("id")
-        near = ends.withColumns({"_k": F.row_number().over(own.orderBy(*order)), "_n": F.count("*").over(own)}).where(F.col("_k") <= most)
-        last = (F.col("_k") == most) & (F.col("_n") > most)
-        near = near.groupBy("left_id", "right_id", "similarity").agg(F.max(last & (F.col("id") == F.col("left_id"))).alias("left_ends"), F.max(last & (F.col("id") == F.col("right_id"))).alias("right_ends"))
-        scanned = near.repartition(1).sortWithinPartitions(*order)  # about SCANNED pairs, 16 of a node at least
-        taken = scanned.mapInPandas(_scan, f"left_id {kinds['left_id']}, right_id {kinds['right_id']}, similarity {kinds['similarity']}").checkpoint()
+        nodes = ends.select("id").distinct().count()
+        turn += 1
+        if nodes > SCANNED and turn % 2:
+            taken = _dominant(left).select(*(F.col(c).cast(kinds[c]).alias(c) for c in ("left_id", "right_id", "similarity")))
+        else:
+            if nodes > SCANNED:
+                near = left.orderBy(*order).limit(SCANNED).withColumns({"left_ends": F.lit(False), "right_ends": F.lit(False)})
+            else:
+                most = listed or max(1, SCANNED // nodes)
+                own = Window.partitionBy("id")
+                near = ends.withColumns({"_k": F.row_number().over(own.orderBy(*order)), "_n": F.count("*").over(own)}).where(F.col("_k") <= most)
+                last = (F.col("_k") == most) & (F.col("_n") > most)
+                near = near.groupBy("left_id", "right_id", "similarity").agg(F.max(last & (F.col("id") == F.col("left_id"))).alias("left_ends"), F.max(last & (F.col("id") == F.col("right_id"))).alias("right_ends"))
+            scanned = near.repartition(1).sortWithinPartitions(*order)  # at most SCANNED pairs, or `listed` of a node
+            taken = scanned.mapInPandas(_scan, schema)
+        taken = taken.checkpoint()
         out = taken if out is None else out.unionByName(taken)
         used = taken.select(F.col("left_id").alias("id")).unionByName(taken.select(F.col("right_id").alias("id")))
         left = left.join(used, left.left_id == used.id, "left_anti").join(used, left.right_id == used.id, "left_anti").checkpoint()

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from gaugework.functions import scoring as S
 from gaugework.functions import text as X
 from gaugework.functions import vectors as V
-from gaugework.operators import intervals, judging, retrieval, routing
+from gaugework.operators import intervals, judging, merging, retrieval, routing
 from gaugework.plans import tables as T
 from gaugework.plans.registry import SQL, query
 from gaugework.sources import state
 from gaugework.streaming import debate, incremental
+from gaugework.workers import scratch
 
 W = T.with_views
 
@@ -221,6 +222,27 @@ def complete_link(spark, sf):
     return routing.complete_links(T.read(spark, sf, "embeddings").withColumn("g", F.col("vec_id") % 97), "g")
 
 
+@query(
+    _PAIRS.replace("a.label = b.label AND a.vec_id < b.vec_id", "a.vec_id % 251 < b.vec_id % 251").replace("a.label,", "a.vec_id % 251 AS ga, b.vec_id % 251 AS gb,") + "SELECT ga AS left_group, gb AS right_group, min(similarity) AS similarity FROM p GROUP BY 1, 2 HAVING min(similarity) >= 0.05",
+    "similarity", "left_group right_group",
+)
+def complete_link_above(spark, sf):
+    return routing.complete_links_above(T.read(spark, sf, "embeddings").withColumn("g", F.col("vec_id") % 251), "g", 0.05, "vec_id")
+
+
+@query()
+def greedy_matching(spark, sf):
+    pairs = routing.pair_candidates(T.read(spark, sf, "embeddings"), 0.2, None, "vec_id", "embedding", "label")
+    return routing.greedy_matching(pairs.select("left_id", "right_id", "similarity"))
+
+
+@query()
+def merge_tree(spark, sf):
+    leaves = T.read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("node_id"), "embedding", F.array(F.col("label").cast("string")).alias("groups"))
+    even = lambda pairs, level: pairs.where(F.crc32(F.concat("left_id", "right_id").cast("binary")) % 5 != 0)  # noqa: E731  in place of a model's verdict
+    return merging.merge_tree(leaves, scratch(spark, "merge-tree"), 0.4, 0.1, 0.1, even, shared_group_levels=1).drop("centroid", "groups")
+
+
 @query(
     """WITH r(rule_key, action) AS (VALUES ('FURNITURE::1', 'exact'), ('BUILDING::*', 'segment'), ('*::2', 'nation'), ('*::*', 'any'))
     SELECT c_custkey, coalesce(a.action, b.action, d.action, 'none') AS action, CASE WHEN a.action IS NOT NULL THEN 0 WHEN b.action IS NOT NULL THEN 1 WHEN d.action IS NOT NULL THEN 2 END AS rule_level FROM customer

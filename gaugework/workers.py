@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -17,9 +20,23 @@ def share_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, *found]))
 
 
+def _folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset a folder of this machine's, which only a local master shares with its tasks."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = Path(tempfile.mkdtemp(prefix="gaugework-")).as_uri()
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def checkpoints(spark: SparkSession) -> None:
-    """checkpoint() writes to spark.checkpoint.dir; a folder of its own only where that is unset (tests)."""
+    """checkpoint() writes to spark.checkpoint.dir."""
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
+        spark.sparkContext.setCheckpointDir(_folder(spark))
+
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gaugework-"))
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one."""
+    return f"{_folder(spark)}/gaugework/{name}-{uuid.uuid4().hex}"
