@@ -76,8 +76,8 @@ def text_failures(docs: DataFrame) -> DataFrame:
 def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, mask, good, toxic) of every row of docs; bit i of mask: it fails FILTERS[i]."""
     rows = common.materialize(text_failures(docs), "audit-rows")
-    # Texts that several rows hold, with their smallest doc_id; a hot text is one row here, and Spark splits its join.
-    first = rows.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("sha", "first_id")
+    # Texts that several rows hold, with their smallest doc_id; written, so that the join deals out its rows anew and Spark can split a hot text.
+    first = common.materialize(rows.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("sha", "first_id"), "audit-copies")
     marks = labels.groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.expr("cast(quality = 1 as int)")).alias("good"), F.max(F.expr("cast(toxic = 1 as int)")).alias("toxic"))
     rows = rows.join(first, "sha", "left")
     rows = rows.join(marks, rows.doc_id == marks.l_id, "left")

@@ -1,13 +1,15 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block of text, in page order.  A line's weight is its text length, less
-twice its link text; lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments keep
-their place with weight 0.  An article or main element is a hint that moves weight: by the share of the page's text that
-it holds, lines outside it weigh less and lines inside it more, so that an element around nearly all text
-decides, and one around a teaser hardly counts.  The weights are summed over sliding windows of WINDOW lines; where
-the sum rises from nothing a run begins, where it dives to nothing the run ends.  A run with a surge, a window of SURGE
-of the page's highest, stays, from its first to its last line that has weight enough.  The measure is the page's own, so
-short pages are kept as whole as long ones.
+twice its link text.  Menus, headers, footers, sidebars, notices, adverts, forms and reader comments leave no line and no
+gap.  A block named by its class, id or role as one of these goes as well, unless there is no article element beside the
+blocks so named and they hold more text than the rest of the page: then their names are not believed.  An article or main element is a hint that moves weight:
+by the share of the page's text that it holds, lines outside it weigh less and lines inside it more, so that an
+element around nearly all text decides, and one around a teaser hardly counts.  The weights are summed over sliding
+windows of WINDOW lines; where the sum rises from nothing a run begins, where it dives to nothing the run ends.  A run
+with a surge, a window of SURGE of the page's highest, stays, from its first to its last line that has weight enough, and
+so does a run, however short, in the article or directly in the element of a run that stays: a closing line after a
+table of links is text of the same story.
 
 Defined cases: null or empty html, and pages without text, give an empty text; an unclosed comment, script
 or style reaches to the end; other unclosed and stray tags are allowed; an unclosed article reaches to
@@ -55,6 +57,11 @@ _OTHER = frozenset(
     "share sharing social related recommended recommendations trending "
     "comment comments disqus respond reply replies form search searchform".split()
 )
+# Words that may follow one of those in a name without changing what it names.
+_HOLDERS = frozenset(
+    "area bar block blocks body bottom box button buttons card cards container content feed form head heading holder icon icons inner item items label left "
+    "line link links list module outer pane panel post posts right section slot stories tag text thread title tools top unit widget wrap wrapper zone".split()
+)
 _WHOLE = frozenset("html body article main".split())
 _WITH = re.compile(r"^(?:has|no|with|without|is|not)[-_]", re.I)
 
@@ -62,7 +69,11 @@ _WITH = re.compile(r"^(?:has|no|with|without|is|not)[-_]", re.I)
 def _named_other(attributes: str, least: frozenset = _OTHER) -> bool:
     for m in _NAMES.finditer(attributes):
         for name in (m[2] or m[3] or m[4] or "").split():
-            if not _WITH.match(name) and any(p.lower() in least for p in _PART.findall(name)):
+            words = [p.lower() for p in _PART.findall(name)]
+            # A name says what its last word is: "cookie-notice" is a notice, "related-work" is work, and "ad-slot" an advert's place.
+            while len(words) > 1 and words[-1] in _HOLDERS and words[-1] not in least:
+                words.pop()
+            if words and words[-1] in least and not _WITH.match(name):
                 return True
     return False
 
@@ -71,33 +82,34 @@ _COMMENT = frozenset("comment comments reply".split())
 
 
 def page_lines(html: str) -> tuple[list[str], list[int], list[bool]]:
-    """Text, length of link text and whether in an article, per line; a line of other parts has no text."""
-    lines: list[str] = []
-    links: list[int] = []
-    inside: list[bool] = []
+    """Text, length of link text and whether in an article, per line."""
+    lines, links, inside, _ = _blocks(html)
+    return lines, links, inside
+
+
+def _blocks(html: str) -> tuple[list[str], list[int], list[bool], list[int]]:
+    """page_lines and the element that holds each line's block, by its number; blocks named as other parts are left out if believed."""
+    found: list[tuple[str, int, bool, int, bool]] = []
     buffer: list[str] = []
-    # Open elements: name, gone, in an article, in a link.
-    stack: list[tuple[str, bool, bool, bool]] = []
+    # Open elements: name, gone, in an article, in a link, in a block named as another part, number.
+    stack: list[tuple[str, bool, bool, bool, bool, int]] = []
     open_names: dict[str, int] = {}
-    gone = article = link = False
-    linked = 0
-    lost = False
+    gone = article = link = named = False
+    linked = owner = numbers = 0
 
     def flush() -> None:
-        nonlocal linked, lost
+        nonlocal linked
         text = " ".join("".join(buffer).split())
-        if text or lost:
-            lines.append(text)
-            links.append(min(linked, len(text)))
-            inside.append(article)
+        if text:
+            found.append((text, min(linked, len(text)), article, owner, named))
         buffer.clear()
-        linked, lost = 0, False
+        linked = 0
 
     def pop() -> None:
-        nonlocal gone, article, link
+        nonlocal gone, article, link, named
         name = stack.pop()[0]
         open_names[name] -= 1
-        gone, article, link = stack[-1][1:] if stack else (False, False, False)
+        gone, article, link, named = stack[-1][1:5] if stack else (False, False, False, False)
 
     def close(name: str) -> None:
         while stack[-1][0] != name:
@@ -105,11 +117,15 @@ def page_lines(html: str) -> tuple[list[str], list[int], list[bool]]:
         pop()
 
     def take(raw: str) -> None:
-        nonlocal linked, lost
+        nonlocal linked, owner
         if gone:
-            lost = lost or not raw.isspace()
             return
         text = unescape(raw) if "&" in raw else raw
+        if not buffer:
+            at = len(stack) - 1
+            while at >= 0 and stack[at][0] not in _BLOCK:
+                at -= 1
+            owner = stack[at - 1][5] if at > 0 else 0
         buffer.append(text)
         if link:
             linked += len(text)
@@ -148,23 +164,32 @@ def page_lines(html: str) -> tuple[list[str], list[int], list[bool]]:
             _close_open(stack, pop, "p", frozenset(("button", "td", "th", "table", "object")))
         if name in _SELF_CLOSING and name != "p" and open_names.get(name):
             _close_open(stack, pop, name, _SELF_CLOSING[name])
-        attributes = m[3]
+        attributes, soft = m[3], False
         if gone and name in ("article", "main") and stack and any(x[0] == "form" for x in stack) and not any(x[0] != "form" and x[0] in _GONE for x in stack):
             away = _named_other(attributes)  # a form around the whole page
         elif gone and name in ("h1", "h2", "h3", "h4", "h5", "h6") and article and stack[-1][0] in ("header", "hgroup") and sum(x[1] for x in stack) == 1:
             away = False  # an article's own headline
         else:
+            other = bool(attributes) and name not in _WHOLE and _named_other(attributes)
+            soft = other and name in _BLOCK and not _named_other(attributes, _COMMENT)
             away = (
                 gone
                 or name in _GONE
-                or bool(attributes) and (_named_other(attributes, _COMMENT if name in _WHOLE - {"html", "body"} else _OTHER) and name not in ("html", "body"))
+                or other and not soft
+                or bool(attributes) and name in ("article", "main") and _named_other(attributes, _COMMENT)
                 or bool(attributes) and name not in ("html", "body") and bool(_HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", _style_only, attributes)))
             )
-        gone, article, link = away, article or (name in ("article", "main") and not away), link or name == "a"
-        stack.append((name, gone, article, link))
+        gone, article, link, named = away, article or (name in ("article", "main") and not away), link or name == "a", named or soft
+        numbers += 1
+        stack.append((name, gone, article, link, named, numbers))
         open_names[name] = open_names.get(name, 0) + 1
     flush()
-    return lines, links, inside
+    # Names are believed beside an article element, or unless what they name is most of the page.
+    bare = lambda rows: sum(max(len(text) - 2 * linked, 0) for text, linked, *_ in rows)
+    rest = [x for x in found if not x[4]]
+    if any(x[2] for x in rest) or bare(found) - bare(rest) <= bare(rest):
+        found = rest
+    return [x[0] for x in found], [x[1] for x in found], [x[2] for x in found], [x[3] for x in found]
 
 
 def _style_only(m: re.Match) -> str:
@@ -199,7 +224,7 @@ def line_weights(length: np.ndarray, links: np.ndarray, within: np.ndarray) -> t
 def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     if not html:
         return ""
-    lines, links, inside = page_lines(html)
+    lines, links, inside, owners = _blocks(html)
     if not lines:
         return ""
     length = np.array([len(x) for x in lines], dtype=np.int64)
@@ -210,14 +235,16 @@ def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> s
     # A run of windows with text begins where the sum rises from nothing and ends where it dives to nothing.
     live = np.concatenate([[False], sums > 1e-9, [False]])
     rises, falls = np.flatnonzero(live[1:] & ~live[:-1]), np.flatnonzero(~live[1:] & live[:-1])
-    kept = []
+    runs = []
     for a, b in zip(rises.tolist(), falls.tolist()):
-        if sums[a:b].max() >= surge * sums.max():
-            text = np.flatnonzero((weight[a:b] > 0) & (weight[a:b] >= edge))  # windows reach ahead: a run starts and ends at lines of weight
-            if len(text):
-                a, b = a + int(text[0]), a + int(text[-1]) + 1
-                kept += [x for x, v in zip(lines[a:b], weight[a:b]) if x and v >= edge]
-    return "\n".join(kept)
+        text = np.flatnonzero((weight[a:b] > 0) & (weight[a:b] >= edge))  # windows reach ahead: a run starts and ends at lines of weight
+        if len(text):
+            places = range(a + int(text[0]), a + int(text[-1]) + 1)
+            runs.append((sums[a:b].max() >= surge * sums.max(), [i for i in places if lines[i] and weight[i] >= edge]))
+    # What stays also keeps the short runs of its article and of its enclosing elements.
+    homes = {(owners[i], inside[i]) for surges, own in runs for i in own if surges}
+    story = any(inside[i] for surges, own in runs for i in own if surges)
+    return "\n".join(lines[i] for surges, own in runs for i in own if surges or (owners[i], inside[i]) in homes or story and inside[i])
 
 
 def _extract(batches: Iterator[pa.RecordBatch], window: int, surge: float) -> Iterator[pa.RecordBatch]:

@@ -52,6 +52,13 @@ def _digest(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("hash"), F.hash(key).alias("check"))
 
 
+def _distinct(keys: str) -> Column:
+    """A document's different digests, nulls left out.  Strings have a hash set in array_distinct, structs are compared pair by pair."""
+    packed = F.transform(F.filter(keys, lambda k: k.isNotNull()), lambda k: F.concat_ws(" ", k["hash"], k["check"]))
+    part = lambda k, n: F.substring_index(k, " ", n)
+    return F.transform(F.array_distinct(packed), lambda k: F.struct(part(k, 1).cast("long").alias("hash"), part(k, -1).cast("int").alias("check")))
+
+
 @contextmanager
 def _sorted_scans(spark: SparkSession):
     """While runs are written, scans read tables with one file a bucket as sorted; the session is left as it was."""
@@ -124,14 +131,15 @@ def frequent_keys(hashed: DataFrame, batches: int, least: int) -> DataFrame:
     """(hash, check) of the keys in at least `least` documents."""
     spark = hashed.sparkSession
     runs = Runs(spark)
-    with _sorted_scans(spark):
-        for b in range(batches):
-            lines = hashed.where(F.col("batch") == b).select(F.explode(F.array_distinct("keys")).alias("key")).where("key is not null")
-            counted = lines.select("key.*").groupBy("hash", "check").agg(F.count("*").alias("n_docs"))
-            runs.add(runs.unseen(counted, least))
-        found = common.materialize(_summed(runs.all()).where(F.col("n_docs") >= least).select("hash", "check"), "line-frequent")
+    try:
+        with _sorted_scans(spark):
+            for b in range(batches):
+                lines = hashed.where(F.col("batch") == b).select(F.explode(_distinct("keys")).alias("key"))
+                counted = lines.select("key.*").groupBy("hash", "check").agg(F.count("*").alias("n_docs"))
+                runs.add(runs.unseen(counted, least))
+            return common.materialize(_summed(runs.all()).where(F.col("n_docs") >= least).select("hash", "check"), "line-frequent")
+    finally:
         runs.drop()
-    return found
 
 
 def drop_frequent_lines(docs: DataFrame, least: int = 10, shortest: int = 1) -> DataFrame:

@@ -15,6 +15,8 @@ from gaugework.llm import queries
 from gaugework.llm.ball_tree import Tree, cluster, squares
 from gaugework.llm.chat_format import best_paths, digests, escaped, format_paths, numbered, read_loss, read_turns, unescaped
 from gaugework.llm.filter_audit import audit, text_failures
+from gaugework.llm.html_text import main_text
+from gaugework.llm.line_dedup import drop_frequent_lines
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("documents", "labels", "embeddings", "conversations")
@@ -208,3 +210,54 @@ def test_audit_equals_brute_force(spark):
 def test_audit_of_a_very_long_text(spark):
     frame = spark.createDataFrame([(1, "a b " * 500_000, "en")], "doc_id long, text string, lang string")
     assert text_failures(frame).first()["mask"] == 2
+
+
+# -- main text: what must not be lost ----------------------------------------------------------------------
+
+LONG = [f"Paragraph {i} tells a long part of the story, with many words, and goes on for a while. " * 3 for i in range(6)]
+LAST = "Thanks for reading all of it, said the author."
+
+
+def story(between, wrap="<article>{}</article>"):
+    return "<html><body><nav><a href=a>home</a></nav>" + wrap.format("".join(f"<p>{p}</p>" for p in LONG) + between + f"<p>{LAST}</p>") + "<footer>imprint</footer></body></html>"
+
+
+WHOLE = "\n".join([*(p.strip() for p in LONG), LAST])
+ASIDE = "<aside><ul><li>one</li><li>two</li><li>three</li></ul></aside>"
+FORM = "<form><p>a</p><p>b</p><p>c</p><input><p>send</p></form>"
+ADVERT = "<div class='ad'><p>buy</p><p>now</p><p>and</p><p>here</p></div>"
+TABLE = "<table><tr><td><a href=x>one link</a></td><td><a href=y>two links</a></td><td><a href=z>three links</a></td><td><a href=z>four links</a></td></tr></table>"
+
+
+@pytest.mark.parametrize("between", [ASIDE, FORM, ADVERT, ADVERT * 5])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div>{}</div>", "{}"])
+def test_no_text_after_dropped_parts_is_lost(between, wrap):
+    assert main_text(story(between, wrap)) == WHOLE
+
+
+@pytest.mark.parametrize("wrap", ["<div>{}</div>", "{}", "<section><div>{}</div></section>"])
+def test_no_text_after_a_table_of_links_is_lost(wrap):
+    assert main_text(story(TABLE, wrap)) == WHOLE
+    assert main_text(story(TABLE)).split("\n")[-1] == LAST
+
+
+def test_names_are_read_by_their_last_word():
+    for name in ("class='related-work'", "class='form-factor'", "id='notice-of-1921'", "class='has-sidebar'", "id='ad-hoc-methods'", "class='sidebar-layout'"):
+        for tag in ("section", "div", "p"):
+            got = main_text(story(f"<{tag} {name}>This part belongs to the article.</{tag}>"))
+            assert "This part belongs to the article." in got and got.endswith(LAST)
+    for name in ("class='cookie-notice'", "class='ad-slot'", "id='related-posts-list'", "class='shareButtons'", "class='newsletter-box'", "class='comments'", "id='comment-list'"):
+        assert main_text(story(f"<div {name}><p>This part does not.</p></div>")) == WHOLE
+
+
+def test_names_around_the_whole_text_are_not_believed():
+    for name in ("class='sidebar'", "id='widget'", "class='promo banner'"):
+        assert main_text(story("", f"<div {name}>{{}}</div>")) == WHOLE
+    assert main_text(story("", "<div class='comments'>{}</div>")) == ""
+
+
+def test_many_lines_of_one_document(spark):
+    text = "\n".join(f"line {i % 150_000}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, text), *((i, "line 7\nown " + str(i)) for i in range(2, 12))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in drop_frequent_lines(docs, 10, 1).select("doc_id", "n_lines", "n_dropped").collect()}
+    assert got[1] == (200_000, 2) and got[2] == (2, 1)
