@@ -42,7 +42,7 @@ def gramian(rows: DataFrame, by: list[str], features: list[str], target: str, we
     last = len(features) + 2
     # At most (features + 2)(features + 3) / 2 sums.
     sums = [F.sum(F.expr(f"_w * _z{i} * _z{j}")).alias(f"_g{i}_{j}") for i in range(last) for j in range(i, last)]
-    return z.groupBy(*by).agg(F.count("*").alias("n"), *sums).select(*by, "n", F.array(*(f"_g{i}_{j}" for i in range(last) for j in range(i, last))).alias("g"))
+    return z.groupBy(*by).agg(F.count("*").alias("n"), *sums).select(*by, "n", F.array(*(f"_g{i}_{j}" for i in range(last) for j in range(i, last))).alias("_gram"))
 
 
 def matrix_of(g: np.ndarray) -> np.ndarray:
@@ -90,10 +90,10 @@ def solved(sums: DataFrame, by: list[str], solve: Callable[[np.ndarray], tuple[f
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            found = [solve(np.asarray(g, dtype=float)) for g in part["g"]]
+            found = [solve(np.asarray(g, dtype=float)) for g in part["_gram"]]
             yield part[[*by, "n"]].assign(intercept=[float(a - b @ shift) for a, b in found], coefficients=[b.tolist() for _, b in found])
 
-    return sums.select(*by, "n", "g").mapInPandas(fit, f"{_kinds(sums, by)}n long, intercept double, coefficients array<double>")
+    return sums.select(*by, "n", "_gram").mapInPandas(fit, f"{_kinds(sums, by)}n long, intercept double, coefficients array<double>")
 
 
 def ridge(rows: DataFrame, by: list[str], features: list[str], target: str, alpha: float = 1.0, weight: str | None = None) -> DataFrame:
@@ -125,7 +125,7 @@ def leverage(rows: DataFrame, item: str, features: list[str], training: Column)
     def inverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             out = []
-            for g in part["g"]:
+            for g in part["_gram"]:
                 if g is None or g[0] is None or np.isnan(g[0]):
                     continue
                 w, mean, _, xx, _ = _moments(np.asarray(g, dtype=float))
@@ -163,15 +163,15 @@ def comparators(
     own = gramian(fit, [*by, group], wanted, human, "_w", centre)
     add = lambda a, b, s: F.zip_with(a, b, lambda x, y: x + s * y)
     size = (len(wanted) + 2) * (len(wanted) + 3) // 2
-    cells = [F.sum(F.col("g")[i]).alias(f"_s{i}") for i in range(size)]
+    cells = [F.sum(F.col("_gram")[i]).alias(f"_s{i}") for i in range(size)]
     whole = own.groupBy(*by).agg(F.sum("n").alias("_n"), F.count("*").alias("_groups"), *cells).select(*by, "_n", "_groups", F.array(*(f"_s{i}" for i in range(size))).alias("_whole"))
     names = good.select(*by, group).distinct()
     left = names.join(whole, by, "left") if by else names.crossJoin(F.broadcast(whole))  # without `by` the whole is one row
     if training is None:
-        left = left.join(own.withColumnRenamed("g", "_own"), [*by, group], "left")
-        left = left.select(*by, group, (F.col("_n") - F.coalesce("n", F.lit(0))).alias("n"), (F.col("_groups") - F.col("n").isNotNull().cast("int")).alias("_groups"), F.when(F.col("_own").isNull(), F.col("_whole")).otherwise(add("_whole", "_own", -1.0)).alias("g"))
+        left = left.join(own.withColumnRenamed("_gram", "_own"), [*by, group], "left")
+        left = left.select(*by, group, (F.col("_n") - F.coalesce("n", F.lit(0))).alias("n"), (F.col("_groups") - F.col("n").isNotNull().cast("int")).alias("_groups"), F.when(F.col("_own").isNull(), F.col("_whole")).otherwise(add("_whole", "_own", -1.0)).alias("_gram"))
     else:
-        left = left.select(*by, group, F.col("_n").alias("n"), "_groups", F.col("_whole").alias("g"))
+        left = left.select(*by, group, F.col("_n").alias("n"), "_groups", F.col("_whole").alias("_gram"))
     at = {name: i + 1 for i, name in enumerate(wanted)}
     sets = {"score_linear": [base], "linear": features} | ({"prompt_linear": reference} if stratum and reference else {})
     shift, here = np.array(centre), len(wanted) + 1
@@ -181,7 +181,7 @@ def comparators(
         for part in batches:
             out = {f"_f_{name}": [] for name in sets}
             bias = []
-            for g, n, groups in zip(part["g"], part["n"], part["_groups"]):
+            for g, n, groups in zip(part["_gram"], part["n"], part["_groups"]):
                 m = matrix_of(np.asarray(g, dtype=float)) if g is not None and n > 0 else None
                 bias.append(None if m is None else float((m[0, here] - m[0, 1] - shift[0] * m[0, 0]) / m[0, 0]))
                 for name, chosen in sets.items():
