@@ -13,23 +13,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.operators.routing import greedy_matching, pair_candidates
+from gaugework.workers import done
 
 _NODES = "node_id string, level int, left_id string, right_id string, similarity double, n_members long, centroid array<double>, groups array<string>"
 _EDGES = "left_id string, right_id string, similarity double"
 _BLOCKED = "left_id string, right_id string"
 
 
-def _done(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def _kept(df: DataFrame, path: str, schema: str) -> DataFrame:
-    if not _done(df.sparkSession, path):
+    if not done(df.sparkSession, path):
         df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
@@ -70,7 +66,7 @@ def merge_tree(
     for level in range(1, round((start - floor) / decay) + 2):
         threshold, at = max(floor, start - decay * (level - 1)), f"{folder}/level-{level}"
         pairs_at, parents_at = f"{at}/pairs", f"{at}/nodes"
-        if not _done(spark, pairs_at):
+        if not done(spark, pairs_at):
             open_pairs = edges.where(F.col("similarity") >= threshold - 1e-12).join(blocked, ["left_id", "right_id"], "left_anti")
             if level <= shared_group_levels:
                 for side in ("left_id", "right_id"):
@@ -84,7 +80,7 @@ def merge_tree(
         n = pairs.count()
         tried += n
         if n:
-            yes = pairs if accept is None or _done(spark, parents_at) else accept(pairs, level).select("left_id", "right_id").distinct().join(pairs, ["left_id", "right_id"])
+            yes = pairs if accept is None or done(spark, parents_at) else accept(pairs, level).select("left_id", "right_id").distinct().join(pairs, ["left_id", "right_id"])
             side = lambda s: nodes.select(F.col("node_id").alias(f"{s}_id"), F.col("n_members").alias(f"_n_{s}"), F.col("centroid").alias(f"_c_{s}"), F.col("groups").alias(f"_g_{s}"))
             met = yes.join(side("left"), "left_id").join(side("right"), "right_id")
             whole = F.col("_n_left") + F.col("_n_right")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gaugework.functions import scoring as S
@@ -11,7 +12,7 @@ from gaugework.operators import intervals, judging, merging, retrieval, routing
 from gaugework.plans import tables as T
 from gaugework.plans.registry import SQL, query
 from gaugework.sources import state
-from gaugework.streaming import debate, incremental
+from gaugework.streaming import debate, debate_state, incremental
 from gaugework.workers import scratch
 
 W = T.with_views
@@ -296,6 +297,34 @@ def debate_convergence(spark, sf):
     return debate.convergence(c, ["conv_id"], 0.5, 6)
 
 
+_VERDICTS = """WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS round, (1 + length(text) % 5)::DOUBLE AS score, length(text) % 13 <> 0 AS valid, (1 + conv_id % 5)::DOUBLE AS initial,
+      CASE WHEN conv_id % 3 = 0 THEN (1 + conv_id % 4)::DOUBLE END AS anchor FROM conversations WHERE role = 'assistant'),
+    z AS (SELECT *, coalesce(lag(score) OVER w, initial) AS previous, list(score) OVER w AS s FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY round)),
+    r AS (SELECT *, CASE WHEN NOT valid THEN 'invalid_turn'
+      WHEN len(list_filter(range(2, len(s) // 2 + 1), lambda p: s[len(s) - p + 1:len(s)] = s[len(s) - 2 * p + 1:len(s) - p] AND len(list_distinct(s[len(s) - p + 1:len(s)])) > 1)) > 0 THEN 'oscillation_detected'
+      WHEN abs(score - anchor) < 1 THEN 'epsilon_human' WHEN anchor IS NULL AND abs(score - previous) < 1 THEN 'epsilon' WHEN round >= 4 THEN 'max_rounds' END AS reason FROM z),
+    f AS (SELECT * FROM r WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY round) = 1),
+    v AS (SELECT conv_id, round AS rounds, initial AS initial_score, CASE reason WHEN 'oscillation_detected' THEN initial WHEN 'invalid_turn' THEN CASE WHEN round > 1 THEN previous END ELSE score END AS final_score, reason FROM f)
+    SELECT *, final_score - initial_score AS score_delta, reason LIKE 'epsilon%' AS converged FROM v"""
+
+
+@query(_VERDICTS, "initial_score final_score score_delta", "conv_id rounds converged reason")
+def debate_verdicts(spark, sf):
+    c = T.read(spark, sf, "conversations").where("role = 'assistant'")
+    n, i = F.char_length("text"), F.col("conv_id")
+    turns = c.select(
+        "conv_id", F.lit("judge").alias("role"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("round"), (1 + n % 5).cast("double").alias("score"), (n % 13 != 0).alias("valid"), F.lit(False).alias("failed"),
+        (1 + i % 5).cast("double").alias("initial_score"), F.when(i % 3 == 0, (1 + i % 4).cast("double")).alias("anchor"),
+    )
+    # The turns arrive as a stream of files.
+    at = scratch(spark, "debate-turns")
+    turns.write.parquet(f"{at}/turns")
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 50).parquet(f"{at}/turns")
+    found = debate_state.verdicts(stream, ["conv_id"], debate_state.Rules(epsilon=1.0, max_rounds=4, grounded=True))
+    found.writeStream.format("parquet").option("path", f"{at}/verdicts").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{at}/verdicts")
+
+
 @query("SELECT conv_id, role, max(turn) AS round, arg_max(length(text), turn) AS n_chars FROM conversations GROUP BY 1, 2", "", "conv_id role round:i n_chars:i")
 def last_turns(spark, sf):
     c = T.read(spark, sf, "conversations").select("conv_id", F.col("turn").alias("round"), "role", F.char_length("text").alias("n_chars"))

@@ -40,3 +40,9 @@ def checkpoints(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared one."""
     return f"{_folder(spark)}/gaugework/{name}-{uuid.uuid4().hex}"
+
+
+def done(spark: SparkSession, path: str) -> bool:
+    """Whether a write to path has ended, in any store that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
