@@ -67,7 +67,7 @@ def unfence(text: Column) -> Column:
 
 def transcript(timeline: Column) -> Column:
     """The words of lines `id,text,duration`, joined by blanks; clip headings and other lines do not count; quotes around a text go."""
-    lines = F.transform(F.split(timeline, "\r\n|\n|\r"), F.trim)
+    lines = F.transform(F.split(timeline, "\r\n|\n|\r"), lambda x: F.trim(x))
     pattern = r"^([^,]+),(.*),\s*([0-9]+(?:\.[0-9]+)?)$"
     words = F.transform(F.filter(lines, lambda x: x.rlike(pattern) & ~x.startswith("clip ")), lambda x: F.trim(F.btrim(F.trim(F.regexp_extract(x, pattern, 2)), F.lit('"'))))
     return F.coalesce(F.array_join(F.filter(words, lambda w: w != ""), " "), F.lit(""))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions import scoring as S
 from gaugework.functions.text import fill, flags, unfence
-from gaugework.workers import share_package
+from gaugework.workers import checkpoints, share_package
 
 
 class Engine(Protocol):
@@ -90,33 +90,24 @@ def extract(samples: DataFrame, key: str, template: str, fields: dict[str, str],
 def json_scores(rows: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
     """(key, path, name, value) of every member with one of the names, at any depth of a JSON text; nothing below such a member.
 
-    Bad or missing JSON gives no rows; values are kept as JSON text.
+    Bad or missing JSON, and an object that repeats a name, give no rows; values are kept as JSON text.  Every level of nesting is one
+    step over the members found so far, written to the checkpoint folder; the last level ends it.
     """
-    share_package(rows.sparkSession)
-    kind, wanted = dict(rows.dtypes)[key], frozenset(names)
-
-    def walk(value, path: str):
-        if isinstance(value, dict):
-            for k, v in value.items():
-                if k in wanted:
-                    yield f"{path}.{k}", k, json.dumps(v)
-                else:
-                    yield from walk(v, f"{path}.{k}")
-        elif isinstance(value, list):
-            for i, v in enumerate(value):
-                yield from walk(v, f"{path}[{i}]")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            out = []
-            for k, t in zip(part[key], part[text]):
-                try:
-                    out += [(k, *x) for x in walk(json.loads(t), "$")]
-                except (TypeError, ValueError):
-                    continue
-            yield pd.DataFrame(out, columns=[key, "path", "name", "value"])
-
-    return rows.select(key, text).mapInPandas(read, f"{key} {kind}, path string, name string, value string")
+    spark = rows.sparkSession
+    checkpoints(spark)
+    level = rows.select(F.col(key).alias("_id"), F.lit("$").alias("_path"), F.try_parse_json(text).alias("_v")).where("_v is not null")
+    out = None
+    while True:
+        member = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select(
+            "_id", F.concat("_path", F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))).alias("_path"), F.col("key").alias("_name"), F.col("value").alias("_v")
+        )
+        member = member.checkpoint()
+        hit = F.coalesce(F.col("_name").isin(*names), F.lit(False))
+        found = member.where(hit).select(F.col("_id").alias(key), F.col("_path").alias("path"), F.col("_name").alias("name"), F.to_json("_v").alias("value"))
+        out = found if out is None else out.unionByName(found)
+        level = member.where(~hit & F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)")).select("_id", "_path", "_v")
+        if level.isEmpty():
+            return out
 
 
 class HashEmbedder:

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from gaugework.functions.text import stable_rank
+from gaugework.workers import share_package
 
 #: Ranges into which positioned() cuts an order: leading hex digits of a hash.
 _DIGITS = 3
@@ -201,3 +203,51 @@ def select_units(units: DataFrame, by: list[str], cap: int, anomaly: Column) ->
     hit = F.exists(F.array(near - 1, near, near + 1), lambda s: (s >= 0) & (s < slots) & (F.least(rest - 1, F.floor((s + 0.5) * stride)) == F.col("_i")))
     chosen = (F.col("_n") <= cap) | ((F.lit(cap) > 0) & (F.col("_extreme") | ((F.lit(slots) > 0) & (rest > 0) & hit)))
     return rows.withColumn("selected", chosen).drop("_n", "_x", "_extreme", "_i")
+
+
+def _turns(counts: pd.DataFrame) -> pd.DataFrame:
+    """(inner, n) of one outer group -> phases: inner, before (its rows taken earlier), until, first (turn), place, width.
+
+    In a phase the same inner groups have rows left; turn t goes to the one at place t mod width, and the phase ends with the turn that empties
+    one of them.  There are as many phases as inner groups.
+    """
+    left = {k: int(n) for k, n in sorted(zip(counts["_inner"], counts["_n"])) if n}
+    taken, turn, out = dict.fromkeys(left, 0), 0, []
+    while left:
+        width = len(left)
+        first = {k: turn + (i - turn) % width for i, k in enumerate(left)}
+        end = min(first[k] + (n - 1) * width for k, n in left.items())
+        for i, k in enumerate(left):
+            more = (end - first[k]) // width + 1 if end >= first[k] else 0
+            out.append((k, taken[k], taken[k] + more, first[k], width))
+            taken[k] += more
+        left = {k: n - (out[len(out) - width + i][2] - out[len(out) - width + i][1]) for i, (k, n) in enumerate(left.items())}
+        left = {k: n for k, n in left.items() if n}
+        turn = end + 1
+    return pd.DataFrame(out, columns=["_inner", "_before", "_until", "_first", "_width"])
+
+
+def alternate(rows: DataFrame, outer: str, inner: str, key: str, limit: int | None, seed: int) -> DataFrame:
+    """The first `limit` rows, with their turn, when the outer groups take turns and each goes through its inner groups in turn.
+
+    Rows of an inner group come in the order of a seeded hash of key; a group without rows left is passed over.  A row's turn
+    follows from its place in its group and from the groups' sizes, so no rotation over rows is run.  Rows of equal turn stand in the order of
+    their outer groups.  limit None, or no fewer than the rows: all rows, in hash order.  A null group is a group named "".
+    """
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be at least 1")
+    share_package(rows.sparkSession)
+    ranked = rows.withColumns({"_rank": F.sha2(F.concat(F.lit(f"{seed}::"), F.col(key).cast("string")), 256), "_outer": F.coalesce(F.col(outer).cast("string"), F.lit("")), "_inner": F.coalesce(F.col(inner).cast("string"), F.lit(""))})
+    counts = ranked.groupBy("_outer", "_inner").agg(F.count("*").alias("_n"))
+    if limit is None or limit >= (counts.agg(F.sum("_n")).first()[0] or 0):
+        return ranked.withColumn("turn", F.lit(None).cast("long")).orderBy("_rank", key).drop("_rank", "_outer", "_inner")
+
+    def phases(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return _turns(part).assign(_outer=key[0])
+
+    planned = counts.groupBy("_outer").applyInPandas(phases, "_inner string, _before long, _until long, _first long, _width long, _outer string")  # a row per inner group and phase
+    placed = placed_within(ranked, ["_outer", "_inner"], [F.col("_rank"), F.col(key)], hash_range(F.col("_rank")), "_i")
+    planned = planned.select(F.col("_outer").alias("_po"), F.col("_inner").alias("_pi"), "_before", "_until", "_first", "_width")
+    met = placed.join(planned, (F.col("_outer") == F.col("_po")) & (F.col("_inner") == F.col("_pi")) & (F.col("_i") >= F.col("_before")) & (F.col("_i") < F.col("_until")))
+    turn = F.col("_first") + (F.col("_i") - F.col("_before")) * F.col("_width")
+    return met.withColumn("turn", turn).orderBy("turn", "_outer").limit(limit).select(*rows.columns, "turn")

@@ -327,6 +327,21 @@ def nested_partitions(spark, sf):
     return sampling.nested_shares(o, "g", "item_id", [("development", 0.1), ("confirmation", 0.5)], 44).select("item_id", "part")
 
 
+# A method's t-th turn goes to the label at place t mod (number of labels with rows left): played turn by turn.
+@query(
+    W("classes").replace("WITH ", "WITH RECURSIVE ", 1) + """, ranked AS (SELECT editor, target, item_id, row_number() OVER (PARTITION BY editor, target ORDER BY sha256('44::' || item_id), item_id) - 1 AS i FROM classes),
+    n AS (SELECT editor, count(*) FILTER (target = 'no') AS a, count(*) FILTER (target = 'partial') AS b, count(*) FILTER (target = 'yes') AS c FROM ranked GROUP BY 1),
+    w AS (SELECT editor, 0 AS t, a, b, c, 0 AS ua, 0 AS ub, 0 AS uc, '' AS label, 0 AS i FROM n UNION ALL
+      SELECT editor, t + 1, a, b, c, ua + (l = 'no')::INT, ub + (l = 'partial')::INT, uc + (l = 'yes')::INT, l, CASE l WHEN 'no' THEN ua WHEN 'partial' THEN ub ELSE uc END
+      FROM (SELECT *, list_filter(['no', 'partial', 'yes'], lambda x: CASE x WHEN 'no' THEN ua < a WHEN 'partial' THEN ub < b ELSE uc < c END) AS live, live[1 + t % len(live)] AS l FROM w WHERE ua + ub + uc < a + b + c))
+    SELECT editor, target, item_id, t - 1 AS turn FROM w JOIN ranked r USING (editor, i) WHERE t > 0 AND label = target ORDER BY turn, editor LIMIT 60""",
+    "", "editor target item_id turn",
+)
+def alternating_pilot(spark, sf):
+    c = T.classes(spark, sf).select("editor", "target", "item_id")
+    return sampling.alternate(c, "editor", "target", "item_id", 60, 44)
+
+
 @query(
     W("classes") + "SELECT * FROM (SELECT target, item_id, (target <> coalesce(prediction, ''))::INT AS tier, row_number() OVER (PARTITION BY target ORDER BY (target <> coalesce(prediction, '')), second_score DESC, ordinal_score DESC, item_id) AS rank, count(*) OVER (PARTITION BY target) < 4 AS short FROM classes) WHERE rank <= 4",
     "", "target item_id tier:i rank:i short",

@@ -9,6 +9,7 @@ from gaugework.functions import text as X
 from gaugework.operators import judging, policies
 from gaugework.plans import tables as T
 from gaugework.plans.registry import query
+from gaugework.sources import notes
 
 W = T.with_views
 _THIRD = "CASE WHEN second_score < 30 THEN 'no' WHEN second_score < 60 THEN 'partial' ELSE 'yes' END"
@@ -308,6 +309,27 @@ def json_scores(spark, sf):
     return judging.json_scores(e, "event_id", "text", ["k"]).select("event_id", "path", "value")
 
 
+@query(
+    """SELECT p_partkey, p_name AS notes_prompt, CASE WHEN p_size % 3 <> 2 THEN p_size::VARCHAR || '|' || to_json(p_type)::VARCHAR END AS final_clip_ids, CASE WHEN p_size % 3 = 0 THEN p_type || ' ' || p_brand ELSE '' END AS transcript,
+      CASE WHEN p_size % 3 = 2 THEN 2 END AS n_segments, CASE WHEN p_size % 2 = 0 THEN p_brand || '|' || p_name ELSE p_brand END AS captions, 2 AS v1_size FROM part""",
+    "", "p_partkey notes_prompt final_clip_ids transcript n_segments:i captions v1_size:i",
+)
+def notes_assembly(spark, sf):
+    p = T.read(spark, sf, "part")
+    ids = F.when(F.col("p_size") % 3 != 2, F.concat(F.lit('"finalClipIds": ['), F.col("p_size").cast("string"), F.lit(', "'), "p_type", F.lit('"], ')))
+    view = F.concat(F.lit('{"input": {"currentTimeline": "clip 1,a,2\\n1,'), "p_type", F.lit(",1.5\\n2,"), "p_brand", F.lit(',2"}}'))
+    extra = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(', {"caption": "'), "p_name", F.lit('", "video_id": 7}, {"caption": ""}'))).otherwise("")
+    output = F.concat(
+        F.coalesce(ids, F.lit('"finalSegments": [{"a": 1}, 2], ')), F.lit('"finalTracks": {"v1": [{"caption": "main"}, 1], "v2": [{"caption": "'), "p_brand", F.lit('", "start_ms": 1}'), extra, F.lit('], "other": 3}')
+    )
+    text = F.concat(
+        F.lit('{"prompt": "'), "p_name", F.lit('", "stages": [{"name": "OrchestratorRefineV2", "output": {}}, {"name": "OrchestratorRefineV4", "output": {'), output,
+        F.lit('}, "subStages": [{"input": 3}, '), F.when(F.col("p_size") % 3 == 0, view).otherwise(F.lit('{"input": {"currentTimeline": "  "}}')), F.lit(']}, {"name": "Later", "output": {"finalTracks": {}}}]}'),
+    )
+    a = notes.assembly(p.select("p_partkey", text.alias("notes")), "p_partkey", "notes")
+    return a.select("p_partkey", "notes_prompt", F.array_join("final_clip_ids", "|").alias("final_clip_ids"), "transcript", F.when(F.col("segments").isNotNull(), F.size("segments")).alias("n_segments"), F.array_join(F.transform("b_roll", lambda c: c["caption"]), "|").alias("captions"), F.col("track_sizes")["v1"].alias("v1_size"))
+
+
 _HEX = "list_sum(list_transform(range(1, 9), lambda i: (instr('0123456789abcdef', h[i]) - 1) * (16 ** (8 - i))::BIGINT))::BIGINT"
 
 

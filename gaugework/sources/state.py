@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 LOG = "key string, seq long, value string"
 
@@ -13,6 +14,34 @@ def append(rows: DataFrame, path: str) -> None:
     rows.select(F.col("key").cast("string"), F.col("seq").cast("long"), F.col("value").cast("string")).write.mode("append").parquet(path)
 
 
+def append_batch(rows: DataFrame, path: str, batch: int) -> None:
+    """Writes the rows of one batch, in place of what an earlier try of the same batch has left."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={int(batch)}")
+
+
+def record_stream(calls: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """A stream of calls as a log of batches: a batch that fails and runs again leaves each call once."""
+
+    def write(rows: DataFrame, number: int) -> None:
+        append_batch(rows, path, number)
+
+    return calls.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def whole_batches(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the batches whose write has ended, from one listing in the store."""
+    ends = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    found = ends.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(ends) or []
+    return sorted(int(str(f.getPath().getParent().getName()).split("=")[1]) for f in found)
+
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all whole batches, with their batch number; a batch whose write did not end is left out."""
+    whole = spark.createDataFrame([(n,) for n in whole_batches(spark, path)], "_whole long")
+    rows = spark.read.schema(schema).parquet(f"{path}/batch=*").withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/", 1).cast("long"))
+    return rows.join(F.broadcast(whole), F.col("batch") == F.col("_whole"), "left_semi")  # a number per batch, from the driver's listing
+
+
 def replay(log: DataFrame) -> DataFrame:
     """The last value of each key; entries whose JSON is torn are skipped."""
     whole = log.where(F.col("key").isNotNull() & F.try_parse_json("value").isNotNull())
