@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions.scoring import ratio
+from gaugework.operators.sampling import key_range, placed_within
 
 
 def cells(pairs: DataFrame, by: list[str], x: str = "human", y: str = "judge_raw") -> DataFrame:
@@ -60,7 +61,60 @@ def spearman(counted: DataFrame, by: list[str]) -> DataFrame:
     return _correlation(ranked, by, "rank_x", "rank_y", "spearman")
 
 
+#: Cells of a group's grid of distinct values up to which kendall() fills the grid.
+GRID = 1 << 20
+
+
 def kendall(counted: DataFrame, by: list[str]) -> DataFrame:
+    """tau-b: over the grid of values where all groups' grids are small (a rating scale), else by counted inversions; both are exact."""
+    sizes = counted.groupBy(*by).agg((F.approx_count_distinct("x") * F.approx_count_distinct("y")).alias("g")).agg(F.max("g")).first()[0]
+    return kendall_on_grid(counted, by) if (sizes or 0) <= GRID else kendall_by_inversions(counted, by)
+
+
+def _tau(sums: DataFrame, counted: DataFrame, by: list[str]) -> DataFrame:
+    """tau-b from _n and _s (concordant less discordant pairs), or _d (discordant ones) and _txy (ties in both)."""
+
+    def ties(value: str, name: str) -> DataFrame:
+        totals = counted.groupBy(*by, value).agg(F.sum("c").cast("double").alias("t"))
+        return totals.groupBy(*by).agg(F.sum(F.expr("t * (t - 1) / 2")).alias(name))
+
+    joined = sums.join(ties("x", "_tx"), by).join(ties("y", "_ty"), by) if by else sums.crossJoin(ties("x", "_tx")).crossJoin(ties("y", "_ty"))  # one row each
+    all_pairs = F.expr("_n * (_n - 1) / 2")
+    spread = F.sqrt((all_pairs - F.col("_tx")) * (all_pairs - F.col("_ty")))
+    if "_d" in sums.columns:
+        joined = joined.withColumn("_s", all_pairs - F.col("_tx") - F.col("_ty") + F.col("_txy") - 2 * F.col("_d"))
+    return joined.select(*by, F.when(F.col("_n") >= 3, ratio(F.col("_s"), spread)).alias("kendall"))
+
+
+def _dense(counted: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by..., value, r_<value>: each distinct value's 0-based place; ranges of values are counted on their own."""
+    distinct = counted.select(*by, value).distinct()
+    return placed_within(distinct, by, [F.col(value)], key_range(distinct, value), f"r_{value}")
+
+
+def kendall_by_inversions(counted: DataFrame, by: list[str], block: int = 4096) -> DataFrame:
+    """tau-b for continuous scores: discordant pairs are counted bit by bit of y's place, n log n steps in all.
+
+    Of two values of y the greater one has a 1 where they first differ, seen from the highest bit.  So for each bit, among the cells that agree in
+    the bits above, a cell with a 0 makes a discordant pair with every cell with a 1 at a smaller x.  Those are a running sum in the order of
+    x: inside blocks of `block` places of x, and over the blocks' sums.
+    """
+    placed = counted.join(_dense(counted, by, "x"), [*by, "x"]).join(_dense(counted, by, "y"), [*by, "y"]).select(*by, "c", F.col("r_x").alias("_rx"), F.col("r_y").alias("_ry"))
+    bits = max(1, (placed.agg(F.max("_ry")).first()[0] or 0).bit_length())
+    leveled = placed.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    one = F.expr("shiftright(_ry, _l) & 1")
+    cell = leveled.groupBy(*by, "_l", F.expr("shiftright(_ry, _l + 1)").alias("_p"), F.floor(F.col("_rx") / block).alias("_b"), "_rx").agg(F.sum(F.col("c") * one).alias("_ones"), F.sum(F.col("c") * (1 - one)).alias("_zeros"))
+    inside = Window.partitionBy(*by, "_l", "_p", "_b").orderBy("_rx").rangeBetween(Window.unboundedPreceding, -1)
+    cell = cell.withColumn("_inner", F.coalesce(F.sum("_ones").over(inside), F.lit(0)))
+    blocks = cell.groupBy(*by, "_l", "_p", "_b").agg(F.sum("_ones").alias("_ones"), F.sum("_zeros").alias("_zeros"), F.sum(F.col("_zeros").cast("decimal(38,0)") * F.col("_inner")).alias("_in"))
+    before = Window.partitionBy(*by, "_l", "_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_ones").over(before), F.lit(0)))
+    pairs = blocks.groupBy(*by).agg(F.sum(F.col("_in") + F.col("_zeros").cast("decimal(20,0)") * F.col("_before")).cast("double").alias("_d"))
+    whole = counted.groupBy(*by).agg(F.sum("c").cast("double").alias("_n"), F.sum(F.expr("cast(c as double) * (c - 1) / 2")).alias("_txy"))
+    return _tau(whole.join(pairs, by) if by else whole.crossJoin(pairs), counted, by)  # without groups one row each
+
+
+def kendall_on_grid(counted: DataFrame, by: list[str]) -> DataFrame:
     """tau-b, for scores on a grid.
 
     A group's cells are made cumulative over the whole grid of its distinct x and y values, so concordant
@@ -77,14 +131,7 @@ def kendall(counted: DataFrame, by: list[str]) -> DataFrame:
     run = run.withColumns({"_below": F.coalesce(F.sum("_left").over(under), F.lit(0)), "_aside": F.coalesce(F.sum("_left").over(over), F.lit(0))})
     sums = run.groupBy(*by).agg(F.sum(F.expr("cast(c as double) * (_below - _aside)")).alias("_s"), F.sum("c").cast("double").alias("_n"))
 
-    def ties(value: str, name: str) -> DataFrame:
-        totals = counted.groupBy(*by, value).agg(F.sum("c").cast("double").alias("t"))
-        return totals.groupBy(*by).agg(F.sum(F.expr("t * (t - 1) / 2")).alias(name))
-
-    joined = sums.join(ties("x", "_tx"), by).join(ties("y", "_ty"), by)
-    all_pairs = F.expr("_n * (_n - 1) / 2")
-    spread = F.sqrt((all_pairs - F.col("_tx")) * (all_pairs - F.col("_ty")))
-    return joined.select(*by, F.when(F.col("_n") >= 3, ratio(F.col("_s"), spread)).alias("kendall"))
+    return _tau(sums, counted, by)
 
 
 def kappa(counted: DataFrame, by: list[str], lo: int = 1, hi: int = 5) -> DataFrame:

@@ -185,8 +185,10 @@ def bootstrap_metric(pairs: DataFrame, by: list[str], unit: str, metric, x: str
 
     As in bootstrap_mean(), units get Poisson weights by hash; a draw is one more grouping key of the cells.
     """
-    drawn = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    cells = drawn.withColumn("_w", poisson_weight(F.col(unit), F.col("_d"), seed)).where("_w > 0").groupBy(*by, "_d", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.sum("_w").alias("c"))
+    # A unit's equal pairs are one row before the draws multiply them.
+    units = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, unit, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("_n"))
+    drawn = units.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    cells = drawn.withColumn("_w", poisson_weight(F.col(unit), F.col("_d"), seed) * F.col("_n")).where("_w > 0").groupBy(*by, "_d", F.col("_x").alias("x"), F.col("_y").alias("y")).agg(F.sum("_w").alias("c"))
     each = metric(cells, [*by, "_d"])
     value = [c for c in each.columns if c not in (*by, "_d")][0]
     return each.groupBy(*by).agg(F.count(value).alias("n_draws"), F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions import scoring as S
 from gaugework.functions.text import stable_rank
-from gaugework.operators.sampling import positioned
+from gaugework.operators.sampling import hash_range, placed_within, positioned
 
 
 def task_manifest(rows: DataFrame, task: str, n_train: int, seed: int) -> DataFrame:
@@ -38,8 +38,10 @@ def validation_groups(rows: DataFrame, task: str, fraction: float, seed: int) ->
     kinds = sorted((tuple(r[x] for x in S.LABELS), r["n"]) for r in per.groupBy(*S.LABELS).agg(F.count("*").alias("n")).collect())
     taken = choose_vectors(kinds, fraction)
     quota = rows.sparkSession.createDataFrame([(*v, taken.get(v, 0)) for v, _ in kinds], ", ".join(f"{x} long" for x in S.LABELS) + ", quota int")
-    rank = F.row_number().over(Window.partitionBy(*S.LABELS).orderBy(stable_rank(seed, F.col(task)), task))
-    return per.withColumn("_rank", rank).join(F.broadcast(quota), list(S.LABELS)).select(task, F.when(F.col("_rank") <= F.col("quota"), "validation").otherwise("fit").alias("part"))
+    # Most tasks may share a vector: their places are counted by ranges of the hash.
+    hashed = per.withColumn("_rank", stable_rank(seed, F.col(task)))
+    placed = placed_within(hashed, list(S.LABELS), [F.col("_rank"), F.col(task)], hash_range(F.col("_rank")), "_i")
+    return placed.join(F.broadcast(quota), list(S.LABELS)).select(task, F.when(F.col("_i") < F.col("quota"), "validation").otherwise("fit").alias("part"))
 
 
 def choose_vectors(kinds: list[tuple[tuple, int]], fraction: float) -> dict[tuple, int]:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugework.operators import gramian, merging, routing, trees
+from gaugework.operators import agreement, gramian, merging, routing, trees
 
 # -- Gramians ---------------------------------------------------------------------------------------------
 
@@ -298,3 +298,46 @@ def test_merge_tree_stops_at_its_attempts_and_takes_no_leaves(spark, tmp_path):
     frame = spark.createDataFrame([(i, [math.cos(i / 50), math.sin(i / 50)]) for i in range(10)], "node_id long, embedding array<double>")
     assert [r["level"] for r in merging.merge_tree(frame, f"file://{tmp_path}/a", 0.9, 0.1, 0.7, most_attempts=2).where("level > 0").collect()] == [1, 1]
     assert merging.merge_tree(frame.limit(0), f"file://{tmp_path}/b").count() == 0
+
+
+# -- Kendall's tau-b for continuous scores -----------------------------------------------------------------
+
+
+def tau_b(pairs):
+    s, n, tx, ty = 0, len(pairs), 0, 0
+    for i in range(n):
+        for j in range(i):
+            a, b = np.sign(pairs[i][0] - pairs[j][0]), np.sign(pairs[i][1] - pairs[j][1])
+            s += a * b
+            tx += a == 0
+            ty += b == 0
+    whole = n * (n - 1) / 2
+    return s / math.sqrt((whole - tx) * (whole - ty)) if whole > tx and whole > ty else None
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_kendall_by_inversions(spark, block):
+    rng = random.Random(9)
+    groups = {g: [(rng.choice([rng.random(), 0.5, 0.25]), rng.choice([rng.random() * 3, -1.0, 2.0])) for _ in range(n)] for g, n in (("a", 90), ("b", 40), ("two", 2))}
+    groups["flat"] = [(1.0, float(i)) for i in range(6)]
+    groups["down"] = [(float(i), -float(i)) for i in range(17)]
+    frame = spark.createDataFrame([(g, *p) for g, own in groups.items() for p in own], "g string, human double, judge_raw double")
+    counted = agreement.cells(frame, ["g"])
+    got = {r["g"]: r["kendall"] for r in agreement.kendall_by_inversions(counted, ["g"], block).collect()}
+    grid = {r["g"]: r["kendall"] for r in agreement.kendall_on_grid(counted, ["g"]).collect()}
+    for g, own in groups.items():
+        wanted = None if g in ("two", "flat") else pytest.approx(tau_b(own))
+        assert got[g] == wanted and grid[g] == wanted
+
+
+def test_kendall_of_many_distinct_scores_makes_no_grid(spark, monkeypatch):
+    rows = spark.range(30_000).select((F.pmod(F.xxhash64("id"), F.lit(1_000_003))).cast("double").alias("human"), F.col("id").cast("double").alias("judge_raw"))
+    counted = agreement.cells(rows, [])
+    monkeypatch.setattr(agreement, "kendall_on_grid", None)
+    got = agreement.kendall(counted, []).first()["kendall"]
+    y = np.array([r["human"] for r in rows.orderBy("judge_raw").collect()])
+    discordant = sum(int((y[:i] > y[i]).sum()) for i in range(len(y)))
+    n = len(y)
+    ties = sum(c * (c - 1) / 2 for c in np.unique(y, return_counts=True)[1])
+    whole = n * (n - 1) / 2
+    assert got == pytest.approx((whole - ties - 2 * discordant) / math.sqrt(whole * (whole - ties)))
