@@ -72,6 +72,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Bytes of text whose shingles or spans one hash bucket holds, about: a bucket lies in one Python worker.
+BUCKET_BYTES = 16 << 20
+
+
+def bucket_bits(text_bytes: int, partitions: int) -> int:
+    """Bits of a bucket's number: buckets grow with the texts, and are four a shuffle partition and 64 at least."""
+    return (max(64, 4 * partitions, -(-text_bytes // BUCKET_BYTES)) - 1).bit_length()
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
 def without_rows(docs: DataFrame, gone: DataFrame, digest=F.xxhash64) -> DataFrame:
     """The rows of docs whose (doc_id, digest of the text) is not in gone (doc_id, digest); docs may have any other columns."""
     one, two = (_free(docs.columns, name) for name in ("gone_id", "gone_digest"))

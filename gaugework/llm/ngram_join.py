@@ -5,6 +5,7 @@ A document's set is its distinct k-word shingles.  Two documents link when
 
 1. One pass over the texts hashes the shingles in batches (numpy over Arrow bytes).  Every batch sends
    each distinct shingle to its hash bucket; a shingle that many documents of a batch share travels once.
+   The number of buckets follows the bytes of text, so a bucket stays small whatever the input.
    A bucket's task counts documents per shingle and answers only for shingles of two documents or more.
    So a document learns how many of its shingles are unique and the frequency of all others.
 2. A set ordered by (frequency, hash) needs only its first n - ceil(percent * n / 100) + 1 entries
@@ -73,16 +74,15 @@ def _batches(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[p
 
 
 def _batch_rows(batch: int, ids: np.ndarray, owner: np.ndarray, h: np.ndarray, bits: int) -> pa.RecordBatch:
-    bucket = (h >> _U(64 - bits)).astype(np.uint16)
+    bucket = (h >> _U(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
     packed = (h << _U(16)) | owner.astype(np.uint64)
     order = np.argsort(bucket, kind="stable")
-    packed, ends = packed[order], np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+    packed, bucket = packed[order], bucket[order]
+    heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, dtype=np.int64)
     sizes = np.zeros(len(ids), dtype=np.int64)
     out: list[tuple[int, int, bytes, bytes]] = []
-    for b in range(1 << bits):
-        p = np.sort(packed[ends[b] : ends[b + 1]])
-        if not len(p):
-            continue
+    for b, lo, hi in zip(bucket[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(bucket)]):
+        p = np.sort(packed[lo:hi])
         p = p[np.concatenate([[True], p[1:] != p[:-1]])]
         docs = (p & _ALL).astype(np.int64)
         sizes += np.bincount(docs, minlength=len(ids))
@@ -153,7 +153,7 @@ def _frequencies(key: tuple, rows: pa.Table) -> pa.Table:
     )
 
 
-def _sets(rows: pa.Table, percent: int) -> pa.Table:
+def _sets(rows: pa.Table, percent: int, bits: int) -> pa.Table:
     """One batch: each document's size and, if its prefix is not all unique, its shared shingles in order."""
     ids = sizes = None
     found: list[np.ndarray] = []
@@ -176,12 +176,12 @@ def _sets(rows: pa.Table, percent: int) -> pa.Table:
                 order = np.argsort(key)
                 once[r["bucket"]] = (key[order], f[all_of][order])
             p, f = p[~all_of], f[~all_of]
-            found.append(_full(p, r["bucket"]))
+            found.append(_full(p, r["bucket"], bits))
             docs.append((p & _ALL).astype(np.int64))
             freq.append(f)
     for b, p in shared.items():
         key, f = once[b]
-        found.append(_full(p, b))
+        found.append(_full(p, b, bits))
         docs.append((p & _ALL).astype(np.int64))
         freq.append(f[np.searchsorted(key, p >> _U(16))])
     n_docs = len(ids)
@@ -226,9 +226,9 @@ def _sets(rows: pa.Table, percent: int) -> pa.Table:
     )
 
 
-def _full(p: np.ndarray, bucket: int) -> np.ndarray:
-    """The shingle's hash: the bucket's number above the 48 bits that travelled."""
-    return p >> _U(16) | _U(bucket) << _U(48)
+def _full(p: np.ndarray, bucket: int, bits: int) -> np.ndarray:
+    """The shingle's hash: the bucket's number, or its first 16 bits, above the 48 bits that travelled."""
+    return p >> _U(16) | _U(bucket >> max(0, bits - 16)) << _U(48)
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,14 +253,14 @@ def document_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n (set size), n_unique, and for documents that may have partners members, head, f1, f2, parity."""
     spark = docs.sparkSession
     common.prepare(spark)
-    bits = max(6, min(16, math.ceil(math.log2(4 * common.shuffle_partitions(spark)))))
+    bits = common.bucket_bits(common.text_bytes(docs), common.shuffle_partitions(spark))
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     kind = "bucket int, batch long, kind int, data binary, counts binary"
     sent = texts.mapInArrow(lambda it: _batches(it, k, bits), kind)
     answers = sent.groupBy("bucket").applyInArrow(_frequencies, kind)
     return common.materialize(
         answers.groupBy("batch").applyInArrow(
-            lambda rows: _sets(rows, percent),
+            lambda rows: _sets(rows, percent, bits),
             "doc_id long, n long, n_unique long, members binary, head array<long>, f1 long, f2 long, parity array<long>",
         ),
         "ngram-sets",

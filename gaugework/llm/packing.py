@@ -17,7 +17,7 @@ handful where no targets are given.
 Defined cases: a null text is empty (its end id alone); a null source is a queue of its own; sources without a
 target of their own share one queue with the target of "" (0 if there is none); a queue of target 0 sends when
 the others are dry; without any targets every source's target is its share of all tokens, and there the sources
-with less than 1 / OWN of them, half a slot of a sequence in 60, share one queue with the sum of their shares; rows
+with less than own_share of them (1 / OWN: half a slot of a sequence in 60) share one queue with the sum of their shares; rows
 that repeat are packed each; an empty table gives an empty table; other columns are ignored.  Only the last sequence can be
 shorter than `sequence`.
 """
@@ -194,15 +194,17 @@ def _cut(batches: Iterator[pa.RecordBatch], phases, window: int, slot: int, widt
 PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE, targets: dict | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE, targets: dict | None = None, slot: int = SLOT, own_share: float = 1 / OWN) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (32-bit little-endian).
 
     targets: proportion of tokens per source (None: each source's share of all tokens, so that every sequence
-    has the corpus's own mixture and all queues end together).
+    has the corpus's own mixture and all queues end together).  slot: tokens that a queue sends at a time; small slots
+    hold the targets closely inside every sequence, large ones (up to `sequence`) keep documents in fewer pieces.
+    own_share: without targets, the share of all tokens from which a source has a queue of its own; 0: every source has.
     """
     spark = docs.sparkSession
     common.prepare(spark)
-    slot = math.gcd(sequence, SLOT)
+    slot = math.gcd(sequence, slot)
     texts = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text"), F.col("source").cast("string").alias("source"))
     kind = "doc_id long, source string, part int, at long, n long, ids binary"
     encoded = common.materialize(texts.mapInArrow(lambda it: _encode(it, tokenizer, end_id), kind), "packing-ids")
@@ -210,8 +212,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE,
     # Queues of their own: the named targets, or the sources with most tokens.  Only they come to the driver.
     sums = parts.groupBy("source").agg(F.sum("n").alias("tokens"))
     if targets is None:
-        least = (sums.agg(F.sum("tokens")).first()[0] or 0) / OWN
-        own = [r["source"] for r in sums.where(F.col("tokens") >= least).orderBy("source").collect()]  # at most OWN
+        least = (sums.agg(F.sum("tokens")).first()[0] or 0) * own_share
+        own = [r["source"] for r in sums.where(F.col("tokens") >= least).orderBy("source").collect()]  # at most 1 / own_share
     else:
         own = [s for s in targets if s != ""]
     names = spark.createDataFrame([(s, i) for i, s in enumerate(own)], "own string, queue int")

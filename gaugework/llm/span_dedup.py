@@ -2,7 +2,7 @@
 
 A text is cut into sentences (ending at . ! ? or a line feed), and a sentence longer than CLAUSE words into clauses at
 words that their own hash names, so that copies of a passage are cut alike wherever it begins.  Every run of at least
-SENTENCES consecutive sentences or clauses and WORDS words that has no shorter such run from its first, or
+least_sentences consecutive sentences or clauses and least_words words that has no shorter such run from its first, or
 to its last, sentence is hashed to 128 bits.  Longer runs repeat exactly where these do, so each sentence of a long enough
 repeated passage lies in a hashed run inside the passage.  Runs meet globally by hash; the first
 place of a hash, the least (doc_id, digest of the text, sentence), keeps it.  Sentences covered by any other place go.
@@ -69,20 +69,20 @@ def _clauses(sentence: str) -> list[str]:
     return [*out, "".join(words[begin:])]
 
 
-def _runs(words: np.ndarray) -> np.ndarray:
+def _runs(words: np.ndarray, least_sentences: int = SENTENCES, least_words: int = WORDS) -> np.ndarray:
     """(first, last) of the shortest long-enough run from each sentence, forwards and backwards."""
     n = len(words)
     sums = np.concatenate([[0], np.cumsum(words)])
     at = np.arange(n)
-    last = np.maximum(np.searchsorted(sums, sums[:-1] + WORDS, side="left") - 1, at + SENTENCES - 1)
-    first = np.minimum(np.searchsorted(sums, sums[1:] - WORDS, side="right") - 1, at - SENTENCES + 1)
+    last = np.maximum(np.searchsorted(sums, sums[:-1] + least_words, side="left") - 1, at + least_sentences - 1)
+    first = np.minimum(np.searchsorted(sums, sums[1:] - least_words, side="right") - 1, at - least_sentences + 1)
     ahead = np.stack([at, last], axis=1)[last < n]
-    behind = np.stack([first, at], axis=1)[(first >= 0) & (sums[1:] >= WORDS)]
+    behind = np.stack([first, at], axis=1)[(first >= 0) & (sums[1:] >= least_words)]
     runs = np.concatenate([ahead, behind])
     return np.stack(np.divmod(np.unique(runs[:, 0] * n + runs[:, 1]), n), axis=1) if n else runs
 
 
-def _places(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch], bits: int, least_sentences: int, least_words: int) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for rows in batches:
         for doc, text, digest in zip(*(rows.column(i).to_pylist() for i in range(3))):
@@ -93,7 +93,7 @@ def _places(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
                 w = s.lower().split()
                 keys.append(xxhash.xxh3_128_digest(" ".join(w)))
                 words.append(len(w))
-            runs = _runs(np.array(words, dtype=np.int64))
+            runs = _runs(np.array(words, dtype=np.int64), least_sentences, least_words)
             if len(runs):
                 power, back = word_hash.powers(_BASE, len(keys)), word_hash.powers(_INVERSE, len(keys))
                 halves = np.frombuffer(b"".join(keys), dtype=np.uint64).reshape(-1, 2)
@@ -169,13 +169,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_sentences", "n_removed", "text"])
 
 
-def drop_repeated_spans(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_sentences, n_removed, text (what stays)."""
+def drop_repeated_spans(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
+    """One row per row of docs: doc_id, n_sentences, n_removed, text (what stays).
+
+    A repeated run of fewer than least_sentences sentences or clauses, or least_words words, stays.
+    """
+    if least_sentences < 1 or least_words < 1:
+        raise ValueError("a span has a sentence and a word at least")
     spark = docs.sparkSession
     common.prepare(spark)
-    bits = max(6, min(24, (4 * common.shuffle_partitions(spark) - 1).bit_length()))
+    bits = common.bucket_bits(common.text_bytes(docs), common.shuffle_partitions(spark))
     texts = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).withColumn("digest", F.xxhash64("text"))
-    places = texts.mapInArrow(lambda it: _places(it, bits), "bucket int, kind int, places binary")
+    places = texts.mapInArrow(lambda it: _places(it, bits, least_sentences, least_words), "bucket int, kind int, places binary")
     gone = places.groupBy("bucket").applyInArrow(_meet, "gone_id long, gone_text long, a int, b int")
     # A document's own spans, no more than twice its sentences.
     spans = gone.groupBy("gone_id", "gone_text").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

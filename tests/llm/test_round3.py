@@ -11,12 +11,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugework.llm import queries
+from gaugework.llm import common, queries
 from gaugework.llm.ball_tree import Tree, cluster, squares
 from gaugework.llm.chat_format import best_paths, digests, escaped, format_paths, numbered, read_loss, read_turns, unescaped
 from gaugework.llm.filter_audit import audit, text_failures
 from gaugework.llm.html_text import main_text
 from gaugework.llm.line_dedup import drop_frequent_lines
+from gaugework.llm.ngram_join import ngram_components
+from gaugework.llm.packing import pack
+from gaugework.llm.span_dedup import drop_repeated_spans
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("documents", "labels", "embeddings", "conversations")
@@ -261,3 +264,46 @@ def test_many_lines_of_one_document(spark):
     docs = spark.createDataFrame([(1, text), *((i, "line 7\nown " + str(i)) for i in range(2, 12))], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in drop_frequent_lines(docs, 10, 1).select("doc_id", "n_lines", "n_dropped").collect()}
     assert got[1] == (200_000, 2) and got[2] == (2, 1)
+
+
+# -- buckets from the data, parameters of spans and packing --------------------------------------------------
+
+
+def test_buckets_follow_the_bytes_of_text():
+    assert common.bucket_bits(0, 1) == 6 and common.bucket_bits(0, 200) == 10
+    assert common.bucket_bits(100 << 40, 200) == 23 and (100 << 40) >> common.bucket_bits(100 << 40, 200) <= common.BUCKET_BYTES
+
+
+@pytest.mark.parametrize("size", [1 << 20, 64])
+def test_many_small_buckets_give_the_same_components_and_spans(spark, monkeypatch, size):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) + "." for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, texts[i].replace(texts[i].split()[30], "changed", 1)) for i in range(12)] + [(200 + i, texts[i] + " " + texts[i + 1]) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(common, "BUCKET_BYTES", 1 << 30)
+    wanted = [sorted(map(tuple, f(docs).collect())) for f in (lambda d: ngram_components(d, 4, 80), drop_repeated_spans)]
+    monkeypatch.setattr(common, "BUCKET_BYTES", max(1, sum(len(t) for _, t in rows) // size if size > 64 else size))
+    if size > 64:
+        assert common.bucket_bits(common.text_bytes(docs), 4) > 13
+        monkeypatch.setattr(common, "bucket_bits", lambda n, p: 19)  # more than the 16 bits beside a document's number
+    assert [sorted(map(tuple, f(docs).collect())) for f in (lambda d: ngram_components(d, 4, 80), drop_repeated_spans)] == wanted
+    assert len({c for _, _, c in wanted[0]}) < len(rows) - 8 and sum(r[2] for r in wanted[1]) > 8
+
+
+def test_spans_of_few_words(spark):
+    docs = spark.createDataFrame([(1, "Call us now. Thank you. One ends here."), (2, "Call us now. Thank you. Two goes on.")], "doc_id long, text string")
+    assert [r["n_removed"] for r in drop_repeated_spans(docs).orderBy("doc_id").collect()] == [0, 0]
+    assert [r["text"] for r in drop_repeated_spans(docs, 2, 4).orderBy("doc_id").collect()] == ["Call us now. Thank you. One ends here.", "Two goes on."]
+
+
+def test_packing_slots_and_queues_are_parameters(spark):
+    P = pytest.importorskip("public_tokenizers")
+    rows = [(i, "word " * (40 + i % 7), f"s{i % 3}" if i % 50 else f"rare{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = {}
+    for slot, share in ((64, 1 / 2048), (1024, 0.0)):
+        got = pack(docs, P.path("byte_bpe_50k.json"), 0, slot=slot, own_share=share).drop("ids").collect()
+        assert sum(r["length"] for r in got) == sum({r["doc_id"]: r["doc_tokens"] for r in got}.values())
+        assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got) and all(r["offset"] + r["length"] <= 1024 for r in got)
+        pieces[slot] = len(got)
+    assert pieces[1024] < pieces[64]
