@@ -228,7 +228,7 @@ def _turns(counts: pd.DataFrame) -> pd.DataFrame:
 
 
 def alternate(rows: DataFrame, outer: str, inner: str, key: str, limit: int | None, seed: int) -> DataFrame:
-    """The first `limit` rows, with their turn, when the outer groups take turns and each goes through its inner groups in turn.
+    """The first `limit` rows, with their turn and position, when the outer groups take turns and each goes through its inner groups in turn.
 
     Rows of an inner group come in the order of a seeded hash of key; a group without rows left is passed over.  A row's turn
     follows from its place in its group and from the groups' sizes, so no rotation over rows is run.  Rows of equal turn stand in the order of
@@ -240,7 +240,8 @@ def alternate(rows: DataFrame, outer: str, inner: str, key: str, limit: int | No
     ranked = rows.withColumns({"_rank": F.sha2(F.concat(F.lit(f"{seed}::"), F.col(key).cast("string")), 256), "_outer": F.coalesce(F.col(outer).cast("string"), F.lit("")), "_inner": F.coalesce(F.col(inner).cast("string"), F.lit(""))})
     counts = ranked.groupBy("_outer", "_inner").agg(F.count("*").alias("_n"))
     if limit is None or limit >= (counts.agg(F.sum("_n")).first()[0] or 0):
-        return ranked.withColumn("turn", F.lit(None).cast("long")).orderBy("_rank", key).drop("_rank", "_outer", "_inner")
+        none = F.lit(None).cast("long")
+        return ranked.withColumns({"turn": none, "position": none}).orderBy("_rank", key).drop("_rank", "_outer", "_inner")
 
     def phases(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return _turns(part).assign(_outer=key[0])
@@ -249,5 +250,10 @@ def alternate(rows: DataFrame, outer: str, inner: str, key: str, limit: int | No
     placed = placed_within(ranked, ["_outer", "_inner"], [F.col("_rank"), F.col(key)], hash_range(F.col("_rank")), "_i")
     planned = planned.select(F.col("_outer").alias("_po"), F.col("_inner").alias("_pi"), "_before", "_until", "_first", "_width")
     met = placed.join(planned, (F.col("_outer") == F.col("_po")) & (F.col("_inner") == F.col("_pi")) & (F.col("_i") >= F.col("_before")) & (F.col("_i") < F.col("_until")))
-    turn = F.col("_first") + (F.col("_i") - F.col("_before")) * F.col("_width")
-    return met.withColumn("turn", turn).orderBy("turn", "_outer").limit(limit).select(*rows.columns, "turn")
+    met = met.withColumn("turn", F.col("_first") + (F.col("_i") - F.col("_before")) * F.col("_width"))
+    # Before a row stand the rows of earlier turns, and those of its turn in earlier outer groups.
+    totals = counts.groupBy("_outer").agg(F.sum("_n").alias("t")).agg(F.collect_list(F.struct(F.col("_outer").alias("o"), "t")).alias("_totals"))  # an entry per outer group
+    earlier = F.aggregate("_totals", F.lit(0).cast("long"), lambda s, x: s + F.least(x["t"], F.col("turn")))
+    beside = F.size(F.filter("_totals", lambda x: (x["o"] < F.col("_outer")) & (x["t"] > F.col("turn"))))
+    placed = met.crossJoin(F.broadcast(totals)).withColumn("position", earlier + beside)  # one row
+    return placed.where(F.col("position") < limit).select(*rows.columns, "turn", "position").orderBy("position")

@@ -334,12 +334,12 @@ def nested_partitions(spark, sf):
     w AS (SELECT editor, 0 AS t, a, b, c, 0 AS ua, 0 AS ub, 0 AS uc, '' AS label, 0 AS i FROM n UNION ALL
       SELECT editor, t + 1, a, b, c, ua + (l = 'no')::INT, ub + (l = 'partial')::INT, uc + (l = 'yes')::INT, l, CASE l WHEN 'no' THEN ua WHEN 'partial' THEN ub ELSE uc END
       FROM (SELECT *, list_filter(['no', 'partial', 'yes'], lambda x: CASE x WHEN 'no' THEN ua < a WHEN 'partial' THEN ub < b ELSE uc < c END) AS live, live[1 + t % len(live)] AS l FROM w WHERE ua + ub + uc < a + b + c))
-    SELECT editor, target, item_id, t - 1 AS turn FROM w JOIN ranked r USING (editor, i) WHERE t > 0 AND label = target ORDER BY turn, editor LIMIT 60""",
+    SELECT editor, target, item_id, t - 1 AS turn FROM w JOIN ranked r USING (editor, i) WHERE t > 0 AND label = target ORDER BY turn, editor LIMIT (SELECT count(*) // 2 FROM classes)""",
     "", "editor target item_id turn",
 )
 def alternating_pilot(spark, sf):
     c = T.classes(spark, sf).select("editor", "target", "item_id")
-    return sampling.alternate(c, "editor", "target", "item_id", 60, 44)
+    return sampling.alternate(c, "editor", "target", "item_id", c.count() // 2, 44).drop("position")
 
 
 @query(
