@@ -442,6 +442,18 @@ def cutpoint_cross_validation(spark, sf):
     return calibration.cross_validated_cutpoints(c, fitting.grouped_folds(c, "task_uid", 3), "task_uid", 3).select("item_id", "fold", "calibrated")
 
 
+_FOLD_CUTS = " UNION ALL ".join(
+    f"SELECT {f} AS fold, low, high FROM ({_cuts('accuracy + 0.01 + 1e-12 >= (SELECT max(accuracy) FROM p)', 'partial_f1 DESC, macro_f1 DESC').replace('target FROM classes)', f'target FROM classes WHERE task_uid % 3 <> {f})')})" for f in range(3)
+)
+
+
+@query(W("classes") + f", b AS ({_FOLD_CUTS}) SELECT item_id, fold, CASE WHEN ordinal_score < low THEN 'no' WHEN ordinal_score < high THEN 'partial' ELSE 'yes' END AS calibrated FROM classes JOIN b ON task_uid % 3 = fold", "", "item_id fold:i calibrated")
+def cutpoint_folds(spark, sf):
+    c = T.classes(spark, sf)
+    folds = c.select("task_uid", (F.col("task_uid") % 3).alias("fold")).distinct()
+    return calibration.cross_validated_cutpoints(c, folds, "task_uid", 3).select("item_id", "fold", "calibrated")
+
+
 @query()
 def bootstrap_spearman(spark, sf):
     from gaugework.operators import agreement

@@ -363,7 +363,20 @@ def fake_judge(spark, sf):
     return judging.judge(b, "item_id", "Rate from 1 to 5: {text}", {"text": "text"}, judging.HashEngine).select("item_id", "judge_raw", "valid")
 
 
-@query()
+def _centroids(name: str, by: str) -> str:
+    parts = f"SELECT {by} AS id, i, avg(v::DOUBLE) AS v FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2"
+    return f"{name} AS (SELECT id, list(v ORDER BY i) AS c FROM ({parts}) GROUP BY 1)"
+
+
+_NEAR = "list_dot_product(embedding::DOUBLE[], c) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(c, c))"
+
+
+@query(
+    f"""WITH {_centroids("r", "label % 2 + 100")}, {_centroids("l", "label")}, a AS (SELECT vec_id, embedding, arg_max(id, ({_NEAR}, id)) AS root, max({_NEAR}) AS s FROM embeddings, r GROUP BY 1, 2),
+    b AS (SELECT vec_id, arg_max(id, ({_NEAR}, id)) AS leaf, max({_NEAR}) AS s FROM a JOIN l ON id % 2 + 100 = root WHERE {_NEAR} >= 0.1 GROUP BY 1)
+    SELECT a.vec_id AS item_id, coalesce(leaf, root) AS node_id, coalesce(b.s, a.s) AS similarity, (leaf IS NOT NULL)::INT AS steps FROM a LEFT JOIN b USING (vec_id)""",
+    "similarity", "item_id node_id:i steps:i",
+)
 def route_tree(spark, sf):
     e = T.read(spark, sf, "embeddings").withColumn("half", F.col("label") % 2)
     roots = routing.centroids(e, ["half"], "embedding").select((F.col("half") + 100).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), "centroid", F.lit(0.0).alias("threshold"))
