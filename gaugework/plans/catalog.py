@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugework.plans import agreement_queries, decision_queries, model_queries, policy_queries, signal_queries  # noqa: F401  they register themselves
+from gaugework.plans import agreement_queries, decision_queries, model_queries, policy_queries, signal_queries, source_queries  # noqa: F401  they register themselves
 from gaugework.plans.registry import QUERIES, SQL, Query
 
 
