@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugework.functions import scoring as S
-from gaugework.operators import calibration, fitting, sampling, splits
+from gaugework.operators import calibration, fitting, rewriting, sampling, splits
 from gaugework.operators import classification as C
 from gaugework.plans import tables as T
 from gaugework.plans.registry import query
+from gaugework.workers import scratch
 
 W = T.with_views
 _P = "CASE WHEN prediction IN ('no', 'partial', 'yes') THEN prediction ELSE 'invalid' END"
@@ -571,3 +572,21 @@ def prompt_trees(spark, sf):
 def tree_grid(spark, sf):
     z = T.ratings(spark, sf).join(T.judges(spark, sf), "item_id").withColumns({"late": (F.col("item_id") % 7).cast("double"), "fold": F.col("item_id") % 4})
     return fitting.tree_grid(z, "fold", {"judge": ["judge_raw"], "both": ["judge_raw", "late"]}, [1, 2], [2.0, 8.0], "score")
+
+
+@query()
+def rewrite_search(spark, sf):
+    """Prompts are two cut points; the rewriter widens what lies between them while it is shown missed cases."""
+
+    def judge(rows, prompt):
+        low, high = map(float, prompt.split())
+        return rows.select("item_id", S.label_by_cutpoints(F.col("ordinal_score"), low, high).alias("prediction"))
+
+    def rewrite(prompt, shown):
+        low, high = map(float, prompt.split())
+        missed = sum(r["bucket"].startswith("partial/") for r in shown) > sum(r["bucket"] == "partial/partial" for r in shown)
+        return f"{low - 4} {high + 4}" if missed else f"{low + 1} {high - 1}"
+
+    c = T.classes(spark, sf).select("item_id", "target", "task_uid", "ordinal_score", F.when(F.col("task_uid") % 4 == 0, "validation").otherwise("fit").alias("split"))
+    trials, _ = rewriting.rewrite_search(c, "40.0 80.0", judge, rewrite, scratch(spark, "rewrites"))
+    return trials
