@@ -67,7 +67,7 @@ GRID = 1 << 20
 
 def kendall(counted: DataFrame, by: list[str]) -> DataFrame:
     """tau-b: over the grid of values where all groups' grids are small (a rating scale), else by counted inversions; both are exact."""
-    sizes = counted.groupBy(*by).agg((F.approx_count_distinct("x") * F.approx_count_distinct("y")).alias("g")).agg(F.max("g")).first()[0]
+    sizes = counted.groupBy(*by).agg((F.approx_count_distinct("x") * F.approx_count_distinct("y")).alias("_grid")).agg(F.max("_grid")).first()[0]
     return kendall_on_grid(counted, by) if (sizes or 0) <= GRID else kendall_by_inversions(counted, by)
 
 
