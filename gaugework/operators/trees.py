@@ -128,3 +128,41 @@ def importances(tree: DataFrame, by: list[str]) -> DataFrame:
     """by..., feature, importance: each feature's share of the summed gains of a tree."""
     gains = tree.where("feature is not null").groupBy(*by, "feature").agg(F.sum("gain").alias("_g"))
     return gains.withColumn("importance", F.col("_g") / F.sum("_g").over(Window.partitionBy(*by))).drop("_g")  # a row per feature
+
+
+def pruned(tree: DataFrame, depth: int) -> DataFrame:
+    """The tree of `depth` levels of splits: splits are chosen level by level, so it is the top of any deeper one."""
+    inner = F.col("node") < (1 << depth)
+    return tree.where(F.col("node") < (2 << depth)).withColumns({c: F.when(inner, F.col(c)) for c in ("feature", "cut", "gain")})
+
+
+def select_tree(
+    rows: DataFrame, fold: str, feature_sets: dict[str, list[str]], depths: list[int], least: list[float], target: str, weight: str | None = None, item: str | None = None, bins: int = 256,
+) -> DataFrame:
+    """features, n_features, depth, least, mae, rank: out-of-fold errors of every setting, rank 1 the best.
+
+    A row is predicted by the tree of the other folds' rows; trees of all folds grow in one pass, and a setting's depths are read off its
+    deepest tree.  mae: over items (the mean of their mean errors) or, without `item`, over rows by weight.  Errors equal to nine digits
+    go to fewer features, then to the shallower tree, then to heavier leaves, then by name.  Rows with a null feature of any set, or a
+    null target or fold, are left out; a fold without other folds is not predicted.
+    """
+    every = sorted({f for fs in feature_sets.values() for f in fs})
+    good = rows.dropna(subset=[fold, target, *every]).withColumn("_weight", F.lit(1.0) if weight is None else F.col(weight).cast("double"))
+    folds = sorted(r[0] for r in good.select(fold).distinct().collect())  # a handful
+    train = good.withColumn("_out", F.explode(F.array(*(F.lit(f) for f in folds)) if folds else F.array().cast("array<int>"))).where(F.col("_out") != F.col(fold))
+    held = good.withColumn("_out", F.col(fold))
+    out = None
+    for name, features in feature_sets.items():
+        for m in least:
+            tree = histogram_tree(train, ["_out"], features, target, None if weight is None else "_weight", max(depths), m, bins)
+            for depth in depths:
+                said = predict(held, pruned(tree, depth), ["_out"], features, depth).where("prediction is not null")
+                error = F.abs(F.col("prediction") - F.col(target))
+                if item:
+                    mae = said.groupBy(item).agg(F.avg(error).alias("_e")).agg(F.avg("_e").alias("mae"))
+                else:
+                    mae = said.agg((F.sum(F.col("_weight") * error) / F.sum("_weight")).alias("mae"))
+                one = mae.select(F.lit(name).alias("features"), F.lit(len(features)).alias("n_features"), F.lit(depth).alias("depth"), F.lit(float(m)).alias("least"), "mae").where("mae is not null")
+                out = one if out is None else out.unionByName(one)
+    order = Window.orderBy(F.round("mae", 9), "n_features", "depth", F.desc("least"), "features")  # a row per setting
+    return out.withColumn("rank", F.row_number().over(order))

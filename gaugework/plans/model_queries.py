@@ -127,3 +127,9 @@ def tree_errors(spark, sf):
     tree = trees.histogram_tree(rows, ["dimension"], _FEATURES, "score", depth=2, least=20, bins=1024)
     error = F.col("prediction") - F.col("score")
     return trees.predict(rows, tree, ["dimension"], _FEATURES, 2).groupBy("dimension").agg(F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.avg(error * error).alias("mse"))
+
+
+@query()
+def tree_selection(spark, sf):
+    rows = _rated(spark, sf).withColumns({"fold": F.col("item_id") % 4, "task": F.col("item_id") % 40})
+    return trees.select_tree(rows, "fold", {"judge": ["judge_raw"], "all": _FEATURES}, [1, 2], [20.0, 200.0], "score", item="task", bins=1024)

@@ -171,6 +171,32 @@ def test_histogram_tree_with_quantile_bins_and_in_plain_plans(spark):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_tree_selection_equals_refits(spark):
+    rng = random.Random(12)
+    rows = [(i % 3, i % 11, float(rng.randrange(5)), rng.choice([0.0, 1.0]), 0.0, rng.choice([0.5, 1.0])) for i in range(90)]
+    rows = [(f, t, a, b, a + 2 * b + rng.gauss(0, 0.4), w) for f, t, a, b, _, w in rows]
+    frame = spark.createDataFrame([*rows, (0, 1, None, 1.0, 1.0, 1.0)], "fold int, task int, f0 double, f1 double, y double, w double")
+    got = {(r["features"], r["depth"], r["least"]): (r["mae"], r["rank"]) for r in trees.select_tree(frame, "fold", {"one": ["f0"], "both": ["f0", "f1"]}, [1, 2], [2.0, 6.0], "y", "w", "task").collect()}
+    wanted = {}
+    for name, pick in (("one", [2]), ("both", [2, 3])):
+        for depth in (1, 2):
+            for m in (2.0, 6.0):
+                errors = {}
+                for held in range(3):
+                    tree = brute_tree([(*(r[i] for i in pick), r[4], r[5]) for r in rows if r[0] != held], depth, m, True)
+                    for r in rows:
+                        if r[0] == held:
+                            node = 1
+                            while tree[node][0] is not None:
+                                node = 2 * node + (r[pick[int(tree[node][0][1])]] > tree[node][1].expected)
+                            errors.setdefault(r[1], []).append(abs(tree[node][3].expected - r[4]))
+                wanted[name, depth, m] = sum(sum(e) / len(e) for e in errors.values()) / len(errors)
+    assert {k: v[0] for k, v in got.items()} == {k: pytest.approx(v) for k, v in wanted.items()}
+    order = sorted(wanted, key=lambda k: (round(wanted[k], 9), 1 if k[0] == "one" else 2, k[1], -k[2]))
+    assert [k for k, v in sorted(got.items(), key=lambda x: x[1][1])] == order
+    assert trees.select_tree(frame.limit(0), "fold", {"one": ["f0"]}, [1], [2.0], "y").count() == 0
+
+
 # -- exact cosine joins and the merge loop ----------------------------------------------------------------
 
 
