@@ -259,3 +259,19 @@ def consensus_search(rows: DataFrame, keys: dict[str, Column], configs: list[lis
     rated = rated.join(n_rules, "trial", "left").withColumn("n_rules", F.coalesce("n_rules", F.lit(0)))
     order = [F.round("accuracy", 12).desc(), F.round("balanced", 12).desc(), F.col("n_rules"), F.col("n_levels"), F.col("least").desc(), F.col("trial")]
     return rated.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # a row per trial
+
+
+def consensus_rules(rows: DataFrame, keys: dict[str, Column], configs: list[list[str]], supports: list[int], least_gain: int = 0) -> DataFrame:
+    """level (its name), rule_key, support, action, gain: the rules to deploy, mined from all rows with the best trial's levels and support.
+
+    The best trial of consensus_search (one row on the driver) was rated on the validation part alone; where it is the baseline there
+    are no rules.
+    """
+    from gaugework.operators.calibration import mine_rules
+
+    best = consensus_search(rows, keys, configs, supports, least_gain).where("rank = 1").first()
+    levels = [] if best is None or not best["trial"] else configs[(best["trial"] - 1) // len(supports)]
+    if not levels:
+        return rows.sparkSession.createDataFrame([], "level string, rule_key string, support long, action string, gain long")
+    mined = mine_rules(rows, [keys[x] for x in levels], best["least"], least_gain)
+    return mined.select(F.element_at(F.array(*map(F.lit, levels)), F.col("level") + 1).alias("level"), "rule_key", "support", "action", "gain")

@@ -132,4 +132,4 @@ def tree_errors(spark, sf):
 @query()
 def tree_selection(spark, sf):
     rows = _rated(spark, sf).withColumns({"fold": F.col("item_id") % 4, "task": F.col("item_id") % 40})
-    return trees.select_tree(rows, "fold", {"judge": ["judge_raw"], "all": _FEATURES}, [1, 2], [20.0, 200.0], "score", item="task", bins=1024)
+    return trees.select_tree(rows, "fold", {"judge": ["judge_raw"], "all": _FEATURES}, [1, 2], [20.0], "score", item="task", bins=1024)

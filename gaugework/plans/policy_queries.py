@@ -287,6 +287,23 @@ def consensus_search(spark, sf):
     return policies.consensus_search(c, keys, _CONFIGS, [4, 8, 12])
 
 
+def _rules() -> str:
+    steps = ", ".join(f"({i * 3 + j + 1}, {s}, '{level}')" for i, c in enumerate(_CONFIGS) for j, s in enumerate((4, 8, 12)) for level in c)
+    keyed = ", ".join(f"'{k}'" for k in _KEYS)
+    return W("classes") + f""", best AS (SELECT trial FROM ({_search()}) WHERE rank = 1), z AS (SELECT *, coalesce(prediction, '') AS p FROM classes),
+    k AS (SELECT target, prediction, unnest([{keyed}]) AS level, unnest([{', '.join(_KEYS.values())}]) AS key FROM z), c AS (SELECT level, key, target, count(*) AS c, count(*) FILTER (target = prediction) AS h FROM k GROUP BY 1, 2, 3),
+    m AS (SELECT level, key, sum(c) AS support, arg_max(target, (c, target = 'partial', target)) AS action, max(c) - sum(h) AS gain FROM c GROUP BY 1, 2), steps(trial, least, level) AS (VALUES {steps})
+    SELECT level, key AS rule_key, support, action, gain FROM m JOIN steps USING (level) JOIN best USING (trial) WHERE support >= least AND gain >= 0"""
+
+
+@query(_rules(), "", "level rule_key support:i action gain:i")
+def consensus_rules(spark, sf):
+    c = T.classes(spark, sf).withColumn("part", F.when(F.col("task_uid") % 3 == 0, "validation").otherwise("fit"))
+    p = F.coalesce("prediction", F.lit(""))
+    keys = {"ep": F.concat_ws("::", "editor", p), "lp": F.concat_ws("::", "lang", p), "p": p}
+    return policies.consensus_rules(c, keys, _CONFIGS, [4, 8, 12])
+
+
 @query("SELECT p_partkey, p_name || ' ' || p_brand AS transcript FROM part", "", "p_partkey transcript")
 def timeline_transcripts(spark, sf):
     p = T.read(spark, sf, "part")
