@@ -1,9 +1,11 @@
 """Token ids of whole texts, word by word where that gives exactly what the library gives.
 
 The two BPE tokenizer files split a text before their merges, never across a space that a non-space
-follows.  So each distinct word is encoded once per worker, by the library's encode(), and
+follows.  So each distinct word is encoded once per worker, by the library, and
 a text's ids are gathered from a table in numpy.  A text in which a cut could change the ids (white space after white
-space), and any tokenizer file of another form, is encoded whole.
+space, a special string), and any tokenizer file of another form, is encoded whole.  The byte-level split also ends every
+run of letters, so there a sign after a letter starts a word, and a word of letters alone, one piece of
+that split, goes to the library's model itself.
 """
 
 from __future__ import annotations
@@ -24,8 +26,18 @@ _BASE = 0xA0761D6478BD642F
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, size=256, dtype=np.uint64) * _U(2) + _U(1)
 #: Entries that a worker keeps; beyond them it starts anew.  Letters that are looked up at a time.
-MOST_WORDS, CHUNK, MOST_COUNTED = 1_000_000, 1_500_000, 400_000
-_AMBIGUOUS = re.compile(r"[ \n](?=\s)|\x01")
+MOST_WORDS, CHUNK, MOST_COUNTED = 1_000_000, 400_000, 400_000
+_AMBIGUOUS = re.compile(r"[ \n](?=\s)|\x01|<\|")
+#: Bytes that white space begins with.
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: ASCII letters; ASCII signs; the last bytes of letters after C3 (all but the signs of times and division).
+_LETTER, _SIGN, _LATIN = (np.zeros(256, dtype=bool) for _ in range(3))
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+#: Words that are one piece of the byte-level split: letters (of blocks where every place is one) after at most one space.
+_LETTERS = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏΈ-ΊΎ-ΡΣ-ώЀ-ҁא-תぁ-ゖァ-ヺ一-龥가-힣]+").fullmatch
 
 
 class IdEncoder:
@@ -48,6 +60,15 @@ class IdEncoder:
             self.kind = "word"
         if not all(re.fullmatch(r"<\|\w+\|>", x["content"]) for x in spec["added_tokens"]):
             self.kind = "whole"
+        if self.kind == "byte":
+            from tokenizers.pre_tokenizers import ByteLevel
+
+            # The letter that stands for each byte in the file's vocabulary: those that stand for themselves, the others from 256 on in order.
+            own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+            self.letters = np.arange(256, dtype="<u4")
+            self.letters[np.setdiff1d(np.arange(256), own)] = 256 + np.arange(256 - len(own))
+            if sorted(map(ord, ByteLevel.alphabet())) != sorted(self.letters.tolist()):
+                self.kind = "whole"
         self.table = _WordTable(self._segments, self.dtype)
 
     def whole(self, text: str) -> bytes:
@@ -56,27 +77,38 @@ class IdEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.kind == "whole":
             return [self.whole(text) if text else b"" for text in texts]
-        out: list[bytes | None] = [None] * len(texts)
+        out = [b""] * len(texts)
         cut, size = [], 0
         for i, text in enumerate(texts):
-            if not text:
-                out[i] = b""
-            elif self.kind == "byte" and _AMBIGUOUS.search(text):
-                out[i] = self.whole(text)
-            else:
+            if text:
                 cut.append(i)
                 size += len(text)
             if cut and (size > CHUNK or i + 1 == len(texts)):
-                for j, ids in zip(cut, self._by_words([texts[j].encode() for j in cut])):
-                    out[j] = ids
+                raw = [texts[j].encode() for j in cut]
+                if self.kind == "byte":
+                    odd = {k for k in self._suspects(raw) if _AMBIGUOUS.search(texts[cut[k]])}
+                    for k in odd:
+                        out[cut[k]] = self.whole(texts[cut[k]])
+                    if odd:
+                        cut, raw = ([x for k, x in enumerate(some) if k not in odd] for some in (cut, raw))
+                if cut:
+                    for j, ids in zip(cut, self._by_words(raw)):
+                        out[j] = ids
                 cut, size = [], 0
-        if cut:
-            for j, ids in zip(cut, self._by_words([texts[j].encode() for j in cut])):
-                out[j] = ids
         return out
 
+    @staticmethod
+    def _suspects(texts: list[bytes]) -> list[int]:
+        """The texts that can be ambiguous, by their bytes; a few others too."""
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        after = np.append(data[1:], np.uint8(0))
+        hits = ((data == 32) | (data == 10)) & _BLANK[after]
+        hits |= data == 1
+        hits |= (data == 60) & (after == 124)
+        return np.unique(np.searchsorted(np.cumsum([len(t) for t in texts]), np.flatnonzero(hits), side="right")).tolist()
+
     def _by_words(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of texts cut before every space (and, where white space is dropped, line feed, else after it)."""
+        """The ids of texts cut before every space (and, where white space is dropped, line feed, else after it, and before a sign after a letter)."""
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         ends = np.cumsum([len(t) for t in texts])
         begin = data == 32
@@ -85,6 +117,9 @@ class IdEncoder:
             begin |= feeds
         else:
             begin[1:] |= feeds[:-1]
+            letter = _LETTER[data]
+            letter[1:] |= (data[:-1] == 0xC3) & _LATIN[data[1:]]
+            begin[1:] |= letter[:-1] & _SIGN[data[1:]]
         begin[0] = True
         begin[ends[:-1]] = True
         start = np.flatnonzero(begin)
@@ -100,7 +135,21 @@ class IdEncoder:
         words = [x.decode() for x in segments]
         if self.kind == "word":
             words = [x[1:] if x[:1] in (" ", "\n") else x for x in words]
-        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        # Of words of letters the split has nothing to cut: the model takes them, a letter for each byte.
+        shown = self.letters[np.frombuffer(b"".join(segments), dtype=np.uint8)].tobytes().decode("utf-32-le")
+        made, rest, tokens_of, at = [], [], self.tokenizer.model.tokenize, 0
+        for i, (word, raw) in enumerate(zip(words, segments)):
+            end = at + len(raw)
+            if _LETTERS(word):
+                made.append([t.id for t in tokens_of(shown[at:end])])
+            else:
+                made.append(None)
+                rest.append(i)
+            at = end
+        for i, x in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+            made[i] = x.ids
+        return made
 
 
 class _WordTable:

@@ -276,6 +276,28 @@ def test_id_encoder_equals_the_library(name, monkeypatch):
     assert fresh.encode(texts[:60]) == [encoder.whole(t) if t else b"" for t in texts[:60]]
 
 
+def test_id_encoder_cuts_signs_off_words():
+    rng, encoder = random.Random(5), encoding.IdEncoder(P.path("byte_bpe_50k.json"))
+    words, signs = ["".join(rng.choice("abcdeéñ") for _ in range(9)) for _ in range(50)], [".", ",", "###", "&&&", "'", "!?", ".\n", "-\n"]
+    texts = [" ".join(w + s for w in words) for s in signs]
+    assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
+    assert len(encoder.table.size) <= 2 * (len(words) + len(signs))  # not a word for each pair; a text's or line's first word has no space
+    # Contractions, signs that are no ASCII, letters and signs that share a first byte, special strings in every place.
+    parts = ["'s", "'", "don't", "it's", "'S", "'ll", "é", "É", "×", "÷", "e\u0301", "ı", "…", "“", "«", ".", "!'t", "a", "7", "_", " ", "\n", "<|endoftext|>", "<|", "|>", "<", "日", "ß", "\x1c", "\x7f"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
+
+
+def test_words_of_letters_are_one_piece_of_the_split():
+    encoder = encoding.IdEncoder(P.path("byte_bpe_50k.json"))
+    letters = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x11000)]) if encoding._LETTERS(c)]
+    assert len(letters) > 30_000 and all(c.isalpha() for c in letters)
+    split = encoder.tokenizer.pre_tokenizer.pre_tokenize_str
+    assert len(split(" " + "".join(letters))) == 1
+    made = encoder._segments([(" " + c + "a" + c).encode() for c in letters])
+    assert [np.array(x, dtype=encoder.dtype).tobytes() for x in made] == [encoder.whole(" " + c + "a" + c) for c in letters]
+
+
 @pytest.mark.parametrize("targets", [None, {"a": 0.7, "b": 0.2, "c": 0.1}])
 def test_packing(spark, targets):
     rng = random.Random(4)
