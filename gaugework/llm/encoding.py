@@ -282,3 +282,9 @@ def id_encoder(path: str) -> IdEncoder:
 @functools.lru_cache(maxsize=2)
 def piece_counter(path: str) -> PieceCounter:
     return PieceCounter(path)
+
+
+def release() -> None:
+    """Frees the tokenizers and tables that an earlier stage left in this worker: workers live on between stages."""
+    id_encoder.cache_clear()
+    piece_counter.cache_clear()

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm import common, word_hash
+from gaugework.llm import common, encoding, word_hash
 
 #: The bound of the training sample: rows of each class, and bytes of their whole texts.
 MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 700, 800, 4_000_000
@@ -405,6 +405,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _fit(batches: Iterator[pa.RecordBatch], share: float | None) -> Iterator[pa.RecordBatch]:
+    encoding.release()
     texts, toxic, size = [], [], 0
     for rows in batches:
         for text, label in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
@@ -429,6 +430,7 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    encoding.release()
     for rows in batches:
         offsets, data = common.utf8_buffers(rows.column(rows.num_columns - 1))
         parts = [model.value.scores(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]) for lo, hi in common.chunks_by_bytes(offsets, CHUNK_BYTES)]
@@ -447,6 +449,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _clean(batches: Iterator[pa.RecordBatch], model, text: int) -> Iterator[pa.RecordBatch]:
     """The rows, all their columns, whose score stays below the threshold."""
+    encoding.release()
     for rows in batches:
         offsets, data = common.utf8_buffers(rows.column(text))
         for lo, hi in common.chunks_by_bytes(offsets, CHUNK_BYTES):

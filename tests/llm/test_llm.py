@@ -288,6 +288,12 @@ def test_id_encoder_cuts_signs_off_words():
     assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
 
 
+def test_toxicity_frees_what_an_earlier_stage_left_in_a_worker():
+    for stage in (lambda: toxicity._score(iter([]), None), lambda: toxicity._clean(iter([]), None, 0)):
+        encoding.id_encoder(P.path("byte_bpe_50k.json"))
+        assert list(stage()) == [] and encoding.id_encoder.cache_info().currsize == 0
+
+
 def test_words_of_letters_are_one_piece_of_the_split():
     encoder = encoding.IdEncoder(P.path("byte_bpe_50k.json"))
     letters = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x11000)]) if encoding._LETTERS(c)]
