@@ -421,11 +421,8 @@ def _block_pairs(index: DataFrame, known: _Answers) -> DataFrame:
     )
 
 
-def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(sets, edges): document_sets(), and edges (a, b) whose components are those of all links.
-
-    The edges are one per copy of a set and one per merge of two components, so they grow with the documents.
-    """
+def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, _Answers]:
+    """document_sets(), the copies (a, b) of a class's representative b, and what is known of the representatives when no list is open."""
     made = document_sets(docs, k, percent)
     active = made.where("members is not null")
     shared = active.where("n_unique = 0")  # only a set without a shingle of its own can have an equal
@@ -467,7 +464,15 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
             break
         known.merge(known.decide(asks))
         left = left.join(asks.select("a", "b"), ["a", "b"], "left_anti")
-    edges = copies
+    return made, copies, known
+
+
+def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sets, edges): document_sets(), and edges (a, b) whose components are those of all links.
+
+    The edges are one per copy of a set and one per merge of two components, so they grow with the documents.
+    """
+    made, edges, known = _joined(docs, k, percent)
     for some in known.edges:
         edges = edges.unionByName(some)
     return made, edges
@@ -475,7 +480,11 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
 
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least doc_id that links reach, itself included)."""
-    made, edges = links(docs, k, percent)
+    made, copies, known = _joined(docs, k, percent)
+    # Stars to least nodes already, but where rows of one doc_id have different texts.
+    placed = known.comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+    copied = copies.join(known.comps.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("component", "b").alias("b"))
+    edges = placed.unionByName(copied)
     comps = connected_components(edges, "ngram-components")
     rows = (
         made.select("doc_id", F.col("n").alias("n_shingles"))
