@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions.vectors import cosine, dot, norm
+from gaugework.operators.blocks import pairs_above
 from gaugework.workers import checkpoints, share_package
 
 #: Node tables are trees of prompts: at most this many rows are broadcast; beyond it the join is cut into blocks.
@@ -86,21 +87,23 @@ def near_pairs(nodes: DataFrame, threshold: float, node_id: str, vector: str, wi
     return pairs.select(F.least("_i", "_j").alias("left_id"), F.greatest("_i", "_j").alias("right_id"), "_a", "_b", "_k")
 
 
-def pair_candidates(nodes: DataFrame, threshold: float, blocked: DataFrame | None = None, node_id: str = "node_id", vector: str = "embedding", within: str | None = None) -> DataFrame:
+def pair_candidates(nodes: DataFrame, threshold: float, blocked: DataFrame | Column | None = None, node_id: str = "node_id", vector: str = "embedding", within: str | None = None) -> DataFrame:
     """Node pairs (left_id < right_id) of one compatible class with a cosine of at least the threshold, without the blocked ones.
 
-    For a threshold above 0 angular pivots leave out most pairs that are too far apart (near_pairs); at or below 0, where empty and zero
-    vectors count as well, all pairs of a class meet.
+    blocked: a table of pairs, or a condition on left_id and right_id where blocked pairs are a rule: a table of them would be as large as all pairs.
+    For a threshold above 0 blocks of vectors meet (blocks.pairs_above); at or below 0, where empty and zero vectors count as well,
+    all pairs of a class meet as rows.
     """
     if threshold > 0:
-        met = near_pairs(nodes, threshold, node_id, vector, within)
+        pairs = pairs_above(nodes, threshold, node_id, vector, within)
     else:
         key = F.lit(0) if within is None else F.col(within)
         a = nodes.select(F.col(node_id).alias("left_id"), F.col(vector).alias("_a"), key.alias("_k"))
         b = nodes.select(F.col(node_id).alias("right_id"), F.col(vector).alias("_b"), key.alias("_k"))
-        met = a.join(b, "_k").where("left_id < right_id")
-    pairs = met.withColumn("similarity", cosine(F.col("_a"), F.col("_b"))).where(F.col("similarity") >= threshold)
+        pairs = a.join(b, "_k").where("left_id < right_id").withColumn("similarity", cosine(F.col("_a"), F.col("_b"))).where(F.col("similarity") >= threshold)
     pairs = pairs.select("left_id", "right_id", *([] if within is None else [F.col("_k").alias(within)]), "similarity")
+    if isinstance(blocked, Column):
+        return pairs.where(~F.coalesce(blocked, F.lit(False)))
     return pairs if blocked is None else pairs.join(blocked, ["left_id", "right_id"], "left_anti")
 
 

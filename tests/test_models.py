@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugework.operators import agreement, gramian, merging, routing, trees
+from gaugework.operators import agreement, blocks, gramian, merging, routing, trees
 
 # -- Gramians ---------------------------------------------------------------------------------------------
 
@@ -238,6 +238,35 @@ def test_pivots_compare_few_pairs_of_clustered_vectors(spark):
     assert wanted <= compared < 1200 * 1199 / 2 / 8
 
 
+@pytest.mark.parametrize("block", [40, 700, 2048])
+def test_blocks_of_vectors_lose_no_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    rows = [(i, v, 0 if i < 640 else i) for i, v, _ in clustered(14, 700, groups=20)] + [(800 + i, v, 90 + i % 3) for i, v, _ in clustered(15, 60)]
+    rows += [(1000 + i, rows[7][1], 0) for i in range(90)] + [(2000, [], 0), (2001, [0.0] * 12, 0), (2002, [1.0, 2.0], 0), (2003, [2.0, 4.0], 0), (2004, [1e-200] * 12, 0)]
+    frame = spark.createDataFrame([*rows, (2005, None, 0), (2006, rows[7][1], None)], "node_id long, embedding array<double>, k long")
+    for threshold in (0.3, 0.9):
+        got = routing.pair_candidates(frame, threshold, within="k").collect()
+        wanted = brute_pairs(rows[:-1], threshold)
+        assert {(r["left_id"], r["right_id"]): r["similarity"] for r in got} == {p: pytest.approx(s) for p, s in wanted.items()} and len(got) == len(wanted)
+    odd = spark.createDataFrame([(1, [math.inf, 0.0], 0), (2, [1.0, 0.0], 0), (3, [0.0, math.nan], 0)], "node_id long, embedding array<double>, k long")
+    assert {(r["left_id"], r["right_id"]) for r in routing.pair_candidates(odd, 0.5, within="k").collect()} == {(1, 2), (1, 3), (2, 3)}  # NaN is above all numbers
+
+
+def test_blocked_pairs_as_a_table_or_a_rule(spark):
+    frame = spark.createDataFrame(clustered(16, 90), "node_id long, embedding array<double>, k long")
+    table = spark.createDataFrame([(i, j) for i in range(90) for j in range(i + 1, 90) if (i + j) % 5 == 0], "left_id long, right_id long")
+    found = [{(r["left_id"], r["right_id"]) for r in routing.pair_candidates(frame, 0.5, b).collect()} for b in (None, table, (F.col("left_id") + F.col("right_id")) % 5 == 0)]
+    assert found[1] == found[2] == {p for p in found[0] if sum(p) % 5} != found[0]
+
+
+def test_blocks_far_apart_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 30)
+    frame = spark.createDataFrame(clustered(5, 1200, dims=16, groups=40, spread=0.03), "node_id long, embedding array<double>, k long")
+    rows, met = blocks.dealt(frame, 0.95, "node_id", "embedding", None)
+    n = rows.select("_block").distinct().count()
+    assert n > 30 and met.count() < n * (n + 1) / 2 / 4
+
+
 def test_complete_links_above(spark):
     rows = [(i, v, i % 12) for i, v, _ in clustered(6, 60, groups=4)]
     frame = spark.createDataFrame(rows, "m long, embedding array<double>, g long")
