@@ -187,3 +187,86 @@ def pairs_above(nodes: DataFrame, threshold: float, node_id: str, vector: str, w
     kinds = dict(rows.dtypes)
     met = sent(rows, pairs).groupBy("_l", "_r").applyInArrow(_pairs_kernel(threshold), f"_i {kinds['_id']}, _j {kinds['_id']}, _k {kinds['_k']}, similarity double")
     return met.where("_i <> _j").select(F.least("_i", "_j").alias("left_id"), F.greatest("_i", "_j").alias("right_id"), "_k", "similarity")
+
+
+def _least_kernel(table: pa.Table) -> pa.Table:
+    """Two blocks of groups' members, or one -> the least cosine between any two groups; a NaN counts only where there is nothing else."""
+    side = table.column("_side").to_numpy()
+    code = table.column("_g").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    length = table.column("_size").to_numpy()
+    a = np.flatnonzero(side == 0)
+    b = np.flatnonzero(side == 1) if side.any() else a
+    a, b = a[np.argsort(code[a], kind="stable")], b[np.argsort(code[b], kind="stable")]
+    starts = lambda x: np.flatnonzero(np.diff(code[x], prepend=-1))
+    rows, columns = starts(a), starts(b)
+    found = np.full((len(rows), len(columns)), np.inf)
+    sizes = np.unique(length)
+    if len(sizes) > 1:  # vectors of different lengths have a cosine of 0
+        has = lambda x, at: np.add.reduceat((length[x][:, None] == sizes).astype(np.int64), at, axis=0) > 0
+        l, r = has(a, rows), has(b, columns)
+        mixed = (l.astype(int) @ r.astype(int).T) < l.sum(1)[:, None] * r.sum(1)[None, :]
+        found[mixed] = 0.0
+    for n in sizes:
+        x, y = a[length[a] == n], b[length[b] == n]
+        if not len(x) or not len(y):
+            continue
+        up, down = starts(x), starts(y)
+        at_row, at_column = np.searchsorted(code[a[rows]], code[x[up]]), np.searchsorted(code[b[columns]], code[y[down]])
+        if n <= 0:
+            part = np.zeros((len(up), len(down)))
+        else:
+            left, right = (matrix(table.column("_v").take(pa.array(z))) for z in (x, y))
+            left_norm, right_norm = (norms(np.ascontiguousarray(z.T)) for z in (left, right))
+            part = np.full((len(up), len(down)), np.inf)
+            plain = ((left_norm > TAME[0]) & (left_norm < TAME[1])).all() and ((right_norm > TAME[0]) & (right_norm < TAME[1])).all()
+            for at in range(0, len(x), _STRIP):
+                with np.errstate(all="ignore"):
+                    cosine = left[at : at + _STRIP] @ right.T
+                    both = left_norm[at : at + _STRIP, None] * right_norm[None, :]
+                    cosine /= both
+                if not plain:
+                    cosine = np.where(both <= 0, 0.0, cosine)
+                    cosine[np.isnan(cosine)] = np.inf
+                here = np.unique(np.searchsorted(up, np.arange(at, at + len(cosine)), side="right") - 1)
+                least = np.minimum.reduceat(np.minimum.reduceat(cosine, np.maximum(up[here] - at, 0), axis=0), down, axis=1)
+                part[here] = np.minimum(part[here], least)
+        spot = np.ix_(at_row, at_column)
+        found[spot] = np.minimum(found[spot], part)
+    found[np.isposinf(found)] = np.nan
+    i, j = (z.ravel() for z in np.meshgrid(a[rows], b[columns], indexing="ij"))
+    other = code[i] != code[j]
+    i, j = pa.array(i[other]), pa.array(j[other])
+    return pa.table([table.column("_g").take(i), table.column("_g").take(j), pa.array(found.ravel()[other])], names=["_i", "_j", "similarity"])
+
+
+def least_cosines(members: DataFrame, group: str, vector: str, pairs: DataFrame | None) -> DataFrame:
+    """left_group < right_group, similarity: the least cosine of their members, for the given pairs of groups or all.
+
+    Copies in a group are one member.  Groups of less than half a block share blocks, others have their own; only blocks of a wanted pair meet.
+    A vector that is null, empty or has a null component has a cosine of 0 with all; see functions.vectors.cosine.
+    """
+    share_package(members.sparkSession)
+    v = as_doubles(members, vector)
+    usable = norm(v).isNotNull() & (F.size(v) > 0)  # a null component makes the norm null
+    held = members.where(F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.when(usable, v).alias("_v")).distinct().withColumn("_size", F.when(F.col("_v").isNull(), 0).otherwise(F.size("_v")))
+    sizes = held.groupBy("_g").agg(F.count("*").alias("_c"))
+    total = sizes.agg(F.sum("_c")).first()[0] or 0
+    packs = max(1, -(-total // BLOCK))
+    small = F.col("_c") < BLOCK // 2
+    own = F.pmod(F.xxhash64("_v"), F.ceil(F.col("_c") / BLOCK))
+    pack = F.pmod(F.xxhash64("_g"), F.lit(packs))
+    block = F.struct(F.when(~small, F.col("_g")).alias("g"), F.when(small, pack).otherwise(own).cast("long").alias("p"))
+    rows = held.join(sizes, "_g").select("_g", "_v", "_size", block.alias("_block"))
+    places = rows.select("_g", "_block").distinct()
+    if pairs is None:
+        blocks = places.select("_block").distinct()
+        met = blocks.select(F.col("_block").alias("_l")).join(blocks.select(F.col("_block").alias("_r")), F.col("_l") <= F.col("_r"))
+        met = met.where(F.coalesce(F.col("_l.g") != F.col("_r.g"), F.lit(True)))  # not two blocks of one group
+    else:
+        wanted = pairs.select("left_group", "right_group")
+        met = wanted.join(places.select(F.col("_g").alias("left_group"), F.col("_block").alias("_x")), "left_group").join(places.select(F.col("_g").alias("right_group"), F.col("_block").alias("_y")), "right_group")
+        met = met.select(F.least("_x", "_y").alias("_l"), F.greatest("_x", "_y").alias("_r")).distinct()
+    kind = dict(rows.dtypes)["_g"]
+    found = sent(rows, met).groupBy("_l", "_r").applyInArrow(_least_kernel, f"_i {kind}, _j {kind}, similarity double")
+    found = found.groupBy(F.least("_i", "_j").alias("left_group"), F.greatest("_i", "_j").alias("right_group")).agg(F.min("similarity").alias("similarity"))
+    return found if pairs is None else found.join(wanted.distinct(), ["left_group", "right_group"], "left_semi")

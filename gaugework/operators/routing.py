@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions.vectors import cosine, dot, norm
-from gaugework.operators.blocks import pairs_above
+from gaugework.operators.blocks import BLOCK, least_cosines, pairs_above
 from gaugework.workers import checkpoints, share_package
 
 #: Node tables are trees of prompts: at most this many rows are broadcast; beyond it the join is cut into blocks.
 MOST_NODES = 10_000
+#: Pairs of vectors that blocks compare while rows compare one, about.
+ROW_COST = 500
 #: Pairs that one round of greedy_matching scans in one task.
 SCANNED = 1 << 20
 
@@ -124,13 +126,19 @@ def complete_links_above(members: DataFrame, group: str, threshold: float, membe
 def complete_links(members: DataFrame, group: str, vector: str = "embedding", pairs: DataFrame | None = None) -> DataFrame:
     """Least cosine over the member pairs of two groups, for the given pairs (left_group < right_group) or every pair of groups.
 
-    Members meet by group pair, an equi-join that skew handling can split; all pairs of groups is for a tree level's few groups.
+    Members meet in blocks (least_cosines); where given pairs of groups have few of the member pairs that would meet so, members meet as rows,
+    by group pair, an equi-join that skew handling can split.
     """
+    if pairs is None:
+        return least_cosines(members, group, vector, None)
+    sizes = members.groupBy(F.col(group).alias("left_group")).agg(F.count("*").alias("_l"))
+    met = pairs.select("left_group", "right_group").join(sizes, "left_group").join(sizes.select(F.col("left_group").alias("right_group"), F.col("_l").alias("_r")), "right_group")
+    n, in_blocks = met.agg(F.sum(F.col("_l") * F.col("_r")), F.sum(F.greatest(F.lit(BLOCK), "_l") * F.greatest(F.lit(BLOCK), "_r"))).first()
+    total = sizes.agg(F.sum("_l")).first()[0] or 0
+    if n and n * ROW_COST >= min(total * total, in_blocks):
+        return least_cosines(members, group, vector, pairs)
     a = members.select(F.col(group).alias("left_group"), F.col(vector).alias("_a"))
     b = members.select(F.col(group).alias("right_group"), F.col(vector).alias("_b"))
-    if pairs is None:
-        names = members.select(F.col(group).alias("left_group")).distinct()
-        pairs = names.join(names.select(F.col("left_group").alias("right_group")), F.expr("left_group < right_group"))  # names of groups alone
     met = pairs.select("left_group", "right_group").join(a, "left_group").join(b, "right_group")
     return met.groupBy("left_group", "right_group").agg(F.min(cosine(F.col("_a"), F.col("_b"))).alias("similarity"))
 

@@ -275,6 +275,35 @@ def test_complete_links_above(spark):
     assert got == {p: pytest.approx(s) for p, s in every.items() if s >= 0.1} and got
 
 
+@pytest.mark.parametrize("block", [50, 2048])
+def test_complete_links_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    rows = [(i % 9 if i < 900 else i % 60, v) for i, v, _ in clustered(17, 1100, groups=5)] + [(3, rows) for rows in [clustered(17, 1)[0][1]] * 400]
+    rows += [(70, [1.0, 2.0]), (70, None), (71, [0.0, 0.0]), (71, [2.0, 1.0]), (72, [3.0, 4.0]), (73, [math.nan, 1.0]), (73, [3.0, 3.0]), (74, [math.nan, 2.0]), (75, []), (76, [1e-200, 0.0]), (None, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "g long, v array<double>")
+    def cosine(a, b):  # noqa: E306
+        both = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b)) if a and b and len(a) == len(b) else 0.0
+        return 0.0 if both == 0 else float(np.dot(a, b) / both)
+    wanted, held = {}, {}  # noqa: E305
+    for g, v in rows[:-1]:
+        held.setdefault(g, []).append(v)
+    for g, left in held.items():
+        for h, right in held.items():
+            if g < h:
+                whole = all(v and len(v) == 12 and any(v) for v in left + right)
+                unit = [np.array([np.array(v) / np.linalg.norm(v) for v in side]) for side in (left, right)] if whole else None
+                each = (unit[0] @ unit[1].T).ravel() if whole else np.array([cosine(a, b) for a in left for b in right])
+                wanted[g, h] = float(np.nanmin(each)) if not np.isnan(each).all() else math.nan
+    got = {(r["left_group"], r["right_group"]): r["similarity"] for r in routing.complete_links(frame, "g", "v").collect()}
+    assert got == {p: pytest.approx(s, abs=1e-9, nan_ok=True) for p, s in wanted.items()}
+    some = [p for p in wanted if sum(p) % 3 == 0]
+    pairs = spark.createDataFrame(some, "left_group long, right_group long")
+    for cost in (0, 10**9):  # as rows and in blocks
+        monkeypatch.setattr(routing, "ROW_COST", cost)
+        got = {(r["left_group"], r["right_group"]): r["similarity"] for r in routing.complete_links(frame, "g", "v", pairs).collect()}
+        assert got == {p: pytest.approx(wanted[p], abs=1e-9, nan_ok=True) for p in some}
+
+
 def test_greedy_matching_beyond_one_task(spark, monkeypatch):
     monkeypatch.setattr(routing, "SCANNED", 40)
     rng = random.Random(7)
