@@ -15,6 +15,8 @@ from gaugework.workers import checkpoints, share_package
 
 #: Node tables are trees of prompts: at most this many rows are broadcast; beyond it the join is cut into blocks.
 MOST_NODES = 10_000
+#: Members of a group that tell most groups apart before all members meet.
+WITNESSES = 8
 #: Pairs of vectors that blocks compare while rows compare one, about.
 ROW_COST = 500
 #: Pairs that one round of greedy_matching scans in one task.
@@ -112,15 +114,18 @@ def pair_candidates(nodes: DataFrame, threshold: float, blocked: DataFrame | Col
 def complete_links_above(members: DataFrame, group: str, threshold: float, member_id: str, vector: str = "embedding") -> DataFrame:
     """(left_group < right_group, similarity) of the groups whose member pairs all have a cosine of at least the threshold (> 0): the least of them.
 
-    Only pairs at the threshold are made (near_pairs); a pair of groups is linked when it has as many of them as member pairs.
+    One pair of members below the threshold tells that two groups are not linked, so groups meet first by one member each (pairs_above),
+    then by WITNESSES of each; only pairs of groups that pass meet as a whole.
     """
-    named = members.select(F.struct(F.col(group).alias("g"), F.col(member_id).alias("m")).alias("_node"), F.col(vector).alias("_vector"))
-    met = near_pairs(named, threshold, "_node", "_vector", None).where(F.col("left_id.g") != F.col("right_id.g"))
-    met = met.select(F.col("left_id.g").alias("left_group"), F.col("right_id.g").alias("right_group"), cosine(F.col("_a"), F.col("_b")).alias("_s")).where(F.col("_s") >= threshold)
-    found = met.groupBy("left_group", "right_group").agg(F.count("*").alias("_n"), F.min("_s").alias("similarity"))
-    sizes = members.groupBy(F.col(group).alias("left_group")).agg(F.count("*").alias("_l"))
-    found = found.join(sizes, "left_group").join(sizes.select(F.col("left_group").alias("right_group"), F.col("_l").alias("_r")), "right_group")
-    return found.where(F.col("_n") == F.col("_l") * F.col("_r")).select("left_group", "right_group", "similarity")
+    checkpoints(members.sparkSession)
+    named = members.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(member_id).alias("m"), F.col(vector).alias("v"))
+    one = named.groupBy("g").agg(F.min_by("v", F.struct(F.xxhash64("m"), "m")).alias("v"))
+    pairs = pairs_above(one, threshold, "g", "v", None).select(F.col("left_id").alias("left_group"), F.col("right_id").alias("right_group")).checkpoint()
+    sizes = named.groupBy("g").agg(F.ceil(F.count("*") / WITNESSES).alias("_of"))
+    some = named.join(sizes, "g").where(F.pmod(F.xxhash64("m", F.lit(1)), F.col("_of")) == 0)  # about WITNESSES of a group, perhaps none
+    apart = complete_links(some, "g", "v", pairs).where(F.col("similarity") < threshold)
+    pairs = pairs.join(apart, ["left_group", "right_group"], "left_anti").checkpoint()
+    return complete_links(named, "g", "v", pairs).where(F.col("similarity") >= threshold)
 
 
 def complete_links(members: DataFrame, group: str, vector: str = "embedding", pairs: DataFrame | None = None) -> DataFrame:

@@ -304,6 +304,16 @@ def test_complete_links_in_blocks(spark, monkeypatch, block):
         assert got == {p: pytest.approx(wanted[p], abs=1e-9, nan_ok=True) for p in some}
 
 
+def test_complete_links_above_look_at_few_pairs_of_groups_apart(spark, monkeypatch):
+    rows = [(i, v, i % 6) for i, v, _ in clustered(18, 3000, groups=2, spread=0.05)] + [(5000 + i, clustered(18, 2, groups=2)[0][1], i) for i in range(6)]
+    frame = spark.createDataFrame(rows, "m long, embedding array<double>, g long")
+    seen, whole = [], routing.complete_links
+    monkeypatch.setattr(routing, "complete_links", lambda members, group, vector, pairs: (seen.append(pairs.count()), whole(members, group, vector, pairs))[1])
+    got = {(r["left_group"], r["right_group"]) for r in routing.complete_links_above(frame, "g", 0.5, "m").collect()}
+    least = {(r["left_group"], r["right_group"]): r["similarity"] for r in whole(frame, "g").collect()}
+    assert got == {p for p, s in least.items() if s >= 0.5} and len(seen) == 2 and seen[1] < len(least)
+
+
 def test_greedy_matching_beyond_one_task(spark, monkeypatch):
     monkeypatch.setattr(routing, "SCANNED", 40)
     rng = random.Random(7)
