@@ -1,5 +1,6 @@
 """Operators that SQL does not express, and degenerate input, against small Python oracles."""
 
+import collections
 import itertools
 import json
 import math
@@ -255,6 +256,33 @@ def test_bootstrap_brackets_the_mean(spark):
     assert fitting.bootstrap_mean(rows.repartition(7), ["g"], "unit", "v", draws=300).first()["low"] == pytest.approx(r["low"])
 
 
+def test_bootstrap_of_a_metric_draws_once_for_units_with_equal_pairs(spark):
+    rng = np.random.default_rng(9)
+    cells = [(g, u, float(u % 4), float((u % 4 + rng.integers(3)) % 5)) for g in ("a", None) for u in range(900)]
+    cells += [(g, u, float(u % 3), 2.0) for g, u, _, _ in cells if u % 2] + [(g, u, x, y) for g, u, x, y in cells if u % 5 == 0]
+    rows = spark.createDataFrame([*cells, ("a", 1, None, 1.0)], "g string, unit long, x double, y double")
+    profiles = fitting.unit_profiles(rows, ["g"], "unit", "x", "y").collect()
+    kinds = {g: collections.Counter(frozenset(collections.Counter((x, y) for _, _, x, y in part).items()) for _, part in itertools.groupby(sorted((c for c in cells if c[0] == g), key=lambda c: c[1]), key=lambda c: c[1])) for g in ("a", None)}
+    for g in kinds:
+        got = collections.defaultdict(dict)
+        for r in profiles:
+            if r["g"] == g:
+                got[r["_p"], r["_q"]][(r["_x"], r["_y"]), r["_n"]] = r["_units"]
+        assert {frozenset(c): set(c.values()) for c in got.values()} == {k: {n} for k, n in kinds[g].items()} and len(got) < 300
+
+    def mean(counted, by):
+        return counted.groupBy(*by).agg((F.sum(F.col("c") * (F.col("x") - F.col("y"))) / F.sum("c")).alias("mean"))
+
+    found = {r["g"]: r for r in fitting.bootstrap_metric(rows, ["g"], "unit", mean, "x", "y", draws=2000).collect()}
+    again = {r["g"]: r for r in fitting.bootstrap_metric(rows.repartition(7), ["g"], "unit", mean, "x", "y", draws=2000).collect()}
+    assert found == again and found.keys() == {"a", None}
+    for g in found:
+        sums = np.array([[sum(c[2] - c[3] for c in cells if c[:2] == (g, u)), sum(c[:2] == (g, u) for c in cells)] for u in range(900)])
+        drawn = rng.poisson(1, (4000, 900)) @ sums
+        low, high = np.percentile(drawn[:, 0] / drawn[:, 1], [2.5, 97.5])
+        assert found[g]["n_draws"] == 2000 and abs(found[g]["low"] - low) < 0.1 * (high - low) > abs(found[g]["high"] - high)
+
+
 def test_bootstrap_queries_take_1000_draws(spark, monkeypatch):
     asked, whole = {}, {f: getattr(fitting, f) for f in ("bootstrap_mean", "bootstrap_metric")}
     for f, operator in whole.items():
