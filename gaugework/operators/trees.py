@@ -17,13 +17,17 @@ from gaugework.workers import checkpoints
 MOST_SPLITS = 10_000
 
 
-def bin_edges(rows: DataFrame, features: list[str], bins: int) -> dict[str, list[float]]:
-    """Upper edges of each feature's bins: its distinct values if they are about `bins` at most, else quantiles."""
+def bin_edges(rows: DataFrame, features: list[str], bins: int, uncounted: DataFrame | None = None) -> dict[str, list[float]]:
+    """Upper edges of each feature's bins: its distinct values if they are about `bins` at most, else quantiles (of `uncounted`, where rows are distinct ones)."""
     near = rows.agg(*(F.approx_count_distinct(F.col(f).cast("double"), 0.01).alias(f) for f in features)).first()
     shares = [i / bins for i in range(1, bins)]
-    # Either array holds about `bins` values.
-    edges = [F.collect_set(F.col(f).cast("double")) if near[f] <= bins else F.percentile_approx(F.col(f).cast("double"), shares, 100 * bins) for f in features]
-    found = rows.agg(*(e.alias(f) for e, f in zip(edges, features))).first()
+    found: dict[str, list[float]] = {}
+    for few in (True, False):
+        some = [f for f in features if (near[f] <= bins) == few]
+        # Either array holds about `bins` values.
+        edges = [(F.collect_set(F.col(f).cast("double")) if few else F.percentile_approx(F.col(f).cast("double"), shares, 100 * bins)).alias(f) for f in some]
+        if some:
+            found |= (rows if few or uncounted is None else uncounted).agg(*edges).first().asDict()
     return {f: sorted(set(found[f] or [])) for f in features}
 
 
@@ -46,31 +50,33 @@ def _descend(rows: DataFrame, splits: DataFrame, by: list[str], features: list[s
 
 def histogram_tree(
     rows: DataFrame, by: list[str], features: list[str], target: str, weight: str | None = None, depth: int = 2, least: float = 2.0, bins: int = 256,
+    count: str | None = None, edges: dict[str, list[float]] | None = None,
 ) -> DataFrame:
     """by..., node (1: root; 2n, 2n + 1: children of n), feature, cut, n, weight, value, gain: one row per node of each group's tree.
 
     A leaf has a null feature and cut; a node's value is its weighted mean; gain is the drop of the weighted squared error.  least:
     rows of a leaf, or with weights their sum, but never more than half of the group's.  Equal gains (to nine digits of the group's
     squared error) go to the first feature, then to the lowest cut.  Rows with a null feature or target, or a weight not above 0, are left out;
-    a group without rows has no tree.
+    a group without rows has no tree.  count: how many equal rows a row stands for.  edges: bin_edges() of the features, where they are known.
     """
     checkpoints(rows.sparkSession)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    z = rows.select(*by, *(F.col(f).cast("double").alias(f) for f in features), F.col(target).cast("double").alias("_y"), w.alias("_w"))
+    z = rows.select(*by, *(F.col(f).cast("double").alias(f) for f in features), F.col(target).cast("double").alias("_y"), w.alias("_w"), (F.lit(1) if count is None else F.col(count)).cast("long").alias("_c"))
     z = z.dropna(subset=[*features, "_y", "_w"]).where("_w > 0").withColumn("_node", F.lit(1).cast("long"))
-    edges = bin_edges(z, features, bins)
+    z = z.withColumn("_w", F.col("_w") * F.col("_c"))
+    edges = edges or bin_edges(z, features, bins)
     cell = lambda i, f: F.struct(F.lit(i).alias("f"), _bin(F.col(f), edges[f]).alias("b"), F.col(f).alias("x"))
-    root = z.groupBy(*by).agg(F.count("*").alias("_rn"), F.sum("_w").alias("_rw"), (F.sum(F.expr("_w * _y * _y")) - F.sum(F.expr("_w * _y")) ** 2 / F.sum("_w")).alias("_rloss"))
+    root = z.groupBy(*by).agg(F.sum("_c").alias("_rn"), F.sum("_w").alias("_rw"), (F.sum(F.expr("_w * _y * _y")) - F.sum(F.expr("_w * _y")) ** 2 / F.sum("_w")).alias("_rloss"))
     out = None
     for level in range(depth + 1):
         at_level = z.where((F.col("_node") >= 1 << level) & (F.col("_node") < 2 << level))
-        nodes = at_level.groupBy(*by, "_node").agg(F.count("*").alias("n"), F.sum("_w").alias("weight"), F.sum(F.expr("_w * _y")).alias("_s"))
+        nodes = at_level.groupBy(*by, "_node").agg(F.sum("_c").alias("n"), F.sum("_w").alias("weight"), F.sum(F.expr("_w * _y")).alias("_s"))
         if level == depth:
             best = nodes.select(*by, F.col("_node").alias("node"), F.lit(None).cast("int").alias("feature_index"), F.lit(None).cast("double").alias("cut"), "n", "weight", (F.col("_s") / F.col("weight")).alias("value"), F.lit(None).cast("double").alias("gain"))
         else:
-            cells = at_level.select(*by, "_node", "_y", "_w", F.explode(F.array(*(cell(i, f) for i, f in enumerate(features)))).alias("c"))
-            hist = cells.groupBy(*by, "_node", F.col("c.f").alias("_f"), F.col("c.b").alias("_b")).agg(
-                F.count("*").alias("_n"), F.sum("_w").alias("_cw"), F.sum(F.expr("_w * _y")).alias("_cs"), F.min("c.x").alias("_lo"), F.max("c.x").alias("_hi")
+            cells = at_level.select(*by, "_node", "_y", "_w", "_c", F.explode(F.array(*(cell(i, f) for i, f in enumerate(features)))).alias("_cell"))
+            hist = cells.groupBy(*by, "_node", F.col("_cell.f").alias("_f"), F.col("_cell.b").alias("_b")).agg(
+                F.sum("_c").alias("_n"), F.sum("_w").alias("_cw"), F.sum(F.expr("_w * _y")).alias("_cs"), F.min("_cell.x").alias("_lo"), F.max("_cell.x").alias("_hi")
             )
             order = Window.partitionBy(*by, "_node", "_f").orderBy("_b")  # the bins of one node and feature
             upto = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -144,24 +150,28 @@ def select_tree(
     A row is predicted by the tree of the other folds' rows; trees of all folds grow in one pass, and a setting's depths are read off its
     deepest tree.  mae: over items (the mean of their mean errors) or, without `item`, over rows by weight.  Errors equal to nine digits
     go to fewer features, then to the shallower tree, then to heavier leaves, then by name.  Rows with a null feature of any set, or a
-    null target or fold, are left out; a fold without other folds is not predicted.
+    null target or fold, are left out; a fold without other folds is not predicted.  Equal rows are counted first and stand for each other from then on.
     """
+    checkpoints(rows.sparkSession)
     every = sorted({f for fs in feature_sets.values() for f in fs})
     good = rows.dropna(subset=[fold, target, *every]).withColumn("_weight", F.lit(1.0) if weight is None else F.col(weight).cast("double"))
-    folds = sorted(r[0] for r in good.select(fold).distinct().collect())  # a handful
-    train = good.withColumn("_out", F.explode(F.array(*(F.lit(f) for f in folds)) if folds else F.array().cast("array<int>"))).where(F.col("_out") != F.col(fold))
-    held = good.withColumn("_out", F.col(fold))
+    good = good.select(fold, *([item] if item and item not in (fold, target, *every) else []), *(f for f in every if f not in (fold, target)), target, "_weight")
+    cells = good.groupBy(*good.columns).agg(F.count("*").alias("_rows")).checkpoint()  # the only pass over all rows, but for quantile bins
+    folds = sorted(r[0] for r in cells.select(fold).distinct().collect())  # a handful
+    training = lambda z: z.withColumn("_out", F.explode(F.array(*(F.lit(f) for f in folds)) if folds else F.array().cast("array<int>"))).where(F.col("_out") != F.col(fold))
+    train, held = training(cells), cells.withColumn("_out", F.col(fold))
+    edges = bin_edges(train.where("_weight > 0"), every, bins, training(good).where("_weight > 0"))
     out = None
     for name, features in feature_sets.items():
         for m in least:
-            tree = histogram_tree(train, ["_out"], features, target, None if weight is None else "_weight", max(depths), m, bins)
+            tree = histogram_tree(train, ["_out"], features, target, None if weight is None else "_weight", max(depths), m, bins, "_rows", {f: edges[f] for f in features})
             for depth in depths:
                 said = predict(held, pruned(tree, depth), ["_out"], features, depth).where("prediction is not null")
                 error = F.abs(F.col("prediction") - F.col(target))
                 if item:
-                    mae = said.groupBy(item).agg(F.avg(error).alias("_e")).agg(F.avg("_e").alias("mae"))
+                    mae = said.groupBy(item).agg((F.sum(F.col("_rows") * error) / F.sum("_rows")).alias("_e")).agg(F.avg("_e").alias("mae"))
                 else:
-                    mae = said.agg((F.sum(F.col("_weight") * error) / F.sum("_weight")).alias("mae"))
+                    mae = said.agg((F.sum(F.col("_weight") * F.col("_rows") * error) / F.sum(F.col("_weight") * F.col("_rows"))).alias("mae"))
                 one = mae.select(F.lit(name).alias("features"), F.lit(len(features)).alias("n_features"), F.lit(depth).alias("depth"), F.lit(float(m)).alias("least"), "mae").where("mae is not null")
                 out = one if out is None else out.unionByName(one)
     order = Window.orderBy(F.round("mae", 9), "n_features", "depth", F.desc("least"), "features")  # a row per setting

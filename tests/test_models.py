@@ -435,3 +435,13 @@ def test_kendall_of_many_distinct_scores_makes_no_grid(spark, monkeypatch):
     ties = sum(c * (c - 1) / 2 for c in np.unique(y, return_counts=True)[1])
     whole = n * (n - 1) / 2
     assert got == pytest.approx((whole - ties - 2 * discordant) / math.sqrt(whole * (whole - ties)))
+
+
+def test_tree_selection_counts_equal_rows_once(spark, monkeypatch):
+    rows = spark.range(200_000).select((F.col("id") % 4).alias("fold"), (F.col("id") % 40).alias("task"), (F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 3 + F.col("id") % 2).cast("double").alias("y"), (F.col("id") % 2 / 2 + 0.5).alias("w"))
+    seen, whole = [], trees.histogram_tree
+    monkeypatch.setattr(trees, "histogram_tree", lambda z, *a: (seen.append(z.count()), whole(z, *a))[1])
+    got = trees.select_tree(rows, "fold", {"a": ["a"], "task": ["a", "task"]}, [1, 2], [50.0], "y", "w", "task").collect()
+    assert len(got) == 4 and seen == [120 * 3] * 2
+    uneven = rows.withColumn("b", F.when(F.col("fold") == 0, F.lit(1.0)).otherwise(F.rand(3)))
+    assert trees.bin_edges(uneven.distinct(), ["a", "b"], 16, uneven) == trees.bin_edges(uneven, ["a", "b"], 16)
