@@ -135,20 +135,20 @@ def _with_cells(units: DataFrame, pivots: int) -> DataFrame:
     return units.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in units.dtypes) + ", _angles array<double>, _cell int")
 
 
-def dealt(nodes: DataFrame, threshold: float, node_id: str, vector: str, within: str | None) -> tuple[DataFrame, DataFrame]:
-    """(rows with _block; pairs of blocks _l <= _r that can hold a pair with a cosine of `threshold` (> 0)).
+def dealt(nodes: DataFrame, threshold: float, node_id: str, vector: str, within: str | None, also: tuple[str, ...] = (), times: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(rows with _block; pairs of blocks _l <= _r that can hold a pair with a cosine of `threshold` (> 0)).  also: columns that go along; times: larger blocks.
 
     A class (equal `within` and length) lies in blocks by its vectors' nearest pivots; two of them whose angles to any pivot lie further apart
     than the threshold's hold no pair, by the triangle inequality.  Classes of less than half a block share one.
     """
-    reach = math.acos(min(1.0, threshold)) + ANGLE_SLACK
-    units = nodes.select(F.col(node_id).alias("_id"), as_doubles(nodes, vector).alias("_v"), (F.lit(0) if within is None else F.col(within)).alias("_k"))
+    reach, block_size = math.acos(min(1.0, threshold)) + ANGLE_SLACK, BLOCK * times
+    units = nodes.select(*also, F.col(node_id).alias("_id"), as_doubles(nodes, vector).alias("_v"), (F.lit(0) if within is None else F.col(within)).alias("_k"))
     units = units.where("_k is not null").withColumn("_n", norm(F.col("_v"))).where((F.size("_v") > 0) & (F.col("_n") > 0))
     units = units.withColumns({"_size": F.size("_v"), "_tame": (F.col("_n") > TAME[0]) & (F.col("_n") < TAME[1])})
     sizes = units.groupBy("_k", "_size").agg(F.count("*").alias("_c"))
     most, total = sizes.agg(F.max("_c"), F.sum("_c")).first()
-    pivots = min(PIVOTS, -(-(most or 0) // BLOCK))
-    small = F.col("_c") < BLOCK // 2
+    pivots = min(PIVOTS, -(-(most or 0) // block_size))
+    small = F.col("_c") < block_size // 2
     if pivots > 1:
         at = _with_cells(units, pivots).join(sizes, ["_k", "_size"])
     else:
@@ -156,8 +156,8 @@ def dealt(nodes: DataFrame, threshold: float, node_id: str, vector: str, within:
     at = at.withColumn("_cell", F.when(small, F.lit(0)).otherwise(F.col("_cell")))
     cells = at.groupBy("_k", "_size", "_cell").agg(F.count("*").alias("_cc"))
     at = at.join(cells, ["_k", "_size", "_cell"])
-    packs = max(1, -(-(total or 0) // BLOCK))
-    part = F.pmod(F.xxhash64("_id"), F.greatest(F.lit(1), F.ceil(F.col("_cc") / BLOCK)))
+    packs = max(1, -(-(total or 0) // block_size))
+    part = F.pmod(F.xxhash64("_id"), F.greatest(F.lit(1), F.ceil(F.col("_cc") / block_size)))
     block = F.when(small, F.struct(F.lit(None).cast(dict(at.dtypes)["_k"]).alias("k"), F.col("_size").alias("s"), F.lit(0).alias("c"), F.pmod(F.xxhash64("_k"), F.lit(packs)).cast("long").alias("p")))
     block = block.otherwise(F.struct(F.col("_k").alias("k"), F.col("_size").alias("s"), F.col("_cell").alias("c"), part.cast("long").alias("p")))
     at = at.withColumn("_block", block)
@@ -170,7 +170,7 @@ def dealt(nodes: DataFrame, threshold: float, node_id: str, vector: str, within:
         apart = (F.col(f"r_lo{i}") - F.col(f"l_hi{i}") > reach) | (F.col(f"l_lo{i}") - F.col(f"r_hi{i}") > reach)
         near = near & ~F.coalesce(apart, F.lit(False))
     others = l.join(r, (F.col("_k_l") == F.col("_k_r")) & (F.col("_s_l") == F.col("_s_r")) & after & near).select("_l", "_r")
-    return at.select("_id", "_v", "_k", "_block"), blocks.select(F.col("_block").alias("_l"), F.col("_block").alias("_r")).unionByName(others)
+    return at.select(*also, "_id", "_v", "_k", "_block"), blocks.select(F.col("_block").alias("_l"), F.col("_block").alias("_r")).unionByName(others)
 
 
 def sent(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -270,3 +270,83 @@ def least_cosines(members: DataFrame, group: str, vector: str, pairs: DataFrame
     found = sent(rows, met).groupBy("_l", "_r").applyInArrow(_least_kernel, f"_i {kind}, _j {kind}, similarity double")
     found = found.groupBy(F.least("_i", "_j").alias("left_group"), F.greatest("_i", "_j").alias("right_group")).agg(F.min("similarity").alias("similarity"))
     return found if pairs is None else found.join(wanted.distinct(), ["left_group", "right_group"], "left_semi")
+
+
+def _partners_kernel(threshold: float, most: int):
+    """Two blocks of nodes, or one -> each node's best `most` partners there, equal ones in the order of their ids."""
+
+    def best(left: np.ndarray, right: np.ndarray, vectors: tuple, starts: np.ndarray, counts: np.ndarray, rank: np.ndarray) -> tuple:
+        across, size, unit = vectors
+        members = lambda nodes: np.repeat(starts[nodes] - np.cumsum(counts[nodes]) + counts[nodes], counts[nodes]) + np.arange(counts[nodes].sum())
+        single, plain = counts.max() == 1, not np.isnan(unit).any()
+        there, down = unit[members(right)].T, np.cumsum(counts[right]) - counts[right]
+        step, found = max(1, _STRIP // int(counts.max())), []
+        for at in range(0, len(left), step):
+            some = left[at : at + step]
+            near = unit[members(some)] @ there
+            if not single:
+                near = np.minimum.reduceat(np.minimum.reduceat(near, np.cumsum(counts[some]) - counts[some], axis=0), down, axis=1)
+            if not plain:
+                near[np.isnan(near)] = -np.inf
+            if left is right:
+                near[np.arange(len(some)), np.arange(at, at + len(some))] = -np.inf  # not with itself
+            bound = np.full(len(some), threshold)
+            high = near
+            if len(right) >= 2 * most:  # the greatest of groups of columns: as many values reach their bound as theirs
+                width = min(16, len(right) // most)
+                high = near[:, : len(right) // width * width].reshape(len(some), width, -1).max(axis=1)
+            if high.shape[1] > most:
+                bound = np.maximum(bound, np.partition(high, high.shape[1] - most, axis=1)[:, high.shape[1] - most])
+            i, j = np.nonzero(near >= bound[:, None] - SLACK)
+            i, j = some[i], right[j]
+            if single:
+                exact = cosines(across, across, starts[i], starts[j], size, size)
+            else:
+                both = counts[i] * counts[j]
+                pair, place = np.repeat(np.arange(len(i)), both), np.arange(both.sum()) - np.repeat(np.cumsum(both) - both, both)
+                exact = cosines(across, across, starts[i][pair] + place // counts[j][pair], starts[j][pair] + place % counts[j][pair], size, size)
+                exact = np.minimum.reduceat(exact, np.cumsum(both) - both) if len(i) else exact
+            keep = exact >= threshold
+            i, j, exact = i[keep], j[keep], exact[keep]
+            order = np.lexsort((rank[j], -exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            keep = np.arange(len(i)) - np.repeat(first, np.diff(first, append=len(i))) < most
+            found.append((i[keep], j[keep], exact[keep]))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("_side").to_numpy()
+        rank = np.empty(len(table), dtype=np.int64)
+        rank[pa.compute.sort_indices(table.column("_id").combine_chunks()).to_numpy()] = np.arange(len(table))
+        out = []
+        for rows in _segments(table.column("_k")):
+            held = table.column("_vs").take(pa.array(rows)).combine_chunks()
+            counts = pa.compute.list_value_length(held).to_numpy().astype(np.int64)
+            part = matrix(pa.chunked_array([pa.compute.list_flatten(held)]))
+            across = np.ascontiguousarray(part.T)
+            with np.errstate(all="ignore"):
+                unit = part / np.abs(part).max(axis=1)[:, None]  # vectors of any size
+                unit /= np.linalg.norm(unit, axis=1)[:, None]
+            vectors, starts = (across, norms(across), unit), np.cumsum(counts) - counts
+            a = np.flatnonzero(side[rows] == 0)
+            b = np.flatnonzero(side[rows] == 1) if side.any() else a
+            for left, right in ((a, b), (b, a)) if side.any() else ((a, a),):
+                if len(left) and len(right):
+                    i, j, exact = best(left, right, vectors, starts, counts, rank[rows])
+                    out.append((rows[i], rows[j], exact))
+        i, j, exact = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        return pa.table([table.column("_id").take(pa.array(i)), table.column("_id").take(pa.array(j)), pa.array(exact)], names=["_i", "_j", "similarity"])
+
+    return run
+
+
+def best_partners(nodes: DataFrame, threshold: float, most: int, node_id: str, vectors: str, within: str | None) -> DataFrame:
+    """_i, _j, similarity (both ways): each node's best `most` partners of its class at the threshold (> 0), and perhaps more.
+
+    Two nodes are as similar as their least similar vectors; `vectors` is a list of vectors, and a pair of blocks is left out by the first ones.
+    """
+    share_package(nodes.sparkSession)
+    rows, pairs = dealt(nodes.withColumns({"_vs": F.col(vectors), "_first": F.get(vectors, F.lit(0))}), threshold, node_id, "_first", within, ("_vs",), 4)
+    kind = dict(rows.dtypes)["_id"]
+    return sent(rows.drop("_v"), pairs).groupBy("_l", "_r").applyInArrow(_partners_kernel(threshold, most), f"_i {kind}, _j {kind}, similarity double")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions.vectors import cosine, dot, norm
-from gaugework.operators.blocks import BLOCK, least_cosines, pairs_above
+from gaugework.operators.blocks import BLOCK, best_partners, least_cosines, pairs_above
 from gaugework.workers import checkpoints, share_package
 
 #: Node tables are trees of prompts: at most this many rows are broadcast; beyond it the join is cut into blocks.
@@ -210,6 +210,90 @@ def greedy_matching(pairs: DataFrame, listed: int | None = None) -> DataFrame:
     return left if out is None else out
 
 
+def _in_turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Nodes of equal vectors in the order of their ids, group after group: each meets the first that waits and is not blocked for it."""
+    group, waiting = None, []
+    for rows in batches:
+        taken = []
+        for one, node, blocked, similarity in zip(rows["_group"], rows["_id"], rows["_blocked"], rows["_same"]):
+            if one != group:
+                group, waiting = one, []
+            never = () if blocked is None else set(blocked)
+            at = next((i for i, other in enumerate(waiting) if other not in never), None)
+            if at is None:
+                waiting.append(node)
+            else:
+                taken.append((waiting.pop(at), node, similarity))
+        yield pd.DataFrame(taken, columns=["left_id", "right_id", "similarity"])
+
+
+def _copies(nodes: DataFrame, threshold: float, blocked: DataFrame | None) -> DataFrame | None:
+    """The pairs that a scan takes among nodes of equal vectors (_id, _vs, _k): these come before all others of their nodes.
+
+    That holds where no other vector of the class points the same way and a node has one class; other nodes are left to the lists.  None: no copies.
+    """
+    if threshold > 1 - 1e-9 or nodes.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return None
+    one = nodes.where(F.size(F.array_distinct("_vs")) == 1).select("_id", "_k", F.get("_vs", F.lit(0)).alias("_v"))
+    same = one.groupBy("_k", "_v").agg(F.count("*").alias("_n"), F.min("_id").alias("_group")).where("_n > 1 and _k is not null").checkpoint()
+    if same.isEmpty():
+        return None
+    every = nodes.select("_k", F.explode("_vs").alias("_v")).distinct().withColumn("_at", F.sha2(F.to_json(F.struct("_k", "_v")), 256))
+    like = pairs_above(every, 1 - 1e-9, "_at", "_v", "_k")
+    unsafe = every.join(like.select(F.explode(F.array("left_id", "right_id")).alias("_at")).distinct(), "_at", "left_semi").select("_k", "_v")
+    same = same.join(unsafe, ["_k", "_v"], "left_anti").withColumn("_same", cosine(F.col("_v"), F.col("_v"))).where(F.col("_same") >= threshold)
+    met = one.join(same, ["_k", "_v"]).select("_group", "_id", "_same")
+    before = met.withColumn("_blocked", F.lit(None).cast(f"array<{dict(met.dtypes)['_id']}>"))
+    if blocked is not None:  # a node has few blocked pairs
+        before = met.join(blocked.groupBy(F.col("right_id").alias("_id")).agg(F.collect_set("left_id").alias("_blocked")), "_id", "left")
+    kind = dict(met.dtypes)["_id"]
+    return before.repartition("_group").sortWithinPartitions("_group", "_id").mapInPandas(_in_turn, f"left_id {kind}, right_id {kind}, similarity double")
+
+
+def nearest_matching(nodes: DataFrame, threshold: float, node_id: str = "node_id", vectors: str = "vectors", within: str | None = None, blocked: DataFrame | None = None) -> DataFrame:
+    """The matching that greedy_matching finds among all pairs of a class (`within`) that are as similar as the threshold (> 0) and not blocked, without making these pairs.
+
+    Two nodes are as similar as their least similar vectors (`vectors`: a list of vectors per node; a node may have a row for each of its classes).
+    A round lists the best partners of every open node, about SCANNED in all, and scans them as greedy_matching does; with more nodes than that it takes the pairs
+    that are best for both.  Nodes of equal vectors meet first (_copies): their lists would name the same few.
+    """
+    checkpoints(nodes.sparkSession)
+    share_package(nodes.sparkSession)
+    held = nodes.select(F.col(node_id).alias("_id"), F.col(vectors).alias("_vs"), (F.lit(0) if within is None else F.col(within)).alias("_k")).where("_id is not null")
+    kind, order = dict(held.dtypes)["_id"], [F.desc("similarity"), F.col("left_id"), F.col("right_id")]
+    schema = f"left_id {kind}, right_id {kind}, similarity double"
+    most = 0
+    if blocked is not None:
+        blocked = blocked.select("left_id", "right_id")
+        most = blocked.select(F.explode(F.array("left_id", "right_id")).alias("_id")).groupBy("_id").count().agg(F.max("count")).first()[0] or 0
+    out, taken = None, _copies(held, threshold, blocked)
+    while True:
+        if taken is not None:
+            taken = taken.checkpoint()
+            if out is not None and taken.isEmpty():
+                return out
+            out = taken if out is None else out.unionByName(taken)
+        gone = None if out is None else out.select(F.explode(F.array("left_id", "right_id")).alias("_id"))
+        left = held if gone is None else held.join(gone, "_id", "left_anti")
+        n, rows = left.agg(F.count_distinct("_id"), F.count("*")).first()
+        listed = max(1, SCANNED // max(1, n))
+        own = Window.partitionBy("_i").orderBy(F.desc("similarity"), "_j")
+        lists = best_partners(left, threshold, listed + most, "_id", "_vs", "_k").select("_i", "_j", "similarity", F.least("_i", "_j").alias("left_id"), F.greatest("_i", "_j").alias("right_id"))
+        lists = lists.where("_i <> _j")
+        if rows > n:  # two classes of a node can name the same partner
+            lists = lists.distinct()
+        if blocked is not None:
+            lists = lists.join(blocked, ["left_id", "right_id"], "left_anti")
+        near = lists.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= listed).withColumn("_last", F.col("_n") == listed)
+        near = near.groupBy("left_id", "right_id", "similarity").agg(F.max(F.col("_last") & (F.col("_i") == F.col("left_id"))).alias("left_ends"), F.max(F.col("_last") & (F.col("_i") == F.col("right_id"))).alias("right_ends"))
+        if n > SCANNED:
+            taken = _dominant(near).select("left_id", "right_id", "similarity")
+        else:
+            taken = near.repartition(1).sortWithinPartitions(*order).mapInPandas(_scan, schema)  # at most SCANNED pairs, or one of a node
+        if out is None:
+            out = nodes.sparkSession.createDataFrame([], schema)
+
+
 def routing_thresholds(similarities: DataFrame, by: str, margin: float = 0.0, least: float = 0.0, most: float = 1.0) -> DataFrame:
     """(by, similarity, covered): midpoint of the least covered and the greatest other similarity, moved by the margin."""
     sums = similarities.groupBy(by).agg(

@@ -326,6 +326,43 @@ def test_greedy_matching_beyond_one_task(spark, monkeypatch):
     assert {tuple(r) for r in routing.greedy_matching(spark.createDataFrame(pairs, "left_id long, right_id long, similarity double")).collect()} == wanted
 
 
+@pytest.mark.parametrize("block, scanned", [(2048, 1 << 20), (30, 3000), (2048, 100)])
+def test_nearest_matching_equals_a_scan_of_all_pairs(spark, monkeypatch, block, scanned):
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    monkeypatch.setattr(routing, "SCANNED", scanned)
+    rows = [(i, [v], k) for i, v, k in clustered(21, 330)] + [(400 + i, [v, rows[1]], 0) for i, (_, v, _) in enumerate(clustered(22, 40)) for rows in clustered(23, 1)]
+    copied, like = clustered(24, 1)[0][1], clustered(25, 1)[0][1]
+    rows += [(500 + i, [copied] * (1 + i % 2), 0) for i in range(61)] + [(600 + i, [like], 1) for i in range(9)] + [(610, [[2 * x for x in like]], 1), (700, [[0.0] * 12], 1), (701, [[1.0, 2.0]], 1), (702, [[1.0, 3.0]], 1)]
+    rng = random.Random(4)
+    blocked = {(500 + i, 501 + i) for i in range(0, 60, 7)} | {(600, 601)} | {tuple(sorted(rng.sample(range(330), 2))) for _ in range(60)}
+    frame = spark.createDataFrame(rows, "node_id long, vectors array<array<double>>, k long")
+
+    def cosine(a, b):  # summed in order: equal vectors have equal cosines
+        dot, left, right = 0.0, 0.0, 0.0
+        for x, y in zip(a, b):
+            dot, left, right = dot + x * y, left + x * x, right + y * y
+        return dot / (math.sqrt(left) * math.sqrt(right)) if left and right and len(a) == len(b) else 0.0
+
+    found = [(min(cosine(x, y) for x in v for y in w), i, j) for i, v, k in rows for j, w, m in rows if i < j and k == m and (i, j) not in blocked]
+    for threshold in (0.2, 0.9):
+        used, wanted = set(), {}
+        for s, i, j in sorted((p for p in found if p[0] >= threshold), key=lambda p: (-p[0], p[1], p[2])):
+            if not {i, j} & used:
+                used |= {i, j}
+                wanted[i, j] = s
+        got = routing.nearest_matching(frame, threshold, within="k", blocked=spark.createDataFrame(sorted(blocked), "left_id long, right_id long")).collect()
+        assert {(r["left_id"], r["right_id"]): r["similarity"] for r in got} == wanted and len(got) == len(wanted) > 100
+
+
+def test_nearest_matching_takes_copies_in_one_round(spark, monkeypatch):
+    monkeypatch.setattr(routing, "SCANNED", 2000)
+    frame = spark.createDataFrame([(i, [v], 0) for i, v, _ in clustered(26, 100)] + [(1000 + i, [clustered(27, 1)[0][1]], 0) for i in range(1000)], "node_id long, vectors array<array<double>>, k long")
+    rounds, whole = [], routing.best_partners
+    monkeypatch.setattr(routing, "best_partners", lambda *a: (rounds.append(1), whole(*a))[1])
+    got = {(r["left_id"], r["right_id"]) for r in routing.nearest_matching(frame, 0.1).collect()}
+    assert {(1000 + i, 1001 + i) for i in range(0, 1000, 2)} <= got and len(rounds) < 8
+
+
 def brute_tree_of(rows, start, decay, floor, accept, shared):
     unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
     members = {i: [i] for i, _, _ in rows}
