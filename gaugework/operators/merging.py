@@ -1,12 +1,11 @@
 """Agglomeration of leaves into a tree of nodes, level by level, over tables that a stopped build resumes from.
 
-Two nodes are as similar as their least similar members (complete link).  Leaf pairs at the floor are found once, by the
-exact join of routing.near_pairs; from then on the edge table is kept up to date by sums over edges alone: a parent is
-linked with a node when all of its children are, by the least of their similarities.  Only edges of merged nodes change.
+Two nodes are as similar as their least similar members (complete link).  An open node carries its members' vectors, and
+routing.nearest_matching compares nodes in blocks; pairs of nodes, which a low floor makes a good part of all, are never a table.
 
 Each level lowers the threshold, matches the open pairs greedily (most similar first, then by ids), asks the `accept`
-callback about the matched pairs, merges the accepted ones and blocks the others for good.  A level's new nodes, edges
-and blocked pairs are written to its folder; a build that is started again reads the finished levels.
+callback about the matched pairs, merges the accepted ones and blocks the others for good.  A level's new nodes, open nodes'
+vectors and blocked pairs are written to its folder; a build that is started again reads the finished levels.
 """
 
 from __future__ import annotations
@@ -16,11 +15,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.operators.routing import greedy_matching, pair_candidates
+from gaugework.functions.vectors import norm
+from gaugework.operators.routing import nearest_matching
 from gaugework.workers import done
 
 _NODES = "node_id string, level int, left_id string, right_id string, similarity double, n_members long, centroid array<double>, groups array<string>"
-_EDGES = "left_id string, right_id string, similarity double"
+_MEMBERS = "node_id string, vectors array<array<double>>"
+_PAIRS = "left_id string, right_id string, similarity double"
 _BLOCKED = "left_id string, right_id string"
 
 
@@ -30,18 +31,6 @@ def _kept(df: DataFrame, path: str, schema: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def _renamed(edges: DataFrame, parents: DataFrame) -> DataFrame:
-    """Edges between the nodes after a merge: linked by as many edges as the two have children, at the least similarity."""
-    child = parents.select(F.explode(F.array("left_id", "right_id")).alias("_child"), F.col("node_id").alias("_parent"))
-    for side in ("left_id", "right_id"):
-        edges = edges.join(child, F.col(side) == F.col("_child"), "left").withColumns({side: F.coalesce("_parent", side), f"_m_{side}": F.col("_parent").isNotNull()}).drop("_child", "_parent")
-    between = edges.where("left_id <> right_id")
-    parts = (1 + F.col("_m_left_id").cast("int")) * (1 + F.col("_m_right_id").cast("int"))
-    ordered = between.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "similarity", parts.alias("_parts"))
-    found = ordered.groupBy("left_id", "right_id", "_parts").agg(F.count("*").alias("_n"), F.min("similarity").alias("similarity"))
-    return found.where(F.col("_n") == F.col("_parts")).select("left_id", "right_id", "similarity")
-
-
 def merge_tree(
     leaves: DataFrame, folder: str, start: float = 0.90, decay: float = 0.05, floor: float = 0.70, accept: Callable[[DataFrame, int], DataFrame] | None = None,
     shared_group_levels: int = 0, most_attempts: int | None = None,
@@ -51,7 +40,7 @@ def merge_tree(
     accept: (matched pairs left_id, right_id, similarity; level) -> the pairs to merge, as rows with left_id and right_id; the model
     calls that judge a merge belong there.  None accepts all.  In the first `shared_group_levels` levels only nodes with a
     common group are matched.  most_attempts: pairs tried in all, most similar first.  floor must be above 0.  Leaves with an empty or zero
-    vector stay leaves; node ids are distinct and not null; no leaves give an empty tree.
+    vector stay leaves; an open node's row holds its members' distinct vectors, 2 to the power of the levels at most; node ids are distinct and not null; no leaves give an empty tree.
     """
     spark = leaves.sparkSession
     groups = F.col("groups").cast("array<string>") if "groups" in leaves.columns else F.array().cast("array<string>")
@@ -61,22 +50,19 @@ def merge_tree(
         F.lit(None).cast("double").alias("similarity"), F.lit(1).cast("long").alias("n_members"), vector.alias("centroid"), groups.alias("groups"),
     )
     nodes = _kept(first, f"{folder}/level-0/nodes", _NODES)
-    edges = _kept(pair_candidates(nodes, floor, vector="centroid"), f"{folder}/level-0/edges", _EDGES)
-    blocked, tried = spark.createDataFrame([], _BLOCKED), 0
+    members = nodes.where((F.size("centroid") > 0) & (norm(F.col("centroid")) > 0)).select("node_id", F.array("centroid").alias("vectors"))
+    blocked, tried = None, 0
     for level in range(1, round((start - floor) / decay) + 2):
         threshold, at = max(floor, start - decay * (level - 1)), f"{folder}/level-{level}"
         pairs_at, parents_at = f"{at}/pairs", f"{at}/nodes"
         if not done(spark, pairs_at):
-            open_pairs = edges.where(F.col("similarity") >= threshold - 1e-12).join(blocked, ["left_id", "right_id"], "left_anti")
-            if level <= shared_group_levels:
-                for side in ("left_id", "right_id"):
-                    open_pairs = open_pairs.join(nodes.select(F.col("node_id").alias(side), F.col("groups").alias(f"_g_{side}")), side)
-                open_pairs = open_pairs.where(F.arrays_overlap("_g_left_id", "_g_right_id")).select("left_id", "right_id", "similarity")
-            matched = greedy_matching(open_pairs)
+            shared = level <= shared_group_levels
+            open_ = members.join(nodes.select("node_id", F.explode(F.array_distinct("groups")).alias("_group")), "node_id") if shared else members
+            matched = nearest_matching(open_, max(floor, threshold - 1e-12), within="_group" if shared else None, blocked=blocked)
             if most_attempts is not None:
                 matched = matched.orderBy(F.desc("similarity"), "left_id", "right_id").limit(max(0, most_attempts - tried))
             matched.write.mode("overwrite").parquet(pairs_at)
-        pairs = spark.read.schema(_EDGES).parquet(pairs_at)
+        pairs = spark.read.schema(_PAIRS).parquet(pairs_at)
         n = pairs.count()
         tried += n
         if n:
@@ -91,8 +77,11 @@ def merge_tree(
             )
             parents = _kept(made, parents_at, _NODES)
             refused = pairs.join(parents, ["left_id", "right_id"], "left_anti").select("left_id", "right_id")
-            blocked = _kept(blocked.unionByName(refused), f"{at}/blocked", _BLOCKED)
-            edges = _kept(_renamed(edges, parents), f"{at}/edges", _EDGES)
+            blocked = _kept(refused if blocked is None else blocked.unionByName(refused), f"{at}/blocked", _BLOCKED)
+            of = lambda s: members.select(F.col("node_id").alias(f"{s}_id"), F.col("vectors").alias(f"_v_{s}"))
+            joined = parents.join(of("left"), "left_id").join(of("right"), "right_id").select("node_id", F.array_distinct(F.concat("_v_left", "_v_right")).alias("vectors"))
+            merged = parents.select(F.explode(F.array("left_id", "right_id")).alias("node_id"))
+            members = _kept(members.join(merged, "node_id", "left_anti").unionByName(joined), f"{at}/members", _MEMBERS)
             nodes = nodes.unionByName(parents)
         if (not n and threshold <= floor) or (most_attempts is not None and tried >= most_attempts):
             break
